@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat, language_id, simhash
+from loamgraph.llm import chat, decontamination, language_id, packing, simhash
 from loamgraph.llm import exact_dedup as dedup
 from loamgraph.llm import url_filter as urls
 from loamgraph.session import table
@@ -16,6 +16,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: Tokens in a training sequence.
+SEQUENCE_TOKENS = 2048
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), SEQUENCE_TOKENS)
+
+
 #: (host, path, action)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -48,7 +56,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(tricky)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_language_id, op7_url_filter, op8_simhash, op9_chat_format)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (op1_exact_dedup, op5_language_id, op6_best_fit_packing, op7_url_filter, op8_simhash, op9_chat_format, op10_decontamination)
+
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLES = {
     "op1_exact_dedup": r"""
