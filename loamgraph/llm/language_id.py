@@ -206,3 +206,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", id_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with a score of ``least_score`` or more. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, texts in slices(b.column(b.schema.get_field_index(text_col))):
+                lang, score = shared.value.predict(texts)
+                ok = [x != UND and s >= least_score for x, s in zip(lang, score, strict=True)]
+                yield b.slice(start, len(texts)).filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loamgraph.llm import chat, decontamination, language_id, packing, simhash
+from loamgraph.llm import chat, decontamination, html_text, language_id, packing, quality, simhash, toxicity
 from loamgraph.llm import exact_dedup as dedup
 from loamgraph.llm import url_filter as urls
 from loamgraph.session import table
@@ -36,6 +36,26 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), learn_from=remainder(5) != 0)
+    return judged(quality.score(docs, model), remainder(5) == 0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), learn_from=remainder(4) != 2)
+    return judged(toxicity.score(docs, model), remainder(4) == 2)
+
+
+def judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, learn_from=remainder(4) != 2)
@@ -60,7 +80,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-OPERATORS = (op1_exact_dedup, op5_language_id, op6_best_fit_packing, op7_url_filter, op8_simhash, op9_chat_format, op10_decontamination)
+OPERATORS = (op1_exact_dedup, op2_html_extraction, op3_quality, op4_toxicity, op5_language_id, op6_best_fit_packing, op7_url_filter, op8_simhash, op9_chat_format, op10_decontamination)
 
 QUERIES = {f.__name__: f for f in OPERATORS}
 
