@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS: tuple[str, ...] = ()
+GROUPS: tuple[str, ...] = ("graph_queries",)
 
 
 def load():
