@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS: tuple[str, ...] = ("graph_queries",)
+GROUPS: tuple[str, ...] = ("graph_queries", "search_queries", "text_queries", "store_queries", "sql_queries")
 
 
 def load():
