@@ -16,44 +16,54 @@ component's smallest id; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.llm.words import mix
 from loamgraph.session import pin
 
 SEED = 42
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64 bits; bit i is set if over half the shingles' hashes have it."""
+def fingerprints(text: str | None, width: int = 3, n: int = 1) -> list[int]:
+    """``n`` fingerprints of 64 bits; bit i is set if over half the shingles' hashes have it.
+
+    The first uses the shingles' XXH64; the others use the same hashes mixed with a number each.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return [0] * n
     shingles = [b" ".join(words)] if len(words) < width else list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    out = []
+    for k in range(n):
+        own = hashes if k == 0 else mix(hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+        counts = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(own), 1 << 16):
+            bits = np.unpackbits(own[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(own), bitorder="little").view("<u8")[0]))
+    return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, n: int) -> DataFrame:
+    """doc_id and the fingerprints as signed longs fp0, fp1, ..."""
+    names = [f"fp{k}" for k in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+            made = np.array([fingerprints(t, width, n) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(made[:, k], pa.int64()) for k in range(n))], names=["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in names)])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def block_masks(n_blocks: int, agree: int) -> list[int]:
@@ -165,12 +175,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, n_blocks: int = 5, tile: int = 2048) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
-    made = pin(with_fingerprints(docs, id_col, text_col, width))
-    fps = pin(made.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(fps.select("fp"), max_bits, n_blocks, tile))
-    of = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, n_blocks: int = 5, tile: int = 2048, n_fingerprints: int = 1) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits, the first), component_id.
+
+    With several fingerprints, texts are linked if any of them is near: a near copy that one set of hashes puts at four bits, another
+    puts at three.
+    """
+    made = pin(with_fingerprints(docs, id_col, text_col, width, n_fingerprints))
+    names = [f"fp{k}" for k in range(n_fingerprints)]
+    node = F.col("fp0") if n_fingerprints == 1 else F.xxhash64(*names)
+    classes = pin(made.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", node))
+    found = []
+    for name in names:
+        near = links(classes.select(F.col(name).alias("fp")).distinct(), max_bits, n_blocks, tile)
+        if n_fingerprints > 1:  # from fingerprints to the classes that have them
+            first = classes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("n"))
+            near = near.join(first.select(F.col("fp").alias("src"), F.col("n").alias("a")), "src").join(first.select(F.col("fp").alias("dst"), F.col("n").alias("b")), "dst")
+            same = classes.select(F.col(name).alias("fp"), F.col("node").alias("src")).join(first, "fp").filter("src <> n")
+            near = near.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(same.select("src", F.col("n").alias("dst")))
+        found.append(near)
+    roots = components(reduce(lambda a, b: a.unionByName(b), found))
+    of = classes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     smallest = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = pin(of.join(smallest, "root").select("fp", "component_id"))
-    return made.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = pin(of.join(smallest, "root").select("node", "component_id"))
+    out = made.withColumn("node", node).join(linked, "node")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
