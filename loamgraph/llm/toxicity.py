@@ -101,11 +101,22 @@ class Filters:
         return np.where(np.diff(w.offsets) > 0, p, 0.0)
 
 
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, offsets), built in slices so that only the ids are ever held whole."""
+    parts, counts = [], []
+    for _, run in slices(texts):
+        w = hash_words(run)
+        parts.append(word_ids(w))
+        counts.append(np.diff(w.offsets))
+    ids = np.concatenate(parts) if parts else np.zeros((0, 1 + len(PREFIXES)), np.int32)
+    return ids, np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else [])]).astype(np.int64)
+
+
 def initial(ids: np.ndarray, offsets: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> Filters:
-    owner = np.repeat(np.arange(len(y)), np.diff(offsets))
-    once = np.unique(np.stack([np.repeat(owner, ids.shape[1]), ids.ravel()], axis=1), axis=0)
-    toxic = np.bincount(once[y[once[:, 0]] == 1, 1], minlength=BUCKETS)
-    clean = np.bincount(once[y[once[:, 0]] == 0, 1], minlength=BUCKETS)
+    seen = np.zeros((2, BUCKETS))
+    for i, label in enumerate(y):
+        seen[label, np.unique(ids[offsets[i] : offsets[i + 1]])] += 1
+    clean, toxic = seen
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / (len(y) - y.sum() + 1))
     sure = (toxic + clean) / (toxic + clean + 8)
     table = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
@@ -129,9 +140,8 @@ class Adam:
 
 def train(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 3e-3, seed: int = 5) -> Filters:
     rng = np.random.default_rng(seed)
-    w = hash_words(texts)
-    ids = word_ids(w)
-    net = initial(ids, w.offsets, y, rng)
+    ids, bounds = hashed(texts)
+    net = initial(ids, bounds, y, rng)
     odds = np.log(y.mean() / (1 - y.mean()))
     net.out_bias = float(odds) - 1.0
     adams = {"table": Adam(net.table.shape, rate), "out": Adam(net.out.shape, rate)}
@@ -143,7 +153,7 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 64, rat
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             part = np.sort(order[at : at + batch])
-            spans = [np.arange(w.offsets[i], w.offsets[i + 1]) for i in part]
+            spans = [np.arange(bounds[i], bounds[i + 1]) for i in part]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in spans])])
             own = ids[np.concatenate(spans).astype(np.int64)] if offsets[-1] else ids[:0]
             x = net.embed(own)
@@ -200,15 +210,21 @@ def fit(texts: list[str], y: np.ndarray, langs: list[str | None], least: int = 1
     net = train([t for t, k in zip(texts, learn, strict=True) if k], y[learn])
     net.languages = sorted({x for x in langs if x is not None})
     counts = np.full((LANG_BUCKETS, max(1, len(net.languages))), 0.1)
-    w = hash_words(texts)
-    for i, lang in enumerate(langs):
-        if lang is not None:
-            h = w.hashes[w.offsets[i] : w.offsets[i + 1]] % np.uint64(LANG_BUCKETS)
-            np.add.at(counts[:, net.languages.index(lang)], h.astype(np.int64), 1)
+    for start, run in slices(texts):
+        w = hash_words(run)
+        for i, lang in enumerate(langs[start : start + len(run)]):
+            if lang is not None:
+                h = w.hashes[w.offsets[i] : w.offsets[i + 1]] % np.uint64(LANG_BUCKETS)
+                np.add.at(counts[:, net.languages.index(lang)], h.astype(np.int64), 1)
     net.lang_table = np.log(counts / counts.sum(axis=0))
-    margin = net.margins(w)
+    margins, guesses = [], []
+    for _, run in slices(texts, 1_000_000):
+        w = hash_words(run)
+        margins.append(net.margins(w))
+        guesses.append(net.guess_language(w))
+    margin, guess = np.concatenate(margins), np.concatenate(guesses)
     check = kept_back if kept_back.any() else np.ones(len(y), dtype=bool)
-    overall, guess = best_cut(margin[check], y[check]), net.guess_language(w)
+    overall = best_cut(margin[check], y[check])
     net.cuts = np.full(max(1, len(net.languages)), overall, dtype=np.float32)
     for k in range(len(net.languages)):
         own = check & (guess == k)
@@ -228,7 +244,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col:
     return sorted(rows, key=lambda r: (r["u"], r["text"] or ""))[:max_rows]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", max_rows: int = 6000) -> Filters | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", max_rows: int = 5000) -> Filters | None:
     rows = sample_rows(docs, labels, learn_from, id_col, text_col, lang_col, label_col, max_rows)
     return fit([r["text"] for r in rows], np.array([r["label"] for r in rows]), [r["lang"] for r in rows])
 

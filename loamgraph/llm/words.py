@@ -69,9 +69,9 @@ def hash_words(texts: list[str | None]) -> Words:
 
 
 def slices(column, max_chars: int = 2_000_000):
-    """Cut an Arrow column of strings into runs (start, list) of about ``max_chars`` characters, to bound memory."""
+    """Cut strings (an Arrow column or a list) into runs (start, list) of about ``max_chars`` characters, to bound memory."""
     run, start, size = [], 0, 0
-    for i, t in enumerate(column.to_pylist()):
+    for i, t in enumerate(column if isinstance(column, list) else column.to_pylist()):
         run.append(t)
         size += len(t or "")
         if size >= max_chars:
