@@ -14,15 +14,14 @@ NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 def uuid5(name: Column, namespace: str = NAMESPACE_OID) -> Column:
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
-    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat_ws(
-        "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 18, 3)),
-        F.substring(digest, 21, 12),
-    )
+    # a lambda's variable stands for the digest, so an id of an id of an id has one digest in it for each, not one for each use
+    return F.get(F.transform(F.array(digest), _dashed), F.lit(0))
+
+
+def _dashed(h: Column) -> Column:
+    dash = F.lit("-")
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(F.substring(h, 1, 8), dash, F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), dash, variant, F.substring(h, 18, 3), dash, F.substring(h, 21, 12))
 
 
 def node_name(entity_type: str, keys: list[tuple[str, Column]]) -> Column:

@@ -85,7 +85,7 @@ def distance(column: Column, query: list[float], metric: str = "cosine") -> Colu
     q = F.array(*[F.lit(float(x)) for x in query])
     if metric == "cosine":
         length = sum(float(x) ** 2 for x in query) ** 0.5
-        return 1 - dot(column, q) / (F.sqrt(dot(column, column)) * F.lit(length))
+        return 1 - F.try_divide(dot(column, q), F.sqrt(dot(column, column)) * F.lit(length))  # a zero vector has no distance
     if metric == "l2":
         return F.sqrt(F.aggregate(F.zip_with(column, q, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda acc, x: acc + x))
     raise ValueError(f"no such metric: {metric}")
