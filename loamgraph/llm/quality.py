@@ -140,6 +140,8 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 def fit(pos: np.ndarray, unl: np.ndarray) -> Network | None:
     if not len(pos) or not len(unl):
         return None
+    rng = np.random.default_rng(2)
+    pos, unl = pos[rng.permutation(len(pos))], unl[rng.permutation(len(unl))]
     a, b = len(pos) * 4 // 5, len(unl) * 4 // 5
     first = train(pos[: max(1, a)], unl[: max(1, b)], 0.5, steps=400)
     prior = estimate_prior(first.margin(pos[a:]), first.margin(unl[b:])) if a and b and len(pos) > a and len(unl) > b else 0.5
