@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loamgraph.functions.ids import let
+
 Provider = Callable[[Column], Column]
 
 
@@ -21,18 +23,20 @@ def hashing_embedding(dimensions: int = 64) -> Provider:
 
     def embed(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        zero = F.array_repeat(F.lit(0.0), dimensions)
-        hashed = F.transform(words, lambda w: F.xxhash64(w))
-        places = F.transform(hashed, lambda h: F.pmod(h, F.lit(dimensions)))
-        plus = lambda i: F.size(F.filter(hashed, lambda h: (F.pmod(h, F.lit(dimensions)) == i) & (F.pmod(F.shiftright(h, 20), F.lit(2)) == 0)))
-        both = lambda i: F.size(F.filter(places, lambda p: p == i))
-        raw = F.transform(zero, lambda _, i: (2 * plus(i) - both(i)).cast("double"))
-        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-        return F.when(norm > 0, F.transform(raw, lambda x: (x / norm).cast("float"))).otherwise(F.transform(raw, lambda x: x.cast("float")))
+        sign = lambda h: F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+        component = lambda hs, i: F.aggregate(F.filter(hs, lambda h: F.pmod(h, F.lit(dimensions)) == i), F.lit(0.0), lambda a, h: a + sign(h))
+        raw = let(F.transform(words, lambda w: F.xxhash64(w)), lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: component(hs, i)))
+        return let(raw, scaled)
 
     return embed
 
 
+def scaled(raw: Column) -> Column:
+    """To length 1; zeros stay."""
+    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
+    return let(F.when(length > 0, length).otherwise(1.0), lambda n: F.transform(raw, lambda x: (x / n).cast("float")))
+
+
 def batch_embedding(embed_batch: Callable[[list[str]], list[list[float]]], batch: int = 64) -> Provider:
     """A model or service called with batches of texts, in Arrow batches on the executors."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,10 +13,14 @@ NAMESPACE_OID = "6ba7b8129dad11d180b400c04fd430c8"
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value written, and computed, once: a lambda's variable stands for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def uuid5(name: Column, namespace: str = NAMESPACE_OID) -> Column:
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
-    # a lambda's variable stands for the digest, so an id of an id of an id has one digest in it for each, not one for each use
-    return F.get(F.transform(F.array(digest), _dashed), F.lit(0))
+    return let(digest, _dashed)  # an id of an id of an id has one digest in it for each, not one for each use
 
 
 def _dashed(h: Column) -> Column:

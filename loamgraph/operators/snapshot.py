@@ -20,6 +20,7 @@ from loamgraph.functions import ids, text
 from loamgraph.functions.embedding import Provider, null_embedding
 from loamgraph.operators.ingest import GraphData
 from loamgraph.schema import REGISTRY, Registry
+from loamgraph.session import pin
 
 # What a file contains, and how AST edges are called here.
 CONTAINED_IN_FILE = ("class", "function", "datamodel", "variable", "test", "endpoint")
@@ -167,7 +168,7 @@ def ast_nodes(nodes: DataFrame, sha: str, root: str = "") -> DataFrame:
 def ast_graph(nodes: DataFrame, edges: DataFrame, sha: str, created: Column, project_url: str, full_name: str, root: str = "", options: Options | None = None, registry: Registry = REGISTRY) -> GraphData:
     """Nodes of nine kinds; containment of files and what files may contain; libraries become dependencies; code chunks of functions and classes."""
     o, graph, spec = options or Options(), GraphData(), registry.specs
-    mapped = ast_nodes(nodes, sha, root)
+    mapped = pin(ast_nodes(nodes, sha, root))  # twenty batches are made of it
     meta = lambda k: F.element_at("meta", k)
     lines = ["start_line", "end_line"]
     common = ["version_sha", F.col("path").alias("file_path"), F.col("title").alias("name")]
