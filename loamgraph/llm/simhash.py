@@ -16,7 +16,6 @@ component's smallest id; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -97,21 +96,23 @@ def forest(fps: np.ndarray, max_bits: int, block: int = 256) -> list[tuple[int,
 
 
 def links(fps: DataFrame, max_bits: int, n_blocks: int, tile: int) -> DataFrame:
-    """``fps``: distinct column fp. Verified links src, dst (fingerprints) that connect whatever links connect."""
+    """``fps``: distinct (k, fp) with a node each. Verified links src, dst (nodes) that connect whatever links connect; only fingerprints of one k are
+    compared."""
     masks = block_masks(n_blocks, n_blocks - max_bits)
     keyed = fps.select(
+        "k",
         "fp",
+        "node",
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("mask", "part"),
-    ).withColumn("key", F.xxhash64("mask", "part"))
+    ).withColumn("key", F.xxhash64("k", "mask", "part"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = keyed.select("fp", "key").join(sizes, "key")
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+    held = keyed.select("fp", "node", "key").join(sizes, "key")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
     dealt = (
-        held.withColumn("tiles", tiles)
+        held.withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "node")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +120,7 @@ def links(fps: DataFrame, max_bits: int, n_blocks: int, tile: int) -> DataFrame:
 
         def emit(t: pa.Table, last: bool) -> tuple[pa.Table | None, pa.RecordBatch]:
             cols = [t.column(c).to_numpy() for c in ("key", "lo", "hi")]
-            fp = t.column("fp").to_numpy().view(np.uint64)
+            fp, node = t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()
             new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
             ends = np.append(new[1:], len(fp))
             if not last:
@@ -130,15 +131,14 @@ def links(fps: DataFrame, max_bits: int, n_blocks: int, tile: int) -> DataFrame:
             small = ends - new == 2  # most groups
             a, b = fp[new[small]], fp[new[small] + 1]
             near = np.bitwise_count(a ^ b) <= max_bits
-            src.append(a[near])
-            dst.append(b[near])
+            src.append(node[new[small]][near])
+            dst.append(node[new[small] + 1][near])
             for s, e in zip(new[~small], ends[~small], strict=True):
-                group = fp[s:e]
-                if pairs := forest(group, max_bits):
+                if pairs := forest(fp[s:e], max_bits):
                     i, j = np.array(pairs).T
-                    src.append(group[i])
-                    dst.append(group[j])
-            made = [pa.array(np.concatenate(x).view(np.int64), pa.int64()) for x in (src, dst)]
+                    src.append(node[s:e][i])
+                    dst.append(node[s:e][j])
+            made = [pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)]
             return left, pa.RecordBatch.from_arrays(made, names=["src", "dst"])
 
         for b in batches:
@@ -185,16 +185,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [f"fp{k}" for k in range(n_fingerprints)]
     node = F.col("fp0") if n_fingerprints == 1 else F.xxhash64(*names)
     classes = pin(made.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", node))
-    found = []
-    for name in names:
-        near = links(classes.select(F.col(name).alias("fp")).distinct(), max_bits, n_blocks, tile)
-        if n_fingerprints > 1:  # from fingerprints to the classes that have them
-            first = classes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("n"))
-            near = near.join(first.select(F.col("fp").alias("src"), F.col("n").alias("a")), "src").join(first.select(F.col("fp").alias("dst"), F.col("n").alias("b")), "dst")
-            same = classes.select(F.col(name).alias("fp"), F.col("node").alias("src")).join(first, "fp").filter("src <> n")
-            near = near.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(same.select("src", F.col("n").alias("dst")))
-        found.append(near)
-    roots = components(reduce(lambda a, b: a.unionByName(b), found))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("fp")) for k, c in enumerate(names)]))
+    long = classes.select("node", each.alias("e")).select("node", "e.k", "e.fp")
+    firsts = pin(long.groupBy("k", "fp").agg(F.min("node").alias("node")))
+    found = links(firsts, max_bits, n_blocks, tile)
+    if n_fingerprints > 1:  # classes that share a fingerprint
+        same = long.withColumnRenamed("node", "src").join(firsts.withColumnRenamed("node", "dst"), ["k", "fp"]).filter("src <> dst")
+        found = found.unionByName(same.select("src", "dst"))
+    roots = components(found)
     of = classes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     smallest = of.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = pin(of.join(smallest, "root").select("node", "component_id"))
