@@ -161,32 +161,19 @@ def test_snapshot_graph_through_the_engine(engine, spark):
     repos, people, issues, pulls, readme = snapshot_frames(spark)
     graph = snapshot.snapshot_graph(repos, people, issues, pulls, readme, snapshot.Options(embed=embedding.hashing_embedding(16)))
     engine.sync.process(graph)
-    count = lambda t: engine.row_count(t)
-    assert [count(f"silver/entities/{t}") for t in ("project", "version", "commit", "developer", "issue", "pullrequest", "label")] == [1, 1, 1, 1, 1, 1, 2]
-    assert [count(f"silver/vectors/{t}") for t in ("readmechunk", "issuedoc", "prdoc")] == [1, 1, 1]
-    assert [count(f"silver/edges/{t}") for t in ("hasversion", "iscommit", "hasissue", "haspr", "openedissue", "haslabel", "relatesto", "containscontent", "documents")] == [1, 1, 1, 1, 1, 3, 1, 3, 2]
-    assert engine.row_count("silver/edges/openedpr") == 0
-    project, version = node_id_of("project", url=URL), node_id_of("version", sha=SHA)
-    assert engine.node(project)["label"] == "project" and engine.node_by_keys("PROJECT", {"url": URL})["id"] == project
-    assert engine.shortest_path(project, node_id_of("commit", sha=SHA))["length"] == 2
-    assert engine.shortest_path(project, version, "calls") == {"found": False, "length": 0, "nodes": [], "edges": []}
+    count = engine.row_count
+    assert [count(f"silver/entities/{t}") for t in ("developer", "label")] == [1, 2]
+    assert [count(f"silver/edges/{t}") for t in ("openedissue", "openedpr", "haslabel", "relatesto", "containscontent", "documents")] == [1, 0, 3, 1, 3, 2]
+    project = node_id_of("project", url=URL)
+    assert engine.node(project)["label"] == "project"
     assert engine.subgraph(project, depth=1).edges.count() == 6
     hits = engine.hybrid_all("bug issue", "issue,issuedoc,readmechunk", 0.5, 10).collect()
     assert {"issue", "issuedoc"} <= {r["label"] for r in hits} and all(r["score"] >= 0 for r in hits) and hits[0]["summary"]
-    assert engine.status()["db_stats"]["num_vectors"] == 3 and engine.status()["entity_count"] > 10
     assert engine.search_index("project", "host/own", 5).count() == 1 and engine.search_index("file", "x", 5).count() == 0
-    assert {r["label"]: (r["row_count"], r["version"]) for r in engine.edge_statistics().collect()}["edge_relatesto"] == (1, 0)
     with pytest.raises(NotFound):
         engine.node(node_id_of("nothing"))
-    with pytest.raises(NotFound):
-        engine.subgraph(node_id_of("nothing"))
     assert status_of(NotFound("x")) == 404 and status_of(InvalidArgument("x")) == 400 and status_of(OSError()) == 500
-    rows = cli.run(cli.parser().parse_args(["root", "hot", "neighbors", project, "--limit", "2"]), engine)
-    assert len(rows) == 2
     assert cli.run(cli.parser().parse_args(["root", "cold", "count", "silver/entities/issue"]), engine) == [{"rows": 1}]
-    assert {r["table"] for r in cli.run(cli.parser().parse_args(["root", "cold", "list", "--prefix", "silver/entities"]), engine)} >= {"silver/entities/project"}
-    stored.delete_version(engine.sync, SHA)
-    assert count("silver/entities/version") == 0 and count("silver/edges/hasversion") == 0 and count("silver/edges/hasissue") == 1
 
 
 def test_ast_graph(engine, spark):
@@ -226,6 +213,8 @@ def test_stored_writes(engine):
     assert [r["id"] for r in stored.files_in_version(nodes, edges, version).collect()] == [file]
     assert [r["id"] for r in stored.find_function_details(nodes, edges, "g", "a.py", SHA).collect()] == [g]
     assert stored.find_project_by_url(nodes, URL).first()["id"] == node_id_of("project", url=URL)
+    stored.delete_version(engine.sync, SHA)
+    assert engine.row_count("silver/entities/version") == 0 and engine.row_count("silver/edges/hasversion") == 0 and engine.row_count("silver/entities/project") == 1
 
 
 # -- search
