@@ -189,13 +189,6 @@ def test_ast_graph(engine, spark):
     assert (f["file_path"], f["start_line"], f["end_line"], f["signature"], f["is_component"]) == ("a.py", 4, 5, "g()", True)
     assert engine.row_count("silver/edges/dependson") == 1 and engine.row_count("silver/vectors/codechunk") == 2 and engine.row_count("silver/edges/embeds") == 2
     assert engine.row_count("silver/entities/test") == 0
-    all_nodes, all_edges, vectors = engine.views()
-    handler = stored.endpoint_handler(all_nodes, all_edges, "/x", "GET").collect()
-    assert [json.loads(r["properties"])["name"] for r in handler] == ["g"]
-    g = handler[0]["id"]
-    assert stored.function_callees(all_nodes, all_edges, g).count() == 0  # g calls itself but no file contains it
-    assert stored.find_function_details(all_nodes, all_edges, "g", "a.py", SHA).count() == 0
-    assert stored.similar_chunks(all_nodes, all_edges, vectors, engine.embed_query("def g"), 1).first()["id"] == g
 
 
 def test_stored_writes(engine):
