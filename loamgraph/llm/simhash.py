@@ -75,44 +75,44 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def forest(fps: np.ndarray, max_bits: int, block: int = 256) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the links among these fingerprints."""
-    n, parent, out = len(fps), np.arange(len(fps)), []
-    for at in range(0, n, block):
-        near = np.bitwise_count(fps[at : at + block, None] ^ fps[None, :]) <= max_bits
-        for i, j in zip(*np.nonzero(np.triu(near, at + 1)), strict=True):
-            a, b = find(parent, at + int(i)), find(parent, int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((at + int(i), int(j)))
-    return out
-
-
-def links(fps: DataFrame, max_bits: int, n_blocks: int, tile: int) -> DataFrame:
-    """``fps``: distinct (k, fp) with a node each. Verified links src, dst (nodes) that connect whatever links connect; only fingerprints of one k are
-    compared."""
-    masks = block_masks(n_blocks, n_blocks - max_bits)
-    keyed = fps.select(
-        "k",
-        "fp",
-        "node",
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("mask", "part"),
-    ).withColumn("key", F.xxhash64("k", "mask", "part"))
+def forest(prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a spanning forest of the links among these rows of fingerprints. Each row reached is compared with the rows not yet reached only."""
+    left, src, dst, queue = np.arange(len(prints)), [], [], []
+    while len(left):
+        if not queue:
+            queue.append(int(left[0]))
+            left, prints_left = left[1:], prints[left[1:]]
+            continue
+        i = queue.pop()
+        near = np.bitwise_count(prints_left ^ prints[i]).sum(axis=1) <= limit
+        if near.any():
+            hit = left[near]
+            src.append(np.full(len(hit), i))
+            dst.append(hit)
+            queue += hit.tolist()
+            left, prints_left = left[~near], prints_left[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *src]), np.concatenate([none, *dst])
+
+
+def links(classes: DataFrame, lanes: list[str], limit: int, agree: int, n_blocks: int, tile: int) -> DataFrame:
+    """``classes``: one row per node with its fingerprints in the columns ``lanes``. Nodes that agree on ``agree`` of ``n_blocks`` blocks of one
+    lane are compared; those at ``limit`` or fewer differing bits over all lanes are linked. Links src, dst (nodes) that connect whatever links
+    connect."""
+    masks = block_masks(n_blocks, agree)
+    keys = [F.xxhash64(F.lit(k), F.lit(i), F.col(c).bitwiseAND(F.lit(signed(m)))) for k, c in enumerate(lanes) for i, m in enumerate(masks)]
+    keyed = classes.select("node", F.explode(F.array(*keys)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    held = keyed.select("fp", "node", "key").join(sizes, "key")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
+    held = keyed.join(sizes, "key")
+    carried = [c for c in lanes if c != "node"]
+    if carried:  # fingerprints join only the keys that are shared
+        held = held.join(classes.select("node", *carried), "node")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
     dealt = (
         held.withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp", "node")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", *carried)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,24 +120,24 @@ def links(fps: DataFrame, max_bits: int, n_blocks: int, tile: int) -> DataFrame:
 
         def emit(t: pa.Table, last: bool) -> tuple[pa.Table | None, pa.RecordBatch]:
             cols = [t.column(c).to_numpy() for c in ("key", "lo", "hi")]
-            fp, node = t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()
+            node = t.column("node").to_numpy()
+            prints = np.stack([t.column(c).to_numpy() for c in lanes], axis=1).view(np.uint64)
             new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
-            ends = np.append(new[1:], len(fp))
+            ends = np.append(new[1:], len(node))
             if not last:
                 new, ends, left = new[:-1], ends[:-1], t.slice(int(new[-1]))
             else:
                 left = None
             src, dst = [], []
             small = ends - new == 2  # most groups
-            a, b = fp[new[small]], fp[new[small] + 1]
-            near = np.bitwise_count(a ^ b) <= max_bits
-            src.append(node[new[small]][near])
-            dst.append(node[new[small] + 1][near])
+            a = new[small]
+            near = np.bitwise_count(prints[a] ^ prints[a + 1]).sum(axis=1) <= limit
+            src.append(node[a][near])
+            dst.append(node[a + 1][near])
             for s, e in zip(new[~small], ends[~small], strict=True):
-                if pairs := forest(fp[s:e], max_bits):
-                    i, j = np.array(pairs).T
-                    src.append(node[s:e][i])
-                    dst.append(node[s:e][j])
+                i, j = forest(prints[s:e], limit)
+                src.append(node[s:e][i])
+                dst.append(node[s:e][j])
             made = [pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)]
             return left, pa.RecordBatch.from_arrays(made, names=["src", "dst"])
 
@@ -150,7 +150,7 @@ def links(fps: DataFrame, max_bits: int, n_blocks: int, tile: int) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield emit(rest, True)[1]
 
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "src long, dst long").distinct()
 
 
@@ -175,24 +175,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, n_blocks: int = 5, tile: int = 2048, n_fingerprints: int = 1) -> DataFrame:
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, n_blocks: int = 5, tile: int = 2048, n_fingerprints: int = 1, limit: int | None = None
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits, the first), component_id.
 
-    With several fingerprints, texts are linked if any of them is near: a near copy that one set of hashes puts at four bits, another
-    puts at three.
+    With several fingerprints a text has ``64 * n_fingerprints`` bits; texts that agree on the blocks of any one fingerprint are compared over all bits
+    and linked at ``limit`` or fewer differing ones (default ``max_bits`` times ``n_fingerprints``). All pairs with ``max_bits`` or fewer in any
+    one fingerprint are compared for certain, others the likelier the nearer they are.
     """
     made = pin(with_fingerprints(docs, id_col, text_col, width, n_fingerprints))
     names = [f"fp{k}" for k in range(n_fingerprints)]
-    node = F.col("fp0") if n_fingerprints == 1 else F.xxhash64(*names)
-    classes = pin(made.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("node", node))
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("fp")) for k, c in enumerate(names)]))
-    long = classes.select("node", each.alias("e")).select("node", "e.k", "e.fp")
-    firsts = pin(long.groupBy("k", "fp").agg(F.min("node").alias("node")))
-    found = links(firsts, max_bits, n_blocks, tile)
-    if n_fingerprints > 1:  # classes that share a fingerprint
-        same = long.withColumnRenamed("node", "src").join(firsts.withColumnRenamed("node", "dst"), ["k", "fp"]).filter("src <> dst")
-        found = found.unionByName(same.select("src", "dst"))
-    roots = components(found)
+    single = n_fingerprints == 1
+    node = F.col("fp0") if single else F.xxhash64(*names)
+    lanes = ["node"] if single else names
+    carried = [] if single else [F.first(c).alias(c) for c in names]
+    classes = pin(made.groupBy(node.alias("node")).agg(F.min("doc_id").alias("low"), *carried))
+    roots = components(links(classes, lanes, max_bits * n_fingerprints if limit is None else limit, n_blocks - max_bits, n_blocks, tile))
     of = classes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     smallest = of.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = pin(of.join(smallest, "root").select("node", "component_id"))

@@ -301,8 +301,8 @@ def test_hot_keys_are_tiled(spark):
     rng = np.random.default_rng(4)
     centre = [int(x) for x in rng.integers(0, 1 << 62, 3)]
     fps = sorted({c ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 4)), replace=False)) for c in centre for _ in range(60)})
-    frame = spark.createDataFrame([(0, f, f) for f in fps], "k int, fp long, node long")
-    linked = simhash.components(simhash.links(frame, 3, 5, 16))
+    frame = spark.createDataFrame([(f,) for f in fps], "node long")
+    linked = simhash.components(simhash.links(frame, ["node"], 3, 2, 5, 16))
     root = {r["node"]: r["root"] for r in linked.collect()}
     assert [root.get(f, f) for f in fps] == brute_components(fps, fps, 3)
 
