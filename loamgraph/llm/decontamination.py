@@ -7,7 +7,9 @@ begins at every word of every document; an item is entered from every ``stride``
 its beginning doesn't hide it. Signatures are built coordinate by coordinate, and a window is given up as soon as no item has the
 signature so far: the outcome is that of whole signatures, for a small part of the work.
 
-Repetitions are added until simulated copies of the items, edited as much as the similarity allows, are found at ``target_recall``.
+Repetitions are added until simulated copies of the items, edited as much as the similarity allows and set in other words, are found at
+``target_recall`` or there are ``max_walks``. For each item length that is still found less often, mostly the short ones, all runs of words that so
+few edits must leave whole are looked for as well, so that no such copy is missed.
 Every candidate is then verified exactly: the fewest word edits that turn the item into any passage around the
 window. An item is found if 1 - edits / words of the item is ``similarity`` or more.
 
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from loamgraph.llm.words import hash_words, mix, slices
 
 FILTER_BITS = 18
+#: Simulated copies for each item length.
+TRIALS = 400
 SCHEMA = "doc_id long, item_id long, start_word long, end_word long, edits int, similarity double"
 
 
@@ -64,6 +68,23 @@ class Walk:
                 so_far.append(sign.copy())
         return index, sign, so_far
 
+    def hold(self, flat: np.ndarray, place: np.ndarray, usable: np.ndarray) -> None:
+        """Keep the signatures of the windows of ``flat`` that begin at ``place``, for the anchors ``usable``."""
+        _, sign, so_far = self.run(flat, self.bits(flat), place, False)
+        for s in so_far:
+            table = np.zeros(1 << FILTER_BITS, dtype=bool)
+            table[(s[usable] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            self.filters.append(table)
+        self.anchors = usable[np.argsort(sign[usable], kind="stable")]
+        self.keys = sign[self.anchors]
+
+
+class Run(Walk):
+    """Words in a row: every step moves on."""
+
+    def bits(self, tokens: np.ndarray) -> np.ndarray:
+        return np.full(len(tokens), np.iinfo(np.uint64).max, dtype=np.uint64)
+
 
 def reach(coords: list[int]) -> int:
     return coords[-1] + 1
@@ -98,29 +119,43 @@ class Index:
         begin = np.cumsum([0] + [len(t) + span + 1 for t in self.items[:-1]])
         place = begin[self.anchors[:, 0]] + self.anchors[:, 1]
         room = np.array([len(t) for t in self.items])[self.anchors[:, 0]] - self.anchors[:, 1]
-        trial = [(k, edited(self.items[k], self.edits[k], rng)) for k in rng.integers(0, len(self.items), 400)]
-        tried = np.concatenate([np.concatenate([t, pad]) for _, t in trial])
-        owner = np.repeat(np.arange(len(trial)), [len(t) + span + 1 for _, t in trial])
-        found = np.zeros(len(trial), dtype=bool)
+        lengths = np.array([len(t) for t in self.items])
+        # lengths beyond two spans count together up to each doubling
+        kinds, kind = np.unique(np.where(lengths <= 2 * span, lengths, 2 * span + np.ceil(np.log2(np.maximum(lengths / (2 * span), 1)))), return_inverse=True)
+        trial = [int(k) for c in range(len(kinds)) for k in rng.choice(np.flatnonzero(kind == c), TRIALS)]
+        around = [rng.integers(1, 1 << 62, 2 * (span + 1), dtype=np.uint64) for _ in trial]
+        copies = [np.concatenate([x[: span + 1], edited(self.items[k], self.edits[k], rng), x[span + 1 :]]) for k, x in zip(trial, around, strict=True)]
+        tried = np.concatenate([*copies, pad])
+        owner = np.repeat(np.arange(len(trial)), [len(t) for t in copies])
+        trial, found = np.array(trial), np.zeros(len(trial), dtype=bool)
+
+        def recall() -> np.ndarray:
+            return np.bincount(kind[trial], weights=found) / TRIALS
+
+        def look(walk: Walk) -> None:
+            self.walks.append(walk)
+            starts, anchors = self.candidates(walk, tried)
+            starts, anchors = starts[starts < len(owner)], anchors[starts < len(owner)]
+            found[owner[starts[self.anchors[anchors, 0] == trial[owner[starts]]]]] = True
+
         shortest = min(len(t) for t in self.items)
-        while len(self.walks) < max_walks and (found.mean() < target or len(self.walks) < 2):
+        while len(self.walks) < max_walks and (recall()[kind].mean() < target or len(self.walks) < 2):
             # the last walk allowed, and every fourth, samples little enough for the shortest item
             width = span if shortest >= span or len(self.walks) % 4 else max(1, shortest)
             picked = sorted(rng.choice(width, size=min(coords, width), replace=False).tolist())
             walk = Walk(rng.integers(1, 1 << 63, dtype=np.uint64), picked)
-            _, sign, so_far = walk.run(flat, walk.bits(flat), place, False)
-            usable = np.flatnonzero(room > 0)
-            for s in so_far:
-                table = np.zeros(1 << FILTER_BITS, dtype=bool)
-                table[(s[usable] * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-                walk.filters.append(table)
-            order = usable[np.argsort(sign[usable], kind="stable")]
-            walk.keys, walk.anchors = sign[order], order
-            self.walks.append(walk)
-            starts, anchors = self.candidates(walk, tried)
-            right = self.anchors[anchors, 0] == np.array([k for k, _ in trial])[owner[starts]]
-            found[owner[starts[right]]] = True
-        self.recall = float(found.mean())
+            walk.hold(flat, place, np.flatnonzero(room > 0))
+            look(walk)
+        # lengths that the walks leave below the target: however the edits fall, one run of so many words stays as it is
+        short = np.flatnonzero(recall()[kind] < target)
+        runs = np.array([-(-(n - e) // (e + 1)) for n, e in zip(lengths, self.edits, strict=True)])
+        for r in np.unique(runs[short]):
+            more = np.array([(k, a) for k in short[runs[short] == r] for a in range(lengths[k] - r + 1)], dtype=np.int64)
+            self.anchors = np.concatenate([self.anchors, more])
+            walk = Run(np.uint64(0), list(range(int(r))))
+            walk.hold(flat, begin[self.anchors[:, 0]] + self.anchors[:, 1], np.arange(len(self.anchors) - len(more), len(self.anchors)))
+            look(walk)
+        self.recall = float(recall().min())
 
     def candidates(self, walk: Walk, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window's first word, anchor). ``tokens`` ends with at least a walk's reach of zeros."""
