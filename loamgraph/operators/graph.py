@@ -280,22 +280,41 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return c.select("num_nodes", "num_edges", F.when(n > 1, F.col("num_edges") / (n * (n - 1))).otherwise(0.0).alias("density"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component), weakly connected; component is the smallest id. Alternating contraction of edges to stars."""
-    now = pin(edges.select(F.greatest("from_node_id", "to_node_id").alias("u"), F.least("from_node_id", "to_node_id").alias("v")).filter("u <> v").distinct())
-    before = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        pair = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = pin(large.join(lowest, "u").select(F.explode(pair).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+#: Neighbours beyond which a node's rows are not brought together in one task.
+HEAVY = 256
+
+
+def with_lowest(pairs: DataFrame, rows: int) -> DataFrame:
+    """``pairs`` (u, v) with m, the smallest of u and its v's. Nodes with many rows (fewer than 2^16 whatever the size) are not shuffled: their m is broadcast."""
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    heavy = F.col("n") > max(HEAVY, rows >> 16)
+    few = F.broadcast(low.filter(heavy).select("u", "m"))
+    return pairs.join(few, "u").unionByName(pairs.join(few, "u", "left_anti").join(low.filter(~heavy).select("u", "m"), "u"))
+
+
+def contract(pairs: DataFrame) -> DataFrame:
+    """(node, root) for every node of the undirected ``pairs`` (u, v); root is the component's smallest node.
+
+    Large-star and small-star contraction in turn: each round links neighbours to the smallest neighbour. It ends when nothing changes: edges only ever move to
+    smaller nodes, and the rounds grow with the logarithm of the size.
+    """
+    now = pin(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    before, n = None, now.count()
+    while True:
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = with_lowest(both, 2 * n).select(F.greatest("u", "v").alias("u"), "m").filter("u <> m").distinct().withColumnRenamed("m", "v")
+        moved = with_lowest(large, 2 * n).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        now = pin(moved.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct())
+        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
-            return nodes.select("id").join(now.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
-        before = state
-    raise RuntimeError("components did not settle")
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before, n = state, state["n"]
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component), weakly connected; component is the smallest id."""
+    roots = contract(edges.select(F.col("from_node_id").alias("u"), F.col("to_node_id").alias("v"))).withColumnRenamed("node", "id")
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
