@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +83,11 @@ SCHEMA = (
     "spans array<struct<turn: int, role: string, start: int, end: int, text_start: int, text_end: int, loss: boolean>>"
 )
 
+SPAN = [("turn", pa.int32()), ("role", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text_start", pa.int32()), ("text_end", pa.int32()), ("loss", pa.bool_())]
+ARROW = pa.schema(
+    [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("history_rewritten_at", pa.int32()), ("spans", pa.list_(pa.struct(SPAN)))]
+)
+
 
 def format_chats(rows: DataFrame, template: Template = marked_turns, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation of ``rows`` (conv_id, turn, role, text): output, spans, loss mask by span."""
@@ -97,28 +102,24 @@ def format_chats(rows: DataFrame, template: Template = marked_turns, loss_roles:
             "spans": None if spans is None else [s | {"loss": s["role"] in loss_roles} for s in spans],
         }
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, turns, done, size = None, [], [], 0
-        for pdf in batches:
-            ids = pdf["conv_id"].astype(object).where(pdf["conv_id"].notna(), None)
-            for c, role, text in zip(ids, pdf["role"], pdf["text"], strict=True):
+        for b in batches:
+            # Arrow keeps ids as they are: whole numbers or none
+            for c, role, text in zip(*(b.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
                 if turns and c != conv:
                     done.append(finish(conv, turns))
                     size += len(done[-1]["formatted"])
                     turns = []
                     if size > 1 << 22:
-                        yield frame(done)
+                        yield pa.RecordBatch.from_pylist(done, ARROW)
                         done, size = [], 0
                 conv = c
                 turns.append((role, text))
         if turns:
             done.append(finish(conv, turns))
         if done:
-            yield frame(done)
-
-    def frame(done: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(done)
-        return out.astype({"conv_id": "Int64", "history_rewritten_at": "Int32"})
+            yield pa.RecordBatch.from_pylist(done, ARROW)
 
     order = ["conv_id", "turn", "role", "text"]
     picked = rows.select(
@@ -127,7 +128,7 @@ def format_chats(rows: DataFrame, template: Template = marked_turns, loss_roles:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    return picked.repartition("conv_id").sortWithinPartitions(*order).mapInPandas(run, SCHEMA)
+    return picked.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, SCHEMA)
 
 
 def piece(span: Column, start: str, end: str) -> Column:

@@ -3,12 +3,13 @@
 A tokenizer feeds a tree builder that supplies implied tags (ends of p, li, dt, dd, option, cells, rows and row groups; table parts that are left
 out), drops end tags that fit nothing, and treats void and raw-text elements as such. Visibility rules then hide what a browser hides: the
 head, scripts, styles, templates, comments, replaced content, ``hidden``, closed ``details`` and ``dialog``, and
-``display: none`` or ``visibility: hidden`` from style attributes and from simple selectors (tag, .class, #id) of style elements. All other text is
-rendered: white space collapses outside ``pre``, blocks begin new lines, paragraphs, headings, lists and tables are set off by blank lines, list
-items are marked and indented, table cells are aligned in columns.
+``display: none`` or ``visibility: hidden`` from style attributes and from simple selectors (tag, .class, #id) of style elements, in media queries only if they
+are for screens; the last declaration wins. All other text is rendered: white space collapses outside ``pre``, blocks begin new lines, paragraphs, headings,
+lists and tables are set off by blank lines, list items are marked and indented, table cells are aligned in columns, cells that span rows or columns too.
 
-Cells are padded to ``MAX_PAD`` columns at most; longer cells are kept whole, unpadded. The stack of open elements is not limited and
-nothing recurses but tables in tables.
+Columns are as wide as their widest cell. Only where that would make a table's text more than ``GROWTH`` times its own, padding included, are cells of more than
+``WRAP`` characters broken into lines of that width, between words where there are any; the columns stay aligned. Neither open elements nor tables in tables are
+limited, and nothing recurses.
 
 Defined results: null or empty html gives empty text; text without any tag is rendered as it is, white space collapsed; unclosed comments and raw text
 run to the end; rows that repeat an id are rendered each; an empty table gives an empty result; extra columns are ignored.
@@ -17,8 +18,10 @@ run to the end; rows that repeat an id are rendered each; an empty table gives a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 
 from loamgraph.llm.words import slices
 
-MAX_PAD = 60
-#: Tables nested deeper are rendered as plain blocks.
-MAX_TABLES = 20
+#: A table's padded text may be this many times its own (and 4,000 characters); beyond, long cells are wrapped.
+GROWTH, WRAP = 8, 60
+#: Cells that begin beyond this many columns are taken to span one.
+MAX_COLUMNS = 10_000
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,7 +46,7 @@ ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p "
     "pre search section table ul".split()
 )
-HIDDEN = frozenset("head script style template iframe noembed noframes object audio video canvas datalist title meta link base param source track area map svg math".split())
+HIDDEN = frozenset("head script style template iframe noembed noframes object audio video canvas datalist title desc defs metadata meta link base param source track area".split())
 LISTS = frozenset("ul ol menu dir".split())
 ROW_GROUPS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset("td th".split())
@@ -50,8 +54,9 @@ CELLS = frozenset("td th".split())
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>]|["'])*?)(?:>|\Z)|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-NOT_SHOWN = re.compile(r"display\s*:\s*none")
+CSS_TOKEN = re.compile(r"[{};]|[^{};]+")
+NO_SCREEN = re.compile(r"\s*(?:only\s+)?(?:print|speech|aural|braille|embossed|tty|projection|handheld)\b|\s*not\s+(?:screen|all)\b", re.I)
+DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)")
 NOT_VISIBLE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
 RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 
@@ -171,6 +176,38 @@ class TreeBuilder:
         return self.root
 
 
+def css_rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen. At-rules nest; what a media query for other devices holds is left out."""
+    open_: list[tuple[bool, str]] = []  # (holds here, selectors; empty in a group of rules)
+    head, body = [], []
+    for token in CSS_TOKEN.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
+        inside = bool(open_ and open_[-1][1])
+        if token == "{":
+            name = "".join(head).strip()
+            holds = not open_ or open_[-1][0]
+            if name.startswith("@"):
+                word, _, rest = name[1:].partition(" ")
+                group = word.lower() in ("media", "supports", "layer", "container", "scope")
+                holds &= group and not (word.lower() == "media" and all(NO_SCREEN.match(q) for q in rest.split(",")))
+                name = "" if group else "@"
+            open_.append((holds, name))
+            head, body = [], []
+        elif token == "}":
+            if open_:
+                holds, name = open_.pop()
+                if holds and name not in ("", "@"):
+                    yield name, "".join(body)
+            head, body = [], []
+        elif inside:
+            body.append(token)
+        elif token == ";":
+            head = []
+        else:
+            head.append(token)
+    if open_ and open_[-1][0] and open_[-1][1] not in ("", "@"):
+        yield open_[-1][1], "".join(body)
+
+
 class Styles:
     """Simple selectors of style elements that hide or show."""
 
@@ -179,13 +216,13 @@ class Styles:
         for sheet in sheets:
             if "display" not in sheet and "visibility" not in sheet:
                 continue
-            for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+            for selectors, body in css_rules(sheet):
                 body = body.lower()
-                if NOT_SHOWN.search(body) or NOT_VISIBLE.search(body):
+                if DISPLAY.search(body) or NOT_VISIBLE.search(body):
                     for s in selectors.split(","):
                         s = s.strip()
                         if re.fullmatch(r"[.#]?[\w-]+", s):
-                            self.rules[s if s[0] in ".#" else s.lower()] = self.rules.get(s, "") + ";" + body
+                            self.rules[s if s[0] in ".#" else s.lower()] = self.rules.get(s if s[0] in ".#" else s.lower(), "") + ";" + body
 
     def of(self, node: Node) -> str:
         out = node.attrs.get("style", "").lower() if node.attrs else ""
@@ -261,14 +298,28 @@ def shown(node: Node, styles: Styles, visible: bool) -> tuple[bool, bool]:
     if node.attrs or styles.rules:
         style = styles.of(node)
         if style:
-            if NOT_SHOWN.search(style):
+            if (DISPLAY.findall(style) or [""])[-1] == "none":
                 return False, False
             for m in NOT_VISIBLE.finditer(style):
                 visible = m[1] == "visible"
     return True, visible
 
 
-def render(root: Node, styles: Styles, visible: bool = True, tables: int = 0) -> str:
+def render(root: Node, styles: Styles, visible: bool = True) -> str:
+    """Text of a tree. Cells and captions are rendered by themselves: what asks for one waits on a stack of its own."""
+    waiting, answer = [rendering(root, styles, visible)], None
+    while waiting:
+        try:
+            asked = waiting[-1].send(answer)
+            waiting.append(rendering(asked[0], styles, asked[1]))
+            answer = None
+        except StopIteration as done:
+            waiting.pop()
+            answer = done.value
+    return answer
+
+
+def rendering(root: Node, styles: Styles, visible: bool) -> Generator[tuple[Node, bool], str, str]:
     page = Page()
     lists: list[list] = []  # [ordered, next number]
     stack: list[tuple] = [("node", root, visible, False)]
@@ -291,9 +342,9 @@ def render(root: Node, styles: Styles, visible: bool = True, tables: int = 0) ->
             continue
         if tag == "wbr":
             continue
-        if tag == "table" and tables < MAX_TABLES:
+        if tag == "table":
             page.block(1)
-            for line in table_lines(node, styles, visible, tables + 1):
+            for line in (yield from table_lines(node, styles, visible)):
                 page.now.append(line)
                 page.line(keep=True)
             page.block(1)
@@ -351,13 +402,29 @@ def render(root: Node, styles: Styles, visible: bool = True, tables: int = 0) ->
     return page.result()
 
 
-def table_lines(table: Node, styles: Styles, visible: bool, tables: int) -> list[str]:
+@dataclass
+class Cell:
+    lines: list[str]
+    across: int = 1
+    down: int = 1  # 0: to the end of the row group
+    column: int = 0
+
+
+def span_of(cell: Node, name: str, most: int, least: int) -> int:
+    text = cell.attrs.get(name, "1").strip()
+    return min(max(least, int(text)), most) if re.fullmatch(r"\d{1,9}", text) else 1
+
+
+def table_lines(table: Node, styles: Styles, visible: bool) -> Generator[tuple[Node, bool], str, list[str]]:
     captions: list[str] = []
-    rows: list[list[tuple[int, list[str]]]] = []
+    groups: list[list[list[Cell]]] = [[]]  # rows by row group: cells don't span beyond theirs
     stray: list[str] = []
-    todo = [(c, visible) for c in reversed(table.children)]
+    todo: list[tuple] = [(c, visible) for c in reversed(table.children)]
     while todo:
         node, seen = todo.pop()
+        if node is None:
+            groups.append([])
+            continue
         if isinstance(node, str):
             if seen and node.strip():
                 stray.append(SPACES.sub(" ", node).strip())
@@ -366,45 +433,101 @@ def table_lines(table: Node, styles: Styles, visible: bool, tables: int) -> list
         if not ok:
             continue
         if node.tag in ROW_GROUPS or node.tag in ("form", "colgroup"):
-            todo += [(c, seen) for c in reversed(node.children)]
+            edge = [(None, False)] if node.tag in ROW_GROUPS else []
+            todo += [*edge, *((c, seen) for c in reversed(node.children)), *edge]
         elif node.tag == "tr":
             row = []
             for cell in node.children:
                 if isinstance(cell, str):
                     if seen and cell.strip():
-                        row.append((1, [SPACES.sub(" ", cell).strip()]))
+                        row.append(Cell([SPACES.sub(" ", cell).strip()]))
                     continue
-                text = render(wrap(cell), styles, seen, tables)
+                text = yield wrap(cell), seen
                 if cell.tag in CELLS and shown(cell, styles, seen)[0]:
-                    span = cell.attrs.get("colspan", "1")
-                    row.append((min(max(1, int(span)), 1000) if re.fullmatch(r"\d{1,4}", span) else 1, text.split("\n")))
+                    row.append(Cell(text.split("\n"), span_of(cell, "colspan", 1000, 1), span_of(cell, "rowspan", 65534, 0)))
                 elif text:
-                    row.append((1, text.split("\n")))
-            rows.append(row)
+                    row.append(Cell(text.split("\n")))
+            groups[-1].append(row)
         else:
-            text = render(wrap(node), styles, seen, tables)
+            text = yield wrap(node), seen
             (captions if node.tag == "caption" else stray).extend(text.split("\n") if text else [])
-    widths: list[int] = []
-    for row in rows:
-        col = 0
-        for span, lines in row:
-            widths += [0] * (col + span - len(widths))
-            if span == 1:
-                widths[col] = max(widths[col], min(MAX_PAD, max(map(len, lines))))
-            col += span
+    rows: list[list[Cell]] = []
+    for group in groups:
+        place(group)
+        rows += group
+    widths = column_widths(rows)
+    height = sum(max((len(c.lines) for c in row), default=0) for row in rows)
+    if height * (sum(widths) + 2 * len(widths)) > 4000 + GROWTH * sum(len(x) for row in rows for c in row for x in c.lines):
+        for row in rows:
+            for cell in row:
+                cell.lines = [x for line in cell.lines for x in broken(line)]
+        widths = column_widths(rows)
     out = stray + captions
+    begins = [0, *accumulate(w + 2 for w in widths)]
     for row in rows:
-        for k in range(max((len(lines) for _, lines in row), default=0)):
-            parts, col = [], 0
-            for span, lines in row:
-                width = sum(widths[col : col + span]) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(width))
-                col += span
-            if line := "  ".join(parts).rstrip():
-                out.append(line)
+        for k in range(max((len(c.lines) for c in row), default=0)):
+            line = ""
+            for cell in row:
+                if k < len(cell.lines) and cell.lines[k]:
+                    line = line.ljust(begins[cell.column]) + cell.lines[k]
+            if line.strip():
+                out.append(line.rstrip())
     return out
 
 
+def place(group: list[list[Cell]]) -> None:
+    """Columns of a row group's cells: each goes to the next column that no cell from above reaches into."""
+    busy: dict[int, int] = {}  # column: rows it is still taken
+    for row in group:
+        column = 0
+        taken = {c: n - 1 for c, n in busy.items() if n > 1}
+        for cell in row:
+            while column in busy:
+                column += 1
+            cell.column = column
+            if column > MAX_COLUMNS:
+                cell.across = 1
+            if cell.down != 1:
+                for c in range(column, column + cell.across):
+                    taken[c] = max(taken.get(c, 0), (cell.down or len(group)) - 1)
+            column += cell.across
+        busy = taken
+
+
+def column_widths(rows: list[list[Cell]]) -> list[int]:
+    """Of the widest cell; what a cell over several columns needs beyond theirs goes to its last."""
+    widths = [0] * max((c.column + c.across for row in rows for c in row), default=0)
+    wide = []
+    for row in rows:
+        for cell in row:
+            if cell.across > 1:
+                wide.append(cell)
+            else:
+                widths[cell.column] = max(widths[cell.column], max(map(len, cell.lines)))
+    for cell in sorted(wide, key=lambda c: c.across):
+        own = slice(cell.column, cell.column + cell.across)
+        lacks = max(map(len, cell.lines)) - sum(widths[own]) - 2 * (cell.across - 1)
+        if lacks > 0:
+            widths[cell.column + cell.across - 1] += lacks
+    return widths
+
+
+def broken(line: str) -> list[str]:
+    """Lines of ``WRAP`` characters at most, broken at spaces, else anywhere."""
+    if len(line) <= WRAP:
+        return [line]
+    out, now = [], line[: len(line) - len(line.lstrip(" "))][: WRAP // 2]
+    for word in line.split():
+        if now.strip() and len(now) + 1 + len(word) > WRAP:
+            out.append(now)
+            now = ""
+        now = f"{now} {word}" if now.strip() else now + word
+        while len(now) > WRAP:
+            out.append(now[:WRAP])
+            now = now[WRAP:]
+    return [*out, now] if now.strip() else out
+
+
 def wrap(node: Node) -> Node:
     root = Node("#root")
     root.children = [node]

@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into sequences of a fixed number of tokens.
 
-Documents are dealt evenly into shards by a hash of the id (never by source, so a source that holds a third of all rows
-is spread like any other), and each shard is packed by itself; the number of shards grows with the total of
+Documents are dealt evenly into shards by a hash of each row's place (never by id or source, so neither a source nor an id that a third of all rows share
+fills a shard), and each shard is packed by itself; the number of shards grows with the total of
 tokens, a shard's work does not. Inside a shard pieces go from long to short. Open bins are kept ordered by what is left in
 them; each carries two bitmaps, of the sources and of the duplicate clusters it holds. The search starts at the first bin
 that a piece fits and goes on to its successors until one is compatible: that is the tightest compatible bin. If there is none, a
@@ -22,7 +22,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,7 @@ from loamgraph.llm.exact_dedup import normalised
 from loamgraph.session import pin
 
 SCHEMA = "bin_id string, slot int, doc_id long, piece int, start long, n_tokens int"
+ARROW = pa.schema([("bin_id", pa.string()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int32())])
 
 
 def pack(items: list[tuple], capacity: int) -> list[list[tuple]]:
@@ -87,32 +88,34 @@ def best_fit(
     own = F.xxhash64(normalised(text)) if cluster is None else cluster.cast("string")
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
     sized = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(count.cast("long"), F.lit(1)), F.lit(1)).alias("n"), source.alias("source"), own.cast("string").alias("cluster")
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.greatest(F.coalesce(count.cast("long"), F.lit(1)), F.lit(1)).alias("n"),
+        source.alias("source"),
+        own.cast("string").alias("cluster"),
     )
-    rows = sized.withColumn("u", F.xxhash64("doc_id", "n", "source", F.lit("pack")))
-    rows = pin(rows)
+    rows = pin(sized)
     total = rows.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    dealt = rows.withColumn("shard", F.pmod("u", F.lit(shards)))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        shard, out, items, made = int(key[0]), [], [], 0
-        pdf = pdf.sort_values(["doc_id", "source", "n"], na_position="first", kind="stable")
-        ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-        for doc, n, source, cluster in zip(ids, pdf["n"], pdf["source"], pdf["cluster"], strict=True):
-            full, rest = divmod(int(n), capacity)
+    # a row's place in the checkpoint doesn't change, whichever executor reads it
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("pack")), F.lit(shards)))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        shard, out, items, made = key[0].as_py(), [], [], 0
+        held = zip(*(table.column(c).to_pylist() for c in ("doc_id", "source", "n", "cluster")), strict=True)
+        for doc, source, n, cluster in sorted(held, key=lambda r: [(x is not None, x) for x in r[:3]]):
+            full, rest = divmod(n, capacity)
             for k in range(full):
                 out.append((f"{shard}-{made}", 0, doc, k, k * capacity, capacity))
                 made += 1
             if rest:
-                items.append((rest, source if isinstance(source, str) else None, cluster if isinstance(cluster, str) else None, doc, full))
+                items.append((rest, source, cluster, doc, full))
         items.sort(key=lambda x: -x[0])
-        for held in pack(items, capacity):
-            out += [(f"{shard}-{made}", slot, doc, piece, piece * capacity, n) for slot, (n, _, _, doc, piece) in enumerate(held)]
+        for bin_ in pack(items, capacity):
+            out += [(f"{shard}-{made}", slot, doc, piece, piece * capacity, n) for slot, (n, _, _, doc, piece) in enumerate(bin_)]
             made += 1
-        return pd.DataFrame(out, columns=["bin_id", "slot", "doc_id", "piece", "start", "n_tokens"]).astype({"doc_id": "Int64"})
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW.types, strict=True)], schema=ARROW)
 
-    return dealt.groupBy("shard").applyInPandas(run, SCHEMA)
+    return dealt.groupBy("shard").applyInArrow(run, SCHEMA)
 
 
 def bin_iterator(packed: DataFrame) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:

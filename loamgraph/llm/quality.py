@@ -1,14 +1,16 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives and unlabelled web text train a small network under the non-negative unbiased risk: prior * loss(positives, +) +
+Trusted positives and unlabelled web text train one model under the non-negative unbiased risk: prior * loss(positives, +) +
 max(0, loss(unlabelled, -) - prior * loss(positives, -)); where the bracket would fall below zero, the step goes the other way.
-The class prior is estimated from a first model's scores of held-back rows: the least ratio, over thresholds, of the unlabelled share above to the
-positives' share above.
+The class prior is estimated from a first model's scores of every unlabelled row and trusted positive that the model was not trained on, as histograms made
+on the executors: the least ratio, over thresholds, of the unlabelled share above to the positives' share above.
 
-Features come from the whole text: word and line statistics, repetition, symbols, and how uneven the hashed words' shares are. Learning uses a sample of
-``max_rows`` rows of each kind at most, chosen by a hash of the id; scoring runs where the rows are.
+A score is made from the whole text: a small network over statistics (words, lines, repetition, symbols), plus one weight for each of ``BUCKETS`` hashed words
+and pairs of neighbouring words, so that what a text says counts and not only its shape. The gradient steps use a sample of ``max_rows`` rows of each kind at
+most and four fifths of the rows at most, chosen by a hash of the id; everything else covers all rows.
 
-Defined results: null or empty text has features of zero words and gets a score like any other; null labels teach nothing; without positives or
+Defined results: null or empty text has features of zero words and gets a score like any other; null labels teach nothing; rows that repeat an id are scored
+each, and are positives together if any label of that id is 1; rows with the same text have the same score; very long texts are read whole; without positives or
 unlabelled text every score is 0.5; labelled rows without a document are ignored; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -23,16 +25,81 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.llm.words import hash_words, slices
+from loamgraph.llm.words import Words, hash_words, mix, slices
+from loamgraph.session import pin
 
-BUCKETS = 256
-STATS = 16
+#: Hashed words and word pairs.
+BUCKETS = 1 << 13
+SPREAD_BUCKETS = 256
+STATS = 15
+#: Margins are counted in steps of this width, within plus and minus EDGE.
+STEP, EDGE = 0.05, 30.0
+
+
+@dataclass
+class Features:
+    """Statistics by text, and the hashed words as rows of (bucket, weight): ``offsets[i]:offsets[i+1]`` are text i's."""
+
+    stats: np.ndarray
+    offsets: np.ndarray
+    buckets: np.ndarray
+    weights: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.stats)
+
+    def rows(self, pick: np.ndarray) -> Features:
+        many = np.diff(self.offsets)[pick]
+        at = np.repeat(self.offsets[pick] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        return Features(self.stats[pick], np.append(0, np.cumsum(many)), self.buckets[at], self.weights[at])
+
+    @staticmethod
+    def of(x: Features | np.ndarray) -> Features:
+        """Plain statistics have no words."""
+        if isinstance(x, Features):
+            return x
+        return Features(np.asarray(x, dtype=np.float32), np.zeros(len(x) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+    @staticmethod
+    def join(parts: list[Features]) -> Features:
+        if not parts:
+            return Features(np.zeros((0, STATS), np.float32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        sizes = np.concatenate([np.diff(p.offsets) for p in parts])
+        return Features(
+            np.concatenate([p.stats for p in parts]),
+            np.append(0, np.cumsum(sizes)),
+            np.concatenate([p.buckets for p in parts]),
+            np.concatenate([p.weights for p in parts]),
+        )
+
+
+def word_buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of every word and of every pair of neighbours, its text)."""
+    owner = np.repeat(np.arange(len(w.offsets) - 1), np.diff(w.offsets))
+    pair = np.flatnonzero(owner[1:] == owner[:-1])
+    pairs = mix(w.hashes[pair] * np.uint64(3) + w.hashes[pair + 1])
+    bucket = (np.concatenate([w.hashes, pairs]) % np.uint64(BUCKETS)).astype(np.int64)
+    return bucket, np.concatenate([owner, owner[pair]])
+
+
+def described(texts: list[str | None]) -> Features:
+    """Of whole texts. A bucket's weight is its count over the root of the text's words and pairs."""
+    w = hash_words(texts)
+    bucket, owner = word_buckets(w)
+    key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
+    total = np.bincount(owner, minlength=len(texts))
+    own = key // BUCKETS
+    weights = (count / np.sqrt(np.maximum(total[own], 1))).astype(np.float32)
+    return Features(statistics(texts, w), np.append(0, np.cumsum(np.bincount(own, minlength=len(texts)))), key % BUCKETS, weights)
 
 
 def features(texts: list[str | None]) -> np.ndarray:
     """One row of statistics per text."""
+    return statistics(texts, hash_words(texts))
+
+
+def statistics(texts: list[str | None], w: Words) -> np.ndarray:
     n = len(texts)
-    w = hash_words(texts)
     count = np.diff(w.offsets)
     some = np.maximum(count, 1)
     owner = np.repeat(np.arange(n), count)
@@ -51,27 +118,26 @@ def features(texts: list[str | None]) -> np.ndarray:
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     kinds = np.bincount(owner[order][first], minlength=n)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     out[:, 0] = np.log1p(count)
     out[:, 1] = np.bincount(owner, weights=w.lengths, minlength=n) / some / 10
     out[:, 2] = np.bincount(owner[same], minlength=n) / some
     out[:, 3] = np.log1p(kinds) / np.maximum(np.log1p(count), 1)
-    out[:, 4] = share(raw == ord("|")) * 10
-    out[:, 5] = share((raw == ord(".")) | (raw == ord(",")) | (raw == ord("!")) | (raw == ord("?"))) * 10
-    out[:, 6] = share((raw >= 48) & (raw <= 57)) * 10
-    out[:, 7] = share((raw >= 65) & (raw <= 90)) * 10
+    digit, upper = (raw >= 48) & (raw <= 57), (raw >= 65) & (raw <= 90)
+    symbol = (raw < 128) & (raw > 32) & ~(digit | upper | ((raw >= 97) & (raw <= 122)))
+    out[:, 4] = share(symbol & ~np.isin(raw, np.frombuffer(b".,!?'-\"", np.uint8))) * 10
+    out[:, 5] = share(np.isin(raw, np.frombuffer(b".,!?", np.uint8))) * 10
+    out[:, 6] = share(digit) * 10
+    out[:, 7] = share(upper) * 10
     out[:, 8] = share(raw == 10) * 100
-    out[:, 9] = share(space) * 5
-    symbol = (raw < 128) & (raw > 32) & ~(((raw >= 48) & (raw <= 57)) | ((raw >= 65) & (raw <= 90)) | ((raw >= 97) & (raw <= 122)))
+    out[:, 9] = share((raw == 32) | ((raw >= 9) & (raw <= 13))) * 5
     out[:, 10] = share(symbol) * 10
-    out[:, 11] = share(symbol & ~np.isin(raw, np.frombuffer(b".,!?'-\"", np.uint8))) * 10
-    out[:, 12] = share(raw >= 128) * 2
-    bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
-    counts = np.bincount(owner * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    out[:, 11] = share(raw >= 128) * 2
+    bucket = (h % np.uint64(SPREAD_BUCKETS)).astype(np.int64)
+    counts = np.bincount(owner * SPREAD_BUCKETS + bucket, minlength=n * SPREAD_BUCKETS).reshape(n, SPREAD_BUCKETS)
     shares = counts / some[:, None]
-    out[:, 13] = shares.max(axis=1) * 5
-    out[:, 14] = (shares * shares).sum(axis=1) * 10
-    out[:, 15] = count == 0
+    out[:, 12] = shares.max(axis=1, initial=0) * 5
+    out[:, 13] = (shares * shares).sum(axis=1) * 10
+    out[:, 14] = count == 0
     return out
 
 
@@ -82,111 +148,177 @@ class Network:
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
-    b2: float
+    b2: np.ndarray
+    words: np.ndarray  # a weight per bucket
     prior: float
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -5, 5)
-        return np.maximum(z @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    def hidden(self, x: Features) -> tuple[np.ndarray, np.ndarray]:
+        z = np.clip((x.stats - self.mean) / self.scale, -5, 5).astype(np.float32)
+        return z, np.maximum(z @ self.w1 + self.b1, 0)
+
+    def margin(self, x: Features) -> np.ndarray:
+        return self.hidden(x)[1] @ self.w2 + self.b2[0] + sums(self.words[x.buckets] * x.weights, x.offsets)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x).astype(np.float64), -30, 30)))
+    def score(self, x: Features | np.ndarray) -> np.ndarray:
+        return sigmoid(self.margin(Features.of(x)).astype(np.float64))
+
+
+PARAMETERS = ("w1", "b1", "w2", "b2", "words")
+
+
+def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each row; empty rows have 0."""
+    return np.diff(np.append(0.0, np.cumsum(values, dtype=np.float64))[offsets])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 16, steps: int = 800, batch: int = 2048, rate: float = 1e-2, decay: float = 1e-4, seed: int = 3) -> Network:
-    """Non-negative PU risk with the logistic loss, by Adam on mini-batches."""
+def slopes(net: Network, x: Features, n_pos: int, prior: float) -> tuple[float, float, dict[str, np.ndarray]]:
+    """(positives' part of the risk, the bracket, gradients of what is stepped along) of a batch whose first ``n_pos`` rows are positives.
+
+    The loss is logistic. With a bracket below zero the gradient is that of minus the bracket.
+    """
+    z, a = net.hidden(x)
+    m = a @ net.w2 + net.b2[0] + sums(net.words[x.buckets] * x.weights, x.offsets)
+    loss = lambda v: np.logaddexp(0, -v)
+    positive = prior * loss(m[:n_pos]).mean()
+    bracket = loss(-m[n_pos:]).mean() - prior * loss(-m[:n_pos]).mean()
+    s = sigmoid(m)
+    n_unl = len(m) - n_pos
+    if bracket >= 0:
+        g = np.concatenate([np.full(n_pos, -prior / n_pos), s[n_pos:] / n_unl])
+    else:
+        g = np.concatenate([prior * s[:n_pos] / n_pos, -s[n_pos:] / n_unl])
+    da = np.outer(g, net.w2) * (a > 0)
+    by_word = np.bincount(x.buckets, weights=np.repeat(g, np.diff(x.offsets)) * x.weights, minlength=BUCKETS)
+    return positive, bracket, {"w1": z.T @ da, "b1": da.sum(axis=0), "w2": a.T @ g, "b2": np.array([g.sum()]), "words": by_word}
+
+
+def start(pos: Features, unl: Features, prior: float, hidden: int, rng: np.random.Generator) -> Network:
+    both = np.concatenate([pos.stats, unl.stats])
+    w1, w2 = rng.normal(0, (2 / both.shape[1]) ** 0.5, (both.shape[1], hidden)), rng.normal(0, hidden**-0.5, hidden)
+    return Network(both.mean(axis=0), both.std(axis=0) + 1e-3, w1, np.zeros(hidden), w2, np.zeros(1), np.zeros(BUCKETS), prior)
+
+
+def train(pos: Features, unl: Features, prior: float, hidden: int = 16, steps: int = 600, batch: int = 512, rate: float = 1e-2, decay: float = 1e-3, seed: int = 3) -> Network:
+    """Adam on mini-batches of the non-negative risk; weights of words and layers decay."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([pos, unl])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    net = Network(mean, scale, rng.normal(0, (2 / both.shape[1]) ** 0.5, (both.shape[1], hidden)).astype(np.float32), np.zeros(hidden, np.float32), rng.normal(0, hidden**-0.5, hidden).astype(np.float32), 0.0, prior)
-    p, u = (np.clip((x - mean) / scale, -5, 5).astype(np.float32) for x in (pos, unl))
-    state = [[np.zeros_like(np.asarray(x, dtype=np.float32)) for _ in range(2)] for x in (net.w1, net.b1, net.w2, net.b2)]
+    net = start(pos, unl, prior, hidden, rng)
+    held = {k: [np.zeros_like(getattr(net, k)) for _ in range(2)] for k in PARAMETERS}
     for t in range(1, steps + 1):
-        bp, bu = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
-        x = np.concatenate([bp, bu])
-        a = np.maximum(x @ net.w1 + net.b1, 0)
-        s = sigmoid(a @ net.w2 + net.b2)
-        sp, su = s[:batch], s[batch:]
-        negative = -np.log(1 - su + 1e-7).mean() - prior * -np.log(1 - sp + 1e-7).mean()
-        # slope of each row's loss by its margin: s - 1 as a positive, s as a negative
-        if negative >= 0:
-            g = np.concatenate([prior * ((sp - 1) - sp), su]) / batch
-        else:
-            g = np.concatenate([prior * sp, -su]) / batch
-        g = g.astype(np.float32)
-        da = np.outer(g, net.w2) * (a > 0)
-        grads = [x.T @ da + decay * net.w1, da.sum(axis=0), a.T @ g + decay * net.w2, g.sum()]
-        for k, (name, grad) in enumerate(zip(("w1", "b1", "w2", "b2"), grads, strict=True)):
-            m, v = state[k]
-            m[...] = 0.9 * m + 0.1 * grad
-            v[...] = 0.999 * v + 0.001 * grad * grad
-            move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            setattr(net, name, getattr(net, name) - (float(move) if name == "b2" else move))
+        x = Features.join([part.rows(rng.integers(0, len(part), batch)) for part in (pos, unl)])
+        for k, grad in slopes(net, x, batch, prior)[2].items():
+            if k in ("w1", "w2", "words"):
+                grad = grad + decay * getattr(net, k)
+            m, v = held[k]
+            m += 0.1 * (grad - m)
+            v += 0.001 * (grad * grad - v)
+            setattr(net, k, getattr(net, k) - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8))
     return net
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Scores of held-back positives and unlabelled rows: the least ratio of shares above a threshold, with a margin for chance."""
-    best = 1.0
-    for t in np.quantile(pos, np.linspace(0.02, 0.5, 49)):
-        best = min(best, (unl >= t).mean() / (pos >= t).mean())
-    return float(np.clip(best, 0.05, 0.99))
+def estimate_prior(steps: np.ndarray, pos: np.ndarray, unl: np.ndarray) -> float:
+    """Histograms of margins: counts of positives and of unlabelled rows by ``steps``. The least ratio of shares above a threshold that leaves half to 98 % of
+    the positives above it."""
+    order = np.argsort(-steps)
+    above, rest = np.cumsum(pos[order]) / max(1, pos.sum()), np.cumsum(unl[order]) / max(1, unl.sum())
+    usable = (above >= 0.5) & (above <= 0.98)
+    return float(np.clip((rest[usable] / above[usable]).min(), 0.05, 0.99)) if usable.any() else 0.5
+
 
+def counted(margins: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(margins, -EDGE, EDGE) / STEP)
 
-def fit(pos: np.ndarray, unl: np.ndarray) -> Network | None:
+
+def fit(pos: Features | np.ndarray, unl: Features | np.ndarray) -> Network | None:
+    """In memory: a fifth of each is kept back for the prior."""
     if not len(pos) or not len(unl):
         return None
+    pos, unl = Features.of(pos), Features.of(unl)
     rng = np.random.default_rng(2)
-    pos, unl = pos[rng.permutation(len(pos))], unl[rng.permutation(len(unl))]
-    a, b = len(pos) * 4 // 5, len(unl) * 4 // 5
-    first = train(pos[: max(1, a)], unl[: max(1, b)], 0.5, steps=400)
-    prior = estimate_prior(first.margin(pos[a:]), first.margin(unl[b:])) if a and b and len(pos) > a and len(unl) > b else 0.5
+    pos, unl = pos.rows(rng.permutation(len(pos))), unl.rows(rng.permutation(len(unl)))
+    a, b = max(1, len(pos) * 4 // 5), max(1, len(unl) * 4 // 5)
+    first = train(pos.rows(np.arange(a)), unl.rows(np.arange(b)), 0.5, steps=300)
+    seen = [counted(first.margin(x.rows(np.arange(k, len(x))))) for x, k in ((pos, a), (unl, b))]
+    values = np.unique(np.concatenate(seen))
+    prior = estimate_prior(values, *[np.array([(s == v).sum() for v in values]) for s in seen]) if len(seen[0]) and len(seen[1]) else 0.5
     return train(pos, unl, prior)
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str, text_col: str, label_col: str, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of trusted positives and of unlabelled text, ``max_rows`` rows each at most. ``learn_from`` holds for both tables."""
-    spread = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
-    usable = labels.filter(learn_from & (F.col(label_col) == 1))
-    trusted = usable.select(F.col(id_col).cast("long").alias("id")).distinct()
-    n_pos = trusted.count()
-    picked = trusted.filter(spread < min(1.0, max_rows / max(1, n_pos)))
-    texts = docs.filter(learn_from).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n_unl = texts.select("id").count()
-    pos = collect_features(texts.join(F.broadcast(picked.limit(2 * max_rows)), "id", "left_semi"), max_rows)
-    unl = collect_features(texts.filter(spread < min(1.0, max_rows / max(1, n_unl))), max_rows)
-    return pos, unl
+def spread_of(id_: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(id_.cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
 
 
-def collect_features(rows: DataFrame, max_rows: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start, texts in slices(b.column(1)):
-                x = features(texts)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "x"])
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000
+) -> Network | None:
+    """``learn_from`` holds for both tables. Trains on samples, then counts every other row for the prior."""
+    trusted = labels.filter(learn_from & (F.col(label_col) == 1)).select(F.col(id_col).cast("long").alias("id")).distinct()
+    texts = docs.filter(learn_from).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    spread = spread_of(F.col("id"))
+    cut_pos, cut_unl = (min(0.8, max_rows / max(1, n)) for n in (trusted.count(), texts.select("id").count()))
+    picked = F.broadcast(trusted.filter(spread < cut_pos).limit(2 * max_rows))
+    pos = collect_features(texts.join(picked, "id", "left_semi"), max_rows)
+    unl = collect_features(texts.filter(spread < cut_unl), max_rows)
+    if not len(pos) or not len(unl):
+        return None
+    first = train(pos, unl, 0.5, steps=300)
+    step = F.floor(F.greatest(F.lit(-EDGE), F.least(F.lit(EDGE), F.col("margin"))) / STEP).alias("step")
+    seen = pin(margins(texts, first).select("doc_id", step))
+    others = trusted.filter(spread >= cut_pos)
+    of_pos = {r["step"]: r["n"] for r in seen.join(others, seen["doc_id"] == others["id"], "left_semi").groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rest = seen.filter(spread_of(F.col("doc_id")) >= cut_unl)
+    of_unl = {r["step"]: r["n"] for r in rest.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()}
+    steps = sorted(of_pos.keys() | of_unl.keys())  # 2 * EDGE / STEP + 1 at most
+    return train(pos, unl, estimate_prior(np.array(steps), *[np.array([h.get(k, 0) for k in steps]) for h in (of_pos, of_unl)]))
 
-    got = sorted(rows.select("id", "text").mapInArrow(run, "id long, x binary").limit(2 * max_rows).collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["x"]))
-    rng = np.random.default_rng(1)
-    x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in got], dtype=np.float32).reshape(len(got), STATS)
-    return x[rng.permutation(len(x))][:max_rows]
 
+def collect_features(rows: DataFrame, max_rows: int) -> Features:
+    """Features of a sample, made on the executors; at most BUCKETS pairs of numbers each."""
 
-def score(docs: DataFrame, model: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start_, texts in slices(b.column(1)):
+                x = described(texts)
+                split = [(a, c) for a, c in zip(x.offsets, x.offsets[1:], strict=False)]
+                made = [[r.tobytes() for r in x.stats], [x.buckets[a:c].astype("<u2").tobytes() for a, c in split], [x.weights[a:c].tobytes() for a, c in split]]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start_, len(texts)), *(pa.array(c, pa.binary()) for c in made)], names=["id", "x", "b", "w"])
+
+    made = rows.select("id", "text").mapInArrow(run, "id long, x binary, b binary, w binary")
+    got = sorted(made.limit(2 * max_rows).collect(), key=lambda r: (spread_key(r["id"]), r["x"], r["b"]))[:max_rows]
+    parts = [np.frombuffer(r["b"], "<u2").astype(np.int64) for r in got]
+    if not got:
+        return Features.join([])
+    return Features(
+        np.array([np.frombuffer(r["x"], np.float32) for r in got]),
+        np.append(0, np.cumsum([len(x) for x in parts])),
+        np.concatenate(parts),
+        np.concatenate([np.frombuffer(r["w"], np.float32) for r in got]),
+    )
+
+
+def spread_key(id_: int | None) -> int:
+    """An order of ids that has nothing to do with their size."""
+    return int(mix(np.array([(id_ or 0) & (1 << 64) - 1], dtype=np.uint64))[0])
+
+
+def margins(texts: DataFrame, model: Network | None) -> DataFrame:
+    """``texts``: id, text. doc_id, margin (0 without a model)."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers and a few hundred, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, texts in slices(b.column(1)):
-                s = np.full(len(texts), 0.5) if shared.value is None else shared.value.score(features(texts))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            for start_, rows in slices(b.column(1)):
+                m = np.zeros(len(rows)) if shared.value is None else shared.value.margin(described(rows)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start_, len(rows)), pa.array(m, pa.float64())], names=["doc_id", "margin"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return texts.select("id", "text").mapInArrow(run, "doc_id long, margin double")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000) -> Network | None:
-    return fit(*sample_features(docs, labels, learn_from, id_col, text_col, label_col, max_rows))
+def score(docs: DataFrame, model: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, score."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    bounded = F.greatest(F.lit(-EDGE), F.least(F.lit(EDGE), F.col("margin")))
+    return margins(texts, model).select("doc_id", (1 / (1 + F.exp(-bounded))).alias("score"))

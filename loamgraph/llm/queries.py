@@ -33,7 +33,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remainder(n: int):
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    """Of the id's checksum; a null id has -1, so it is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +49,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), learn_from=remainder(4) != 2)
-    return judged(toxicity.score(docs, model), remainder(4) == 2)
+    _, scored = toxicity.fit_and_score(docs, table(spark, sf_dir, "labels"), learn_from=remainder(4) != 2)
+    return judged(scored, remainder(4) == 2)
 
 
 def judged(scored: DataFrame, held_out) -> DataFrame:
@@ -80,7 +81,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-OPERATORS = (op1_exact_dedup, op2_html_extraction, op3_quality, op4_toxicity, op5_language_id, op6_best_fit_packing, op7_url_filter, op8_simhash, op9_chat_format, op10_decontamination)
+OPERATORS = (
+    op1_exact_dedup, op2_html_extraction, op3_quality, op4_toxicity, op5_language_id, op6_best_fit_packing, op7_url_filter, op8_simhash, op9_chat_format,
+    op10_decontamination,
+)
 
 QUERIES = {f.__name__: f for f in OPERATORS}
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.llm.words import mix
+from loamgraph.operators.graph import contract
 from loamgraph.session import pin
 
 SEED = 42
@@ -154,29 +155,21 @@ def links(classes: DataFrame, lanes: list[str], limit: int, agree: int, n_blocks
     return dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "src long, dst long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (src, dst); root is the component's smallest node.
-
-    Large-star and small-star contraction in turn: each round links neighbours to the smallest neighbour; ends when
-    nothing changes.
-    """
-    now = pin(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
-    before = None
-    for _ in range(max_rounds):
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = pin(large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (src, dst); root is the component's smallest node."""
+    return contract(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, n_blocks: int = 5, tile: int = 2048, n_fingerprints: int = 1, limit: int | None = None
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 3,
+    max_bits: int = 3,
+    n_blocks: int = 5,
+    tile: int = 2048,
+    n_fingerprints: int = 1,
+    limit: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits, the first), component_id.
 
@@ -187,13 +180,14 @@ def near_dedup(
     made = pin(with_fingerprints(docs, id_col, text_col, width, n_fingerprints))
     names = [f"fp{k}" for k in range(n_fingerprints)]
     single = n_fingerprints == 1
-    node = F.col("fp0") if single else F.xxhash64(*names)
     lanes = ["node"] if single else names
-    carried = [] if single else [F.first(c).alias(c) for c in names]
-    classes = pin(made.groupBy(node.alias("node")).agg(F.min("doc_id").alias("low"), *carried))
+    # a class is all rows with the same fingerprints, never a hash of them
+    classes = pin(made.groupBy(*names).agg(F.min("doc_id").alias("low")))
+    classes = classes.withColumnRenamed("fp0", "node") if single else pin(classes.withColumn("node", F.monotonically_increasing_id()))
     roots = components(links(classes, lanes, max_bits * n_fingerprints if limit is None else limit, n_blocks - max_bits, n_blocks, tile))
-    of = classes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    keys = ["node"] if single else names
+    of = classes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(*keys, "low", F.coalesce("root", "node").alias("root"))
     smallest = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = pin(of.join(smallest, "root").select("node", "component_id"))
-    out = made.withColumn("node", node).join(linked, "node")
+    linked = pin(of.join(smallest, "root").select(*keys, "component_id"))
+    out = made.withColumn("node", F.col("fp0")).join(linked, keys) if single else made.join(linked, keys)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -5,14 +5,16 @@ Filters of several widths run over the words of the whole text; each filter's la
 pooling) feeds a logistic unit. The first component of every vector starts from the log-odds of its bucket among toxic and other
 training texts. Training is by Adam, the gradient flows through the pooled places only.
 
-Thresholds are calibrated by language on a part of the training rows kept back: the language is guessed from hashed words of
-the text itself, and scores are shifted so that the language's best threshold falls on ``CUT``. Languages with few toxic rows kept back
-use the threshold of all.
+Thresholds are calibrated by language: the language is guessed from hashed words of the text itself, and scores are shifted so that the language's best
+threshold (by F1) falls on ``CUT``. Every labelled row that was not trained on counts, in histograms of margins made on the executors. Languages with fewer than
+``LEAST`` toxic or other such rows use the threshold of all.
 
-Learning uses ``max_rows`` labelled rows at most, chosen by a hash of the id; scoring runs where the rows are.
+Training uses ``max_rows`` labelled rows at most and three quarters of them at most, chosen by a hash of the id; scoring runs where the rows are, once: margins
+are kept, thresholds shift them.
 
-Defined results: null or empty text has no words and scores below ``CUT``; null labels teach nothing; without labels of both kinds every score is 0;
-an empty table gives an empty result; extra columns are ignored.
+Defined results: null or empty text has no words and scores below ``CUT``; null labels teach nothing; an id with labels of both kinds is toxic; rows that repeat
+an id are scored each, rows with the same text alike; very long texts are read whole; of thresholds with the same F1 the highest counts; without labels of both
+kinds every score is 0; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.llm.words import Words, hash_words, slices
+from loamgraph.session import pin
 
 BUCKETS = 1 << 14
 PREFIXES = (4, 5)
@@ -33,6 +36,8 @@ WIDTHS = (1, 2, 3)
 DIM, FILTERS = 8, 8
 CUT = 0.3
 LANG_BUCKETS = 1 << 12
+#: Rows of each kind that a language needs for a threshold of its own; margins are counted in steps of STEP.
+LEAST, STEP = 10, 0.02
 
 
 def word_ids(w: Words) -> np.ndarray:
@@ -96,7 +101,7 @@ class Filters:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         w = hash_words(texts)
-        z = (self.margins(w) - self.cuts[self.guess_language(w)]).astype(np.float64)
+        z = self.margins(w).astype(np.float64) - self.cuts[self.guess_language(w)].astype(np.float64)
         p = 1 / (1 + np.exp(-np.clip(z + logit(CUT), -30, 30)))
         return np.where(np.diff(w.offsets) > 0, p, 0.0)
 
@@ -138,6 +143,30 @@ class Adam:
         x -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-7)
 
 
+def slopes(net: Filters, ids: np.ndarray, x: np.ndarray, offsets: np.ndarray, h: np.ndarray, places: list[np.ndarray], g: np.ndarray) -> dict:
+    """Gradients of the sum of ``g`` times the texts' margins: through the largest response of each filter only."""
+    dh = np.outer(g, net.out) * (h > 0)
+    table = np.zeros_like(net.table)
+    weights, bias = [np.zeros_like(w) for w in net.weights], [np.zeros_like(b) for b in net.bias]
+    for k, width in enumerate(WIDTHS):
+        for i in range(len(g)):
+            a, b = offsets[i], offsets[i + 1]
+            d = dh[i, k * FILTERS : (k + 1) * FILTERS]
+            live = np.flatnonzero(d)
+            if not len(live):
+                continue
+            top = a + places[k][a:b, live].argmax(axis=0)
+            bias[k][live] += d[live]
+            for j in range(width):
+                here = np.minimum(top + j, b - 1)
+                inside = (top + j < b).astype(np.float32)
+                weights[k][j * DIM : (j + 1) * DIM, live] += x[here].T * (d[live] * inside)
+                back = net.weights[k][j * DIM : (j + 1) * DIM, live] * (d[live] * inside)
+                for column in range(ids.shape[1]):
+                    np.add.at(table, ids[here, column], back.T)
+    return {"table": table, "weights": weights, "bias": bias, "out": h.T @ g}
+
+
 def train(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 3e-3, seed: int = 5) -> Filters:
     rng = np.random.default_rng(seed)
     ids, bounds = hashed(texts)
@@ -160,54 +189,19 @@ def train(texts: list[str], y: np.ndarray, epochs: int = 5, batch: int = 64, rat
             h, places = net.pooled(x, offsets)
             p = 1 / (1 + np.exp(-np.clip(h @ net.out + bias[0], -30, 30)))
             g = ((p - y[part]) * weight_of[part] / len(part)).astype(np.float32)
-            dh = np.outer(g, net.out) * (h > 0)
-            table_grad = np.zeros_like(net.table)
-            for k, width in enumerate(WIDTHS):
-                grad_w, grad_b = np.zeros_like(net.weights[k]), np.zeros(FILTERS, np.float32)
-                for i in range(len(part)):
-                    a, b = offsets[i], offsets[i + 1]
-                    d = dh[i, k * FILTERS : (k + 1) * FILTERS]
-                    live = np.flatnonzero(d)
-                    if not len(live):
-                        continue
-                    top = a + places[k][a:b, live].argmax(axis=0)
-                    grad_b[live] += d[live]
-                    for j in range(width):
-                        here = np.minimum(top + j, b - 1)
-                        inside = (top + j < b).astype(np.float32)
-                        grad_w[j * DIM : (j + 1) * DIM, live] += x[here].T * (d[live] * inside)
-                        back = net.weights[k][j * DIM : (j + 1) * DIM, live] * (d[live] * inside)
-                        for column in range(own.shape[1]):
-                            np.add.at(table_grad, own[here, column], back.T)
-                adams["w", k].step(net.weights[k], grad_w)
-                adams["b", k].step(net.bias[k], grad_b)
-            adams["out"].step(net.out, h.T @ g)
+            grads = slopes(net, own, x, offsets, h, places, g)
+            for k in range(len(WIDTHS)):
+                adams["w", k].step(net.weights[k], grads["weights"][k])
+                adams["b", k].step(net.bias[k], grads["bias"][k])
+            adams["out"].step(net.out, grads["out"])
             bias_adam.step(bias, np.array([g.sum()], np.float32))
-            adams["table"].step(net.table, table_grad)
+            adams["table"].step(net.table, grads["table"])
     net.out_bias = float(bias[0])
     return net
 
 
-def best_cut(margin: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap whose threshold has the best F1."""
-    order = np.argsort(-margin)
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
-    k = int(f1.argmax())
-    below = margin[order[k + 1]] if k + 1 < len(y) else margin[order[k]] - 1
-    return float((margin[order[k]] + below) / 2)
-
-
-def fit(texts: list[str], y: np.ndarray, langs: list[str | None], least: int = 10, seed: int = 9) -> Filters | None:
+def learn_languages(net: Filters, texts: list[str | None], langs: list[str | None]) -> None:
     """``langs`` is used here alone: to learn the guess of a text's language."""
-    y = np.asarray(y, dtype=np.int64)
-    if not len(y) or y.min() == y.max():
-        return None
-    kept_back = np.random.default_rng(seed).random(len(y)) < 0.25
-    if y[~kept_back].min() == y[~kept_back].max() or not kept_back.any() or y[kept_back].min() == y[kept_back].max():
-        kept_back[:] = False
-    learn = ~kept_back
-    net = train([t for t, k in zip(texts, learn, strict=True) if k], y[learn])
     net.languages = sorted({x for x in langs if x is not None})
     counts = np.full((LANG_BUCKETS, max(1, len(net.languages))), 0.1)
     for start, run in slices(texts):
@@ -217,46 +211,122 @@ def fit(texts: list[str], y: np.ndarray, langs: list[str | None], least: int = 1
                 h = w.hashes[w.offsets[i] : w.offsets[i + 1]] % np.uint64(LANG_BUCKETS)
                 np.add.at(counts[:, net.languages.index(lang)], h.astype(np.int64), 1)
     net.lang_table = np.log(counts / counts.sum(axis=0))
-    margins, guesses = [], []
-    for _, run in slices(texts, 1_000_000):
-        w = hash_words(run)
-        margins.append(net.margins(w))
-        guesses.append(net.guess_language(w))
-    margin, guess = np.concatenate(margins), np.concatenate(guesses)
-    check = kept_back if kept_back.any() else np.ones(len(y), dtype=bool)
-    overall = best_cut(margin[check], y[check])
-    net.cuts = np.full(max(1, len(net.languages)), overall, dtype=np.float32)
+    net.cuts = np.zeros(max(1, len(net.languages)), dtype=np.float32)
+
+
+def cut_of(steps: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """The margin at the best threshold, from counts by ``steps``: the middle between the last step that is above it and the first below."""
+    order = np.argsort(-steps)
+    hit, miss = np.cumsum(toxic[order]), np.cumsum(clean[order])
+    k = int((2 * hit / (hit + miss + toxic.sum())).argmax())
+    below = steps[order[k + 1]] + 1 if k + 1 < len(steps) else steps[order[k]] - 50
+    return float((steps[order[k]] + below) / 2 * STEP)
+
+
+def calibrate(net: Filters, seen: np.ndarray) -> None:
+    """``seen``: rows of (language, step, toxic rows, other rows). Sets the languages' thresholds."""
+    values = np.unique(seen[:, 1])
+
+    def counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(values, rows[:, 1])
+        return tuple(np.bincount(at, weights=rows[:, c], minlength=len(values)) for c in (2, 3))
+
+    net.cuts[:] = cut_of(values, *counted(seen))
     for k in range(len(net.languages)):
-        own = check & (guess == k)
-        if y[own].sum() >= least and (1 - y[own]).sum() >= least:
-            net.cuts[k] = best_cut(margin[own], y[own])
-    return net
+        own = counted(seen[seen[:, 0] == k])
+        if min(x.sum() for x in own) >= LEAST:
+            net.cuts[k] = cut_of(values, *own)
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str, text_col: str, lang_col: str, label_col: str, max_rows: int) -> list:
-    """Labelled texts, ``max_rows`` at most. ``learn_from`` holds for both tables."""
-    spread = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
-    usable = labels.filter(learn_from & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
-    n = usable.count()
-    picked = usable.filter(spread < min(1.0, 1.1 * max_rows / max(1, n))).limit(2 * max_rows)
-    texts = docs.filter(learn_from).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = texts.join(F.broadcast(picked), "id").withColumn("u", spread).limit(2 * max_rows).collect()
-    return sorted(rows, key=lambda r: (r["u"], r["text"] or ""))[:max_rows]
+def judged(net: Filters, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(margin, guessed language, has words) of every text."""
+    w = hash_words(texts)
+    return net.margins(w).astype(np.float64), net.guess_language(w), np.diff(w.offsets) > 0
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", max_rows: int = 5000) -> Filters | None:
-    rows = sample_rows(docs, labels, learn_from, id_col, text_col, lang_col, label_col, max_rows)
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows]), [r["lang"] for r in rows])
+def fit(texts: list[str | None], y: np.ndarray, langs: list[str | None], seed: int = 9) -> Filters | None:
+    """In memory: a quarter is kept back for the thresholds."""
+    y = np.asarray(y, dtype=np.int64)
+    if not len(y) or y.min() == y.max():
+        return None
+    kept_back = np.random.default_rng(seed).random(len(y)) < 0.25
+    if y[~kept_back].min() == y[~kept_back].max() or not kept_back.any() or y[kept_back].min() == y[kept_back].max():
+        kept_back[:] = False
+    net = train([t for t, k in zip(texts, kept_back, strict=True) if not k], y[~kept_back])
+    learn_languages(net, texts, langs)
+    check = kept_back if kept_back.any() else np.ones(len(y), dtype=bool)
+    margin, guess, _ = (np.concatenate(x) for x in zip(*(judged(net, run) for _, run in slices(texts, 1_000_000)), strict=True))
+    calibrate(net, np.stack([guess, np.floor(margin / STEP), y == 1, y == 0], axis=1)[check])
+    return net
 
 
-def score(docs: DataFrame, model: Filters | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, score."""
+def spread_of(id_: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(id_.cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
+
+
+def margins(docs: DataFrame, model: Filters | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, margin, language (a number), has_words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of DIM numbers, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, texts in slices(b.column(1)):
-                s = np.zeros(len(texts)) if shared.value is None else shared.value.score(texts)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(s, pa.float64())], names=["doc_id", "score"])
+                n = len(texts)
+                made = (np.zeros(n), np.zeros(n, int), np.zeros(n, bool)) if shared.value is None else judged(shared.value, texts)
+                cols = [pa.array(x, t) for x, t in zip(made, (pa.float64(), pa.int32(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, n), *cols], names=["doc_id", "margin", "language", "has_words"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, margin double, language int, has_words boolean")
+
+
+def scores(judged_rows: DataFrame, model: Filters | None) -> DataFrame:
+    """``margins`` to doc_id, score."""
+    if model is None:
+        return judged_rows.select("doc_id", F.lit(0.0).alias("score"))
+    cuts = F.array(*[F.lit(float(c)) for c in model.cuts])  # one number per language
+    z = F.col("margin") - F.get(cuts, F.col("language")) + logit(CUT)
+    return judged_rows.select("doc_id", F.when(F.col("has_words"), 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).otherwise(0.0).alias("score"))
+
+
+def fit_and_score(
+    docs: DataFrame,
+    labels: DataFrame,
+    learn_from: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    label_col: str = "toxic",
+    max_rows: int = 5000,
+) -> tuple[Filters | None, DataFrame]:
+    """(model, doc_id and score of every row of ``docs``). ``learn_from`` holds for both tables. Texts are read once to train and once to score."""
+    known = labels.filter(learn_from & F.col(label_col).isin(0, 1))
+    usable = pin(known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label")).filter("id is not null"))
+    share = min(0.75, max_rows / max(1, usable.count()))
+    picked = F.broadcast(usable.filter(spread_of(F.col("id")) < share).limit(2 * max_rows))
+    named = docs.filter(learn_from).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = named.join(picked, "id").withColumn("u", spread_of(F.col("id"))).limit(2 * max_rows).collect()
+    rows = sorted(rows, key=lambda r: (r["u"], r["text"] or ""))[:max_rows]
+    texts, y = [r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)
+    if not len(y) or y.min() == y.max():
+        return None, score(docs, None, id_col, text_col)
+    net = train(texts, y)
+    learn_languages(net, texts, [r["lang"] for r in rows])
+    made = pin(margins(docs, net, id_col, text_col))
+    labelled = made.join(usable.withColumnRenamed("id", "doc_id"), "doc_id").withColumn("step", F.floor(F.col("margin") / STEP))
+    toxic = lambda c: F.sum((F.col("label") == c).cast("long"))
+    for held in (labelled.filter(spread_of(F.col("doc_id")) >= share), labelled):  # with nothing else, the rows trained on
+        seen = np.array([tuple(r) for r in held.groupBy("language", "step").agg(toxic(1).alias("t"), toxic(0).alias("c")).collect()]).reshape(-1, 4)
+        if seen[:, 2].sum() and seen[:, 3].sum():
+            calibrate(net, seen)
+            break
+    return net, scores(made, net)
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, **options) -> Filters | None:
+    return fit_and_score(docs, labels, learn_from, **options)[0]
+
+
+def score(docs: DataFrame, model: Filters | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, score."""
+    return scores(margins(docs, model, id_col, text_col), model)

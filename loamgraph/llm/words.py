@@ -1,22 +1,24 @@
 """Vectorised word hashing for batches of texts.
 
-Words are runs of ASCII letters, digits and bytes of non-ASCII characters; ASCII letters are lower-cased. A word's hash is a polynomial in its
-bytes modulo 2^64, finished by a mix.
+Words are runs of letters, digits and combining marks by Unicode category, lower-cased character by character. Characters of scripts that are written
+without spaces (Han, Kana, Thai, Lao, Khmer, Myanmar and their like) are words of one letter each. A word's 64-bit hash is the sum of its characters, each
+multiplied by an odd number that belongs to the character's place, and a last mix: every character of a word of any length counts, and so does the order.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
-FOLD = np.zeros(256, dtype=np.uint8)
-for _c in range(256):
-    if chr(_c).isalnum() and _c < 128 or _c >= 128:
-        FOLD[_c] = ord(chr(_c).lower()) if _c < 128 else _c
-MAX_POWER = 256
-with np.errstate(over="ignore"):
-    POWERS = np.cumprod(np.full(MAX_POWER, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+# Blocks of Unicode whose scripts put no spaces between words (first, last).
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x323AF),
+)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,9 +27,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
+def fold_table() -> np.ndarray:
+    """By code point: 0 if no part of a word, else its lower case; the top bit marks characters that are words of their own."""
+    out = np.zeros(0x110000, dtype=np.uint32)
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] in "LMN":
+            out[c] = ord(chr(c).lower()[0])
+    for first, last in UNSPACED:
+        held = out[first : last + 1]
+        held[held > 0] |= np.uint32(1 << 31)
+    return out
+
+
+def places(n: int) -> np.ndarray:
+    """An odd multiplier for each place in a word."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
+
+
 @dataclass
 class Words:
-    """Words of several texts in a row. ``offsets[i]:offsets[i+1]`` are text i's words."""
+    """Words of several texts in a row. ``offsets[i]:offsets[i+1]`` are text i's words; ``raw`` has code points, one more per text than it has."""
 
     offsets: np.ndarray
     starts: np.ndarray
@@ -37,35 +57,37 @@ class Words:
     raw_offsets: np.ndarray
 
     def prefixes(self, n: int) -> np.ndarray:
-        """Hashes of the words' first n bytes (shorter words: the whole)."""
+        """Hashes of the words' first n characters (shorter words: the whole)."""
         cut = np.minimum(self.lengths, n)
         running = np.zeros(len(self.lengths), dtype=np.uint64)
-        folded = FOLD[self.raw]
+        by = places(n)
         for i in range(n):
             has = np.flatnonzero(cut > i)
-            running[has] += (folded[self.starts[has] + i].astype(np.uint64) + np.uint64(1)) * POWERS[i]
+            running[has] += (fold_table()[self.raw[self.starts[has] + i]] & np.uint32(0x7FFFFFFF)).astype(np.uint64) * by[i]
         return mix(running ^ np.uint64(n))
 
 
 def hash_words(texts: list[str | None]) -> Words:
-    data = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    data = [t or "" for t in texts]
     raw_offsets = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])]).astype(np.int64)
-    raw = np.frombuffer(b"\n".join(data) + b"\n", dtype=np.uint8) if data else np.zeros(0, np.uint8)
-    folded = FOLD[raw]
+    raw = np.frombuffer(("\n".join(data) + "\n").encode("utf-32-le", "surrogatepass"), dtype="<u4") if data else np.zeros(0, np.uint32)
+    folded = fold_table()[raw]
     inside = folded != 0
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1 if len(raw) else np.zeros(0, np.int64)
-    if len(raw) and inside[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[::2], edge[1::2]
-    lengths = ends - starts
+    alone = folded >> np.uint32(31)
+    # a word begins where a run begins, at each character that stands alone and after it
+    first = inside.copy()
+    if len(raw):
+        first[1:] &= ~inside[:-1] | (alone[1:] | alone[:-1]).astype(bool)
+    starts = np.flatnonzero(first)
     offsets = np.searchsorted(starts, raw_offsets)
-    if not len(starts):
-        return Words(offsets, starts, lengths, np.zeros(0, np.uint64), raw, raw_offsets)
     at = np.flatnonzero(inside)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(at)) - np.repeat(first, lengths)
-    terms = (folded[at].astype(np.uint64) + np.uint64(1)) * POWERS[np.minimum(place, MAX_POWER - 1)]
-    return Words(offsets, starts, lengths, mix(np.add.reduceat(terms, first)), raw, raw_offsets)
+    if not len(starts):
+        return Words(offsets, starts, starts, np.zeros(0, np.uint64), raw, raw_offsets)
+    begin = np.searchsorted(at, starts)
+    lengths = np.diff(np.append(begin, len(at)))
+    place = np.arange(len(at)) - np.repeat(begin, lengths)
+    terms = (folded[at] & np.uint32(0x7FFFFFFF)).astype(np.uint64) * places(int(lengths.max()))[place]
+    return Words(offsets, starts, lengths, mix(np.add.reduceat(terms, begin)), raw, raw_offsets)
 
 
 def slices(column, max_chars: int = 2_000_000):
