@@ -1,11 +1,11 @@
-"""Graph operators over two frames.
+"""Graph operators over two frames, or over a stored graph.
 
 nodes: id, label, properties (JSON text or any further columns). edges: id, label, from_node_id, to_node_id, from_node_type, to_node_type.
-A stored graph keeps ``edges`` twice, partitioned and sorted by either end (see ``sources.graph_store``), so that expansion by one level is a
-join with the frontier alone.
+Searches go over ``graph_store.Frames`` or ``graph_store.GraphStore``; the latter keeps edges by either end, so that expansion by one level reads
+the frontier's buckets alone.
 
-Iterations are level-synchronous; a level's frontier is reliably checkpointed, so neither lineage nor recomputation grows with depth.
-Caps need an order: level, place of the source node, label, edge id.
+Iterations are level-synchronous; a level's small frontier is kept in the plan, a large one reliably checkpointed, so neither lineage nor recomputation grows
+with depth. Caps need an order: level, place of the source node, label, edge id.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions.ids import is_uuid
 from loamgraph.schema import canonical_edge
-from loamgraph.session import pin
+from loamgraph.session import SMALL, pin, settle
+from loamgraph.sources.graph_store import ENDS, Frames, GraphStore, small
 
-#: Largest frontier that is sent to every executor; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+Graph = Frames | GraphStore
 
 
 class InvalidArgument(ValueError):
@@ -36,30 +36,37 @@ def with_labels(edges: DataFrame, types: list[str] | None) -> DataFrame:
     return edges.filter(F.col("label").isin(names)) if names else edges
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 # -- neighbours ---------------------------------------------------------------------------------------
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, node: str, types: list[str] | None = None, direction: str = "both", limit: int = 0) -> DataFrame:
+    return neighbours_in(Frames(nodes, edges), node, types, direction, limit)
+
+
+def neighbours_in(graph: Graph, node: str, types: list[str] | None = None, direction: str = "both", limit: int = 0) -> DataFrame:
     """orientation, edge_id, label, node_id, node_label, exists; outgoing first, then by type as asked for, then edge id.
 
     ``limit`` 0: no cap. A self-loop comes twice under ``both``. A neighbour without a node has a null node_label.
     """
     if direction not in ("out", "in", "both", "outgoing", "incoming"):
         raise InvalidArgument(f"no such direction: {direction}")
-    allowed, names = with_labels(edges, types), canonical_labels(types)
+    names = canonical_labels(types)
     place = F.array_position(F.array(*map(F.lit, names)), F.col("label")) if names else F.lit(0).cast("long")
-    sides = []
-    for rank, (side, own, other) in enumerate((("outgoing", "from_node_id", "to_node_id"), ("incoming", "to_node_id", "from_node_id"))):
-        if direction == "both" or side.startswith(direction):
-            sides.append(allowed.filter(F.col(own) == node).select(F.lit(side).alias("orientation"), F.lit(rank).alias("_side"), place.alias("_place"), F.col("id").alias("edge_id"), "label", F.col(other).alias("node_id")))
-    found = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+    start = graph.spark.createDataFrame([(node,)], "id string")
+    parts = []
+    for rank, (side, name) in enumerate((("out", "outgoing"), ("in", "incoming"))):
+        if direction == "both" or name.startswith(direction):
+            own = graph.step(side, start, 1, names)
+            parts.append(own.select(F.lit(name).alias("orientation"), F.lit(rank).alias("_side"), place.alias("_place"), F.col("id").alias("edge_id"), "label", F.col(ENDS[side][1]).alias("node_id")))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if limit:
         found = found.orderBy("_side", "_place", "label", "edge_id").limit(limit)
-    known = nodes.select(F.col("id").alias("node_id"), F.col("label").alias("node_label"))
+    if isinstance(graph, GraphStore):
+        found, n = settle(found)
+        known = graph.known(found.select(F.col("node_id").alias("id")).distinct(), n)
+    else:
+        known = graph.nodes.select("id", "label")
+    known = known.select(F.col("id").alias("node_id"), F.col("label").alias("node_label"))
     return found.join(known, "node_id", "left").select("orientation", "edge_id", "label", "node_id", "node_label", F.col("node_label").isNotNull().alias("exists"))
 
 
@@ -72,7 +79,15 @@ class Subgraph:
     edges: DataFrame  # id, label, from_node_id, to_node_id, level
 
 
+#: The order in which a level's edges are met.
+STEP_ORDER = ("_source", "label", "id")
+
+
 def subgraph_bfs(edges: DataFrame, nodes: DataFrame, start: str, types: list[str] | None = None, depth: int = 1, node_limit: int = 0, edge_limit: int = 0) -> Subgraph:
+    return bfs(Frames(nodes, edges), start, types, depth, node_limit, edge_limit)
+
+
+def bfs(graph: Graph, start: str, types: list[str] | None = None, depth: int = 1, node_limit: int = 0, edge_limit: int = 0) -> Subgraph:
     """What is reached from ``start`` along outgoing edges in ``depth`` steps; 0 is the start alone. Limits of 0 don't limit.
 
     Edges among nodes already reached are part of the result; edges out of nodes of the last level are not; edges without an
@@ -80,53 +95,56 @@ def subgraph_bfs(edges: DataFrame, nodes: DataFrame, start: str, types: list[str
     """
     if not is_uuid(start):
         raise InvalidArgument(f"not a UUID: {start}")
-    allowed = with_labels(edges, types).select("id", "label", "from_node_id", "to_node_id")
-    known = nodes.select("id", "label")
-    level0 = known.filter(F.col("id") == start).limit(1).withColumn("level", F.lit(0)).withColumn("place", F.lit(0).cast("long"))
-    seen = frontier = pin(level0)
-    reached, used = frontier.count(), None
-    n_edges = 0
+    labels = canonical_labels(types)
+    first = graph.known(graph.spark.createDataFrame([(start,)], "id string"), 1).limit(1)
+    seen, rows = settle(first.select("id", "label", F.lit(0).alias("level"), F.lit(0).cast("long").alias("place")))
+    frontier, reached, used, n_edges = seen, rows, [], 0
     for level in range(depth):
-        rows = reached if level == 0 else fresh_rows
         if not rows or (node_limit and reached >= node_limit):
             break
-        source = small(frontier.select(F.col("id").alias("from_node_id"), F.col("place").alias("_source")), rows)
-        stepped = allowed.join(source, "from_node_id").join(known.select(F.col("id").alias("to_node_id"), F.col("label").alias("to_label")), "to_node_id")
-        if edge_limit:
-            stepped = stepped.orderBy(*STEP_ORDER).limit(edge_limit - n_edges)
+        stepped = graph.step("out", frontier.select("id", F.col("place").alias("_source")), rows, labels)
+        step, found = with_targets(graph, stepped, rows, edge_limit - n_edges if edge_limit else 0)
         if node_limit:
-            stepped = up_to_last_node(stepped, seen, node_limit - reached)
-        step = pin(stepped.select("id", "label", "from_node_id", "to_node_id", "to_label", "_source"))
-        found = step.count()
+            step, found = settle(up_to_last_node(step, seen, node_limit - reached), found > SMALL)
         if not found:
             break
-        level_edges = step.select("id", "label", "from_node_id", "to_node_id", F.lit(level).alias("level"))
-        used = level_edges if used is None else used.unionByName(level_edges)
+        used.append(step.select("id", "label", "from_node_id", "to_node_id", F.lit(level).alias("level")))
         n_edges += found
-        order = ["_source", "label_e", "edge_id"]
-        new = (
-            step.select(F.col("to_node_id").alias("id"), F.col("to_label").alias("label"), "_source", F.col("label").alias("label_e"), F.col("id").alias("edge_id"))
-            .groupBy("id", "label")
-            .agg(F.min(F.struct(*order)).alias("first"))
-            .join(seen.select("id"), "id", "left_anti")
-        )
+        met = F.min(F.struct("_source", F.col("label").alias("label_e"), F.col("id").alias("edge_id"))).alias("first")
+        new = step.groupBy(F.col("to_node_id").alias("node"), "to_label").agg(met).select(F.col("node").alias("id"), F.col("to_label").alias("label"), "first")
+        new = new.join(seen.select("id"), "id", "left_anti")
         if node_limit:
             new = new.orderBy("first").limit(max(0, node_limit - reached))
         # places only order capped traversals; the rank needs one sort of the level, which a cap bounds
         place = F.row_number().over(Window.orderBy("first", "id")).cast("long") + reached if node_limit or edge_limit else F.lit(0).cast("long")
-        frontier = pin(new.select("id", "label", F.lit(level + 1).alias("level"), place.alias("place")))
-        fresh_rows = frontier.count()
-        reached += fresh_rows
+        frontier, rows = settle(new.select("id", "label", F.lit(level + 1).alias("level"), place.alias("place")), found > SMALL)
+        reached += rows
         seen = seen.unionByName(frontier)
-        if (edge_limit and n_edges >= edge_limit) or not fresh_rows:
+        if edge_limit and n_edges >= edge_limit:
             break
-    if used is None:
-        used = allowed.limit(0).select("*", F.lit(0).alias("level"))
-    return Subgraph(seen, used)
+    if not used:
+        used = [graph.spark.createDataFrame([], "id string, label string, from_node_id string, to_node_id string, level int")]
+    edges = used[0]
+    for more in used[1:]:
+        edges = edges.unionByName(more)
+    return Subgraph(seen, edges)
 
 
-#: The order in which a level's edges are met.
-STEP_ORDER = ("_source", "label", "id")
+def with_targets(graph: Graph, stepped: DataFrame, rows: int, cap: int) -> tuple[DataFrame, int]:
+    """(edges whose target exists, with to_label; their number). With a cap only the first edges by order are fetched, more of them if targets are missing."""
+    take = 4 * cap
+    while True:
+        picked = stepped.orderBy(*STEP_ORDER).limit(take) if cap else stepped
+        held, n = settle(picked, rows > SMALL and not cap)
+        targets = held.select(F.col("to_node_id").alias("id")).distinct()
+        known = graph.known(targets, n).select(F.col("id").alias("to_node_id"), F.col("label").alias("to_label"))
+        whole, found = settle(held.join(known, "to_node_id"), n > SMALL)
+        if not cap or n < take or found >= cap:
+            break
+        take *= 4
+    if cap and found > cap:
+        return settle(whole.orderBy(*STEP_ORDER).limit(cap))
+    return whole, found
 
 
 def up_to_last_node(stepped: DataFrame, seen: DataFrame, room: int) -> DataFrame:
@@ -143,50 +161,42 @@ def up_to_last_node(stepped: DataFrame, seen: DataFrame, room: int) -> DataFrame
 # -- paths --------------------------------------------------------------------------------------------
 
 
-def shortest_path(edges: DataFrame, nodes: DataFrame, source: str, target: str, label: str | None = None, max_depth: int = 64) -> dict | None:
-    """The shortest directed path: {length, nodes, edges} with ids in order, or None. Ties go to the smallest edge id of each step.
+def shortest_path(edges: DataFrame, nodes: DataFrame, source: str, target: str, label: str | None = None) -> dict | None:
+    return path_between(Frames(nodes, edges), source, target, label)
 
-    Level-synchronous from both ends: the side with the smaller frontier grows.
+
+def path_between(graph: Graph, source: str, target: str, label: str | None = None) -> dict | None:
+    """The shortest directed path: {length, nodes, edges} with ids in order, or None. Of several edges into a node the smallest id counts.
+
+    Level-synchronous from both ends: the side with the smaller frontier grows, until they meet or one has nowhere to go.
     """
     for x in (source, target):
         if not is_uuid(x):
             raise InvalidArgument(f"not a UUID: {x}")
-    if nodes.filter(F.col("id").isin(source, target)).select("id").distinct().count() < len({source, target}):
+    ends = graph.spark.createDataFrame([(x,) for x in {source, target}], "id string")
+    if graph.known(ends, 2).select("id").distinct().count() < len({source, target}):
         return None
     if source == target:
         return {"length": 0, "nodes": [source], "edges": []}
-    allowed = with_labels(edges, [label] if label else None).select("id", "from_node_id", "to_node_id")
-    known = nodes.select("id")
-    spark = edges.sparkSession
-    one = "id string, edge string, prev string, level int"
+    labels = canonical_labels([label] if label else None)
     sides = {}
     for side, node in (("out", source), ("in", target)):
-        first = spark.createDataFrame([(node, None, None, 0)], one)
-        sides[side] = {"seen": first, "front": first, "rows": 1, "level": 0}
-    met = None
-    while met is None and sides["out"]["level"] + sides["in"]["level"] < max_depth:
+        first = graph.spark.createDataFrame([(node, None, None)], "id string, edge string, prev string")
+        sides[side] = {"seen": first, "front": first, "rows": 1}
+    while True:
         side = min(sides, key=lambda s: sides[s]["rows"])
-        s = sides[side]
-        own, other = ("from_node_id", "to_node_id") if side == "out" else ("to_node_id", "from_node_id")
-        front = small(s["front"].select(F.col("id").alias(own)), s["rows"])
-        grown = (
-            allowed.join(front, own)
-            .groupBy(F.col(other).alias("node"))
-            .agg(F.min(F.struct(F.col("id").alias("edge"), F.col(own).alias("prev"))).alias("by"))
-            .join(known.withColumnRenamed("id", "node"), "node", "left_semi")
-            .join(s["seen"].select(F.col("id").alias("node")), "node", "left_anti")
-        )
-        s["level"] += 1
-        s["front"] = pin(grown.select(F.col("node").alias("id"), "by.edge", "by.prev", F.lit(s["level"]).alias("level")))
-        s["rows"] = s["front"].count()
+        s, (own, other) = sides[side], ENDS[side]
+        grown = graph.step(side, s["front"].select("id"), s["rows"], labels)
+        best = grown.groupBy(F.col(other).alias("node")).agg(F.min(F.struct(F.col("id").alias("edge"), F.col(own).alias("prev"))).alias("by"))
+        fresh = best.select(F.col("node").alias("id"), "by.edge", "by.prev").join(s["seen"].select("id"), "id", "left_anti")
+        fresh, n = settle(fresh, s["rows"] > SMALL)
+        s["front"], s["rows"] = settle(fresh.join(graph.known(fresh.select("id"), n).select("id").distinct(), "id"), n > SMALL)
         if not s["rows"]:
             return None
         s["seen"] = s["seen"].unionByName(s["front"])
-        opposite = sides["in" if side == "out" else "out"]["seen"]
-        row = s["front"].join(opposite.select("id"), "id", "left_semi").agg(F.min("id").alias("id")).first()
-        met = row["id"]
-    if met is None:
-        return None
+        met = s["front"].join(sides["in" if side == "out" else "out"]["seen"].select("id"), "id", "left_semi").agg(F.min("id").alias("id")).first()["id"]
+        if met is not None:
+            break
     path, used = [met], []
     for side, add_node, add_edge in (("out", lambda x: path.insert(0, x), lambda e: used.insert(0, e)), ("in", path.append, used.append)):
         node = met

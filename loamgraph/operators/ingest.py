@@ -17,7 +17,8 @@ from loamgraph.operators.graph import InvalidArgument
 from loamgraph.schema import REGISTRY, Category, EntitySpec, Registry, VectorRule
 from loamgraph.session import pin
 from loamgraph.sources.catalog import Catalog
-from loamgraph.sources.store import Lake, last_wins
+from loamgraph.sources.graph_store import GraphStore
+from loamgraph.sources.store import Lake, VersionedTable, last_wins
 
 UUID_PATTERN = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 DEFAULT_TTL = 3600
@@ -270,6 +271,14 @@ class Synchronizer:
         return new.exceptAll(old) if entry["remove"] else new
 
 
+def vector_rows(lake: Lake, rows: DataFrame, spec: EntitySpec) -> DataFrame:
+    """Vectors under the ids they are known by: id, label, text, embedding, properties."""
+    props = F.to_json(F.struct(*[F.col(c) for c in spec.schema.names if c != "embedding"]))
+    index = lake.open(spec.index_table)
+    with_ids = rows.join(index.read().select("embedding_id", "vector_uuid"), "embedding_id") if index else rows.withColumn("vector_uuid", F.col("id"))
+    return with_ids.filter(F.size("embedding") > 0).select(F.col("vector_uuid").alias("id"), F.lit(spec.entity_type).alias("label"), "text", "embedding", props.alias("properties"))
+
+
 def graph_views(lake: Lake, registry: Registry = REGISTRY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, vectors) over all tables that exist."""
     nodes, edges, vectors = [], [], []
@@ -283,10 +292,7 @@ def graph_views(lake: Lake, registry: Registry = REGISTRY) -> tuple[DataFrame, D
         elif spec.category is Category.EDGE:
             edges.append(as_edges(rows, spec))
         else:
-            props = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != "embedding"]))
-            index = lake.open(spec.index_table)
-            with_ids = rows.join(index.read().select("embedding_id", "vector_uuid"), "embedding_id") if index else rows.withColumn("vector_uuid", F.col("id"))
-            vectors.append(with_ids.filter(F.size("embedding") > 0).select(F.col("vector_uuid").alias("id"), F.lit(spec.entity_type).alias("label"), "text", "embedding", props.alias("properties")))
+            vectors.append(vector_rows(lake, rows, spec))
     spark = lake.spark
     merge = lambda parts, schema: reduce(lambda a, b: a.unionByName(b), parts) if parts else spark.createDataFrame([], schema)
     return (
@@ -294,3 +300,39 @@ def graph_views(lake: Lake, registry: Registry = REGISTRY) -> tuple[DataFrame, D
         merge(edges, "id string, label string, from_node_id string, to_node_id string, from_node_type string, to_node_type string"),
         merge(vectors, "id string, label string, text string, embedding array<float>, properties string"),
     )
+
+
+def refresh_graph(sync: Synchronizer, root: str, buckets: int = 32) -> GraphStore:
+    """The stored graph below ``root``, brought up to the tables' versions: only net changes since the versions it has seen are read and applied."""
+    store, lake, registry = GraphStore(sync.spark, root, buckets), sync.lake, sync.registry
+    seen_table = VersionedTable(sync.spark, f"{root}/seen")
+    seen = {r["name"]: r["version"] for r in seen_table.read().collect()} if seen_table.exists() else {}
+    now = {spec.table: sync.table(spec).version() for spec in registry.entities()}
+    if seen == now and store.exists():
+        return store
+    if not store.exists():
+        seen = {}
+        none = "id string, label string, properties string", "id string, label string, from_node_id string, to_node_id string, from_node_type string, to_node_type string"
+        store.upsert(*[sync.spark.createDataFrame([], schema) for schema in none])
+    put_nodes, put_edges, gone_nodes, gone_edges = [], [], [], []
+    for spec in registry.entities():
+        before = seen.get(spec.table, -1)
+        if now[spec.table] <= before:
+            continue
+        table = sync.table(spec)
+        changed = table.net_changes(before) if before >= 0 else table.read().withColumn("_change", F.lit("insert"))
+        kept, dropped = (conform(changed.filter(c), spec) for c in ("_change <> 'delete'", "_change = 'delete'"))
+        if spec.category is Category.EDGE:
+            put_edges.append(as_edges(kept, spec))
+            if before >= 0:
+                gone_edges += [as_edges(rows, spec).select("id") for rows in (dropped, conform(changed.filter("_change = 'update'"), spec))]
+        else:
+            rows_of = (lambda rows, spec=spec: as_nodes(rows, spec)) if spec.category is Category.NODE else (lambda rows, spec=spec: vector_rows(lake, rows, spec))
+            put_nodes.append(rows_of(kept).select("id", "label", "properties"))
+            if before >= 0:
+                gone_nodes.append(rows_of(dropped).select("id"))
+    merge = lambda parts: reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+    store.delete(merge(gone_nodes), merge(gone_edges))
+    store.upsert(merge(put_nodes), merge(put_edges))
+    seen_table.replace(sync.spark.createDataFrame(list(now.items()), "name string, version long"))
+    return store

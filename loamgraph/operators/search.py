@@ -1,6 +1,7 @@
 """BM25, vector and hybrid search.
 
-A postings table (term, id, label, tf, dl) is built once and kept; a query reads the rows of its terms alone. Scores are summed with a
+A postings table (term, id, label, tf, dl) is built once and kept, cut into buckets by term, with its statistics beside it (``keep_index``); a query reads the
+files of its terms alone. ``text_index`` is the same without a folder, for frames at hand. Scores are summed with a
 map-side partial aggregation and end in a top-k that keeps k rows per task. Vector search is exact: distances are computed in the scan, top-k as before; ``cells`` limits the
 scan to the nearest clusters of a clustered table.
 """
@@ -10,10 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgraph.operators.lookup import NODE_SUMMARY_FIELDS, VECTOR_SUMMARY_FIELDS, summary
+from loamgraph.sources.store import VersionedTable
 
 #: Usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -40,6 +42,24 @@ class TextIndex:
     documents: int
     average: float
 
+    def hits(self, terms: list[str]) -> DataFrame:
+        return self.postings.filter(F.col("term").isin(terms))
+
+
+@dataclass
+class KeptIndex:
+    table: VersionedTable
+    documents: int
+    average: float
+    stamp: str | None  # of what it was built from
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.table.read()
+
+    def hits(self, terms: list[str]) -> DataFrame:
+        return self.table.read_of(terms)
+
 
 def build_postings(docs: DataFrame, text_col: str = "text", id_col: str = "id", label_col: str | None = None) -> DataFrame:
     """Documents without words have no postings. One shuffle, by (id, term) with partial sums; the length rides along."""
@@ -55,10 +75,31 @@ def text_index(docs: DataFrame, text_col: str = "text", id_col: str = "id", labe
     return TextIndex(build_postings(docs, text_col, id_col, label_col), stats["n"], stats["a"] or 0.0)
 
 
-def bm25_scores(index: TextIndex, query: str, k1: float = K1, b: float = B) -> DataFrame:
+def keep_index(docs: DataFrame, root: str, text_col: str = "text", id_col: str = "id", label_col: str | None = None, buckets: int = 32, stamp: str | None = None) -> KeptIndex:
+    """Write the index below ``root``, or write it anew. Texts are cut into words once: the mean length follows from the postings."""
+    spark = docs.sparkSession
+    table = VersionedTable(spark, f"{root}/postings", ["term", "id"], buckets, by=["term"])
+    table.replace(build_postings(docs, text_col, id_col, label_col))
+    n, words = docs.count(), table.read().agg(F.sum("tf")).first()[0] or 0
+    stats = [(n, words / n if n else 0.0, table.version(), stamp)]
+    VersionedTable(spark, f"{root}/statistics").replace(spark.createDataFrame(stats, "documents long, average double, version long, stamp string"))
+    return open_index(spark, root, buckets)
+
+
+def open_index(spark: SparkSession, root: str, buckets: int = 32) -> KeptIndex | None:
+    """The index below ``root``; none if it was never finished or its postings have changed since."""
+    stats = VersionedTable(spark, f"{root}/statistics")
+    table = VersionedTable(spark, f"{root}/postings", ["term", "id"], buckets, by=["term"])
+    row = stats.read().first() if stats.exists() else None
+    if row is None or row["version"] != table.version():
+        return None
+    return KeptIndex(table, row["documents"], row["average"], row["stamp"])
+
+
+def bm25_scores(index: TextIndex | KeptIndex, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """id, label, score of every document with a query term."""
     terms = query_terms(query)
-    hits = index.postings.filter(F.col("term").isin(terms))
+    hits = index.hits(terms)
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(index.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.average or 1.0))
@@ -66,7 +107,7 @@ def bm25_scores(index: TextIndex, query: str, k1: float = K1, b: float = B) -> D
     return scored.groupBy("id", "label").agg(F.sum("s").alias("score"))
 
 
-def bm25(index: TextIndex, query: str, limit: int, label: str | None = None, post_filter: bool = False) -> DataFrame:
+def bm25(index: TextIndex | KeptIndex, query: str, limit: int, label: str | None = None, post_filter: bool = False) -> DataFrame:
     """The best ``limit`` documents: id, label, score; ties by id. ``post_filter``: the label is looked at after the cut."""
     scores = bm25_scores(index, query)
     if not query_terms(query):
@@ -133,7 +174,7 @@ def knn_in_cells(clustered: DataFrame, centres: list[list[float]], query: list[f
     return knn(clustered.filter(F.col("cell").isin(best)), query, limit, **options)
 
 
-def hybrid(index: TextIndex, vectors: DataFrame, query: str, vector: list[float], alpha: float = 0.5, limit: int = 20, label: str | None = None, overfetch: int = 2, metric: str = "cosine") -> DataFrame:
+def hybrid(index: TextIndex | KeptIndex, vectors: DataFrame, query: str, vector: list[float], alpha: float = 0.5, limit: int = 20, label: str | None = None, overfetch: int = 2, metric: str = "cosine") -> DataFrame:
     """id, label, score = alpha * bm25 + (1 - alpha) * similarity over the two best lists of ``overfetch * limit``; ties by id."""
     a = min(1.0, max(0.0, alpha))
     text = bm25(index, query, overfetch * max(1, limit), label).groupBy("id", "label").agg(F.max("score").alias("bm25")).select("id", "label", "bm25", F.lit(None).cast("double").alias("similarity"))
@@ -143,7 +184,7 @@ def hybrid(index: TextIndex, vectors: DataFrame, query: str, vector: list[float]
     return both.withColumn("score", score).orderBy(F.desc("score"), "id").limit(max(1, limit)).select("id", "label", "score")
 
 
-def hybrid_multi(index: TextIndex, vectors: DataFrame, types: list[str], query: str, vector: list[float], alpha: float = 0.5, limit: int = 20, overfetch: int = 2, metric: str = "cosine") -> DataFrame:
+def hybrid_multi(index: TextIndex | KeptIndex, vectors: DataFrame, types: list[str], query: str, vector: list[float], alpha: float = 0.5, limit: int = 20, overfetch: int = 2, metric: str = "cosine") -> DataFrame:
     """``hybrid`` for each type at once (best lists by a window per type), then the best over all types."""
     a, n = min(1.0, max(0.0, alpha)), max(1, limit)
 

@@ -82,21 +82,13 @@ def delete_version(sync: Synchronizer, sha: str, registry: Registry | None = Non
         if table is None:
             continue
         if spec.category.value == "edge":
-            rows = table.read()
-            for end in ("from_node_id", "to_node_id"):
-                rows = rows.join(ids.select(F.col("id").alias(end)), end, "left_anti")
-            replace(table, rows.select(*table.live()[1].names))
+            table.delete_matching(ids, ["from_node_id", "to_node_id"])
         elif spec.category.value == "node" and spec.entity_type != "commit":
             column = "sha" if spec.entity_type == "version" else "version_sha"
             if column in spec.schema.names:
                 table.delete(F.col(column) == sha)
 
 
-def replace(table, rows: DataFrame) -> None:
-    files, schema = table.live()
-    table._commit(table.version() + 1, table._write_files(rows), files, schema)
-
-
 # -- reads --------------------------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from loamgraph.operators import graph, lookup, stored
 from loamgraph.operators.ingest import node_index
 from loamgraph.plans.registry import query
 from loamgraph.plans.star import WITH_GRAPH, edges, nodes, star_id
+from loamgraph.plans.star import stored as stored_graph
 from loamgraph.schema import Category, EntitySpec
 from loamgraph.session import table
 
@@ -70,7 +71,7 @@ def index_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("node_by_id", WITH_GRAPH + f"SELECT id, label, properties FROM nodes WHERE id = '{CUSTOMER}'")
 def node_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.node_by_id(nodes(spark, sf), None, CUSTOMER)
+    return lookup.node_by_id(stored_graph(spark, sf).nodes_of([CUSTOMER]), None, CUSTOMER)
 
 
 @query("node_by_keys", WITH_GRAPH + "SELECT id, label, properties FROM nodes WHERE label = 'customer' AND k = '42'")
@@ -141,27 +142,27 @@ IN = SIDE.format(side="incoming", own="to_node_id", other="from_node_id", node="
 
 @query("neighbors_out", WITH_GRAPH + OUT.format(node=CUSTOMER))
 def neighbors_out(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.neighbours(edges(spark, sf), nodes(spark, sf), CUSTOMER, direction="out")
+    return graph.neighbours_in(stored_graph(spark, sf), CUSTOMER, direction="out")
 
 
 @query("neighbors_in", WITH_GRAPH + IN.format(node=NATION))
 def neighbors_in(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.neighbours(edges(spark, sf), nodes(spark, sf), NATION, direction="in")
+    return graph.neighbours_in(stored_graph(spark, sf), NATION, direction="in")
 
 
 @query("neighbors_both", WITH_GRAPH + OUT.format(node=NATION) + " UNION ALL " + IN.format(node=NATION))
 def neighbors_both(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.neighbours(edges(spark, sf), nodes(spark, sf), NATION)
+    return graph.neighbours_in(stored_graph(spark, sf), NATION)
 
 
 @query("neighbors_capped", WITH_GRAPH + f"SELECT * FROM ({OUT.format(node=NATION)} UNION ALL {IN.format(node=NATION)}) ORDER BY CASE orientation WHEN 'outgoing' THEN 0 ELSE 1 END, label, edge_id LIMIT 10")
 def neighbors_capped(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.neighbours(edges(spark, sf), nodes(spark, sf), NATION, limit=10)
+    return graph.neighbours_in(stored_graph(spark, sf), NATION, limit=10)
 
 
 @query("neighbors_by_type", WITH_GRAPH + OUT.format(node=CUSTOMER) + " AND e.label = 'edge_placed'")
 def neighbors_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.neighbours(edges(spark, sf), nodes(spark, sf), CUSTOMER, types=["PLACED"], direction="out")
+    return graph.neighbours_in(stored_graph(spark, sf), CUSTOMER, types=["PLACED"], direction="out")
 
 
 def bfs_sql(start: str, depth: int, labels: tuple[str, ...] = (), what: str = "nodes") -> str:
@@ -176,7 +177,7 @@ def bfs_sql(start: str, depth: int, labels: tuple[str, ...] = (), what: str = "n
 
 
 def bfs(spark: SparkSession, sf: str, start: str, **options) -> graph.Subgraph:
-    return graph.subgraph_bfs(edges(spark, sf), nodes(spark, sf), start, **options)
+    return graph.bfs(stored_graph(spark, sf), start, **options)
 
 
 @query("bfs_depth1", bfs_sql(CUSTOMER, 1))
@@ -228,13 +229,13 @@ def bfs_capped_nodes(spark: SparkSession, sf: str) -> DataFrame:
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
     region = c.filter("c_custkey = 1").join(n, F.col("c_nationkey") == F.col("n_nationkey")).first()["n_regionkey"]
-    path = graph.shortest_path(edges(spark, sf), nodes(spark, sf), CUSTOMER, star_id("region", region))
+    path = graph.path_between(stored_graph(spark, sf), CUSTOMER, star_id("region", region))
     return spark.createDataFrame([(path["length"], True)] if path else [(None, False)], "length int, found boolean")
 
 
 @query("shortest_path_by_label", "SELECT NULL::INT AS length, false AS found")
 def shortest_path_by_label(spark: SparkSession, sf: str) -> DataFrame:
-    path = graph.shortest_path(edges(spark, sf), nodes(spark, sf), CUSTOMER, PART, label="edge_innation")
+    path = graph.path_between(stored_graph(spark, sf), CUSTOMER, PART, label="edge_innation")
     return spark.createDataFrame([(path and path["length"], bool(path))], "length int, found boolean")
 
 

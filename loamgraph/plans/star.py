@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions.ids import NAMESPACE_OID, edge_id, node_id, node_id_of
-from loamgraph.session import table
+from loamgraph.session import scratch, table
+from loamgraph.sources.graph_store import GraphStore
 
 #: label: (table, key, name)
 NODES = {
@@ -57,6 +58,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union(parts)
 
 
+_STORES: dict[tuple[str, str], GraphStore] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The graph written once for searches, as ingestion would keep it; later queries of the session read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store = GraphStore(spark, scratch(spark, "graph"))
+        store.upsert(nodes(spark, sf_dir), edges(spark, sf_dir))
+        _STORES[key] = store
+    return _STORES[key]
+
+
 def star_id(label: str, key: object) -> str:
     return node_id_of(label, **{NODES[label][1]: key})
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +9,14 @@ from loamgraph.functions.ids import node_id, uuid5_sql
 from loamgraph.operators.ingest import resolve_vectors, rule_edges
 from loamgraph.plans.registry import query
 from loamgraph.schema import EDGE_COLUMNS, REGISTRY, Category, EntitySpec, VectorRule, parse_columns
-from loamgraph.session import shared_dir, table
+from loamgraph import session
+from loamgraph.session import table
 from loamgraph.sources.store import VersionedTable, last_wins
 from loamgraph.streaming import replay
 
 
 def scratch(spark: SparkSession, name: str, keys: list[str] | None = None, buckets: int = 4) -> VersionedTable:
-    return VersionedTable(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", keys, buckets)
+    return VersionedTable(spark, session.scratch(spark, name), keys, buckets)
 
 
 def changed_orders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -178,7 +177,7 @@ def stream_upsert_replay(spark: SparkSession, sf: str) -> DataFrame:
     target = scratch(spark, "stream", ["user_id"])
     source = replay.file_stream(spark, sf, "events").select("user_id", "event_id")
     reduce_batch = lambda df: df.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    replay.upsert_stream(source, target, f"{shared_dir(spark)}/cp-{uuid.uuid4().hex}", reduce_batch)
+    replay.upsert_stream(source, target, session.scratch(spark, "stream-checkpoint"), reduce_batch)
     return target.read()
 
 
@@ -217,5 +216,5 @@ def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     target = scratch(spark, "windows", ["window_start", "event_type"])
     source = replay.file_stream(spark, sf, "events")
     counts = replay.windowed_counts(source, "ts", "1 day", ["event_type"], None)
-    replay.upsert_stream(counts, target, f"{shared_dir(spark)}/cp-{uuid.uuid4().hex}", lambda df: df, mode="complete")
+    replay.upsert_stream(counts, target, session.scratch(spark, "stream-checkpoint"), lambda df: df, mode="complete")
     return target.read().select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions.embedding import Provider, null_embedding
 from loamgraph.operators import graph, lookup, search
 from loamgraph.operators.graph import InvalidArgument
-from loamgraph.operators.ingest import Synchronizer, graph_views
+from loamgraph.functions.ids import node_id_of
+from loamgraph.operators.ingest import Synchronizer, graph_views, refresh_graph
 from loamgraph.operators.sqlapi import table_sql
 from loamgraph.schema import REGISTRY, Category, Registry, canonical_entity
 from loamgraph.sources.catalog import Catalog
+from loamgraph.sources.graph_store import GraphStore
 from loamgraph.sources.store import Lake
 
 
@@ -35,20 +39,29 @@ class Engine:
         self.spark, self.embed, self.registry = spark, embed, registry
         self.lake, self.catalog = Lake(spark, root), Catalog(catalog)
         self.sync = Synchronizer(spark, self.lake, self.catalog, registry, buckets)
-        self._index: search.TextIndex | None = None
+        self.root, self.buckets = root.rstrip("/"), buckets
 
     # -- views
 
     def views(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return graph_views(self.lake, self.registry)
 
-    def text_index(self, with_vectors: bool = False) -> search.TextIndex:
-        """BM25 over the rows as they are now: nodes' properties and labels, vector texts if asked for."""
+    def graph(self) -> GraphStore:
+        """Nodes (vectors too) and edges by either end, kept beside the tables and brought up to them."""
+        return refresh_graph(self.sync, f"{self.root}/gold/graph", max(self.buckets, 4))
+
+    def text_index(self, with_vectors: bool = False) -> search.KeptIndex:
+        """BM25 over nodes' properties and labels, vector texts if asked for. Kept beside the tables and built anew when one of them has another version."""
+        stamp = json.dumps({s.table: self.sync.table(s).version() for s in self.registry.entities() if s.category is not Category.EDGE}, sort_keys=True)
+        root = f"{self.root}/gold/text{'_and_vectors' if with_vectors else ''}"
+        kept = search.open_index(self.spark, root, max(self.buckets, 4))
+        if kept is not None and kept.stamp == stamp:
+            return kept
         nodes, _, vectors = self.views()
         docs = nodes.select("id", "label", F.concat_ws(" ", "properties", "label").alias("text"))
         if with_vectors:
             docs = docs.unionByName(vectors.select("id", "label", "text"))
-        return search.text_index(docs, label_col="label")
+        return search.keep_index(docs, root, label_col="label", buckets=max(self.buckets, 4), stamp=stamp)
 
     def embed_query(self, text: str) -> list[float]:
         row = self.spark.createDataFrame([(text,)], "t string").select(self.embed(F.col("t")).alias("e")).first()
@@ -110,8 +123,8 @@ class Engine:
         return lookup.node_view(nodes.limit(0) if hits is None else nodes.join(F.broadcast(hits.select("id")), "id", "left_semi"))
 
     def node(self, node_id: str) -> dict:
-        nodes, _, vectors = self.views()
-        row = lookup.node_by_id(nodes, vectors, node_id).first()
+        """A node or a vector. Only the bucket of its id is read."""
+        row = lookup.node_by_id(self.graph().nodes_of([node_id]), None, node_id).first()
         if row is None:
             raise NotFound(node_id)
         return row.asDict()
@@ -121,25 +134,23 @@ class Engine:
         if spec is None:
             raise InvalidArgument(f"unknown type: {kind}")
         table = self.lake.open(spec.table)
-        row = lookup.node_by_keys(self.views()[0], table.read() if table else None, spec, keys).first()
+        wanted = node_id_of(spec.entity_type, **{k: lookup.text_of(v) for k, v in keys.items()})
+        row = lookup.node_by_keys(self.graph().nodes_of([wanted]), table.read() if table else None, spec, keys).first()
         return row and row.asDict()
 
     def neighbours(self, node: str, types: str | None = None, direction: str = "both", limit: int = 20) -> DataFrame:
-        nodes, edges, vectors = self.views()
-        every = nodes.select("id", "label").unionByName(vectors.select("id", "label"))
-        return graph.neighbours(edges, every, node, lookup.parse_edge_types(types), direction, limit)
+        return graph.neighbours_in(self.graph(), node, lookup.parse_edge_types(types), direction, limit)
 
     def subgraph(self, node: str, types: str | None = None, depth: int = 1, nodes_limit: int = 150, edges_limit: int = 200) -> graph.Subgraph:
-        nodes, edges, vectors = self.views()
-        every = nodes.select("id", "label").unionByName(vectors.select("id", "label"))
-        found = graph.subgraph_bfs(edges, every, node, lookup.parse_edge_types(types), depth, nodes_limit, edges_limit)
+        found = graph.bfs(self.graph(), node, lookup.parse_edge_types(types), depth, nodes_limit, edges_limit)
         if not found.nodes.head(1):
             raise NotFound(node)
         return found
 
     def shortest_path(self, source: str, target: str, label: str | None = None) -> dict:
-        nodes, edges, _ = self.views()
-        path = graph.shortest_path(edges, nodes, source, target, label)
+        """Over nodes; vectors are not on any path."""
+        store = self.graph().hiding([s.entity_type for s in self.registry.entities(Category.VECTOR)])
+        path = graph.path_between(store, source, target, label)
         return {"found": path is not None, **(path or {"length": 0, "nodes": [], "edges": []})}
 
     def hybrid_types(self) -> list[str]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "loamg
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,16 +30,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; only where a session has none (tests, local mode) a temporary folder is taken."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where a session has none, local mode takes a temporary folder; a cluster must name one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loamgraph-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(at)  # only what exists can be marked
+    files.deleteOnExit(at)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; its files outlive lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows that may be brought to the driver and sent out again with a plan.
+SMALL = 10_000
+
+
+def settle(df: DataFrame, large: bool = False) -> tuple[DataFrame, int]:
+    """(the rows computed once, their number). Up to ``SMALL`` rows are kept in the plan itself; more, or rows known to be many, are checkpointed."""
+    if not large:
+        rows = df.limit(SMALL + 1).toArrow()
+        if rows.num_rows <= SMALL:
+            return df.sparkSession.createDataFrame(rows, df.schema), rows.num_rows
+    held = pin(df)
+    return held, held.count()

@@ -4,23 +4,33 @@ A table is a folder. Each commit writes files and then one log entry, ``_log/{ve
 exists, so a commit is seen whole or not at all and of two writers one has to try again. A version's rows are its live files: added and
 not removed since. All access goes through Hadoop's file systems, so any store that Spark reads will do.
 
-Keyed tables are cut into ``buckets`` by a hash of the keys (nulls too), one folder each. An upsert reads and rewrites the buckets that its
-new rows fall into, and no other; within a bucket the anti-join is local to it.
+Keyed tables with ``buckets`` are cut by a hash of the keys (nulls too), or of the columns ``by``, one folder each and sorted by them. An upsert reads and rewrites
+the buckets that its new rows fall into, and no other; readers that know what they look for read its buckets only. With one bucket, the default, the
+whole table is rewritten.
+
+Every ``CHECKPOINT`` commits the log's state is written beside the entry, so opening a table reads a bounded number of entries.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET = "_bucket"
+CHECKPOINT = 16
+LOG_NAME = re.compile(r"\d{20}\.json")
+#: Values written into a filter; more are joined.
+MOST_LITERALS = 1000
 
 
 class Conflict(RuntimeError):
@@ -79,8 +89,9 @@ class Files:
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, keys: list[str] | None = None, buckets: int = 1):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str] | None = None, buckets: int = 1, by: list[str] | None = None):
         self.spark, self.root, self.keys, self.buckets = spark, path.rstrip("/"), list(keys or []), buckets
+        self.by = list(by or self.keys)
         self.store = Files(spark, self.root)
 
     # -- reading
@@ -90,22 +101,33 @@ class VersionedTable:
 
     def version(self) -> int:
         """The latest version, -1 if there is none."""
-        names = [n for n, folder in self.store.list(f"{self.root}/_log") if n.endswith(".json") and not folder]
-        return max((int(n[:-5]) for n in names), default=-1)
+        return max((int(n[:20]) for n, _ in self.store.list(f"{self.root}/_log") if LOG_NAME.fullmatch(n)), default=-1)
 
     def entry(self, version: int) -> dict:
         return json.loads(self.store.read(f"{self.root}/_log/{version:020}.json"))
 
-    def live(self, version: int | None = None) -> tuple[list[str], T.StructType | None]:
-        files: dict[str, None] = {}
-        schema = None
-        for v in range((self.version() if version is None else version) + 1):
+    def state(self, version: int | None = None) -> dict:
+        """files, schema (JSON, or None) and marks (by stream, the last number) after a version."""
+        version = self.version() if version is None else version
+        at = version // CHECKPOINT * CHECKPOINT
+        out, first = {"files": [], "schema": None, "marks": {}}, 0
+        if at and self.store.exists(f"{self.root}/_log/{at:020}.state.json"):
+            out, first = json.loads(self.store.read(f"{self.root}/_log/{at:020}.state.json")), at + 1
+        files = dict.fromkeys(out["files"])
+        for v in range(first, version + 1):
             e = self.entry(v)
             for f in e["remove"]:
                 files.pop(f, None)
             files |= dict.fromkeys(e["add"])
-            schema = T.StructType.fromJson(e["schema"])
-        return list(files), schema
+            out["schema"] = e["schema"]
+            if e.get("mark") is not None:
+                stream, number = split_mark(e["mark"])
+                out["marks"][stream] = max(number, out["marks"].get(stream, -1))
+        return out | {"files": list(files)}
+
+    def live(self, version: int | None = None) -> tuple[list[str], T.StructType | None]:
+        s = self.state(version)
+        return s["files"], s["schema"] and T.StructType.fromJson(s["schema"])
 
     def _read(self, files: list[str], schema: T.StructType) -> DataFrame:
         if not files:
@@ -117,6 +139,19 @@ class VersionedTable:
         files, known = self.live(version)
         return self._read(files, known if known is not None else schema or T.StructType())
 
+    def read_of(self, values: list[str]) -> DataFrame:
+        """The rows whose (single, text) bucket column has one of these values: of its buckets' files only, by a filter that reaches the scan while it is short."""
+        files, schema = self.live()
+        if schema is None:
+            return self._read([], T.StructType())
+        if self.buckets > 1:
+            held = {bucket_number(v, self.buckets) for v in values}
+            files = [f for f in files if bucket_of(f) is None or bucket_of(f) in held]
+        rows, column = self._read(files, schema), F.col(self.by[0])
+        if len(values) <= MOST_LITERALS:
+            return rows.filter(column.isin(list(values)))
+        return rows.join(F.broadcast(self.spark.createDataFrame([(v,) for v in values], f"{self.by[0]} string")), self.by[0], "left_semi")
+
     def changes_since(self, version: int) -> list[tuple[int, DataFrame]]:
         """(version, rows of the files it added) for each later version that added any."""
         out = []
@@ -150,13 +185,13 @@ class VersionedTable:
     # -- writing
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.by]), F.lit(self.buckets)).cast("int")
 
     def _write_files(self, df: DataFrame) -> list[str]:
         folder = f"data/{uuid.uuid4().hex}"
         if self.keys and self.buckets > 1:
             (
-                df.withColumn(BUCKET, self._bucket()).repartition(BUCKET).sortWithinPartitions(BUCKET, *self.keys)
+                df.withColumn(BUCKET, self._bucket()).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *dict.fromkeys([*self.by, *self.keys]))
                 .write.partitionBy(BUCKET).parquet(f"{self.root}/{folder}")
             )
         else:
@@ -166,11 +201,15 @@ class VersionedTable:
     def _commit(self, version: int, add: list[str], remove: list[str], schema: T.StructType, mark: str | None = None) -> int:
         text = json.dumps({"version": version, "add": add, "remove": remove, "schema": json.loads(schema.json()), "time": time.time(), "mark": mark})
         self.store.commit(f"{self.root}/_log/{version:020}.json", text)
+        if version and version % CHECKPOINT == 0:
+            with suppress(Conflict):  # only a shorter way to what the log says
+                self.store.commit(f"{self.root}/_log/{version:020}.state.json", json.dumps(self.state(version)))
         return version
 
     def done(self, mark: str) -> bool:
-        """Whether a commit with this mark is in the log."""
-        return any(self.entry(v).get("mark") == mark for v in range(self.version() + 1))
+        """Whether a commit with this mark, or a later one of its stream, is in the log."""
+        stream, number = split_mark(mark)
+        return self.state()["marks"].get(stream, -1) >= number
 
     def write(self, df: DataFrame, mark: str | None = None, nothing: bool = False) -> int:
         """Create, append or upsert, whichever the table and its keys ask for; ``nothing``: the caller knows there are no rows."""
@@ -198,6 +237,13 @@ class VersionedTable:
         kept = old.join(new.select(*self.keys).distinct(), self.keys, "left_anti").select(*schema.names)
         return self._commit(version + 1, self._write_files(new.unionByName(kept)), touched, schema, mark)
 
+    def replace(self, df: DataFrame) -> int:
+        """These rows and no others, in one commit."""
+        version = self.version()
+        files, schema = self.live(version)
+        schema = nullable(df.schema) if schema is None else schema
+        return self._commit(version + 1, self._write_files(df.select(*schema.names)), files, schema)
+
     def delete(self, condition: Column) -> int:
         """Rewrites the files that hold such rows."""
         version = self.version()
@@ -209,6 +255,22 @@ class VersionedTable:
         kept = self._read(names, schema).filter(~F.coalesce(condition, F.lit(False)))
         return self._commit(version + 1, self._write_files(kept), names, schema)
 
+    def delete_matching(self, values: DataFrame, columns: list[str]) -> int:
+        """Delete rows in which one of ``columns`` has a value of ``values`` (its first column). Only the files that hold such rows are rewritten."""
+        version = self.version()
+        files, schema = self.live(version)
+        named = values.select(F.col(values.columns[0]).alias("_value")).distinct()
+        rows = self._read(files, schema)
+        parts = [rows.select(F.input_file_name().alias("f"), F.col(c).alias("_value")).join(named, "_value", "left_semi").select("f") for c in columns]
+        hit = {r[0].rsplit("/", 1)[-1] for r in reduce(lambda a, b: a.unionByName(b), parts).distinct().collect()}
+        names = [f for f in files if f.rsplit("/", 1)[-1] in hit]
+        if not names:
+            return version
+        kept = self._read(names, schema)
+        for c in columns:
+            kept = kept.join(named.withColumnRenamed("_value", c), c, "left_anti")
+        return self._commit(version + 1, self._write_files(kept.select(*schema.names)), names, schema)
+
 
 def bucket_of(file: str) -> int | None:
     for part in file.split("/"):
@@ -217,6 +279,18 @@ def bucket_of(file: str) -> int | None:
     return None
 
 
+def split_mark(mark: str) -> tuple[str, int]:
+    """A mark is ``stream#number``; one without a number is a stream of its own."""
+    stream, _, number = mark.rpartition("#")
+    return (stream, int(number)) if stream and number.isdigit() else (mark, 0)
+
+
+def bucket_number(value: str, buckets: int) -> int:
+    """What ``pmod(xxhash64(value), buckets)`` gives in a plan."""
+    h = xxhash.xxh64_intdigest(value.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
@@ -226,10 +300,10 @@ def key_match(keys: list[str]) -> Column:
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the last by ``order``; rows with null keys all stay."""
+    """One row per key, the last by ``order``; rows with null keys all stay, and stay where they are."""
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     w = Window.partitionBy(*keys).orderBy(*[o.desc() for o in order])
-    return df.withColumn("_n", F.when(known, F.row_number().over(w)).otherwise(1)).filter("_n = 1").drop("_n")
+    return df.filter(known).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").unionByName(df.filter(~known))
 
 
 class Lake:
@@ -239,8 +313,8 @@ class Lake:
         self.spark, self.root = spark, root.rstrip("/")
         self.store = Files(spark, self.root)
 
-    def table(self, name: str, keys: list[str] | None = None, buckets: int = 1) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/{name}", keys, buckets)
+    def table(self, name: str, keys: list[str] | None = None, buckets: int = 1, by: list[str] | None = None) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.root}/{name}", keys, buckets, by)
 
     def open(self, name: str) -> VersionedTable | None:
         t = self.table(name)
