@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -55,6 +58,37 @@ def batch_embedding(embed_batch: Callable[[list[str]], list[list[float]]], batch
     return run
 
 
+def remote_embedding(model: str, key: str, url: str, opener: Callable | None = None, batch: int = 64, timeout: float = 120.0) -> Provider:
+    """A service that takes {"model", "input"} by POST with a bearer token and answers {"data": [{"index", "embedding"}]}."""
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"model": model, "input": texts}).encode()
+        request = urllib.request.Request(url, data=body, headers={"Authorization": f"Bearer {key}", "Content-Type": "application/json"})
+        try:
+            with (opener or urllib.request.urlopen)(request, timeout=timeout) as answer:
+                data = json.loads(answer.read())["data"]
+        except urllib.error.HTTPError as e:
+            raise RuntimeError(f"the embedding service answered {e.code}: {e.read().decode(errors='replace')[:500]}") from e
+        return [d["embedding"] for _, d in sorted(enumerate(data), key=lambda x: x[1].get("index", x[0]))]
+
+    return batch_embedding(ask, batch)
+
+
+#: Models that this Python worker has loaded.
+_LOADED: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+
+
+def local_embedding(name: str, load: Callable[[str], Callable[[list[str]], list[list[float]]]], batch: int = 64) -> Provider:
+    """A model loaded by ``load(name)`` once in each Python worker."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        if name not in _LOADED:
+            _LOADED[name] = load(name)
+        return _LOADED[name](texts)
+
+    return batch_embedding(embed, batch)
+
+
 def provider_from_environment(remote: Callable[[], Provider] | None = None, local: Callable[[], Provider] | None = None, key: str = "EMBEDDING_API_KEY", model: str = "EMBEDDING_LOCAL_MODEL") -> Provider:
     """A remote provider if a key is set, else a local model if one is named, else none."""
     if os.environ.get(key) and remote:

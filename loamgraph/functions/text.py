@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgraph.functions.ids import let
+
 README_LINES = 120
 DIGEST_BYTES = 4000
 
@@ -35,15 +37,17 @@ def lines_of(text: Column) -> Column:
 
 def line_chunks(df: DataFrame, text_col: str = "text", size: int = README_LINES) -> DataFrame:
     """One row per window of ``size`` lines: the row's columns, chunk_order, start_line, end_line (from 1), chunk_text."""
-    lined = df.withColumn("_lines", lines_of(F.col(text_col))).filter(F.size("_lines") > 0)
-    at = F.col("chunk_order") * size
-    return (
-        lined.withColumn("chunk_order", F.explode(F.sequence(F.lit(0), ((F.size("_lines") - 1) / size).cast("int"))))
-        .withColumn("start_line", at + 1)
-        .withColumn("end_line", F.least(at + size, F.size("_lines")))
-        .withColumn("chunk_text", F.array_join(F.slice("_lines", at + 1, size), "\n"))
-        .drop("_lines")
-    )
+
+    def windows(lines: Column) -> Column:
+        def window(k: Column) -> Column:
+            at = k * size
+            ends = F.least(at + size, F.size(lines))
+            return F.struct(k.alias("chunk_order"), (at + 1).alias("start_line"), ends.alias("end_line"), F.array_join(F.slice(lines, at + 1, F.lit(size)), "\n").alias("chunk_text"))
+
+        return F.when(F.size(lines) > 0, F.transform(F.sequence(F.lit(0), ((F.size(lines) - 1) / size).cast("int")), window))
+
+    chunks = let(lines_of(F.col(text_col)), windows)
+    return df.withColumn("_c", F.explode(chunks)).select(*df.columns, "_c.chunk_order", "_c.start_line", "_c.end_line", "_c.chunk_text")
 
 
 def token_count(text: Column) -> Column:
@@ -140,36 +144,84 @@ def comment_digest(selected: DataFrame, group: list[str]) -> DataFrame:
     return gathered.select(*group, F.transform("_all", lambda x: x["id"]).alias("comment_ids"), F.nullif(F.aggregate(bodies, F.lit(""), add), F.lit("")).alias("digest"))
 
 
+def bytes_of(text: Column, start: Column, size: Column) -> Column:
+    """A window in bytes; what it cuts of characters at its ends becomes a replacement character."""
+    return F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), start, size).cast("string"))
+
+
+def references(text: Column, cross_repo: bool) -> Column:
+    """An array of what stands around every ``#`` followed by digits: position, digits, before and after (windows of bytes), prefix.
+
+    Each text is split once. A window looks over as many pieces as it can have characters, so the work grows with the length, not its square; places are summed
+    in blocks of pieces.
+    """
+    block = 256
+
+    def total(sizes: Column, first: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(sizes, first, n), F.lit(0), lambda a, x: a + x)
+
+    def around(parts: Column, sizes: Column, sums: Column) -> Column:
+        def one(k: Column) -> Column:
+            near = F.least(k, F.lit(REFERENCE_WINDOW + 1))
+            head = F.array_join(F.slice(parts, k - near + 1, near), "#")
+            digits = F.regexp_extract(F.element_at(parts, k + 1), "^([0-9]+)", 1)
+            tail = F.array_join(F.slice(parts, k + 1, F.lit(REFERENCE_WINDOW + 1)), "#")
+            whole = F.floor(k / block).cast("int")
+            position = total(sums, F.lit(1), whole) + total(sizes, whole * block + 1, k - whole * block) - 1
+            lead = F.octet_length(head)
+            return F.struct(
+                position.alias("position"),
+                digits.alias("digits"),
+                F.element_at(parts, k).alias("last"),
+                F.lower(bytes_of(head, F.greatest(lead - REFERENCE_WINDOW + 1, F.lit(1)), F.lit(REFERENCE_WINDOW))).alias("before"),
+                F.lower(bytes_of(tail, F.length(digits) + 1, F.lit(REFERENCE_WINDOW))).alias("after"),
+                F.regexp_extract(head, r"([^\s(\[{:,]*)\z", 1).alias("prefix"),
+            )
+
+        return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), one)
+
+    def found(parts: Column) -> Column:
+        glued = lambda last: last.rlike(r"[A-Za-z0-9/-]\z")
+        named = lambda last: last.rlike(r"(^|[\s(\[{:,])[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+\z")
+        usable = lambda r: F.length(r["digits"]).between(1, 7) & ((~glued(r["last"]) | named(r["last"])) if cross_repo else ~glued(r["last"]))
+
+        def placed(sizes: Column) -> Column:
+            blocks = F.sequence(F.lit(0), F.floor(F.size(sizes) / block).cast("int"))
+            return let(F.transform(blocks, lambda b: total(sizes, b * block + 1, F.lit(block))), lambda sums: around(parts, sizes, sums))
+
+        made = let(F.transform(parts, lambda p: F.length(p) + 1), placed)
+        return F.when(F.size(parts) > 1, F.filter(made, usable))
+
+    return let(F.split(text, "#"), found)
+
+
 def issue_links(df: DataFrame, text: Column, owner: Column, repo: Column, origin: Column, cross_repo: bool = False) -> DataFrame:
     """One row per ``#number`` in a text: the row's columns, position, number, link_type, strength, ref_owner, ref_repo, origin, cross_repo.
 
-    A number has one to seven digits. It counts if no letter, digit, ``/`` or ``-`` stands before ``#``; with ``cross_repo`` an ``owner/repo`` may.
+    A number has one to seven digits. It counts if no letter, digit, ``/`` or ``-`` stands before ``#``; with ``cross_repo`` an ``owner/repo`` may. What kind of
+    link it is depends on the words within ``REFERENCE_WINDOW`` bytes before ``#`` and after the number.
     """
-    parts = F.split(text, "#")
-    found = df.withColumn("_parts", parts).filter(F.size("_parts") > 1).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)))
-    before_all = F.array_join(F.slice("_parts", F.lit(1), F.col("_k")), "#")
-    digits = F.regexp_extract(F.element_at("_parts", F.col("_k") + 1), "^([0-9]+)", 1)
-    found = found.withColumns({"_before": before_all, "_digits": digits}).filter(F.length("_digits").between(1, 7))
-    last = F.element_at("_parts", F.col("_k"))
-    glued = last.rlike(r"[A-Za-z0-9/-]\z")
-    accept = ~glued | last.rlike(r"(^|[\s(\[{:,])[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+\z") if cross_repo else ~glued
-    found = found.filter(accept | (F.length(last) == 0))
-    position = F.length("_before")
-    after_at = position + F.length("_digits") + 2
-    before = F.lower(F.substring("_before", F.greatest(position - REFERENCE_WINDOW + 1, F.lit(1)), F.lit(REFERENCE_WINDOW)))
-    after = F.lower(F.substring(text, after_at, F.lit(REFERENCE_WINDOW)))
+    found = df.withColumn("_r", F.explode(references(text, cross_repo)))
+    r = F.col("_r")
     link, strength = F.lit("mentions"), F.lit(1)
     for name, weight, words in reversed(REFERENCE_CLASSES):
-        has = before.rlike(words) | after.rlike(words)
+        has = r["before"].rlike(words) | r["after"].rlike(words)
         link, strength = F.when(has, name).otherwise(link), F.when(has, weight).otherwise(strength)
-    prefix = F.regexp_replace(F.regexp_extract("_before", r"([^\s(\[{:,]*)\z", 1), r"^[(\[{:,;]+|[(\[{:,;]+\z", "")
+    prefix = F.regexp_replace(r["prefix"], r"^[(\[{:,;]+|[(\[{:,;]+\z", "")
     pair = F.regexp_extract(prefix, r"(?s)^(.+)/([^/]+)\z", 1), F.regexp_extract(prefix, r"(?s)^(.+)/([^/]+)\z", 2)
     usable = ~prefix.contains("://")
     ref_owner = F.when(usable & (pair[0] != ""), pair[0]).otherwise(owner)
     ref_repo = F.when(usable & (pair[0] != ""), pair[1]).when(usable & prefix.rlike(r"^[A-Za-z0-9_-]+\z"), prefix).otherwise(repo)
-    out = found.withColumns({"position": position, "number": F.col("_digits").cast("long"), "link_type": link, "strength": strength, "ref_owner": ref_owner, "ref_repo": ref_repo, "origin": origin})
+    made = {"position": r["position"], "number": r["digits"].cast("long"), "link_type": link, "strength": strength, "ref_owner": ref_owner, "ref_repo": ref_repo, "origin": origin}
+    out = found.withColumns(made)
     same = (F.lower("ref_owner") == F.lower(owner)) & (F.lower("ref_repo") == F.lower(repo))
-    return out.withColumn("cross_repo", ~same).drop("_parts", "_k", "_before", "_digits")
+    return out.withColumn("cross_repo", ~same).drop("_r")
+
+
+def first_comments(comments: DataFrame, group: list[str], representatives: int = 16) -> DataFrame:
+    """The comments of each thread that are looked at at all: the first four times ``representatives``, by time and id."""
+    order = Window.partitionBy(*group).orderBy("created_at", "id")
+    return comments.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= 4 * representatives).drop("_n")
 
 
 def strongest_links(links: DataFrame, group: list[str], origin_order: list[str], most: int = MOST_REFERENCES) -> DataFrame:

@@ -167,14 +167,19 @@ def parse_key_value(text: str) -> tuple[str, str]:
     return key.strip(), value
 
 
-def overview(nodes: DataFrame, edges: DataFrame, limit: int = 30) -> tuple[DataFrame, DataFrame]:
-    """The first nodes by id and the edges among them; the limit is kept within 1 and 300."""
-    picked = nodes.orderBy("id").limit(max(1, min(300, limit)))
-    ids = F.broadcast(picked.select("id"))
+def first_nodes(nodes: DataFrame, edges: DataFrame, k: int | None) -> tuple[DataFrame, DataFrame]:
+    """The first ``k`` nodes by id, all without it, and the edges among them."""
+    picked = nodes if k is None else nodes.orderBy("id").limit(k)
+    ids = picked.select("id") if k is None or k > 100_000 else F.broadcast(picked.select("id"))
     among = edges.join(ids.withColumnRenamed("id", "from_node_id"), "from_node_id", "left_semi").join(ids.withColumnRenamed("id", "to_node_id"), "to_node_id", "left_semi")
     return picked, among
 
 
+def overview(nodes: DataFrame, edges: DataFrame, limit: int = 30) -> tuple[DataFrame, DataFrame]:
+    """The first nodes by id and the edges among them; the limit is kept within 1 and 300."""
+    return first_nodes(nodes, edges, max(1, min(300, limit)))
+
+
 def valid_uuid(text: str) -> str:
     if not is_uuid(text):
         raise InvalidArgument(f"not a UUID: {text}")

@@ -15,6 +15,7 @@ from loamgraph.operators.ingest import Synchronizer, graph_views, refresh_graph
 from loamgraph.operators.sqlapi import table_sql
 from loamgraph.schema import REGISTRY, Category, Registry, canonical_entity
 from loamgraph.sources.catalog import Catalog
+from loamgraph.styles import type_styles
 from loamgraph.sources.graph_store import GraphStore
 from loamgraph.sources.store import Lake
 
@@ -112,6 +113,16 @@ class Engine:
         picked, among = lookup.overview(nodes, edges, limit)
         return lookup.node_view(picked), lookup.edge_view(among)
 
+    def types(self) -> list[dict]:
+        return type_styles()
+
+    def visual(self, k: int | None = None, node_prop: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """(id, label, title; id, label, source, target): the first ``k`` nodes by id (all without it), titled by a property, and the edges among them."""
+        store = self.graph()
+        picked, among = lookup.first_nodes(store.nodes, store.edges, k)
+        title = lookup.json_field(F.col("properties"), node_prop) if node_prop else F.lit(None).cast("string")
+        return picked.select("id", "label", title.alias("title")), lookup.edge_view(among)
+
     def graph_search(self, query: str, limit: int = 20, types: str | None = None) -> DataFrame:
         names = lookup.parse_list(types)
         if not query.strip() and not names:

@@ -1,6 +1,7 @@
 """REST sources as Python data sources, with an injected client, and their parsers as DataFrame expressions.
 
-A client is any object with ``get(path, params) -> parsed JSON``; without a network, ``FolderClient`` answers from recorded files.
+A client is any object with ``get(path, params) -> parsed JSON``: ``UrlClient`` asks a service, ``FolderClient`` answers from recorded files. A data source makes
+its client on the executors from its options: ``recorded`` (a folder), ``base_url`` (and ``token``), or ``client`` (``module:function``, called with the options).
 """
 
 from __future__ import annotations
@@ -8,7 +9,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +50,47 @@ class FolderClient:
             return json.load(f)
 
 
+class UrlClient:
+    """JSON by HTTP. ``opener`` takes a request and a timeout, as ``urllib.request.urlopen`` does. Answers 429 and 5xx are asked for again after a pause that doubles
+    or that the service names; others fail with what the service says."""
+
+    def __init__(self, base_url: str, token: str | None = None, opener: Callable | None = None, tries: int = 5, pause: float = 1.0, timeout: float = 60.0):
+        self.base, self.token, self.tries, self.pause, self.timeout = base_url.rstrip("/"), token, tries, pause, timeout
+        self.opener = opener or urllib.request.urlopen
+
+    def get(self, path: str, params: dict | None = None) -> object:
+        url = f"{self.base}/{path.lstrip('/')}"
+        if params:
+            url += "?" + urllib.parse.urlencode({k: v for k, v in params.items() if v is not None})
+        headers = {"Accept": "application/json"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
+        for k in range(self.tries):
+            try:
+                with self.opener(urllib.request.Request(url, headers=headers), timeout=self.timeout) as answer:
+                    return json.loads(answer.read())
+            except urllib.error.HTTPError as e:
+                if e.code != 429 and e.code < 500 or k + 1 == self.tries:
+                    raise SourceError(f"{e.code}: {e.read().decode(errors='replace')[:500]}") from e
+                named = (e.headers or {}).get("Retry-After", "")
+                time.sleep(float(named) if named.isdigit() else self.pause * 2**k)
+            except urllib.error.URLError as e:
+                if k + 1 == self.tries:
+                    raise SourceError(str(e.reason)) from e
+                time.sleep(self.pause * 2**k)
+        raise SourceError("no tries")
+
+
+def client_of(options: dict) -> object:
+    """The client that a source's options ask for."""
+    if options.get("client"):
+        module, _, name = options["client"].partition(":")
+        return getattr(import_module(module), name)(dict(options))
+    if options.get("recorded"):
+        return FolderClient(options["recorded"])
+    if options.get("base_url"):
+        return UrlClient(options["base_url"], options.get("token"))
+    raise SourceError("options name no client: recorded, base_url or client")
+
+
 def pages(client, path: str, params: dict | None = None, most: int | None = None) -> Iterator[dict]:
     """All rows of a paged list, ``PAGE`` a page."""
     number, given = 1, 0
@@ -95,13 +142,13 @@ class RepositorySource(DataSource):
 class RepositoryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.repos = [r.strip() for r in options["repos"].split(",") if r.strip()]
-        self.endpoint, self.recorded = options.get("endpoint", "issues"), options["recorded"]
+        self.endpoint, self.options = options.get("endpoint", "issues"), dict(options)
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(r) for r in self.repos]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
-        client, repo = FolderClient(self.recorded), partition.value
+        client, repo = client_of(self.options), partition.value
         path = ENDPOINTS[self.endpoint].format(repo=repo)
         if self.endpoint in ("repository", "readme"):
             yield repo, json.dumps(client.get(path))
@@ -117,6 +164,12 @@ def search_query(text: str, language: str | None = None, min_stars: int | None =
     return {"q": " ".join(p for p in parts if p), "per_page": min(limit, PAGE)}
 
 
+def search_repositories(spark: SparkSession, client, text: str, language: str | None = None, min_stars: int | None = None, limit: int = 30) -> DataFrame:
+    """The panel of one search."""
+    found = client.get("search/repositories", search_query(text, language, min_stars, limit)).get("items", [])
+    return search_panel(spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(found)], "place int, payload string").orderBy("place"), limit)
+
+
 SEARCH_PANEL = "silver/panel/repository_search"
 
 
@@ -200,6 +253,18 @@ def dimension_codes(dimension: dict, ids: list[str]) -> list[list[str]]:
     return out
 
 
+def series(spark: SparkSession, answer: dict) -> DataFrame:
+    """One data series as a table: a column for each dimension with its codes, then value and status. ``answer`` is one JSON-stat cube; its cells are laid out by
+    the executors."""
+    dimension = answer["dimension"]
+    ids, size = answer.get("id") or dimension["id"], answer.get("size") or dimension["size"]
+    status = answer.get("status") or []
+    cube = [(answer["value"], [int(n) for n in size], dimension_codes(dimension, ids), [str(s) for s in status])]
+    cells = series_cells(spark.createDataFrame(cube, "value array<double>, size array<int>, codes array<array<string>>, status array<string>"))
+    columns = [F.get(F.get("codes", F.lit(k)), F.get("coordinates", F.lit(k))).alias(d) for k, d in enumerate(ids)]
+    return cells.select(*columns, "value", F.get("status", F.col("position")).alias("status"))
+
+
 # -- recorded batches ----------------------------------------------------------------------------------
 
 
