@@ -29,6 +29,11 @@ REFERENCE_WINDOW = 40
 MOST_REFERENCES = 50
 
 
+def strip(text: Column) -> Column:
+    """Without white space at its ends; Spark's trim takes spaces only."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c\x85\xa0\u2028\u2029\u3000"))
+
+
 def lines_of(text: Column) -> Column:
     """Lines without their ends; LF and CRLF end lines, a last line end adds none. Empty text has no lines."""
     unix = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n\\z", "")
@@ -57,7 +62,7 @@ def token_count(text: Column) -> Column:
 
 def normalise_comment(text: Column) -> Column:
     """Lines trimmed, quoted lines (``>``) left out, white space collapsed, lower case."""
-    kept = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: ~x.startswith(">"))
+    kept = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: ~x.startswith(">"))
     return F.lower(F.trim(F.regexp_replace(F.array_join(kept, " "), r"\s+", " ")))
 
 
@@ -68,7 +73,7 @@ def reaction_score(plus: Column, heart: Column, hooray: Column, eyes: Column, ro
 
 
 def author_weight(association: Column) -> Column:
-    key = F.upper(F.trim(F.coalesce(association, F.lit("NONE"))))
+    key = F.upper(strip(F.coalesce(association, F.lit("NONE"))))
     out = F.when(key == "", 0.5)
     for name, weight in AUTHOR_WEIGHTS.items():
         out = out.when(key == name, weight)
@@ -96,7 +101,7 @@ def score_comments(comments: DataFrame, group: list[str]) -> DataFrame:
     """
     order = Window.partitionBy(*group).orderBy("created_at", "id")
     r = F.col("reactions")
-    kept = comments.filter(~F.coalesce("is_bot", F.lit(False)) & (F.trim("body_text") != "") & (F.col("id") != 0))
+    kept = comments.filter(~F.coalesce("is_bot", F.lit(False)) & (strip(F.col("body_text")) != "") & (F.col("id") != 0))
     placed = kept.withColumn("index", F.row_number().over(order) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(*group)))
     first = Window.partitionBy(*group, "normalised").orderBy("created_at", "id")
     unique = placed.withColumn("normalised", normalise_comment(F.col("body_text"))).filter("normalised <> ''").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
@@ -236,7 +241,7 @@ def strongest_links(links: DataFrame, group: list[str], origin_order: list[str],
 
 def section(head: str, text: Column) -> Column:
     """A section of a composed document, null if there is no text."""
-    return F.when(F.trim(text) != "", F.concat(F.lit(f"{head}\n"), text))
+    return F.when(strip(text) != "", F.concat(F.lit(f"{head}\n"), text))
 
 
 def issue_document(full_name: Column, c=F.col) -> Column:
@@ -270,10 +275,10 @@ def is_bot(account_type: Column, login: Column) -> Column:
 
 def optional_number(text: Column) -> Column:
     """A number, or null for null, blank and ``null``; anything else fails."""
-    t = F.trim(text)
+    t = strip(text)
     return F.when(t.isNull() | (t == "") | (F.lower(t) == "null"), None).otherwise(t.cast("double"))
 
 
 def first_text(*columns: Column) -> Column:
     """The first that is not blank."""
-    return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in columns])
+    return F.coalesce(*[F.nullif(strip(c.cast("string")), F.lit("")) for c in columns])

@@ -179,7 +179,8 @@ def hybrid(index: TextIndex | KeptIndex, vectors: DataFrame, query: str, vector:
     a = min(1.0, max(0.0, alpha))
     text = bm25(index, query, overfetch * max(1, limit), label).groupBy("id", "label").agg(F.max("score").alias("bm25")).select("id", "label", "bm25", F.lit(None).cast("double").alias("similarity"))
     near = knn(vectors, vector, overfetch * max(1, limit), label, metric).select("id", "label", F.lit(None).cast("double").alias("bm25"), "similarity")
-    both = text.unionByName(near).groupBy("id").agg(F.first("label", ignorenulls=True).alias("label"), F.max("bm25").alias("bm25"), F.max("similarity").alias("similarity"))
+    label_of = F.coalesce(F.max(F.when(F.col("bm25").isNotNull(), F.col("label"))), F.max("label"))
+    both = text.unionByName(near).groupBy("id").agg(label_of.alias("label"), F.max("bm25").alias("bm25"), F.max("similarity").alias("similarity"))
     score = a * F.coalesce("bm25", F.lit(0.0)) + (1 - a) * F.coalesce("similarity", F.lit(0.0))
     return both.withColumn("score", score).orderBy(F.desc("score"), "id").limit(max(1, limit)).select("id", "label", "score")
 

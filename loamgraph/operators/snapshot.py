@@ -54,7 +54,7 @@ def numbered_id(kind: str, url: Column, number: Column) -> Column:
 
 def unique_developers(developers: DataFrame) -> DataFrame:
     """One row per platform, account and login, case of platform and login aside; rows without any of them are left out."""
-    filled = reduce(lambda a, b: a & b, [F.trim(F.coalesce(c, F.lit(""))) != "" for c in ("platform", "account_id", "login")])
+    filled = reduce(lambda a, b: a & b, [text.strip(F.coalesce(F.col(c), F.lit(""))) != "" for c in ("platform", "account_id", "login")])
     w = Window.partitionBy(F.lower("platform"), "account_id", F.lower("login")).orderBy("platform", "login")
     return developers.filter(filled).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
@@ -203,7 +203,7 @@ def ast_graph(nodes: DataFrame, edges: DataFrame, sha: str, created: Column, pro
         graph.add(spec[f"edge_{kind}"], (made.unionByName(files) if kind == "contains" else made).dropDuplicates(["id"]))
     needs = both.filter("kind = 'contains' and st = 'file' and tt = 'library'")
     graph.add(spec["edge_dependson"], edges_of("dependson", needs, F.col("s"), F.col("t"), "file", "library", created, none).dropDuplicates(["id"]))
-    body = F.trim("body")
+    body = text.strip(F.col("body"))
     chunks = mapped.filter(F.col("entity").isin(*CHUNKED) & (body != "") & (F.coalesce("path", F.lit("")) != "")).withColumn("text", body)
     graph.add(
         spec["codechunk"],

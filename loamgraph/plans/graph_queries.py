@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions.ids import code_chunk_id, readme_embedding_id, source_node_key, uuid5_sql
@@ -62,11 +62,15 @@ def filtered_scan(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.filtered_scan(table(spark, sf, "orders"), [("o_orderstatus", "F"), ("o_custkey", "7")])
 
 
-@query("index_search", "SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE lower(p_name) LIKE '%an%' OR lower(p_brand) LIKE '%an%' OR lower(p_type) LIKE '%an%' ORDER BY p_name, p_brand, p_type, p_partkey LIMIT 25")
+@query(
+    "index_search",
+    """SELECT id, o_orderpriority, updated_at FROM (SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS id, o_orderpriority, o_orderdate AS updated_at FROM orders)
+    WHERE lower(o_orderpriority) LIKE '%ur%' OR id LIKE '%ur%' ORDER BY updated_at DESC, id, o_orderpriority LIMIT 25""",
+)
 def index_search(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type").withColumn("id", F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
-    found = lookup.index_search(parts.drop("id"), " AN ", 1 << 30)
-    return found.orderBy("p_name", "p_brand", "p_type", "p_partkey").limit(25)
+    """Newest first, as the operator orders them."""
+    o = table(spark, sf, "orders")
+    return lookup.index_search(o.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), "o_orderpriority", F.col("o_orderdate").alias("updated_at")), " UR ", 25)
 
 
 @query("node_by_id", WITH_GRAPH + f"SELECT id, label, properties FROM nodes WHERE id = '{CUSTOMER}'")
@@ -220,28 +224,50 @@ def bfs_capped_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return bfs(spark, sf, CUSTOMER, depth=2, node_limit=5).nodes.drop("place")
 
 
-@query(
-    "shortest_path",
-    WITH_GRAPH
-    + f""", walk(id, level) AS (SELECT '{CUSTOMER}', 0 UNION SELECT e.to_node_id, w.level + 1 FROM walk w JOIN edges e ON e.from_node_id = w.id WHERE w.level < 3)
-      SELECT min(level)::INT AS length, count(*) > 0 AS found FROM walk WHERE id = (SELECT id FROM nodes WHERE label = 'region' AND k = (SELECT CAST(n_regionkey AS VARCHAR) FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey = 1))""",
-)
+def path_rows(spark: SparkSession, *paths: dict | None) -> DataFrame:
+    """path, place, node, edge (by which the node is reached); a path that isn't there has one row of nulls."""
+    out = []
+    for k, path in enumerate(paths):
+        edges_in = [None, *path["edges"]] if path else [None]
+        out += [(k, i, n, e) for i, (n, e) in enumerate(zip(path["nodes"], edges_in, strict=True))] if path else [(k, None, None, None)]
+    return spark.createDataFrame(out, "path int, place int, node string, edge string")
+
+
+HOME = """, home AS (SELECT c.id AS c, n.id AS n, r.id AS r, e1.id AS e1, e2.id AS e2 FROM nodes c JOIN edges e1 ON e1.from_node_id = c.id AND e1.label = 'edge_innation' JOIN nodes n ON n.id = e1.to_node_id
+    JOIN edges e2 ON e2.from_node_id = n.id AND e2.label = 'edge_inregion' JOIN nodes r ON r.id = e2.to_node_id WHERE c.label = 'customer' AND c.k = '1')"""
+
+
+@query("shortest_path", WITH_GRAPH + HOME + " SELECT 0 AS path, 0 AS place, c AS node, NULL AS edge FROM home UNION ALL SELECT 0, 1, n, e1 FROM home UNION ALL SELECT 0, 2, r, e2 FROM home UNION ALL SELECT 1, NULL, NULL, NULL UNION ALL SELECT 2, 0, c, NULL FROM home")
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer's region, node by node; the way back, which there isn't; and the customer itself."""
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
-    region = c.filter("c_custkey = 1").join(n, F.col("c_nationkey") == F.col("n_nationkey")).first()["n_regionkey"]
-    path = graph.path_between(stored_graph(spark, sf), CUSTOMER, star_id("region", region))
-    return spark.createDataFrame([(path["length"], True)] if path else [(None, False)], "length int, found boolean")
+    region = star_id("region", c.filter("c_custkey = 1").join(n, F.col("c_nationkey") == F.col("n_nationkey")).first()["n_regionkey"])
+    store = stored_graph(spark, sf)
+    return path_rows(spark, *[graph.path_between(store, *ends) for ends in ((CUSTOMER, region), (region, CUSTOMER), (CUSTOMER, CUSTOMER))])
 
 
-@query("shortest_path_by_label", "SELECT NULL::INT AS length, false AS found")
+@query(
+    "shortest_path_by_label",
+    WITH_GRAPH
+    + f""", line AS (SELECT min(l_partkey) AS p FROM lineitem WHERE l_orderkey = {ORDER_KEY}), hit AS (SELECT e.* FROM edges e JOIN nodes t ON t.id = e.to_node_id AND t.label = 'part' JOIN line ON t.k = p::VARCHAR
+      WHERE e.from_node_id = '{star_id("orders", ORDER_KEY)}') SELECT 0 AS path, 0 AS place, from_node_id AS node, NULL AS edge FROM hit UNION ALL SELECT 0, 1, to_node_id, id FROM hit UNION ALL SELECT 1, NULL, NULL, NULL""",
+)
 def shortest_path_by_label(spark: SparkSession, sf: str) -> DataFrame:
-    path = graph.path_between(stored_graph(spark, sf), CUSTOMER, PART, label="edge_innation")
-    return spark.createDataFrame([(path and path["length"], bool(path))], "length int, found boolean")
+    """By the one label that leads there, and by one that doesn't."""
+    part = star_id("part", table(spark, sf, "lineitem").filter(F.col("l_orderkey") == ORDER_KEY).agg(F.min("l_partkey")).first()[0])
+    store, order = stored_graph(spark, sf), star_id("orders", ORDER_KEY)
+    return path_rows(spark, *[graph.path_between(store, order, part, label=x) for x in ("contains", "edge_innation")])
 
 
 # -- stored queries
 
 
+def stored_frames(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as they are kept, without the expressions that made their ids."""
+    store = stored_graph(spark, sf)
+    return store.nodes, store.edges
+
+
 @query(
     "two_hop_exists",
     WITH_GRAPH + """SELECT p.id FROM nodes p WHERE p.label = 'part' AND EXISTS (SELECT 1 FROM edges c JOIN edges o ON o.to_node_id = c.from_node_id AND o.label = 'edge_placed'
@@ -249,7 +275,7 @@ def shortest_path_by_label(spark: SparkSession, sf: str) -> DataFrame:
 )
 def two_hop_exists(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes with a parent that has a parent of a given kind."""
-    n, e = nodes(spark, sf), edges(spark, sf)
+    n, e = stored_frames(spark, sf)
     return stored.with_ancestors(n.filter("label = 'part'"), e, n, [("contains", None), ("placed", F.col("id") == CUSTOMER)]).select("id")
 
 
@@ -260,23 +286,23 @@ def two_hop_exists(spark: SparkSession, sf: str) -> DataFrame:
 )
 def out_with_parent(spark: SparkSession, sf: str) -> DataFrame:
     """Targets of a node's edges, each with its parents by another edge."""
-    return stored.hop_with_parent(nodes(spark, sf), edges(spark, sf), star_id("orders", ORDER_KEY), "contains", "out", "supplies").select("id", "label", "parent_id")
+    return stored.hop_with_parent(*stored_frames(spark, sf), star_id("orders", ORDER_KEY), "contains", "out", "supplies").select("id", "label", "parent_id")
 
 
 @query("in_with_parent", WITH_GRAPH + f"SELECT t.id, t.label, f.id AS parent_id FROM edges e JOIN nodes t ON t.id = e.from_node_id JOIN edges i ON i.to_node_id = t.id AND i.label = 'edge_placed' JOIN nodes f ON f.id = i.from_node_id WHERE e.label = 'edge_contains' AND e.to_node_id = '{PART}'")
 def in_with_parent(spark: SparkSession, sf: str) -> DataFrame:
-    return stored.hop_with_parent(nodes(spark, sf), edges(spark, sf), PART, "contains", "in", "placed").select("id", "label", "parent_id")
+    return stored.hop_with_parent(*stored_frames(spark, sf), PART, "contains", "in", "placed").select("id", "label", "parent_id")
 
 
 @query("endpoint_filter_hop", WITH_GRAPH + "SELECT DISTINCT t.id, t.label FROM nodes n JOIN edges e ON e.from_node_id = n.id AND e.label = 'edge_innation' JOIN nodes t ON t.id = e.to_node_id WHERE n.label = 'supplier' AND json_extract_string(n.properties, '$.name') LIKE '%1'")
 def endpoint_filter_hop(spark: SparkSession, sf: str) -> DataFrame:
-    t = graph.Traversal(nodes(spark, sf), edges(spark, sf)).nodes_of("supplier").where(lookup.json_field(F.col("properties"), "name").like("%1"))
+    t = graph.Traversal(*stored_frames(spark, sf)).nodes_of("supplier").where(lookup.json_field(F.col("properties"), "name").like("%1"))
     return t.out("innation").current.select("id", "label")
 
 
 @query("traversal_in", WITH_GRAPH + f"SELECT DISTINCT n.id FROM edges e JOIN nodes n ON n.id = e.from_node_id WHERE e.label = 'edge_innation' AND e.to_node_id = '{NATION}'")
 def traversal_in(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.Traversal(nodes(spark, sf), edges(spark, sf)).from_ids(NATION).into("innation").ids()
+    return graph.Traversal(*stored_frames(spark, sf)).from_ids(NATION).into("innation").ids()
 
 
 # -- statistics
@@ -307,34 +333,62 @@ def graph_density(spark: SparkSession, sf: str) -> DataFrame:
     return graph.density(nodes(spark, sf), edges(spark, sf))
 
 
-def nation_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    kinds: Column = F.col("label").isin("edge_inregion", "edge_innation")
-    return nodes(spark, sf).filter(F.col("label").isin("region", "nation", "customer", "supplier")), edges(spark, sf).filter(kinds)
+def rounds(steps: int, first: str, step: str) -> str:
+    """CTEs s0, s1, ...: each from the one before, which ``step`` calls {s}."""
+    return f", s0 AS MATERIALIZED ({first})" + "".join(f", s{k} AS MATERIALIZED ({step.format(s=f's{k - 1}')})" for k in range(1, steps + 1))
 
 
-@query(
-    "connected_components",
-    WITH_GRAPH
-    + """, small AS (SELECT * FROM edges WHERE label IN ('edge_inregion', 'edge_innation')),
-    up AS (SELECT n.id, coalesce(r2.to_node_id, r1.to_node_id, n.id) AS root FROM nodes n LEFT JOIN small r1 ON r1.from_node_id = n.id LEFT JOIN small r2 ON r2.from_node_id = r1.to_node_id WHERE n.label IN ('region', 'nation', 'customer', 'supplier'))
-    SELECT id, min(id) OVER (PARTITION BY root) AS component FROM up""",
-)
+#: No two nodes of a component of this graph are further apart.
+DIAMETER = 12
+LOWEST = rounds(DIAMETER, "SELECT id, id AS c FROM nodes", "SELECT n.id, least(n.c, min(m.c)) AS c FROM {s} n LEFT JOIN both_ b ON b.a = n.id LEFT JOIN {s} m ON m.id = b.b GROUP BY n.id, n.c")
+BOTH = ", both_ AS MATERIALIZED (SELECT from_node_id AS a, to_node_id AS b FROM edges UNION ALL SELECT to_node_id, from_node_id FROM edges)"
+
+
+@query("connected_components", WITH_GRAPH + BOTH + LOWEST + f" SELECT id, c AS component FROM s{DIAMETER}")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.connected_components(*nation_graph(spark, sf))
+    return graph.connected_components(nodes(spark, sf), edges(spark, sf))
 
 
-@query("triangle_counts", WITH_GRAPH + ", u AS (SELECT DISTINCT least(from_node_id, to_node_id) AS a, greatest(from_node_id, to_node_id) AS b FROM edges WHERE label <> 'edge_contains'), both_ AS (SELECT a AS n FROM u UNION ALL SELECT b FROM u) SELECT n AS node_id, 0::BIGINT AS triangles, 0.0::DOUBLE AS clustering FROM both_ GROUP BY n")
+def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders, their parts and the parts' suppliers: every order line is a triangle."""
+    lines = table(spark, sf, "lineitem")
+    name = {"o": F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), "p": F.concat(F.lit("p"), F.col("l_partkey").cast("string")), "s": F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))}
+    parts = [lines.select(name[a].alias("from_node_id"), name[b].alias("to_node_id")) for a, b in ("op", "ps", "so")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "triangle_counts",
+    """WITH e AS (SELECT 'o' || l_orderkey AS o, 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem), u AS (SELECT DISTINCT o AS a, p AS b FROM e UNION SELECT p, s FROM e UNION SELECT o, s FROM e),
+    t AS (SELECT x.a AS o, x.b AS p, y.b AS s FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b), n AS (SELECT unnest([o, p, s]) AS n FROM t), c AS (SELECT n, count(*) AS t FROM n GROUP BY n),
+    d AS (SELECT n, count(*) AS d FROM (SELECT unnest([a, b]) AS n FROM u) GROUP BY n)
+    SELECT d.n AS node_id, coalesce(t, 0) AS triangles, CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END AS clustering FROM d LEFT JOIN c ON c.n = d.n""",
+)
 def triangle_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The star graph without order lines has no triangles."""
-    t = graph.triangles(edges(spark, sf).filter("label <> 'edge_contains'"))
+    t = graph.triangles(trade_edges(spark, sf))
     return t.select("node_id", F.col("triangles").cast("long").alias("triangles"), "clustering")
 
 
-@query("page_rank")
+RANKS = rounds(
+    5,
+    "SELECT n.id, o.n AS out, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes n LEFT JOIN outs o ON o.id = n.id",
+    """SELECT n.id, n.out, 0.15 / t.n + 0.85 * (coalesce(g.got, 0) + t.lost / t.n) AS rank FROM {s} n LEFT JOIN (SELECT e.to_node_id AS id, sum(r.rank / r.out) AS got FROM edges e JOIN {s} r ON r.id = e.from_node_id GROUP BY 1) g ON g.id = n.id,
+    (SELECT count(*) AS n, coalesce(sum(rank) FILTER (WHERE out IS NULL), 0) AS lost FROM {s}) t""",
+)
+
+
+@query("page_rank", WITH_GRAPH + ", outs AS (SELECT from_node_id AS id, count(*) AS n FROM edges GROUP BY 1)" + RANKS + " SELECT id, round(rank, 12) AS rank FROM s5")
 def page_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.page_rank(*nation_graph(spark, sf), rounds=5)
+    return graph.page_rank(nodes(spark, sf), edges(spark, sf), rounds=5).select("id", F.round("rank", 12).alias("rank"))
+
+
+VOTES = rounds(
+    3,
+    "SELECT id, id AS c FROM nodes",
+    """SELECT n.id, coalesce(v.c, n.c) AS c FROM {s} n LEFT JOIN (SELECT a, arg_min(c, (-n, c)) AS c FROM (SELECT b.a, m.c, count(*) AS n FROM both_ b JOIN {s} m ON m.id = b.b WHERE b.a <> b.b GROUP BY 1, 2) GROUP BY a) v ON v.a = n.id""",
+)
 
 
-@query("label_propagation")
+@query("label_propagation", WITH_GRAPH + BOTH + VOTES + " SELECT id, c AS community FROM s3")
 def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.label_propagation(*nation_graph(spark, sf), rounds=3)
+    return graph.label_propagation(nodes(spark, sf), edges(spark, sf), rounds=3)

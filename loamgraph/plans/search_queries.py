@@ -94,36 +94,52 @@ def knn_then_source(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", "n_name").join(F.broadcast(owners), "n_nationkey", "left_semi")
 
 
-def hybrid_sql(alpha: float, limit: int, bm25: str = "scores", near: str = "near") -> str:
-    return f""",
-    t AS (SELECT id::VARCHAR AS id, label, score FROM {bm25} ORDER BY score DESC, id LIMIT {2 * limit}),
-    v AS (SELECT 'v' || id AS id, label, 1 / (1 + distance) AS similarity FROM {near} ORDER BY distance, 'v' || id LIMIT {2 * limit}),
-    f AS (SELECT id, label, {alpha} * score AS score FROM t UNION ALL SELECT id, label, {1 - alpha} * similarity FROM v)
-    SELECT id, label, round(score, 6) AS score FROM f ORDER BY f.score DESC, id LIMIT {limit}"""
+#: Vectors under the ids of documents, so that the two lists meet: of every fourth document of the same number.
+MET = """, met AS (SELECT CASE WHEN id % 4 = 0 THEN id::VARCHAR ELSE 'v' || id END AS id, label, 1 / (1 + distance) AS similarity FROM near)"""
 
 
-@query("hybrid_fusion", BM25.replace("doc_id AS id", "doc_id::VARCHAR AS id") + NEAR + hybrid_sql(0.25, 20))
+def meeting_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.col("id").cast("string")
+    return vectors(spark, sf).withColumn("id", F.when(F.col("id") % 4 == 0, number).otherwise(F.concat(F.lit("v"), number)))
+
+
+TEXT_IDS = BM25.replace("doc_id AS id", "doc_id::VARCHAR AS id")
+
+
+@query(
+    "hybrid_fusion",
+    TEXT_IDS + NEAR + MET + """, t AS (SELECT id, label, score FROM scores ORDER BY score DESC, id LIMIT 600), v AS (SELECT * FROM met ORDER BY similarity DESC, id LIMIT 600)
+    SELECT coalesce(t.id, v.id) AS id, coalesce(t.label, v.label) AS label, round(0.25 * coalesce(score, 0) + 0.75 * coalesce(similarity, 0), 6) AS score FROM t FULL JOIN v ON t.id = v.id
+    ORDER BY 0.25 * coalesce(t.score, 0) + 0.75 * coalesce(v.similarity, 0) DESC, 1 LIMIT 300""",
+)
 def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    vecs = vectors(spark, sf).withColumn("id", F.concat(F.lit("v"), F.col("id").cast("string")))
-    return rounded(search.hybrid(kept_index(spark, sf, "string"), vecs, TEXT_QUERY, QUERY, 0.25, 20), "score")
+    return rounded(search.hybrid(kept_index(spark, sf, "string"), meeting_vectors(spark, sf), TEXT_QUERY, QUERY, 0.25, 300), "score")
 
 
 @query(
     "hybrid_multi",
-    BM25.replace("doc_id AS id", "doc_id::VARCHAR AS id") + NEAR + """,
+    TEXT_IDS + NEAR + MET + """, named AS (SELECT id, CASE WHEN label IN ('1', '2', '3', '4', '5') THEN 'en' ELSE 'fr' END AS label, similarity FROM met),
     t AS (SELECT id, label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS r FROM scores WHERE label IN ('en', 'fr')),
-    v AS (SELECT 'v' || id AS id, label, 1 / (1 + distance) AS s, row_number() OVER (PARTITION BY label ORDER BY distance, 'v' || id) AS r FROM near WHERE label IN ('1', '2')),
-    f AS (SELECT id, label, 0.5 * score AS score FROM t WHERE r <= 24 UNION ALL SELECT id, label, 0.5 * s FROM v WHERE r <= 24),
+    v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, id) AS r FROM named),
+    f AS (SELECT coalesce(t.id, v.id) AS id, coalesce(t.label, v.label) AS label, 0.5 * coalesce(score, 0) + 0.5 * coalesce(similarity, 0) AS score FROM (SELECT * FROM t WHERE r <= 400) t FULL JOIN (SELECT * FROM v WHERE r <= 400) v ON t.id = v.id AND t.label = v.label),
     c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS r FROM f)
-    SELECT id, label, round(score, 6) AS score FROM c WHERE r <= 12 ORDER BY c.score DESC, id LIMIT 12""",
+    SELECT id, label, round(score, 6) AS score FROM c WHERE r <= 200 ORDER BY c.score DESC, id LIMIT 200""",
 )
 def hybrid_multi(spark: SparkSession, sf: str) -> DataFrame:
-    vecs = vectors(spark, sf).withColumn("id", F.concat(F.lit("v"), F.col("id").cast("string")))
-    index = kept_index(spark, sf, "string")
-    return rounded(search.hybrid_multi(index, vecs, ["en", "fr", "1", "2"], TEXT_QUERY, QUERY, 0.5, 12), "score")
+    vecs = meeting_vectors(spark, sf).withColumn("label", F.when(F.col("label").isin("1", "2", "3", "4", "5"), "en").otherwise("fr"))
+    return rounded(search.hybrid_multi(kept_index(spark, sf, "string"), vecs, ["en", "fr"], TEXT_QUERY, QUERY, 0.5, 200), "score")
 
 
-@query("knn_clustered")
+@query("knn_clustered", "SELECT true AS recall_reached, 15::BIGINT AS hits")
 def knn_clustered(spark: SparkSession, sf: str) -> DataFrame:
-    clustered, centres = search.cluster_vectors(vectors(spark, sf), 16)
-    return search.knn_in_cells(clustered, centres, QUERY, 15, probes=8)
+    """Recall against the exact neighbours, over the vectors whose id is divisible by 100 as queries: 0.9 at least."""
+    v = vectors(spark, sf)
+    clustered, centres = search.cluster_vectors(v, 16)
+    clustered = clustered.cache()
+    asked = [r["embedding"] for r in v.filter("id % 100 = 0").orderBy("id").limit(20).collect()]
+    hit = 0
+    for q in asked:
+        near, exact = search.knn_in_cells(clustered, centres, q, 15, probes=12), search.knn(v, q, 15)
+        hit += near.join(exact.select("id"), "id", "left_semi").count()
+    found = search.knn_in_cells(clustered, centres, QUERY, 15, probes=12).count()
+    return spark.createDataFrame([(hit >= 0.9 * 15 * len(asked), found)], "recall_reached boolean, hits long")

@@ -218,3 +218,12 @@ def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     counts = replay.windowed_counts(source, "ts", "1 day", ["event_type"], None)
     replay.upsert_stream(counts, target, session.scratch(spark, "stream-checkpoint"), lambda df: df, mode="complete")
     return target.read().select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("keyed_stream_state", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def keyed_stream_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and sums kept per user while the events stream by; the last of each user's states."""
+    target = scratch(spark, "states", ["user_id"])
+    totals = replay.running_totals(replay.file_stream(spark, sf, "events"), "user_id", "value")
+    replay.upsert_stream(totals, target, session.scratch(spark, "stream-checkpoint"), lambda df: df, mode="update")
+    return target.read().select("user_id", "n", F.round("total", 4).alias("total"))

@@ -80,20 +80,47 @@ def comment_selection(spark: SparkSession, sf: str) -> DataFrame:
     return text.select_comments(scored, ["conv_id"], 4).select("conv_id", "id", "place")
 
 
-@query("comment_digests")
+SELECTED_SQL = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, id) AS r, sum((score >= 0.42)::INT) OVER (PARTITION BY conv_id) AS above FROM scored),
+    chosen AS (SELECT *, r <= 8 AND (least(above, 8) < 3 OR score >= 0.42) AS c FROM ranked),
+    rev AS (SELECT *, max((c AND kind = 'review')::INT) OVER (PARTITION BY conv_id) AS seen, min(CASE WHEN kind = 'review' THEN r END) OVER (PARTITION BY conv_id) AS best FROM chosen),
+    sel AS (SELECT conv_id, id, body_text, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, id) AS place FROM rev WHERE c OR (seen = 0 AND r = best)),
+    whole AS (SELECT conv_id, list(id ORDER BY place) AS comment_ids, list(body_text ORDER BY place) AS texts FROM sel WHERE place <= 8 GROUP BY conv_id)"""
+#: One step of the digest: text x after what is done, within 4000 bytes.
+DIGEST_STEP = """CASE WHEN strlen(done) >= 4000 THEN done WHEN strlen(x) > 4000 - strlen(done || CASE done WHEN '' THEN '' ELSE chr(10) || chr(10) END)
+    THEN done || CASE done WHEN '' THEN '' ELSE chr(10) || chr(10) END || substr(x, 1, greatest(4000 - strlen(done || CASE done WHEN '' THEN '' ELSE chr(10) || chr(10) END), 0)) || '…'
+    ELSE done || CASE done WHEN '' THEN '' ELSE chr(10) || chr(10) END || x END"""
+
+
+@query("comment_digests", SCORED_SQL + SELECTED_SQL + f" SELECT conv_id, comment_ids, nullif(list_reduce(list_prepend('', texts), lambda done, x: {DIGEST_STEP}), '') AS digest FROM whole")
 def comment_digests(spark: SparkSession, sf: str) -> DataFrame:
     scored = text.score_comments(comments(spark, sf), ["conv_id"])
     return text.comment_digest(text.select_comments(scored, ["conv_id"]), ["conv_id"])
 
 
-#: Documents hold no references; some are put in.
-REFERENCES = "'Fixes #' || (doc_id % 900 + 1) || ', see (#' || (doc_id % 17) || ') x#5 ' || left(text, 120) || ' related #12345678 and #' || (doc_id % 3) || '#'"
+#: Documents hold no references; some are put in, around the whole text, and more than fifty after it.
+REFERENCES = """'Fixes #' || (doc_id % 900 + 1) || ', see (#' || (doc_id % 17) || ') x#5 ' || text || ' related #12345678 and #' || (doc_id % 3) || '# ' || array_to_string(list_transform(range(0, 60), lambda i: '#' || (1000 + (i + doc_id * 3) % 70)), ' ')"""
+
+
+def hexed(words: str) -> str:
+    """A pattern of the words' bytes, as ``WINDOWS`` writes them."""
+    return "|".join("".join(f"{b:02X} " for b in w.encode()) for w in words.split("|"))
+
+
+#: Every ``#`` with digits, in what text it stands, and the 40 bytes before and after as pairs of hexadecimal digits.
+WINDOWS = f"""b AS (SELECT doc_id, {REFERENCES} AS t FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, string_split(t, '#') AS x, unnest(range(2, len(string_split(t, '#')) + 1)) AS k FROM b),
+    p AS (SELECT doc_id, array_to_string(x[1 : k - 1], '#') AS l, array_to_string(x[k :], '#') AS r, regexp_extract(x[k], '^[0-9]+') AS d FROM f),
+    w AS (SELECT doc_id, length(l) AS position, d::BIGINT AS number, regexp_replace(right(hex(encode(lower(l))), 80), '(..)', '\\1 ', 'g') AS b, regexp_replace(substr(hex(encode(lower(r))), 2 * length(d) + 1, 80), '(..)', '\\1 ', 'g') AS a
+      FROM p WHERE length(d) BETWEEN 1 AND 7 AND NOT regexp_matches(l, '[A-Za-z0-9/-]$')),
+    c AS (SELECT *, CASE WHEN regexp_matches(a, '{hexed("close|fix|resolve")}') OR regexp_matches(b, '{hexed("close|fix|resolve")}') THEN 'closes' WHEN regexp_matches(a, '{hexed("duplicate")}') OR regexp_matches(b, '{hexed("duplicate")}') THEN 'duplicate'
+      WHEN regexp_matches(a, '{hexed("ref|see|related")}') OR regexp_matches(b, '{hexed("ref|see|related")}') THEN 'references' ELSE 'mentions' END AS link_type FROM w),
+    s AS (SELECT *, CASE link_type WHEN 'mentions' THEN 1 WHEN 'references' THEN 2 ELSE 3 END AS strength FROM c)"""
 
 
 def with_references(spark: SparkSession, sf: str) -> DataFrame:
+    number = lambda i: F.concat(F.lit("#"), (1000 + (i + F.col("doc_id") * 3) % 70).cast("string"))
     body = F.concat(
-        F.lit("Fixes #"), (F.col("doc_id") % 900 + 1).cast("string"), F.lit(", see (#"), (F.col("doc_id") % 17).cast("string"), F.lit(") x#5 "), F.substring("text", 1, 120),
-        F.lit(" related #12345678 and #"), (F.col("doc_id") % 3).cast("string"), F.lit("#"),
+        F.lit("Fixes #"), (F.col("doc_id") % 900 + 1).cast("string"), F.lit(", see (#"), (F.col("doc_id") % 17).cast("string"), F.lit(") x#5 "), F.col("text"),
+        F.lit(" related #12345678 and #"), (F.col("doc_id") % 3).cast("string"), F.lit("# "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(59)), number), " "),
     )
     return table(spark, sf, "documents").select("doc_id", body.alias("body"))
 
@@ -102,30 +129,40 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     return text.issue_links(with_references(spark, sf), F.col("body"), F.lit("own"), F.lit("repo"), F.lit("body"))
 
 
-@query("issue_links", f"SELECT doc_id, n::BIGINT AS number FROM (SELECT doc_id, unnest(regexp_extract_all({REFERENCES}, '(^|[^A-Za-z0-9/-])#([0-9]+)', 2)) AS n FROM documents) WHERE length(n) <= 7")
+@query("issue_links", f"WITH {WINDOWS} SELECT doc_id, position, number FROM w")
 def issue_links(spark: SparkSession, sf: str) -> DataFrame:
-    return links(spark, sf).select("doc_id", "number")
+    return links(spark, sf).select("doc_id", "position", "number")
 
 
-@query(
-    "issue_link_classes",
-    f"""WITH b AS (SELECT doc_id, {REFERENCES} AS t FROM documents), f AS (SELECT doc_id, t, unnest([1, 2, 3]) AS k FROM b),
-    p AS (SELECT doc_id, t, k, CASE k WHEN 1 THEN instr(t, '#') WHEN 2 THEN instr(t, '(#') + 1 ELSE length(t) - 2 END AS pos,
-          CASE k WHEN 1 THEN doc_id % 900 + 1 WHEN 2 THEN doc_id % 17 ELSE doc_id % 3 END AS number FROM f),
-    w AS (SELECT doc_id, number, lower(substr(t, greatest(pos - 40, 1), pos - greatest(pos - 40, 1))) AS b, lower(substr(t, pos + 1 + length(number::VARCHAR), 40)) AS a FROM p)
-    SELECT doc_id, number, CASE WHEN regexp_matches(a, 'close|fix|resolve') OR regexp_matches(b, 'close|fix|resolve') THEN 'closes' WHEN contains(a, 'duplicate') OR contains(b, 'duplicate') THEN 'duplicate'
-      WHEN regexp_matches(a, 'ref|see|related') OR regexp_matches(b, 'ref|see|related') THEN 'references' ELSE 'mentions' END AS link_type FROM w""",
-)
+@query("issue_link_classes", f"WITH {WINDOWS} SELECT doc_id, position, number, link_type FROM c")
 def issue_link_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return links(spark, sf).select("doc_id", "number", "link_type")
+    return links(spark, sf).select("doc_id", "position", "number", "link_type")
 
 
 @query(
     "link_strength_dedup",
-    f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all({REFERENCES}, '(^|[^A-Za-z0-9/-])#([0-9]+)', 2)) AS n FROM documents) SELECT DISTINCT doc_id, n::BIGINT AS number FROM r WHERE length(n) <= 7""",
+    f"""WITH {WINDOWS}, one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, number ORDER BY strength DESC, position) = 1)
+    SELECT doc_id, position, number, link_type, strength FROM one QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY strength DESC, position, number) <= 50""",
 )
 def link_strength_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return text.strongest_links(links(spark, sf), ["doc_id"], ["title", "body"]).select("doc_id", "number")
+    """The strongest link of each number, the first on ties, and of each document the fifty strongest."""
+    return text.strongest_links(links(spark, sf), ["doc_id"], ["title", "body"]).select("doc_id", "position", "number", "link_type", "strength")
+
+
+@query("cross_repository_links", "SELECT doc_id, doc_id AS number, CASE doc_id % 3 WHEN 0 THEN 'other' ELSE 'own' END AS ref_owner, CASE doc_id % 3 WHEN 0 THEN 'tool' WHEN 1 THEN 'repo' ELSE 'lib.x' END AS ref_repo, doc_id % 3 <> 1 AS cross_repo FROM documents WHERE text IS NOT NULL")
+def cross_repository_links(spark: SparkSession, sf: str) -> DataFrame:
+    """``owner/repo#n``, a plain ``#n`` and the own owner's other repository."""
+    k = F.col("doc_id") % 3
+    body = F.concat(F.lit("see ("), F.when(k == 0, "other/tool").when(k == 2, "own/lib.x").otherwise(""), F.lit("#"), F.col("doc_id").cast("string"), F.lit(") "), F.col("text"))
+    found = text.issue_links(table(spark, sf, "documents").select("doc_id", body.alias("body")), F.col("body"), F.lit("own"), F.lit("repo"), F.lit("body"), cross_repo=True)
+    return found.filter("position < 20").select("doc_id", "number", "ref_owner", "ref_repo", "cross_repo")
+
+
+@query("bots", "SELECT c_custkey, c_custkey % 3 = 0 OR c_custkey % 5 = 0 AS is_bot FROM customer")
+def bots(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("c_custkey") % 3 == 0, "Bot").when(F.col("c_custkey") % 4 != 0, "User")
+    login = F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 5 == 0, "[BOT]").otherwise(""))
+    return table(spark, sf, "customer").select("c_custkey", text.is_bot(kind, login).alias("is_bot"))
 
 
 DOC = """'Issue #' || doc_id || ' in own/repo' || chr(10) || chr(10) || 'State: open' || chr(10) || chr(10) || 'Author: ' || source || CASE WHEN trim(text) <> '' THEN chr(10) || chr(10) || 'Body:' || chr(10) || text ELSE '' END"""
