@@ -35,6 +35,7 @@ def test_risk_and_its_slopes(prior, shift):
         net.w2[:] = 0
         net.words[x.buckets[: x.offsets[n_pos]]] += shift
         net.words[x.buckets[x.offsets[n_pos + 2] :]] -= 2 * shift
+    assert np.allclose(net.margin_texts(TEXTS), net.margin(x), atol=1e-6)
     positive, bracket, grads = quality.slopes(net, x, n_pos, prior)
     assert np.allclose((positive, bracket), naive_risk(net, x, n_pos, prior), atol=1e-5) and (bracket < 0) == bool(shift)
     value = lambda: -naive_risk(net, x, n_pos, prior)[1] if shift else sum(naive_risk(net, x, n_pos, prior))
