@@ -83,7 +83,10 @@ SCHEMA = (
     "spans array<struct<turn: int, role: string, start: int, end: int, text_start: int, text_end: int, loss: boolean>>"
 )
 
-SPAN = [("turn", pa.int32()), ("role", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text_start", pa.int32()), ("text_end", pa.int32()), ("loss", pa.bool_())]
+SPAN = [
+    ("turn", pa.int32()), ("role", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text_start", pa.int32()), ("text_end", pa.int32()),
+    ("loss", pa.bool_()),
+]
 ARROW = pa.schema(
     [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("history_rewritten_at", pa.int32()), ("spans", pa.list_(pa.struct(SPAN)))]
 )

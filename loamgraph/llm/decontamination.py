@@ -195,13 +195,19 @@ class Index:
             for at in range(0, len(own), 4096):
                 part = own[at : at + 4096]
                 first = part[:, 2] * width - self.edits[item]
-                ends, cost = self.verify(int(item), tokens, first, first + width + len(self.items[item]) + 2 * self.edits[item], offsets[part[:, 1]], offsets[part[:, 1] + 1])
+                ends, cost = self.verify(
+                    int(item), tokens, first, first + width + len(self.items[item]) + 2 * self.edits[item], offsets[part[:, 1]], offsets[part[:, 1] + 1],
+                )
                 for d, e, c in zip(part[:, 1], ends, cost, strict=True):
                     if c <= self.edits[item]:
                         key, new = (int(d), int(item)), (int(c), int(e))
                         if key not in out or new < out[key][:2]:
                             out[key] = new
-        return [(d, i, self.first_word(i, tokens[max(offsets[d], e - len(self.items[i]) - c) : e]) + max(int(offsets[d]), e - len(self.items[i]) - c) - int(offsets[d]), e - int(offsets[d]), c) for (d, i), (c, e) in sorted(out.items())]
+        return [(
+            d, i,
+            self.first_word(i, tokens[max(offsets[d], e - len(self.items[i]) - c) : e]) + max(int(offsets[d]), e - len(self.items[i]) - c) - int(offsets[d]),
+            e - int(offsets[d]), c,
+        ) for (d, i), (c, e) in sorted(out.items())]
 
     def verify(self, item: int, tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc_lo: np.ndarray, doc_hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fewest edits between the item and any passage of tokens[lo:hi] inside the document; (word after the passage, edits)."""
@@ -256,7 +262,10 @@ def indexes(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
 DEFAULTS = {"similarity": 0.8, "target_recall": 0.98, "coords": 5, "span": 18, "stride": 2, "max_walks": 24}
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 4_000_000, **options) -> DataFrame:
+def find_items(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    block_chars: int = 4_000_000, **options,
+) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, start_word, end_word, edits, similarity."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
@@ -285,7 +294,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 4_000_000, **options) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = 4_000_000,
+    **options,
+) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found. Nothing is shuffled."""
     for index in indexes(benchmark, item_col, item_text_col, block_chars, **DEFAULTS | options):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -229,9 +229,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", id_col: str
         for b in batches:
             for start, texts in slices(b.column(1)):
                 lang, score = m.predict(texts)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(start, len(texts)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"],
+                )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+    ).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:

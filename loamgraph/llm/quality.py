@@ -211,7 +211,9 @@ def start(pos: Features, unl: Features, prior: float, hidden: int, rng: np.rando
     return Network(both.mean(axis=0), both.std(axis=0) + 1e-3, w1, np.zeros(hidden), w2, np.zeros(1), np.zeros(BUCKETS), prior)
 
 
-def train(pos: Features, unl: Features, prior: float, hidden: int = 16, steps: int = 600, batch: int = 512, rate: float = 1e-2, decay: float = 1e-3, seed: int = 3) -> Network:
+def train(
+    pos: Features, unl: Features, prior: float, hidden: int = 16, steps: int = 600, batch: int = 512, rate: float = 1e-2, decay: float = 1e-3, seed: int = 3,
+) -> Network:
     """Adam on mini-batches of the non-negative risk; weights of words and layers decay."""
     rng = np.random.default_rng(seed)
     net = start(pos, unl, prior, hidden, rng)

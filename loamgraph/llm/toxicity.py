@@ -304,7 +304,9 @@ def fit_and_score(
     usable = pin(known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label")).filter("id is not null"))
     share = min(0.75, max_rows / max(1, usable.count()))
     picked = F.broadcast(usable.filter(spread_of(F.col("id")) < share).limit(2 * max_rows))
-    named = docs.filter(learn_from).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    named = docs.filter(learn_from).select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
+    )
     rows = named.join(picked, "id").withColumn("u", spread_of(F.col("id"))).limit(2 * max_rows).collect()
     rows = sorted(rows, key=lambda r: (r["u"], r["text"] or ""))[:max_rows]
     texts, y = [r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)

@@ -157,7 +157,9 @@ def ranked(keys: Column, action: str) -> Column:
     )
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_bits: int = 1 << 28) -> DataFrame:
+def url_filter(
+    pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_bits: int = 1 << 28,
+) -> DataFrame:
     """Judge every url. ``rules``: (host, path prefix, "allow" or "block"). Returns page_id, host, path, rule, verdict."""
     spark: SparkSession = pages.sparkSession
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -176,4 +178,6 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
             tests[action] = sharded(listed, others, max_bits, k + 1)
     found = [ranked(F.filter(keys, test), action) for action, test in tests.items()]
     best = F.array_max(F.concat(*found))
-    return parts.withColumn("best", best).select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict"))
+    return parts.withColumn("best", best).select(
+        "page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict"),
+    )

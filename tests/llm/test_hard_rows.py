@@ -37,7 +37,10 @@ def test_chat_keeps_conversations_apart(spark):
     assert all(r["loss_sha256"] == hashlib.sha256(str(c).encode()).hexdigest() for c, r in got.items())
 
 
-ROWS = [(1, "same"), (2, "same"), (2, "other"), (None, "same"), (None, "lonely"), (None, "lonely"), (3, "ot her"), (3, "ot  her"), (BIG + 1, "x y"), (BIG + 2, "x\ty"), (9, None), (8, "")]
+ROWS = [
+    (1, "same"), (2, "same"), (2, "other"), (None, "same"), (None, "lonely"), (None, "lonely"), (3, "ot her"), (3, "ot  her"), (BIG + 1, "x y"),
+    (BIG + 2, "x\ty"), (9, None), (8, ""),
+]
 
 
 def plain(t):
@@ -99,7 +102,9 @@ def test_classes_are_fingerprints_not_hashes_of_them(spark):
 
 
 def test_a_star_of_many_is_one_component(spark):
-    edges = spark.range(1, 3000).select(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.lit(5001)).alias("src"), F.col("id").alias("dst")).union(spark.range(1).selectExpr("0", "5001"))
+    edges = spark.range(1, 3000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.lit(5001)).alias("src"), F.col("id").alias("dst"),
+    ).union(spark.range(1).selectExpr("0", "5001"))
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
 
 

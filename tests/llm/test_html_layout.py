@@ -27,7 +27,9 @@ def naive_columns(rows):
 @given(st.lists(st.lists(CELL, min_size=1, max_size=5), min_size=1, max_size=6))
 def test_cells_of_a_column_begin_at_one_place(rows):
     name = lambda y, k: f"<{y}.{k}>"
-    body = "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{name(y, k).replace('<', '&lt;')}{'x' * n}" for k, (n, a, d) in enumerate(row)) for y, row in enumerate(rows))
+    body = "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{name(y, k).replace('<', '&lt;')}{'x' * n}" for k, (
+        n, a, d,
+    ) in enumerate(row)) for y, row in enumerate(rows))
     lines = html_to_text(f"<table>{body}</table>").split("\n")
     columns, begins = naive_columns(rows), {}
     for (y, k), x in columns.items():
@@ -75,7 +77,9 @@ def test_styles(html, want):
     assert html_to_text(html) == want
 
 
-TREE = st.recursive(st.sampled_from(["a", " b ", "c  c", ""]), lambda kids: st.tuples(st.sampled_from(["div", "p", "span", "b", "section", "h1"]), st.lists(kids, max_size=4)), max_leaves=14)
+TREE = st.recursive(st.sampled_from(["a", " b ", "c  c", ""]), lambda kids: st.tuples(
+    st.sampled_from(["div", "p", "span", "b", "section", "h1"]), st.lists(kids, max_size=4),
+), max_leaves=14)
 GAPS = {"div": 0, "section": 0, "p": 1, "h1": 1}
 
 

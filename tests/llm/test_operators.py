@@ -18,7 +18,10 @@ from loamgraph.llm.words import hash_words
 
 BASE = "The quick brown fox jumps over the lazy dog while seven wizards quietly box with five dozen liquor jugs near an old stone bridge "
 LONG = " ".join(f"word{i}" for i in range(20_000))
-TEXTS = [(1, "a b  c"), (2, "a b c"), (3, "a\tb\nc"), (4, None), (5, ""), (6, BASE * 3), (7, BASE * 3 + "end"), (8, LONG), (9, LONG + " more"), (10, "é ü"), (11, "!!! 123"), (12, "A B C"), (6, BASE * 3)]
+TEXTS = [
+    (1, "a b  c"), (2, "a b c"), (3, "a\tb\nc"), (4, None), (5, ""), (6, BASE * 3), (7, BASE * 3 + "end"), (8, LONG), (9, LONG + " more"), (10, "é ü"),
+    (11, "!!! 123"), (12, "A B C"), (6, BASE * 3),
+]
 SCHEMA = "doc_id long, text string, key long, kept string, node string, lang string, source string, bucket int, k int, fp long"
 
 
@@ -70,10 +73,18 @@ def test_colliding_keys_chain(spark):
 
 
 HTML = [
-    (None, ""), ("", ""), ("plain   text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("a<br>b<br><br>c", "a\nb\n\nc"), ("<div>a<div>b</div>c</div>", "a\nb\nc"), ("x<script>y</script><style>z</style>w", "xw"),
-    ("<head><title>t</title></head>body", "body"), ("<ul><li>a<li>b<ol><li>c</ol></ul>", "- a\n- b\n  1. c"), ("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>", "a    bb\nccc  d"), ("<pre>\n a\n  b</pre>", " a\n  b"),
-    ("<p hidden>x</p>y", "y"), ("<span style='display: none'>x</span>y", "y"), ("<style>.h{display:none}</style><b class='q h'>x</b>y", "y"), ("<i style='visibility:hidden'>x<b style='visibility:visible'>y</b></i>", "y"),
-    ("&lt;&amp;&eacute;&#65;", "<&éA"), ("<!-- x -->y<!-- z", "y"), ("<details><summary>s</summary>x</details>", "s"), ("1 < 2 <3", "1 < 2 <3"), ("<a href='>'>x</a>", "x"), ("<textarea><b>x</textarea>y", "<b>xy"), ("</p>x</b></table>", "x"),
+    (None, ""), ("", ""), ("plain   text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("a<br>b<br><br>c", "a\nb\n\nc"), ("<div>a<div>b</div>c</div>", "a\nb\nc"), (
+        "x<script>y</script><style>z</style>w", "xw",
+    ),
+    ("<head><title>t</title></head>body", "body"), ("<ul><li>a<li>b<ol><li>c</ol></ul>", "- a\n- b\n  1. c"), (
+        "<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>", "a    bb\nccc  d",
+    ), ("<pre>\n a\n  b</pre>", " a\n  b"),
+    ("<p hidden>x</p>y", "y"), ("<span style='display: none'>x</span>y", "y"), ("<style>.h{display:none}</style><b class='q h'>x</b>y", "y"), (
+        "<i style='visibility:hidden'>x<b style='visibility:visible'>y</b></i>", "y",
+    ),
+    ("&lt;&amp;&eacute;&#65;", "<&éA"), ("<!-- x -->y<!-- z", "y"), (
+        "<details><summary>s</summary>x</details>", "s",
+    ), ("1 < 2 <3", "1 < 2 <3"), ("<a href='>'>x</a>", "x"), ("<textarea><b>x</textarea>y", "<b>xy"), ("</p>x</b></table>", "x"),
     ("<select><option>a<option>b</select>", "a\nb"), ("<dl><dt>t<dd>d</dl>", "t\n    d"), ("<script>never closed", ""),
 ]
 
@@ -93,7 +104,12 @@ def test_html_extremes(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "<b>", "</b>", "<pre>", "<select>", "<", ">", "&", '"', "<!--", "zq1"]), max_size=25))
+@given(st.lists(
+    st.sampled_from([
+        "<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "<b>", "</b>", "<pre>", "<select>", "<", ">", "&", '"', "<!--", "zq1",
+    ]),
+    max_size=25,
+))
 def test_html_keeps_visible_text(parts):
     parts = [p for p in parts if p not in ("<!--", '"', "<", ">")]
     assert html_text.html_to_text(" ".join(parts)).count("zq1") == parts.count("zq1")
@@ -222,7 +238,9 @@ def test_best_fit_is_the_tightest_compatible(items):
     bins = packing.pack(items, 20)
     brute: list[list] = []
     for it in items:
-        fits = [(20 - sum(x[0] for x in b) - it[0], k) for k, b in enumerate(brute) if sum(x[0] for x in b) + it[0] <= 20 and not any((it[1] is not None and x[1] == it[1]) or (it[2] is not None and x[2] == it[2]) for x in b)]
+        fits = [(
+            20 - sum(x[0] for x in b) - it[0], k,
+        ) for k, b in enumerate(brute) if sum(x[0] for x in b) + it[0] <= 20 and not any((it[1] is not None and x[1] == it[1]) or (it[2] is not None and x[2] == it[2]) for x in b)]
         if fits:
             brute[min(fits)[1]].append(it)
         else:
@@ -311,7 +329,10 @@ def test_hot_keys_are_tiled(spark):
 
 
 def test_chat(spark):
-    turns = [(2, 1, "user", "x<|im_end|>"), (2, 0, "system", None), (1, 0, "us\ner%0A", "<\\|"), (1, 1, "assistant", "<|im_start|><"), (1, 2, "assistant", ""), (None, 0, None, "n"), (3, 0, "user", "t"), (3, 0, "user", "t")]
+    turns = [
+        (2, 1, "user", "x<|im_end|>"), (2, 0, "system", None), (1, 0, "us\ner%0A", "<\\|"), (1, 1, "assistant", "<|im_start|><"), (1, 2, "assistant", ""),
+        (None, 0, None, "n"), (3, 0, "user", "t"), (3, 0, "user", "t"),
+    ]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(0))
     got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(rows)).collect()}
     for c in {t[0] for t in turns}:
