@@ -89,7 +89,10 @@ def local_embedding(name: str, load: Callable[[str], Callable[[list[str]], list[
     return batch_embedding(embed, batch)
 
 
-def provider_from_environment(remote: Callable[[], Provider] | None = None, local: Callable[[], Provider] | None = None, key: str = "EMBEDDING_API_KEY", model: str = "EMBEDDING_LOCAL_MODEL") -> Provider:
+def provider_from_environment(
+    remote: Callable[[], Provider] | None = None, local: Callable[[], Provider] | None = None, key: str = "EMBEDDING_API_KEY",
+    model: str = "EMBEDDING_LOCAL_MODEL",
+) -> Provider:
     """A remote provider if a key is set, else a local model if one is named, else none."""
     if os.environ.get(key) and remote:
         return remote()

@@ -26,7 +26,10 @@ def uuid5(name: Column, namespace: str = NAMESPACE_OID) -> Column:
 def _dashed(h: Column) -> Column:
     dash = F.lit("-")
     variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat(F.substring(h, 1, 8), dash, F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), dash, variant, F.substring(h, 18, 3), dash, F.substring(h, 21, 12))
+    return F.concat(
+        F.substring(h, 1, 8), dash, F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), dash, variant, F.substring(h, 18, 3), dash,
+        F.substring(h, 21, 12),
+    )
 
 
 def node_name(entity_type: str, keys: list[tuple[str, Column]]) -> Column:
@@ -47,7 +50,10 @@ def edge_id(label: Column | str, source: Column, target: Column) -> Column:
 
 
 def readme_embedding_id(full_name: Column, sha: Column, start: Column, end: Column, index: Column) -> Column:
-    return uuid5(F.concat(F.lit("readme|"), full_name, F.lit("|"), sha, F.lit("|"), start.cast("string"), F.lit("|"), end.cast("string"), F.lit("|"), index.cast("string")), NAMESPACE_URL)
+    return uuid5(
+        F.concat(F.lit("readme|"), full_name, F.lit("|"), sha, F.lit("|"), start.cast("string"), F.lit("|"), end.cast("string"), F.lit("|"), index.cast("string")),
+        NAMESPACE_URL,
+    )
 
 
 def code_embedding_id(full_name: Column, sha: Column, source_node_id: Column, order: Column) -> Column:

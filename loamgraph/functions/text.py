@@ -47,7 +47,10 @@ def line_chunks(df: DataFrame, text_col: str = "text", size: int = README_LINES)
         def window(k: Column) -> Column:
             at = k * size
             ends = F.least(at + size, F.size(lines))
-            return F.struct(k.alias("chunk_order"), (at + 1).alias("start_line"), ends.alias("end_line"), F.array_join(F.slice(lines, at + 1, F.lit(size)), "\n").alias("chunk_text"))
+            return F.struct(
+                k.alias("chunk_order"), (at + 1).alias("start_line"), ends.alias("end_line"),
+                F.array_join(F.slice(lines, at + 1, F.lit(size)), "\n").alias("chunk_text"),
+            )
 
         return F.when(F.size(lines) > 0, F.transform(F.sequence(F.lit(0), ((F.size(lines) - 1) / size).cast("int")), window))
 
@@ -104,7 +107,9 @@ def score_comments(comments: DataFrame, group: list[str]) -> DataFrame:
     kept = comments.filter(~F.coalesce("is_bot", F.lit(False)) & (strip(F.col("body_text")) != "") & (F.col("id") != 0))
     placed = kept.withColumn("index", F.row_number().over(order) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(*group)))
     first = Window.partitionBy(*group, "normalised").orderBy("created_at", "id")
-    unique = placed.withColumn("normalised", normalise_comment(F.col("body_text"))).filter("normalised <> ''").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    unique = placed.withColumn(
+        "normalised", normalise_comment(F.col("body_text")),
+    ).filter("normalised <> ''").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     none = F.lit(0)
     parts = {
         "reaction": reaction_score(*[F.coalesce(r[c], none) for c in ("plus_one", "heart", "hooray", "eyes", "rocket", "confused")]),
@@ -217,7 +222,10 @@ def issue_links(df: DataFrame, text: Column, owner: Column, repo: Column, origin
     usable = ~prefix.contains("://")
     ref_owner = F.when(usable & (pair[0] != ""), pair[0]).otherwise(owner)
     ref_repo = F.when(usable & (pair[0] != ""), pair[1]).when(usable & prefix.rlike(r"^[A-Za-z0-9_-]+\z"), prefix).otherwise(repo)
-    made = {"position": r["position"], "number": r["digits"].cast("long"), "link_type": link, "strength": strength, "ref_owner": ref_owner, "ref_repo": ref_repo, "origin": origin}
+    made = {
+        "position": r["position"], "number": r["digits"].cast("long"), "link_type": link, "strength": strength, "ref_owner": ref_owner, "ref_repo": ref_repo,
+        "origin": origin,
+    }
     out = found.withColumns(made)
     same = (F.lower("ref_owner") == F.lower(owner)) & (F.lower("ref_repo") == F.lower(repo))
     return out.withColumn("cross_repo", ~same).drop("_r")
@@ -265,7 +273,9 @@ def pull_request_document(full_name: Column, c=F.col) -> Column:
         section("Title:", c("title")),
         section("Body:", c("body")),
         section("Representative Comments:", c("representative_digest_text")),
-        *[F.concat(F.lit(f"{head}: "), c(col).cast("string")) for head, col in (("Additions", "additions"), ("Deletions", "deletions"), ("Changed Files", "changed_files"))],
+        *[F.concat(F.lit(f"{head}: "), c(col).cast("string")) for head, col in (
+            ("Additions", "additions"), ("Deletions", "deletions"), ("Changed Files", "changed_files"),
+        )],
     )
 
 

@@ -57,7 +57,10 @@ def neighbours_in(graph: Graph, node: str, types: list[str] | None = None, direc
     for rank, (side, name) in enumerate((("out", "outgoing"), ("in", "incoming"))):
         if direction == "both" or name.startswith(direction):
             own = graph.step(side, start, 1, names)
-            parts.append(own.select(F.lit(name).alias("orientation"), F.lit(rank).alias("_side"), place.alias("_place"), F.col("id").alias("edge_id"), "label", F.col(ENDS[side][1]).alias("node_id")))
+            parts.append(own.select(
+                F.lit(name).alias("orientation"), F.lit(rank).alias("_side"), place.alias("_place"), F.col("id").alias("edge_id"), "label",
+                F.col(ENDS[side][1]).alias("node_id"),
+            ))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if limit:
         found = found.orderBy("_side", "_place", "label", "edge_id").limit(limit)
@@ -275,7 +278,10 @@ def edge_statistics(edges: DataFrame, versions: DataFrame | None = None) -> Data
 
 def degrees(edges: DataFrame) -> DataFrame:
     """out_degree, in_degree, degree by node."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("from_node_id").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("to_node_id").alias("node_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("from_node_id").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+        F.struct(F.col("to_node_id").alias("node_id"), F.lit(0).alias("o"), F.lit(1).alias("i")),
+    )).alias("e"))
     return ends.groupBy("e.node_id").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"), F.count(F.lit(1)).alias("degree"))
 
 
@@ -336,8 +342,12 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: flo
     hops = edges.select(F.col("from_node_id").alias("id"), F.col("to_node_id").alias("to"))
     for _ in range(rounds):
         lost = ranks.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()["s"]
-        got = hops.join(ranks.filter("out is not null").select("id", (F.col("rank") / F.col("out")).alias("share")), "id").groupBy(F.col("to").alias("id")).agg(F.sum("share").alias("got"))
-        ranks = pin(base.join(got, "id", "left").select("id", "out", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("rank")))
+        got = hops.join(
+            ranks.filter("out is not null").select("id", (F.col("rank") / F.col("out")).alias("share")), "id",
+        ).groupBy(F.col("to").alias("id")).agg(F.sum("share").alias("got"))
+        ranks = pin(base.join(got, "id", "left").select(
+            "id", "out", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("rank"),
+        ))
     return ranks.select("id", "rank")
 
 
@@ -357,12 +367,17 @@ def triangles(edges: DataFrame) -> DataFrame:
     closed = arcs.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
     found = wedges.join(closed, ["x", "y"]).select(F.explode(F.array("u", "x", "y")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("t"))
     d = F.col("d").cast("double")
-    return deg.join(found, "n", "left").select(F.col("n").alias("node_id"), F.coalesce("t", F.lit(0)).alias("triangles"), F.when(d > 1, 2 * F.coalesce("t", F.lit(0)) / (d * (d - 1))).otherwise(0.0).alias("clustering"))
+    return deg.join(found, "n", "left").select(
+        F.col("n").alias("node_id"), F.coalesce("t", F.lit(0)).alias("triangles"),
+        F.when(d > 1, 2 * F.coalesce("t", F.lit(0)) / (d * (d - 1))).otherwise(0.0).alias("clustering"),
+    )
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, community): each round a node takes its neighbours' most frequent community, the smallest on ties."""
-    both = pin(edges.select(F.col("from_node_id").alias("a"), F.col("to_node_id").alias("b")).unionByName(edges.select(F.col("to_node_id").alias("a"), F.col("from_node_id").alias("b"))).filter("a <> b"))
+    both = pin(edges.select(
+        F.col("from_node_id").alias("a"), F.col("to_node_id").alias("b"),
+    ).unionByName(edges.select(F.col("to_node_id").alias("a"), F.col("from_node_id").alias("b"))).filter("a <> b"))
     now = nodes.select("id", F.col("id").alias("community"))
     for _ in range(rounds):
         votes = both.join(now.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.count(F.lit(1)).alias("n"))

@@ -71,7 +71,9 @@ def node_index(rows: DataFrame, spec: EntitySpec, now: Column | None = None) ->
     keys = [F.col(k).cast("string") for k in spec.keys]
     hashed = node_id(spec.entity_type, [(k, F.col(k)) for k in spec.keys])
     own = F.when(F.col("id").isNull(), hashed).when(F.col("id").rlike(UUID_PATTERN), F.lower("id")) if "id" in rows.columns else hashed
-    listed = rows.select(own.alias("id"), *[k.alias(n) for k, n in zip(keys, spec.keys, strict=True)], (F.current_timestamp() if now is None else now).alias("updated_at"))
+    listed = rows.select(
+        own.alias("id"), *[k.alias(n) for k, n in zip(keys, spec.keys, strict=True)], (F.current_timestamp() if now is None else now).alias("updated_at"),
+    )
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ("id", *spec.keys)])
     return listed.filter(whole)
 
@@ -146,7 +148,9 @@ def freshness(requests: DataFrame, readiness: DataFrame, anchors: DataFrame, pro
     ``probes``: entity_uri, fetcher, known, failed, fresh, remote_anchor.
     """
     local = anchors.select("entity_uri", "fetcher", F.col("anchor_value").alias("local_anchor"))
-    joined = requests.join(readiness.select("entity_uri", "last_synced_at", "ttl_seconds"), "entity_uri", "left").join(local, ["entity_uri", "fetcher"], "left").join(probes, ["entity_uri", "fetcher"], "left")
+    joined = requests.join(
+        readiness.select("entity_uri", "last_synced_at", "ttl_seconds"), "entity_uri", "left",
+    ).join(local, ["entity_uri", "fetcher"], "left").join(probes, ["entity_uri", "fetcher"], "left")
     alive = (F.lit(now) - F.col("last_synced_at")) < F.coalesce("ttl_seconds", F.lit(DEFAULT_TTL))
     anchored = (
         F.when(F.col("fetcher").isNull(), True)
@@ -276,7 +280,9 @@ def vector_rows(lake: Lake, rows: DataFrame, spec: EntitySpec) -> DataFrame:
     props = F.to_json(F.struct(*[F.col(c) for c in spec.schema.names if c != "embedding"]))
     index = lake.open(spec.index_table)
     with_ids = rows.join(index.read().select("embedding_id", "vector_uuid"), "embedding_id") if index else rows.withColumn("vector_uuid", F.col("id"))
-    return with_ids.filter(F.size("embedding") > 0).select(F.col("vector_uuid").alias("id"), F.lit(spec.entity_type).alias("label"), "text", "embedding", props.alias("properties"))
+    return with_ids.filter(F.size("embedding") > 0).select(
+        F.col("vector_uuid").alias("id"), F.lit(spec.entity_type).alias("label"), "text", "embedding", props.alias("properties"),
+    )
 
 
 def graph_views(lake: Lake, registry: Registry = REGISTRY) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,10 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     """Each left row with the right row of its key that is latest at or before it: one union, one sort by key and time, no join."""
     cols = [c for c in left.columns if c not in by]
     state = F.struct(F.col(right_time).alias("t"), *[F.col(v) for v in values])
-    a = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*cols).alias("_left"), F.lit(None).cast(right.select(state.alias("s")).schema["s"].dataType).alias("_state"))
+    a = left.select(
+        *by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*cols).alias("_left"),
+        F.lit(None).cast(right.select(state.alias("s")).schema["s"].dataType).alias("_state"),
+    )
     b = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), state.alias("_state"))
     w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = a.unionByName(b).withColumn("_state", F.last("_state", ignorenulls=True).over(w)).filter("_side = 1")

@@ -118,7 +118,10 @@ def summary(properties: Column, fields: list[str]) -> Column:
 def node_view(nodes: DataFrame) -> DataFrame:
     """id, label (``Unknown`` if there is none), title, display_name, properties."""
     title = first_text(json_field(F.col("properties"), "title"), F.col("id"))
-    return nodes.select("id", F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.lit("Unknown")).alias("label"), title.alias("title"), display_name(nodes).alias("display_name"), "properties")
+    return nodes.select(
+        "id", F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.lit("Unknown")).alias("label"), title.alias("title"),
+        display_name(nodes).alias("display_name"), "properties",
+    )
 
 
 def edge_view(edges: DataFrame) -> DataFrame:
@@ -171,7 +174,9 @@ def first_nodes(nodes: DataFrame, edges: DataFrame, k: int | None) -> tuple[Data
     """The first ``k`` nodes by id, all without it, and the edges among them."""
     picked = nodes if k is None else nodes.orderBy("id").limit(k)
     ids = picked.select("id") if k is None or k > 100_000 else F.broadcast(picked.select("id"))
-    among = edges.join(ids.withColumnRenamed("id", "from_node_id"), "from_node_id", "left_semi").join(ids.withColumnRenamed("id", "to_node_id"), "to_node_id", "left_semi")
+    among = edges.join(
+        ids.withColumnRenamed("id", "from_node_id"), "from_node_id", "left_semi",
+    ).join(ids.withColumnRenamed("id", "to_node_id"), "to_node_id", "left_semi")
     return picked, among
 
 

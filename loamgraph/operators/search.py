@@ -75,7 +75,9 @@ def text_index(docs: DataFrame, text_col: str = "text", id_col: str = "id", labe
     return TextIndex(build_postings(docs, text_col, id_col, label_col), stats["n"], stats["a"] or 0.0)
 
 
-def keep_index(docs: DataFrame, root: str, text_col: str = "text", id_col: str = "id", label_col: str | None = None, buckets: int = 32, stamp: str | None = None) -> KeptIndex:
+def keep_index(
+    docs: DataFrame, root: str, text_col: str = "text", id_col: str = "id", label_col: str | None = None, buckets: int = 32, stamp: str | None = None,
+) -> KeptIndex:
     """Write the index below ``root``, or write it anew. Texts are cut into words once: the mean length follows from the postings."""
     spark = docs.sparkSession
     table = VersionedTable(spark, f"{root}/postings", ["term", "id"], buckets, by=["term"])
@@ -132,7 +134,9 @@ def distance(column: Column, query: list[float], metric: str = "cosine") -> Colu
     raise ValueError(f"no such metric: {metric}")
 
 
-def knn(vectors: DataFrame, query: list[float], limit: int, label: str | None = None, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+def knn(
+    vectors: DataFrame, query: list[float], limit: int, label: str | None = None, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding",
+) -> DataFrame:
     """The nearest vectors: id, label, distance, similarity = 1 / (1 + distance); ties by id. Vectors that are null or empty, or of another size, are no candidates."""
     has_label = "label" in vectors.columns
     base = vectors.filter(F.size(vector_col) == len(query)) if query else vectors.limit(0)
@@ -143,7 +147,9 @@ def knn(vectors: DataFrame, query: list[float], limit: int, label: str | None =
     return out.orderBy("distance", "id").limit(max(1, limit)).withColumn("similarity", 1 / (1 + F.col("distance")))
 
 
-def cluster_vectors(vectors: DataFrame, cells: int, vector_col: str = "embedding", sample: int = 10_000, rounds: int = 8, seed: int = 3) -> tuple[DataFrame, list[list[float]]]:
+def cluster_vectors(
+    vectors: DataFrame, cells: int, vector_col: str = "embedding", sample: int = 10_000, rounds: int = 8, seed: int = 3,
+) -> tuple[DataFrame, list[list[float]]]:
     """(vectors with column cell, centres). Centres are fitted on ``sample`` rows at most; every row gets its nearest centre."""
     import numpy as np
 
@@ -174,10 +180,15 @@ def knn_in_cells(clustered: DataFrame, centres: list[list[float]], query: list[f
     return knn(clustered.filter(F.col("cell").isin(best)), query, limit, **options)
 
 
-def hybrid(index: TextIndex | KeptIndex, vectors: DataFrame, query: str, vector: list[float], alpha: float = 0.5, limit: int = 20, label: str | None = None, overfetch: int = 2, metric: str = "cosine") -> DataFrame:
+def hybrid(
+    index: TextIndex | KeptIndex, vectors: DataFrame, query: str, vector: list[float], alpha: float = 0.5, limit: int = 20, label: str | None = None,
+    overfetch: int = 2, metric: str = "cosine",
+) -> DataFrame:
     """id, label, score = alpha * bm25 + (1 - alpha) * similarity over the two best lists of ``overfetch * limit``; ties by id."""
     a = min(1.0, max(0.0, alpha))
-    text = bm25(index, query, overfetch * max(1, limit), label).groupBy("id", "label").agg(F.max("score").alias("bm25")).select("id", "label", "bm25", F.lit(None).cast("double").alias("similarity"))
+    text = bm25(index, query, overfetch * max(1, limit), label).groupBy("id", "label").agg(F.max("score").alias("bm25")).select(
+        "id", "label", "bm25", F.lit(None).cast("double").alias("similarity"),
+    )
     near = knn(vectors, vector, overfetch * max(1, limit), label, metric).select("id", "label", F.lit(None).cast("double").alias("bm25"), "similarity")
     label_of = F.coalesce(F.max(F.when(F.col("bm25").isNotNull(), F.col("label"))), F.max("label"))
     both = text.unionByName(near).groupBy("id").agg(label_of.alias("label"), F.max("bm25").alias("bm25"), F.max("similarity").alias("similarity"))
@@ -185,7 +196,10 @@ def hybrid(index: TextIndex | KeptIndex, vectors: DataFrame, query: str, vector:
     return both.withColumn("score", score).orderBy(F.desc("score"), "id").limit(max(1, limit)).select("id", "label", "score")
 
 
-def hybrid_multi(index: TextIndex | KeptIndex, vectors: DataFrame, types: list[str], query: str, vector: list[float], alpha: float = 0.5, limit: int = 20, overfetch: int = 2, metric: str = "cosine") -> DataFrame:
+def hybrid_multi(
+    index: TextIndex | KeptIndex, vectors: DataFrame, types: list[str], query: str, vector: list[float], alpha: float = 0.5, limit: int = 20,
+    overfetch: int = 2, metric: str = "cosine",
+) -> DataFrame:
     """``hybrid`` for each type at once (best lists by a window per type), then the best over all types."""
     a, n = min(1.0, max(0.0, alpha)), max(1, limit)
 
@@ -193,7 +207,9 @@ def hybrid_multi(index: TextIndex | KeptIndex, vectors: DataFrame, types: list[s
         w = Window.partitionBy("label").orderBy(F.desc(score), "id")  # Spark keeps the first rows per task before the shuffle
         return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= overfetch * n).drop("_n")
 
-    text = best(bm25_scores(index, query).filter(F.col("label").isin(types)), "score").select("id", "label", F.col("score").alias("bm25"), F.lit(None).cast("double").alias("similarity"))
+    text = best(bm25_scores(index, query).filter(F.col("label").isin(types)), "score").select(
+        "id", "label", F.col("score").alias("bm25"), F.lit(None).cast("double").alias("similarity"),
+    )
     typed = vectors.filter(F.col("label").isin(types) & (F.size("embedding") == len(vector)))
     near = typed.select("id", "label", (1 / (1 + F.coalesce(distance(F.col("embedding"), vector, metric), F.lit(0.0)))).alias("similarity"))
     near = best(near, "similarity").select("id", "label", F.lit(None).cast("double").alias("bm25"), "similarity")

@@ -28,10 +28,17 @@ AST_EDGES = ("contains", "calls", "uses", "operand", "handler", "parentof", "imp
 CHUNKED = ("function", "class")
 
 
-def edges_of(kind: str, rows: DataFrame, source: Column, target: Column, source_type: Column | str, target_type: Column | str, created: Column, updated: Column) -> DataFrame:
+def edges_of(
+    kind: str, rows: DataFrame, source: Column, target: Column, source_type: Column | str, target_type: Column | str, created: Column, updated: Column,
+) -> DataFrame:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    made = rows.select(source.alias("from_node_id"), target.alias("to_node_id"), lit(source_type).alias("from_node_type"), lit(target_type).alias("to_node_type"), created.alias("created_at"), updated.alias("updated_at"))
-    return made.filter("from_node_id is not null and to_node_id is not null").select(ids.edge_id(f"edge_{kind}", F.col("from_node_id"), F.col("to_node_id")).alias("id"), "*")
+    made = rows.select(
+        source.alias("from_node_id"), target.alias("to_node_id"), lit(source_type).alias("from_node_type"), lit(target_type).alias("to_node_type"),
+        created.alias("created_at"), updated.alias("updated_at"),
+    )
+    return made.filter("from_node_id is not null and to_node_id is not null").select(
+        ids.edge_id(f"edge_{kind}", F.col("from_node_id"), F.col("to_node_id")).alias("id"), "*",
+    )
 
 
 @dataclass
@@ -61,10 +68,15 @@ def unique_developers(developers: DataFrame) -> DataFrame:
 
 def author_ids(rows: DataFrame, developers: DataFrame) -> DataFrame:
     """``rows`` with developer_id: the developer of this account and login, else the one of this login; null if there is neither."""
-    dev = developers.select(ids.node_id("developer", [(k, F.col(k)) for k in ("platform", "account_id", "login")]).alias("_dev"), "account_id", F.lower("login").alias("_login"), F.lower("platform").alias("_platform"))
+    dev = developers.select(
+        ids.node_id("developer", [(k, F.col(k)) for k in ("platform", "account_id", "login")]).alias("_dev"), "account_id", F.lower("login").alias("_login"),
+        F.lower("platform").alias("_platform"),
+    )
     exact = dev.filter("_platform = 'github'").select(F.col("_dev").alias("_exact"), F.col("account_id").alias("_account"), F.col("_login").alias("_l1"))
     loose = dev.groupBy(F.col("_login").alias("_l2")).agg(F.min("_dev").alias("_loose"))
-    joined = rows.join(exact, (F.col("author_id") == F.col("_account")) & (F.lower("author_login") == F.col("_l1")), "left").join(loose, F.lower("author_login") == F.col("_l2"), "left")
+    joined = rows.join(
+        exact, (F.col("author_id") == F.col("_account")) & (F.lower("author_login") == F.col("_l1")), "left",
+    ).join(loose, F.lower("author_login") == F.col("_l2"), "left")
     return joined.withColumn("developer_id", F.coalesce("_exact", "_loose")).drop("_exact", "_account", "_l1", "_l2", "_loose")
 
 
@@ -74,7 +86,10 @@ def unique_labels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def snapshot_graph(repositories: DataFrame, developers: DataFrame | None = None, issues: DataFrame | None = None, pulls: DataFrame | None = None, readmes: DataFrame | None = None, options: Options | None = None, registry: Registry = REGISTRY) -> GraphData:
+def snapshot_graph(
+    repositories: DataFrame, developers: DataFrame | None = None, issues: DataFrame | None = None, pulls: DataFrame | None = None,
+    readmes: DataFrame | None = None, options: Options | None = None, registry: Registry = REGISTRY,
+) -> GraphData:
     o, graph, spec = options or Options(), GraphData(), registry.specs
     at = F.col("authored_at")
     graph.add(spec["project"], repositories.select(F.col("project_url").alias("url"), "name", "description", "language", "stars", "forks"))
@@ -98,7 +113,10 @@ def snapshot_graph(repositories: DataFrame, developers: DataFrame | None = None,
         if people is not None:
             opened = author_ids(rows, people)
             graph.add(spec[f"edge_opened{short}"], edges_of(f"opened{short}", opened, F.col("developer_id"), node, "developer", kind, created, updated))
-        labelled.append(rows.select("project_url", node.alias("node"), F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), "number", created, updated, F.posexplode("label_list").alias("place", "label")))
+        labelled.append(rows.select(
+            "project_url", node.alias("node"), F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), "number", created, updated,
+            F.posexplode("label_list").alias("place", "label"),
+        ))
         document = (text.issue_document if kind == "issue" else text.pull_request_document)(F.col("full_name"))
         docs = rows.join(names, "project_url").withColumn("text", document)
         scheme = "issue-doc" if kind == "issue" else "pr-doc"
@@ -106,8 +124,12 @@ def snapshot_graph(repositories: DataFrame, developers: DataFrame | None = None,
         graph.add(
             spec[f"{short}doc"],
             docs.select(
-                F.lit(None).cast("string").alias("id"), "project_url", F.col("number").alias(f"{short}_number"), F.coalesce("updated_at", "created_at").alias("source_updated_at"), "text", embedding.alias("embedding"),
-                F.lit(o.model).alias("embedding_model"), F.concat(F.lit(f"{scheme}://"), F.col("full_name"), F.lit("/"), F.col("number").cast("string"), F.lit("#doc#0")).alias("embedding_id"),
+                F.lit(None).cast("string").alias("id"), "project_url", F.col("number").alias(f"{short}_number"), F.coalesce(
+                    "updated_at", "created_at",
+                ).alias("source_updated_at"), "text", embedding.alias("embedding"),
+                F.lit(o.model).alias("embedding_model"), F.concat(
+                    F.lit(f"{scheme}://"), F.col("full_name"), F.lit("/"), F.col("number").cast("string"), F.lit("#doc#0"),
+                ).alias("embedding_id"),
                 text.token_count(F.col("text")).alias("token_count"), F.lit(0).alias("chunk_order"), "created_at", "updated_at",
             ),
         )
@@ -115,7 +137,13 @@ def snapshot_graph(repositories: DataFrame, developers: DataFrame | None = None,
             linked = rows.select("project_url", node.alias("node"), created, updated, F.explode("links").alias("l")).filter("not l.cross_repo")
             known = issues.select("project_url", F.col("number").alias("_number"))
             hit = linked.join(known, (linked["project_url"] == known["project_url"]) & (F.col("l.number") == F.col("_number"))).drop(known["project_url"])
-            graph.add(spec["edge_relatesto"], edges_of("relatesto", hit, F.col("node"), numbered_id("issue", F.col("project_url"), F.col("_number")), "pullrequest", "issue", F.coalesce("updated_at", "created_at"), updated).dropDuplicates(["id"]))
+            graph.add(
+                spec["edge_relatesto"],
+                edges_of(
+                    "relatesto", hit, F.col("node"), numbered_id("issue", F.col("project_url"), F.col("_number")), "pullrequest", "issue",
+                    F.coalesce("updated_at", "created_at"), updated,
+                ).dropDuplicates(["id"]),
+            )
     if labelled:
         every = reduce(lambda a, b: a.unionByName(b), labelled)
         order = F.struct("rank", "number", "place")
@@ -125,7 +153,10 @@ def snapshot_graph(repositories: DataFrame, developers: DataFrame | None = None,
         chosen = labels.select(F.col("project_url").alias("_u"), F.lower("name").alias("_l"), F.col("name").alias("_name"))
         hit = flat.join(chosen, (F.col("project_url") == F.col("_u")) & (F.lower("name") == F.col("_l")))
         label_id = ids.node_id("label", [("project_url", F.col("project_url")), ("name", F.col("_name"))])
-        graph.add(spec["edge_haslabel"], edges_of("haslabel", hit, F.col("node"), label_id, F.col("kind"), "label", F.col("created_at"), F.col("updated_at")).dropDuplicates(["id"]))
+        graph.add(
+            spec["edge_haslabel"],
+            edges_of("haslabel", hit, F.col("node"), label_id, F.col("kind"), "label", F.col("created_at"), F.col("updated_at")).dropDuplicates(["id"]),
+        )
     if readmes is not None and o.readme:
         graph.add(spec["readmechunk"], readme_chunks(readmes, repositories, o))
     return graph
@@ -154,7 +185,10 @@ def ast_nodes(nodes: DataFrame, sha: str, root: str = "") -> DataFrame:
     relative = lambda c: F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 20)).otherwise(c) if prefix else c
     kind = F.regexp_replace(F.lower("kind"), "_", "")
     raw = F.when(kind == "file", F.coalesce(blank(F.col("file")), blank(F.col("name")))).otherwise(F.coalesce(blank(F.col("file")), meta("file_path"), meta("file")))
-    base = nodes.withColumns({"entity": kind, "path": relative(raw), "title": blank(F.col("name")), "start_line": (F.col("start") + 1).cast("int"), "end_line": (F.col("end") + 1).cast("int")})
+    base = nodes.withColumns({
+        "entity": kind, "path": relative(raw), "title": blank(F.col("name")), "start_line": (F.col("start") + 1).cast("int"),
+        "end_line": (F.col("end") + 1).cast("int"),
+    })
     version = F.lit(sha)
     keyed = lambda t: ids.node_id(t, [("version_sha", version), ("file_path", F.col("path")), ("name", F.col("title"))])
     own = F.when(F.col("entity") == "file", ids.node_id("file", [("version_sha", version), ("path", F.col("path"))]))
@@ -165,7 +199,10 @@ def ast_nodes(nodes: DataFrame, sha: str, root: str = "") -> DataFrame:
     return base.withColumns({"version_sha": version, "node_id": own}).filter("node_id is not null")
 
 
-def ast_graph(nodes: DataFrame, edges: DataFrame, sha: str, created: Column, project_url: str, full_name: str, root: str = "", options: Options | None = None, registry: Registry = REGISTRY) -> GraphData:
+def ast_graph(
+    nodes: DataFrame, edges: DataFrame, sha: str, created: Column, project_url: str, full_name: str, root: str = "", options: Options | None = None,
+    registry: Registry = REGISTRY,
+) -> GraphData:
     """Nodes of nine kinds; containment of files and what files may contain; libraries become dependencies; code chunks of functions and classes."""
     o, graph, spec = options or Options(), GraphData(), registry.specs
     mapped = pin(ast_nodes(nodes, sha, root))  # twenty batches are made of it
@@ -208,9 +245,15 @@ def ast_graph(nodes: DataFrame, edges: DataFrame, sha: str, created: Column, pro
     graph.add(
         spec["codechunk"],
         chunks.select(
-            ids.code_chunk_id(F.col("node_id"), F.lit(0)).alias("id"), F.lit(project_url).alias("project_url"), F.lit(sha).alias("revision_sha"), F.col("path").alias("source_file"),
-            ids.source_node_key(F.col("entity"), F.lit(sha), F.col("path"), F.col("title")).alias("source_node_key"), F.col("node_id").alias("source_node_id"), meta("language").alias("language"), "text", o.embed(F.col("text")).alias("embedding"),
-            F.lit(o.model).alias("embedding_model"), ids.code_embedding_id(F.lit(full_name), F.lit(sha), F.col("node_id"), F.lit(0)).alias("embedding_id"), text.token_count(F.col("text")).alias("token_count"), F.lit(0).alias("chunk_order"),
+            ids.code_chunk_id(
+                F.col("node_id"), F.lit(0),
+            ).alias("id"), F.lit(project_url).alias("project_url"), F.lit(sha).alias("revision_sha"), F.col("path").alias("source_file"),
+            ids.source_node_key(
+                F.col("entity"), F.lit(sha), F.col("path"), F.col("title"),
+            ).alias("source_node_key"), F.col("node_id").alias("source_node_id"), meta("language").alias("language"), "text", o.embed(F.col("text")).alias("embedding"),
+            F.lit(o.model).alias("embedding_model"), ids.code_embedding_id(
+                F.lit(full_name), F.lit(sha), F.col("node_id"), F.lit(0),
+            ).alias("embedding_id"), text.token_count(F.col("text")).alias("token_count"), F.lit(0).alias("chunk_order"),
             created.alias("created_at"), none.alias("updated_at"),
         ),
     )

@@ -28,7 +28,10 @@ def edge_rows(spec: EntitySpec, pairs: DataFrame, source: str, target: str) -> D
     """Edges between ids: ``pairs`` has from_node_id and to_node_id."""
     now = F.current_timestamp()
     own = edge_id(spec.entity_type, F.col("from_node_id"), F.col("to_node_id"))
-    return pairs.select(own.alias("id"), "from_node_id", "to_node_id", F.lit(source).alias("from_node_type"), F.lit(target).alias("to_node_type"), now.alias("created_at"), now.alias("updated_at"))
+    return pairs.select(
+        own.alias("id"), "from_node_id", "to_node_id", F.lit(source).alias("from_node_type"), F.lit(target).alias("to_node_type"), now.alias("created_at"),
+        now.alias("updated_at"),
+    )
 
 
 def create_edges(sync: Synchronizer, edge: str, pairs: list[tuple[str, str]], source: str, target: str) -> None:

@@ -29,7 +29,10 @@ def syntax(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     zero = F.lit(0).cast("long")
 
     def node(rows: DataFrame, key, name: str, title, file, body=NONE, start=zero, end=zero, about=none) -> DataFrame:
-        made = rows.select(key.alias("key"), F.lit(name).alias("kind"), title.alias("name"), file.alias("file"), body.alias("body"), start.alias("start"), end.alias("end"), about.alias("meta"))
+        made = rows.select(
+            key.alias("key"), F.lit(name).alias("kind"), title.alias("name"), file.alias("file"), body.alias("body"), start.alias("start"), end.alias("end"),
+            about.alias("meta"),
+        )
         return made.select(*[F.col(x.split()[0]) for x in kind.split(", ")])
 
     suppliers = table(spark, sf, "supplier")
@@ -42,7 +45,10 @@ def syntax(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     size = F.col("p_size").cast("long")
     nodes = [
         node(suppliers, F.concat(F.lit("s"), s), "FILE", NONE, at(F.col("s_suppkey")), about=meta("language", "python")),
-        node(parts, F.concat(F.lit("p"), p), "Function", F.concat(F.lit("fn"), p), at(home), F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit("\n"))), size, size + 2, about),
+        node(
+            parts, F.concat(F.lit("p"), p), "Function", F.concat(F.lit("fn"), p), at(home),
+            F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit("\n"))), size, size + 2, about,
+        ),
         node(parts.select("p_brand").distinct(), F.col("p_brand"), "Library", F.col("p_brand"), F.lit("")),
         node(nations, F.concat(F.lit("c"), n), "Class", F.concat(F.lit("C"), n), at(F.lit(0)), F.concat(F.lit("class "), F.col("n_name"))),
         node(nations, F.concat(F.lit("e"), n), "Endpoint", F.concat(F.lit("/api/"), n), at(F.lit(0)), about=meta("http_method", "GET")),
@@ -51,9 +57,15 @@ def syntax(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     edge = lambda rows, a, b, name: rows.select(a.alias("source"), b.alias("target"), F.lit(name).alias("kind"))
     fn = lambda k: F.concat(F.lit("p"), k.cast("string"))
     edges = [
-        edge(parts, F.concat(F.lit("s"), home.cast("string")), fn(F.col("p_partkey")), "Contains"), edge(parts, F.concat(F.lit("s"), home.cast("string")), F.col("p_brand"), "contains"),
-        edge(parts, fn(F.col("p_partkey")), fn(F.col("p_partkey") + 1), "Calls"), edge(parts, fn(F.col("p_partkey")), F.lit("gone"), "Uses"), edge(nations, F.concat(F.lit("c"), n), fn(F.col("n_nationkey")), "Operand"),
-        edge(nations, F.lit("s0"), F.concat(F.lit("c"), n), "Contains"), edge(nations, F.concat(F.lit("e"), n), fn(F.col("n_nationkey")), "Handler"), edge(nations, F.concat(F.lit("c"), n), F.concat(F.lit("c"), (F.col("n_nationkey") + 1).cast("string")), "ParentOf"),
+        edge(
+            parts, F.concat(F.lit("s"), home.cast("string")), fn(F.col("p_partkey")), "Contains",
+        ), edge(parts, F.concat(F.lit("s"), home.cast("string")), F.col("p_brand"), "contains"),
+        edge(parts, fn(F.col("p_partkey")), fn(F.col("p_partkey") + 1), "Calls"), edge(parts, fn(F.col("p_partkey")), F.lit("gone"), "Uses"), edge(
+            nations, F.concat(F.lit("c"), n), fn(F.col("n_nationkey")), "Operand",
+        ),
+        edge(nations, F.lit("s0"), F.concat(F.lit("c"), n), "Contains"), edge(nations, F.concat(F.lit("e"), n), fn(F.col("n_nationkey")), "Handler"), edge(
+            nations, F.concat(F.lit("c"), n), F.concat(F.lit("c"), (F.col("n_nationkey") + 1).cast("string")), "ParentOf",
+        ),
     ]
     merge = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(merge(frames[1:]))
     return merge(nodes), merge(edges)
@@ -101,12 +113,18 @@ vecs AS (SELECT *, {uuid5_sql("'vector|codechunk|' || embedding_id")} AS vid FRO
 # -- the syntax graph
 
 
-@query("ast_functions", CODE + "SELECT path AS file_path, fn AS name, p_type AS signature, (p_size + 1)::INT AS start_line, (p_size + 3)::INT AS end_line, k % 2 = 0 AS is_component FROM functions")
+@query(
+    "ast_functions",
+    CODE + "SELECT path AS file_path, fn AS name, p_type AS signature, (p_size + 1)::INT AS start_line, (p_size + 3)::INT AS end_line, k % 2 = 0 AS is_component FROM functions",
+)
 def ast_functions(spark: SparkSession, sf: str) -> DataFrame:
     return rows(spark, sf, "function").select("file_path", "name", "signature", "start_line", "end_line", "is_component")
 
 
-@query("ast_other_nodes", CODE + "SELECT 'file' AS kind, path AS name FROM files UNION ALL SELECT DISTINCT 'library', p_brand FROM part UNION ALL SELECT 'class', 'C' || n_nationkey FROM nation UNION ALL SELECT 'endpoint', '/api/' || n_nationkey FROM nation UNION ALL SELECT 'test', 'test' || r_regionkey FROM region")
+@query(
+    "ast_other_nodes",
+    CODE + "SELECT 'file' AS kind, path AS name FROM files UNION ALL SELECT DISTINCT 'library', p_brand FROM part UNION ALL SELECT 'class', 'C' || n_nationkey FROM nation UNION ALL SELECT 'endpoint', '/api/' || n_nationkey FROM nation UNION ALL SELECT 'test', 'test' || r_regionkey FROM region",
+)
 def ast_other_nodes(spark: SparkSession, sf: str) -> DataFrame:
     names = {"file": "path", "library": "name", "class": "name", "endpoint": "path", "test": "name"}
     parts = [rows(spark, sf, k).select(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in names.items()]
@@ -130,12 +148,18 @@ def ast_contains(spark: SparkSession, sf: str) -> DataFrame:
     return edges_of(spark, sf, "contains")
 
 
-@query("ast_depends", CODE + f""", e AS (SELECT DISTINCT f.id AS from_node_id, {uuid5_sql("'library|name=' || p_brand")} AS to_node_id, 'file' AS from_node_type, 'library' AS to_node_type FROM functions JOIN file_ids f USING (path)) SELECT {edge_sql("dependson")} AS id, * FROM e""")
+@query(
+    "ast_depends",
+    CODE + f""", e AS (SELECT DISTINCT f.id AS from_node_id, {uuid5_sql("'library|name=' || p_brand")} AS to_node_id, 'file' AS from_node_type, 'library' AS to_node_type FROM functions JOIN file_ids f USING (path)) SELECT {edge_sql("dependson")} AS id, * FROM e""",
+)
 def ast_depends(spark: SparkSession, sf: str) -> DataFrame:
     return edges_of(spark, sf, "dependson")
 
 
-@query("ast_calls", CODE + f""", e AS (SELECT a.id AS from_node_id, b.id AS to_node_id, 'function' AS from_node_type, 'function' AS to_node_type FROM functions a JOIN functions b ON b.k = a.k + 1) SELECT {edge_sql("calls")} AS id, * FROM e""")
+@query(
+    "ast_calls",
+    CODE + f""", e AS (SELECT a.id AS from_node_id, b.id AS to_node_id, 'function' AS from_node_type, 'function' AS to_node_type FROM functions a JOIN functions b ON b.k = a.k + 1) SELECT {edge_sql("calls")} AS id, * FROM e""",
+)
 def ast_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Edges to unknown ends are left out: the last function's call, every use of what is gone."""
     return edges_of(spark, sf, "calls").unionByName(edges_of(spark, sf, "uses"))
@@ -150,13 +174,19 @@ def ast_handlers(spark: SparkSession, sf: str) -> DataFrame:
     return edges_of(spark, sf, "handler").unionByName(edges_of(spark, sf, "operand")).unionByName(edges_of(spark, sf, "parentof"))
 
 
-@query("code_chunks", CODE + "SELECT chunk_id AS id, kind || '::sha0::' || path || '::' || name AS source_node_key, id AS source_node_id, text, embedding_id, length(text) - length(replace(text, ' ', '')) + 1 AS token_count FROM chunks")
+@query(
+    "code_chunks",
+    CODE + "SELECT chunk_id AS id, kind || '::sha0::' || path || '::' || name AS source_node_key, id AS source_node_id, text, embedding_id, length(text) - length(replace(text, ' ', '')) + 1 AS token_count FROM chunks",
+)
 def code_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Trimmed bodies that are not blank."""
     return rows(spark, sf, "codechunk").select("id", "source_node_key", "source_node_id", "text", "embedding_id", F.col("token_count").cast("long").alias("token_count"))
 
 
-@query("code_embeds", CODE + f""", x AS (SELECT id AS from_node_id, chunk_id AS to_node_id, vid, kind FROM vecs) SELECT {edge_sql("embeds")} AS id, from_node_id, vid AS to_node_id, kind AS from_node_type, 'codechunk' AS to_node_type FROM x""")
+@query(
+    "code_embeds",
+    CODE + f""", x AS (SELECT id AS from_node_id, chunk_id AS to_node_id, vid, kind FROM vecs) SELECT {edge_sql("embeds")} AS id, from_node_id, vid AS to_node_id, kind AS from_node_type, 'codechunk' AS to_node_type FROM x""",
+)
 def code_embeds(spark: SparkSession, sf: str) -> DataFrame:
     """An edge's id is made of the chunk's own id, its end is the vector's."""
     return edges_of(spark, sf, "embeds")
@@ -228,7 +258,10 @@ def relevant_docs(spark: SparkSession, sf: str) -> DataFrame:
     return stored.relevant_docs(graph(spark, sf)[2], ASKED, 40, "codechunk").select("id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("relevant_callees", CODE + ", top AS (SELECT id FROM vecs WHERE kind = 'function') SELECT b.id FROM functions a JOIN functions b ON b.k = a.k + 1 WHERE a.fn = 'fn0' AND b.id IN (SELECT id FROM top)")
+@query(
+    "relevant_callees",
+    CODE + ", top AS (SELECT id FROM vecs WHERE kind = 'function') SELECT b.id FROM functions a JOIN functions b ON b.k = a.k + 1 WHERE a.fn = 'fn0' AND b.id IN (SELECT id FROM top)",
+)
 def relevant_callees(spark: SparkSession, sf: str) -> DataFrame:
     """Callees that are among the functions with the nearest chunks; here all chunks are near enough."""
     return stored.relevant_callees(*graph(spark, sf), function_id(0, 0), ASKED, 1 << 30).select("id")
@@ -259,7 +292,10 @@ def written(spark: SparkSession, sf: str) -> tuple[Engine, list, list]:
     stored.create_edges(e.sync, "tests_class", list(zip(tests, classes, strict=False)), "test", "class")
     stored.create_edges(e.sync, "tests_endpoint", list(zip(tests, ends, strict=False)), "test", "endpoint")
     stored.create_edges(e.sync, "handler", list(zip(ends, fns, strict=False)), "endpoint", "function")
-    chunk = lambda kind, node, name: {"id": f"k-{name}", "source_node_id": node, "source_node_key": f"{kind}::{SHA}::r0.py::{name}", "text": name, "embedding": [1.0, 2.0], "embedding_id": f"e-{kind}-{name}"}
+    chunk = lambda kind, node, name: {
+        "id": f"k-{name}", "source_node_id": node, "source_node_key": f"{kind}::{SHA}::r0.py::{name}", "text": name, "embedding": [1.0, 2.0],
+        "embedding_id": f"e-{kind}-{name}",
+    }
     stored.embed_chunks(e.sync, [chunk("function", f, r["n_name"]) for f, r in zip(fns, nations, strict=True)])
     stored.embed_chunks(e.sync, [chunk("class", c, r["r_name"]) for c, r in zip(classes, regions, strict=True)])
     return e, nations, regions
@@ -270,7 +306,10 @@ WRITTEN = "r AS (SELECT count(*) AS r FROM region), n AS (SELECT count(*) AS n F
 SIZES = dict(zip(TABLES.split(), "r 1 1 r n r r n r n+r 1 1 4*r+2*n n-1 n r r r n+r".split(), strict=True))
 
 
-@query("stored_writes", f"WITH {WRITTEN} " + " UNION ALL ".join(f"SELECT '{t}' AS name, ({n})::BIGINT AS rows FROM r, n" for t, n in SIZES.items()) + " UNION ALL SELECT 'https://host/1', 1")
+@query(
+    "stored_writes",
+    f"WITH {WRITTEN} " + " UNION ALL ".join(f"SELECT '{t}' AS name, ({n})::BIGINT AS rows FROM r, n" for t, n in SIZES.items()) + " UNION ALL SELECT 'https://host/1', 1",
+)
 def stored_writes(spark: SparkSession, sf: str) -> DataFrame:
     e, _, _ = written(spark, sf)
     found = stored.find_project_by_url(e.views()[0], "https://host/1").count()
@@ -285,7 +324,12 @@ def stored_call_edges(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query("stored_delete_version", f"WITH {WRITTEN} SELECT 'entities/project' AS name, r::BIGINT AS rows FROM r UNION ALL SELECT 'entities/commit', 1 UNION ALL " + " UNION ALL ".join(f"SELECT '{t}', 0" for t in SIZES if t not in ("entities/project", "entities/commit", "vectors/codechunk")))
+@query(
+    "stored_delete_version",
+    f"WITH {WRITTEN} SELECT 'entities/project' AS name, r::BIGINT AS rows FROM r UNION ALL SELECT 'entities/commit', 1 UNION ALL " + " UNION ALL ".join(f"SELECT '{t}', 0" for t in SIZES if t not in (
+        "entities/project", "entities/commit", "vectors/codechunk",
+    )),
+)
 def stored_delete_version(spark: SparkSession, sf: str) -> DataFrame:
     """A version goes with what was found in it and the edges at either end of that; its project and commit stay."""
     e, _, _ = written(spark, sf)

@@ -70,7 +70,9 @@ def filtered_scan(spark: SparkSession, sf: str) -> DataFrame:
 def index_search(spark: SparkSession, sf: str) -> DataFrame:
     """Newest first, as the operator orders them."""
     o = table(spark, sf, "orders")
-    return lookup.index_search(o.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), "o_orderpriority", F.col("o_orderdate").alias("updated_at")), " UR ", 25)
+    return lookup.index_search(
+        o.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), "o_orderpriority", F.col("o_orderdate").alias("updated_at")), " UR ", 25,
+    )
 
 
 @query("node_by_id", WITH_GRAPH + f"SELECT id, label, properties FROM nodes WHERE id = '{CUSTOMER}'")
@@ -132,7 +134,10 @@ def graph_search(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.graph_search(tables, "a", 12, ["nation", "region"])
 
 
-@query("overview_edges", WITH_GRAPH + "SELECT id, label, from_node_id, to_node_id FROM edges WHERE from_node_id IN (SELECT id FROM nodes ORDER BY id LIMIT 300) AND to_node_id IN (SELECT id FROM nodes ORDER BY id LIMIT 300)")
+@query(
+    "overview_edges",
+    WITH_GRAPH + "SELECT id, label, from_node_id, to_node_id FROM edges WHERE from_node_id IN (SELECT id FROM nodes ORDER BY id LIMIT 300) AND to_node_id IN (SELECT id FROM nodes ORDER BY id LIMIT 300)",
+)
 def overview_edges(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.overview(nodes(spark, sf), edges(spark, sf), 1000)[1].select("id", "label", "from_node_id", "to_node_id")
 
@@ -159,7 +164,10 @@ def neighbors_both(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbours_in(stored_graph(spark, sf), NATION)
 
 
-@query("neighbors_capped", WITH_GRAPH + f"SELECT * FROM ({OUT.format(node=NATION)} UNION ALL {IN.format(node=NATION)}) ORDER BY CASE orientation WHEN 'outgoing' THEN 0 ELSE 1 END, label, edge_id LIMIT 10")
+@query(
+    "neighbors_capped",
+    WITH_GRAPH + f"SELECT * FROM ({OUT.format(node=NATION)} UNION ALL {IN.format(node=NATION)}) ORDER BY CASE orientation WHEN 'outgoing' THEN 0 ELSE 1 END, label, edge_id LIMIT 10",
+)
 def neighbors_capped(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbours_in(stored_graph(spark, sf), NATION, limit=10)
 
@@ -237,7 +245,10 @@ HOME = """, home AS (SELECT c.id AS c, n.id AS n, r.id AS r, e1.id AS e1, e2.id
     JOIN edges e2 ON e2.from_node_id = n.id AND e2.label = 'edge_inregion' JOIN nodes r ON r.id = e2.to_node_id WHERE c.label = 'customer' AND c.k = '1')"""
 
 
-@query("shortest_path", WITH_GRAPH + HOME + " SELECT 0 AS path, 0 AS place, c AS node, NULL AS edge FROM home UNION ALL SELECT 0, 1, n, e1 FROM home UNION ALL SELECT 0, 2, r, e2 FROM home UNION ALL SELECT 1, NULL, NULL, NULL UNION ALL SELECT 2, 0, c, NULL FROM home")
+@query(
+    "shortest_path",
+    WITH_GRAPH + HOME + " SELECT 0 AS path, 0 AS place, c AS node, NULL AS edge FROM home UNION ALL SELECT 0, 1, n, e1 FROM home UNION ALL SELECT 0, 2, r, e2 FROM home UNION ALL SELECT 1, NULL, NULL, NULL UNION ALL SELECT 2, 0, c, NULL FROM home",
+)
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     """A customer's region, node by node; the way back, which there isn't; and the customer itself."""
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
@@ -289,18 +300,27 @@ def out_with_parent(spark: SparkSession, sf: str) -> DataFrame:
     return stored.hop_with_parent(*stored_frames(spark, sf), star_id("orders", ORDER_KEY), "contains", "out", "supplies").select("id", "label", "parent_id")
 
 
-@query("in_with_parent", WITH_GRAPH + f"SELECT t.id, t.label, f.id AS parent_id FROM edges e JOIN nodes t ON t.id = e.from_node_id JOIN edges i ON i.to_node_id = t.id AND i.label = 'edge_placed' JOIN nodes f ON f.id = i.from_node_id WHERE e.label = 'edge_contains' AND e.to_node_id = '{PART}'")
+@query(
+    "in_with_parent",
+    WITH_GRAPH + f"SELECT t.id, t.label, f.id AS parent_id FROM edges e JOIN nodes t ON t.id = e.from_node_id JOIN edges i ON i.to_node_id = t.id AND i.label = 'edge_placed' JOIN nodes f ON f.id = i.from_node_id WHERE e.label = 'edge_contains' AND e.to_node_id = '{PART}'",
+)
 def in_with_parent(spark: SparkSession, sf: str) -> DataFrame:
     return stored.hop_with_parent(*stored_frames(spark, sf), PART, "contains", "in", "placed").select("id", "label", "parent_id")
 
 
-@query("endpoint_filter_hop", WITH_GRAPH + "SELECT DISTINCT t.id, t.label FROM nodes n JOIN edges e ON e.from_node_id = n.id AND e.label = 'edge_innation' JOIN nodes t ON t.id = e.to_node_id WHERE n.label = 'supplier' AND json_extract_string(n.properties, '$.name') LIKE '%1'")
+@query(
+    "endpoint_filter_hop",
+    WITH_GRAPH + "SELECT DISTINCT t.id, t.label FROM nodes n JOIN edges e ON e.from_node_id = n.id AND e.label = 'edge_innation' JOIN nodes t ON t.id = e.to_node_id WHERE n.label = 'supplier' AND json_extract_string(n.properties, '$.name') LIKE '%1'",
+)
 def endpoint_filter_hop(spark: SparkSession, sf: str) -> DataFrame:
     t = graph.Traversal(*stored_frames(spark, sf)).nodes_of("supplier").where(lookup.json_field(F.col("properties"), "name").like("%1"))
     return t.out("innation").current.select("id", "label")
 
 
-@query("traversal_in", WITH_GRAPH + f"SELECT DISTINCT n.id FROM edges e JOIN nodes n ON n.id = e.from_node_id WHERE e.label = 'edge_innation' AND e.to_node_id = '{NATION}'")
+@query(
+    "traversal_in",
+    WITH_GRAPH + f"SELECT DISTINCT n.id FROM edges e JOIN nodes n ON n.id = e.from_node_id WHERE e.label = 'edge_innation' AND e.to_node_id = '{NATION}'",
+)
 def traversal_in(spark: SparkSession, sf: str) -> DataFrame:
     return graph.Traversal(*stored_frames(spark, sf)).from_ids(NATION).into("innation").ids()
 
@@ -308,7 +328,10 @@ def traversal_in(spark: SparkSession, sf: str) -> DataFrame:
 # -- statistics
 
 
-@query("graph_counts", WITH_GRAPH + "SELECT (SELECT count(*) FROM nodes) AS num_nodes, (SELECT count(*) FROM edges) AS num_edges, (SELECT count(*) FROM embeddings) AS num_vectors")
+@query(
+    "graph_counts",
+    WITH_GRAPH + "SELECT (SELECT count(*) FROM nodes) AS num_nodes, (SELECT count(*) FROM edges) AS num_edges, (SELECT count(*) FROM embeddings) AS num_vectors",
+)
 def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
     return graph.graph_counts(nodes(spark, sf), edges(spark, sf), table(spark, sf, "embeddings"))
 
@@ -318,17 +341,26 @@ def edge_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return graph.edge_statistics(edges(spark, sf))
 
 
-@query("node_degrees", WITH_GRAPH + "SELECT node_id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM (SELECT from_node_id AS node_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT to_node_id, 0, 1 FROM edges) GROUP BY node_id")
+@query(
+    "node_degrees",
+    WITH_GRAPH + "SELECT node_id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM (SELECT from_node_id AS node_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT to_node_id, 0, 1 FROM edges) GROUP BY node_id",
+)
 def node_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return graph.degrees(edges(spark, sf))
 
 
-@query("degree_distribution", WITH_GRAPH + "SELECT degree, count(*) AS nodes FROM (SELECT n, count(*) AS degree FROM (SELECT from_node_id AS n FROM edges UNION ALL SELECT to_node_id FROM edges) GROUP BY n) GROUP BY degree")
+@query(
+    "degree_distribution",
+    WITH_GRAPH + "SELECT degree, count(*) AS nodes FROM (SELECT n, count(*) AS degree FROM (SELECT from_node_id AS n FROM edges UNION ALL SELECT to_node_id FROM edges) GROUP BY n) GROUP BY degree",
+)
 def degree_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return graph.degree_distribution(edges(spark, sf))
 
 
-@query("graph_density", WITH_GRAPH + "SELECT n AS num_nodes, e AS num_edges, e / (n::DOUBLE * (n - 1)) AS density FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e)")
+@query(
+    "graph_density",
+    WITH_GRAPH + "SELECT n AS num_nodes, e AS num_edges, e / (n::DOUBLE * (n - 1)) AS density FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e)",
+)
 def graph_density(spark: SparkSession, sf: str) -> DataFrame:
     return graph.density(nodes(spark, sf), edges(spark, sf))
 
@@ -340,7 +372,10 @@ def rounds(steps: int, first: str, step: str) -> str:
 
 #: No two nodes of a component of this graph are further apart.
 DIAMETER = 12
-LOWEST = rounds(DIAMETER, "SELECT id, id AS c FROM nodes", "SELECT n.id, least(n.c, min(m.c)) AS c FROM {s} n LEFT JOIN both_ b ON b.a = n.id LEFT JOIN {s} m ON m.id = b.b GROUP BY n.id, n.c")
+LOWEST = rounds(
+    DIAMETER, "SELECT id, id AS c FROM nodes",
+    "SELECT n.id, least(n.c, min(m.c)) AS c FROM {s} n LEFT JOIN both_ b ON b.a = n.id LEFT JOIN {s} m ON m.id = b.b GROUP BY n.id, n.c",
+)
 BOTH = ", both_ AS MATERIALIZED (SELECT from_node_id AS a, to_node_id AS b FROM edges UNION ALL SELECT to_node_id, from_node_id FROM edges)"
 
 
@@ -352,7 +387,10 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
 def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Orders, their parts and the parts' suppliers: every order line is a triangle."""
     lines = table(spark, sf, "lineitem")
-    name = {"o": F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), "p": F.concat(F.lit("p"), F.col("l_partkey").cast("string")), "s": F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))}
+    name = {
+        "o": F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), "p": F.concat(F.lit("p"), F.col("l_partkey").cast("string")),
+        "s": F.concat(F.lit("s"), F.col("l_suppkey").cast("string")),
+    }
     parts = [lines.select(name[a].alias("from_node_id"), name[b].alias("to_node_id")) for a, b in ("op", "ps", "so")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

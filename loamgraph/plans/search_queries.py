@@ -70,7 +70,10 @@ def bm25_post_filter(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(search.bm25(kept_index(spark, sf), TEXT_QUERY, 50, label="en", post_filter=True), "score")
 
 
-@query("knn_cosine", "WITH x AS (SELECT 1)" + NEAR + " SELECT id, label, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM near ORDER BY near.distance, id LIMIT 15")
+@query(
+    "knn_cosine",
+    "WITH x AS (SELECT 1)" + NEAR + " SELECT id, label, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity FROM near ORDER BY near.distance, id LIMIT 15",
+)
 def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(search.knn(vectors(spark, sf), QUERY, 15), "distance", "similarity")
 

@@ -29,7 +29,9 @@ NONE = F.lit(None).cast("string")
 def embed(t: Column) -> Column:
     """Numbers of a text's length: an embedding that SQL can make too. No two that differ point the same way."""
     n = F.length(t)
-    return F.when(t != "", F.array((n % 7 + 1).cast("float"), (n % 5).cast("float"), (n % 3).cast("float"), F.lit(1.0).cast("float"))).otherwise(F.array().cast("array<float>"))
+    return F.when(
+        t != "", F.array((n % 7 + 1).cast("float"), (n % 5).cast("float"), (n % 3).cast("float"), F.lit(1.0).cast("float")),
+    ).otherwise(F.array().cast("array<float>"))
 
 
 def frames(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -37,8 +39,12 @@ def frames(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     at = F.lit(STAMP).cast("timestamp")
     repos = table(spark, sf, "nation").select(
         F.concat(host, k).alias("project_url"), F.concat(F.lit("own/r"), k).alias("full_name"), F.col("n_name").alias("name"), NONE.alias("description"),
-        F.concat(F.lit("L"), F.col("n_regionkey").cast("string")).alias("language"), (F.col("n_nationkey") * 10).cast("long").alias("stars"), F.col("n_nationkey").cast("long").alias("forks"),
-        F.concat(F.lit("sha"), k).alias("sha"), NONE.alias("tag"), (F.col("n_nationkey") % 2 == 0).alias("is_head"), F.col("n_name").alias("message"), at.alias("authored_at"),
+        F.concat(
+            F.lit("L"), F.col("n_regionkey").cast("string"),
+        ).alias("language"), (F.col("n_nationkey") * 10).cast("long").alias("stars"), F.col("n_nationkey").cast("long").alias("forks"),
+        F.concat(
+            F.lit("sha"), k,
+        ).alias("sha"), NONE.alias("tag"), (F.col("n_nationkey") % 2 == 0).alias("is_head"), F.col("n_name").alias("message"), at.alias("authored_at"),
     )
     c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("c"), "c_custkey")
     person = lambda platform, login: c.select(F.lit(platform).alias("platform"), F.col("c").alias("account_id"), login.alias("login"))
@@ -47,15 +53,29 @@ def frames(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     o = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     n, login = F.col("o_orderkey"), F.concat(F.lit("USER"), F.col("o_custkey").cast("string"))
     label = lambda name: F.struct(name.alias("name"), NONE.alias("color"), NONE.alias("description"))
-    link = lambda number, cross: F.struct(F.lit("own").alias("owner"), F.lit("r").alias("repo"), number.alias("number"), F.lit("closes").alias("link_type"), F.lit(3).alias("strength"), F.lit("body").alias("origin"), F.lit(cross).alias("cross_repo"))
+    link = lambda number, cross: F.struct(
+        F.lit("own").alias("owner"), F.lit("r").alias("repo"), number.alias("number"), F.lit("closes").alias("link_type"), F.lit(3).alias("strength"),
+        F.lit("body").alias("origin"), F.lit(cross).alias("cross_repo"),
+    )
     base = o.select(
-        F.concat(host, F.col("c_nationkey").cast("string")).alias("project_url"), n.alias("number"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("total "), F.col("o_orderstatus")).alias("body"),
-        F.col("o_orderstatus").alias("state"), F.when(n % 11 == 0, "nobody").otherwise(login).alias("author_login"), F.when(n % 5 == 0, "x").otherwise(F.col("o_custkey").cast("string")).alias("author_id"),
-        at.alias("created_at"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), F.array(label(F.when(n % 3 == 0, "Bug").otherwise("bug")), label(F.col("o_orderpriority"))).alias("label_list"),
-        F.array(link(n - 1, False), link(n + 1, True), link(n - 3, False)).alias("links"), NONE.alias("representative_digest_text"), (n % 3 == 1).alias("draft"), n.alias("additions"), F.lit(None).cast("long").alias("deletions"), F.lit(2).cast("long").alias("changed_files"),
+        F.concat(
+            host, F.col("c_nationkey").cast("string"),
+        ).alias("project_url"), n.alias("number"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("total "), F.col("o_orderstatus")).alias("body"),
+        F.col("o_orderstatus").alias("state"), F.when(
+            n % 11 == 0, "nobody",
+        ).otherwise(login).alias("author_login"), F.when(n % 5 == 0, "x").otherwise(F.col("o_custkey").cast("string")).alias("author_id"),
+        at.alias("created_at"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), F.array(
+            label(F.when(n % 3 == 0, "Bug").otherwise("bug")), label(F.col("o_orderpriority")),
+        ).alias("label_list"),
+        F.array(
+            link(n - 1, False), link(n + 1, True), link(n - 3, False),
+        ).alias("links"), NONE.alias("representative_digest_text"), (n % 3 == 1).alias("draft"), n.alias("additions"), F.lit(None).cast("long").alias("deletions"), F.lit(2).cast("long").alias("changed_files"),
     )
     d = table(spark, sf, "documents").filter("text is not null")
-    readmes = d.select(F.concat(host, (F.col("doc_id") % 25).cast("string")).alias("project_url"), "text", F.concat(F.lit("README"), F.col("doc_id").cast("string")).alias("source_file"))
+    readmes = d.select(
+        F.concat(host, (F.col("doc_id") % 25).cast("string")).alias("project_url"), "text",
+        F.concat(F.lit("README"), F.col("doc_id").cast("string")).alias("source_file"),
+    )
     return {"repos": repos, "people": people, "issues": base.filter(n_of(0)), "pulls": base.filter(n_of(1)), "readmes": readmes}
 
 
@@ -195,10 +215,16 @@ def snapshot_relates(spark: SparkSession, sf: str) -> DataFrame:
     return edges_between(spark, sf, "relatesto")
 
 
-@query("snapshot_documents", SNAPSHOT + r"SELECT vid AS id, project_url, number, text, embedding_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INT AS token_count, e AS embedding FROM vectors_")
+@query(
+    "snapshot_documents",
+    SNAPSHOT + r"SELECT vid AS id, project_url, number, text, embedding_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INT AS token_count, e AS embedding FROM vectors_",
+)
 def snapshot_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Composed documents of issues and pull requests, as stored vectors."""
-    parts = [entity(spark, sf, f"{k}doc").select("id", "project_url", F.col(f"{k if k == 'issue' else 'pr'}_number").alias("number"), "text", "embedding_id", "token_count", F.col("embedding").cast("array<double>").alias("embedding")) for k in ("issue", "pr")]
+    parts = [entity(spark, sf, f"{k}doc").select(
+        "id", "project_url", F.col(f"{k if k == 'issue' else 'pr'}_number").alias("number"), "text", "embedding_id", "token_count",
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    ) for k in ("issue", "pr")]
     return parts[0].unionByName(parts[1])
 
 
@@ -255,7 +281,9 @@ COUNTS = """SELECT 'silver/entities/project' AS name, count(*) AS n FROM repos U
 def engine_row_counts(spark: SparkSession, sf: str) -> DataFrame:
     e = engine(spark, sf)
     names = [f"silver/entities/{k}" for k in ("project", "developer", "label", "issue", "pullrequest")]
-    names += [f"silver/{a}/{b}" for a, b in (("vectors", "issuedoc"), ("vectors", "prdoc"), ("index_vector", "issuedoc"), ("index_vector", "prdoc"), ("index", "issue"), ("index", "pullrequest"))]
+    names += [f"silver/{a}/{b}" for a, b in (
+        ("vectors", "issuedoc"), ("vectors", "prdoc"), ("index_vector", "issuedoc"), ("index_vector", "prdoc"), ("index", "issue"), ("index", "pullrequest"),
+    )]
     return spark.createDataFrame([(n, e.row_count(n)) for n in names], "name string, n long")
 
 
@@ -278,7 +306,10 @@ def engine_index_types(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in engine(spark, sf).lake.types_below("silver/index")], "name string")
 
 
-@query("engine_schema", "SELECT * FROM (VALUES ('sha', 'string', true), ('tag', 'string', true), ('is_head', 'boolean', true), ('created_at', 'timestamp', true)) AS t(name, type, nullable)")
+@query(
+    "engine_schema",
+    "SELECT * FROM (VALUES ('sha', 'string', true), ('tag', 'string', true), ('is_head', 'boolean', true), ('created_at', 'timestamp', true)) AS t(name, type, nullable)",
+)
 def engine_schema(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(engine(spark, sf).schema("silver/entities/version"), "name string, type string, nullable boolean")
 
@@ -293,17 +324,25 @@ def engine_show_limit(spark: SparkSession, sf: str) -> DataFrame:
 def optional_table(spark: SparkSession, sf: str) -> DataFrame:
     """A table that was never written reads as no rows of its declared columns."""
     lake = engine(spark, sf).lake
-    parts = [lake.table(REGISTRY.entity(k).table).read(schema=REGISTRY.entity(k).schema).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("name"), "n") for k in ("project", "trait")]
+    parts = [lake.table(REGISTRY.entity(k).table).read(schema=REGISTRY.entity(k).schema).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(k).alias("name"), "n",
+    ) for k in ("project", "trait")]
     return parts[0].unionByName(parts[1])
 
 
-@query("known_entities", SNAPSHOT + "SELECT 'silver/entities/project' AS table_path, 'project' AS entity_type, 'node' AS category, '[\"url\"]' AS primary_keys, -1::BIGINT AS last_version UNION ALL SELECT 'silver/index/project', 'project', 'node', '[\"id\"]', -1")
+@query(
+    "known_entities",
+    SNAPSHOT + "SELECT 'silver/entities/project' AS table_path, 'project' AS entity_type, 'node' AS category, '[\"url\"]' AS primary_keys, -1::BIGINT AS last_version UNION ALL SELECT 'silver/index/project', 'project', 'node', '[\"id\"]', -1",
+)
 def known_entities(spark: SparkSession, sf: str) -> DataFrame:
     """The catalog's offsets as a frame."""
     return engine(spark, sf).catalog.frame(spark, "ingestion_offsets").filter("entity_type = 'project'")
 
 
-@query("edge_table_statistics", SNAPSHOT + ", e AS (SELECT 'edge_has' || CASE kind WHEN 'issue' THEN kind ELSE 'pr' END AS label FROM items UNION ALL SELECT 'edge_hasversion' FROM repos) SELECT label, count(*) AS row_count, 0 AS version FROM e GROUP BY label")
+@query(
+    "edge_table_statistics",
+    SNAPSHOT + ", e AS (SELECT 'edge_has' || CASE kind WHEN 'issue' THEN kind ELSE 'pr' END AS label FROM items UNION ALL SELECT 'edge_hasversion' FROM repos) SELECT label, count(*) AS row_count, 0 AS version FROM e GROUP BY label",
+)
 def edge_table_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).edge_statistics().filter(F.col("label").isin("edge_hasissue", "edge_haspr", "edge_hasversion"))
 
@@ -364,12 +403,17 @@ NEARBY = SNAPSHOT + ALL_NODES + """
 ONE = node_id_of("project", url="https://host/3")
 
 
-@query("api_status", SNAPSHOT + ALL_NODES + ", v AS (SELECT count(*) AS n FROM vectors_) SELECT (SELECT count(*) FROM every) - v.n AS num_nodes, v.n AS num_vectors, 'repositories' AS fetchers FROM v")
+@query(
+    "api_status",
+    SNAPSHOT + ALL_NODES + ", v AS (SELECT count(*) AS n FROM vectors_) SELECT (SELECT count(*) FROM every) - v.n AS num_nodes, v.n AS num_vectors, 'repositories' AS fetchers FROM v",
+)
 def api_status(spark: SparkSession, sf: str) -> DataFrame:
     e = engine(spark, sf)
     e.sync.register(Repositories(sf))
     s = e.status()
-    return spark.createDataFrame([(s["db_stats"]["num_nodes"], s["db_stats"]["num_vectors"], ",".join(s["registered_fetchers"]))], "num_nodes long, num_vectors long, fetchers string")
+    return spark.createDataFrame(
+        [(s["db_stats"]["num_nodes"], s["db_stats"]["num_vectors"], ",".join(s["registered_fetchers"]))], "num_nodes long, num_vectors long, fetchers string",
+    )
 
 
 @query("api_node", SNAPSHOT + ALL_NODES + f" SELECT id, label FROM every WHERE id = '{ONE}'")
@@ -383,7 +427,10 @@ def api_overview(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).overview()[0].select("id", "label")
 
 
-@query("api_visual", SNAPSHOT + ALL_NODES + " SELECT id, label, CASE label WHEN 'project' THEN shown WHEN 'label' THEN shown END AS title FROM every ORDER BY id LIMIT 200")
+@query(
+    "api_visual",
+    SNAPSHOT + ALL_NODES + " SELECT id, label, CASE label WHEN 'project' THEN shown WHEN 'label' THEN shown END AS title FROM every ORDER BY id LIMIT 200",
+)
 def api_visual(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).visual(200, "name")[0]
 
@@ -401,7 +448,10 @@ def api_search(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).graph_search(" HOST/1 ", 20, "project").select("id", "label", "display_name")
 
 
-@query("api_subgraph", NEARBY + f" SELECT id, label, CASE WHEN id = '{ONE}' THEN 0 ELSE 1 END AS level FROM every WHERE id = '{ONE}' OR id = {uuid5_sql(chr(39) + 'version|sha=sha3' + chr(39))} OR id IN (SELECT t FROM links_ WHERE s = '{ONE}')")
+@query(
+    "api_subgraph",
+    NEARBY + f" SELECT id, label, CASE WHEN id = '{ONE}' THEN 0 ELSE 1 END AS level FROM every WHERE id = '{ONE}' OR id = {uuid5_sql(chr(39) + 'version|sha=sha3' + chr(39))} OR id IN (SELECT t FROM links_ WHERE s = '{ONE}')",
+)
 def api_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).subgraph(ONE, None, 1, 0, 0).nodes.select("id", "label", "level")
 
@@ -418,10 +468,19 @@ def api_path(spark: SparkSession, sf: str) -> DataFrame:
     label = entity(spark, sf, "label").filter("project_url = 'https://host/3'").orderBy("name").first()
     to = node_id_of("label", project_url=label["project_url"], name=label["name"])
     found = [e.shortest_path(*ends) for ends in ((ONE, to), (to, ONE))]
-    return spark.createDataFrame([(p["found"], p["length"], p["nodes"][0] if p["nodes"] else None, len(p["nodes"])) for p in found], "found boolean, length int, first string, nodes long")
+    return spark.createDataFrame(
+        [(p["found"], p["length"], p["nodes"][0] if p["nodes"] else None, len(p["nodes"])) for p in found],
+        "found boolean, length int, first string, nodes long",
+    )
 
 
-@query("api_hybrid_types", listed_sql(" ".join(sorted("project developer commit version issue pullrequest label file library class trait function datamodel variable test endpoint readmechunk codechunk issuedoc prdoc".split())), ""))
+@query(
+    "api_hybrid_types",
+    listed_sql(
+        " ".join(sorted("project developer commit version issue pullrequest label file library class trait function datamodel variable test endpoint readmechunk codechunk issuedoc prdoc".split())),
+        "",
+    ),
+)
 def api_hybrid_types(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in engine(spark, sf).hybrid_types()], "name string")
 
@@ -431,12 +490,18 @@ DISTANCE = f"""
 , q AS (SELECT [length('{ASKED}') % 7 + 1, length('{ASKED}') % 5, length('{ASKED}') % 3, 1]::DOUBLE[] AS q), near AS (SELECT vid AS id, doc AS label, text, 1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS distance FROM vectors_, q)"""
 
 
-@query("api_vectors_by_text", SNAPSHOT + DISTANCE + " SELECT id, label, round(distance, 6) AS distance FROM near WHERE label = 'issuedoc' ORDER BY round(near.distance, 9), id LIMIT 20")
+@query(
+    "api_vectors_by_text",
+    SNAPSHOT + DISTANCE + " SELECT id, label, round(distance, 6) AS distance FROM near WHERE label = 'issuedoc' ORDER BY round(near.distance, 9), id LIMIT 20",
+)
 def api_vectors_by_text(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).vectors_by_text("issuedoc", ASKED, 20).select("id", "label", F.round("distance", 6).alias("distance"))
 
 
-@query("api_hybrid", SNAPSHOT + DISTANCE + " SELECT id, label, round(1 / (1 + distance), 6) AS score, text AS summary FROM near ORDER BY round(near.distance, 9), id LIMIT 10")
+@query(
+    "api_hybrid",
+    SNAPSHOT + DISTANCE + " SELECT id, label, round(1 / (1 + distance), 6) AS score, text AS summary FROM near ORDER BY round(near.distance, 9), id LIMIT 10",
+)
 def api_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """By vectors alone (alpha 0), over both kinds of documents; and nothing for blank text."""
     e = engine(spark, sf)
@@ -453,13 +518,21 @@ def api_bm25(spark: SparkSession, sf: str) -> DataFrame:
 # -- parsers, panels, captures, recorded services
 
 
-@query("parse_edge_types", "SELECT n_nationkey, unnest(list_filter(regexp_split_to_array(n_name || ', ;HAS ' || n_regionkey || chr(10), '[,;\\s]+'), lambda x: x <> '')) AS part FROM nation")
+@query(
+    "parse_edge_types",
+    "SELECT n_nationkey, unnest(list_filter(regexp_split_to_array(n_name || ', ;HAS ' || n_regionkey || chr(10), '[,;\\s]+'), lambda x: x <> '')) AS part FROM nation",
+)
 def parse_edge_types(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "nation").collect()  # requests, not data
-    return spark.createDataFrame([(r["n_nationkey"], p) for r in rows for p in lookup.parse_edge_types(f"{r['n_name']}, ;HAS {r['n_regionkey']}\n")], "n_nationkey int, part string")
+    return spark.createDataFrame(
+        [(r["n_nationkey"], p) for r in rows for p in lookup.parse_edge_types(f"{r['n_name']}, ;HAS {r['n_regionkey']}\n")], "n_nationkey int, part string",
+    )
 
 
-@query("parse_lists", "SELECT n_nationkey, unnest([n_name, n_regionkey::VARCHAR, 'a=b']) AS part, 'k' || n_nationkey AS key, 'v=' || n_name AS value, lower((n_nationkey % 2 = 0)::VARCHAR) AS scalar FROM nation")
+@query(
+    "parse_lists",
+    "SELECT n_nationkey, unnest([n_name, n_regionkey::VARCHAR, 'a=b']) AS part, 'k' || n_nationkey AS key, 'v=' || n_name AS value, lower((n_nationkey % 2 = 0)::VARCHAR) AS scalar FROM nation",
+)
 def parse_lists(spark: SparkSession, sf: str) -> DataFrame:
     rows, out = table(spark, sf, "nation").collect(), []
     for r in rows:
@@ -485,7 +558,9 @@ def search_panel(spark: SparkSession, sf: str) -> DataFrame:
 def recorded_issues(spark: SparkSession, sf: str) -> DataFrame:
     """The repository source over recorded pages of customers; every tenth is a pull request and is not an issue."""
     folder = tempfile.mkdtemp()  # the recording: a fixture on the driver
-    rows = [{"number": r["c_custkey"], "title": r["c_name"]} | ({"pull_request": {}} if r["c_custkey"] % 10 == 3 else {}) for r in table(spark, sf, "customer").orderBy("c_custkey").collect()]
+    rows = [{
+        "number": r["c_custkey"], "title": r["c_name"],
+    } | ({"pull_request": {}} if r["c_custkey"] % 10 == 3 else {}) for r in table(spark, sf, "customer").orderBy("c_custkey").collect()]
     for page in range(0, len(rows) // rest.PAGE + 1):
         with open(f"{folder}/repos__own__r__issues{f'__page={page + 1}' if page else ''}.json", "w", encoding="utf-8") as f:
             json.dump(rows[page * rest.PAGE : (page + 1) * rest.PAGE], f)
@@ -503,7 +578,13 @@ class Indicators:
 
     def get(self, path: str, params: dict | None = None) -> list:
         if path == "country":
-            return [{"page": 1}, [{"id": f"N{r['n_nationkey']}", "iso2Code": r["n_name"][:2], "name": r["n_name"], "longitude": "" if r["n_nationkey"] % 2 else str(r["n_nationkey"] / 2)} for r in self.rows]]
+            return [
+                {"page": 1},
+                [{
+                    "id": f"N{r['n_nationkey']}", "iso2Code": r["n_name"][:2], "name": r["n_name"],
+                    "longitude": "" if r["n_nationkey"] % 2 else str(r["n_nationkey"] / 2),
+                } for r in self.rows],
+            ]
         return [{"page": 1}, [{"id": f"I.{r['n_nationkey']}", "name": r["n_name"], "sourceNote": f"region {r['n_regionkey']}"} for r in self.rows]]
 
 
@@ -512,14 +593,20 @@ def indicator_lists(spark: SparkSession, sf: str) -> DataFrame:
     return rest.listed(spark, Indicators(table(spark, sf, "nation").collect()), "country").select("id", "name", "longitude")
 
 
-@query("indicator_search", "SELECT 'country' AS kind, 'N' || n_nationkey AS id FROM nation WHERE lower(n_name) LIKE '%an%' OR lower('N' || n_nationkey) LIKE '%an%' OR lower(left(n_name, 2)) LIKE '%an%' UNION ALL SELECT 'indicator', 'I.' || n_nationkey FROM nation WHERE n_regionkey = 1")
+@query(
+    "indicator_search",
+    "SELECT 'country' AS kind, 'N' || n_nationkey AS id FROM nation WHERE lower(n_name) LIKE '%an%' OR lower('N' || n_nationkey) LIKE '%an%' OR lower(left(n_name, 2)) LIKE '%an%' UNION ALL SELECT 'indicator', 'I.' || n_nationkey FROM nation WHERE n_regionkey = 1",
+)
 def indicator_search(spark: SparkSession, sf: str) -> DataFrame:
     service = Indicators(table(spark, sf, "nation").collect())
     found = rest.search_countries(rest.listed(spark, service, "country"), "AN").select(F.lit("country").alias("kind"), "id")
     return found.unionByName(rest.search_indicators(rest.listed(spark, service, "indicator"), "Region 1").select(F.lit("indicator").alias("kind"), "id"))
 
 
-@query("indicator_series", "SELECT 'N' || n_nationkey AS country, m AS measure, CASE WHEN m = 'b' AND n_nationkey % 3 = 0 THEN NULL ELSE n_regionkey + CASE m WHEN 'a' THEN 0 ELSE 0.5 END END AS value FROM nation, (VALUES ('a'), ('b')) AS t(m)")
+@query(
+    "indicator_series",
+    "SELECT 'N' || n_nationkey AS country, m AS measure, CASE WHEN m = 'b' AND n_nationkey % 3 = 0 THEN NULL ELSE n_regionkey + CASE m WHEN 'a' THEN 0 ELSE 0.5 END END AS value FROM nation, (VALUES ('a'), ('b')) AS t(m)",
+)
 def indicator_series(spark: SparkSession, sf: str) -> DataFrame:
     """A cube of nations and two measures, laid out with its dimensions' codes."""
     rows = table(spark, sf, "nation").orderBy("n_nationkey").collect()
@@ -529,7 +616,10 @@ def indicator_series(spark: SparkSession, sf: str) -> DataFrame:
     return rest.series(spark, {"dimension": dimension, "value": value}).select("country", "measure", "value")
 
 
-@query("captured_batches", "SELECT 'regions' AS name, r_regionkey AS k, r_name AS v FROM region UNION ALL SELECT 'regions', r_regionkey, r_name FROM region UNION ALL SELECT 'nations', n_nationkey, n_name FROM nation")
+@query(
+    "captured_batches",
+    "SELECT 'regions' AS name, r_regionkey AS k, r_name AS v FROM region UNION ALL SELECT 'regions', r_regionkey, r_name FROM region UNION ALL SELECT 'nations', n_nationkey, n_name FROM nation",
+)
 def captured_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Batches grouped by category and name, written as a capture and read again."""
     region = table(spark, sf, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v"))
@@ -540,7 +630,10 @@ def captured_batches(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query("comment_cut", "SELECT conv_id, conv_id * 100 + turn AS id FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id * 100 + turn) <= 4")
+@query(
+    "comment_cut",
+    "SELECT conv_id, conv_id * 100 + turn AS id FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, conv_id * 100 + turn) <= 4",
+)
 def comment_cut(spark: SparkSession, sf: str) -> DataFrame:
     """Of each thread the first four times as many comments as may represent it."""
     return text.first_comments(comments(spark, sf), ["conv_id"], 1).select("conv_id", "id")

@@ -54,7 +54,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = rows.distinct() if repeat else rows
         ends = node_id(source, [(NODES[source][1], F.col("a"))]), node_id(target, [(NODES[target][1], F.col("b"))])
         placed = rows.select(ends[0].alias("from_node_id"), ends[1].alias("to_node_id"))
-        parts.append(placed.select(edge_id(label, F.col("from_node_id"), F.col("to_node_id")).alias("id"), F.lit(label).alias("label"), "from_node_id", "to_node_id", F.lit(source).alias("from_node_type"), F.lit(target).alias("to_node_type")))
+        parts.append(placed.select(
+            edge_id(label, F.col("from_node_id"), F.col("to_node_id")).alias("id"), F.lit(label).alias("label"), "from_node_id", "to_node_id",
+            F.lit(source).alias("from_node_type"), F.lit(target).alias("to_node_type"),
+        ))
     return union(parts)
 
 
@@ -79,7 +82,9 @@ def _fmt(h: str) -> str:
     return f"substr({h},1,8)||'-'||substr({h},9,4)||'-5'||substr({h},14,3)||'-'||translate(substr({h},17,1),'0123456789abcdef','89ab89ab89ab89ab')||substr({h},18,3)||'-'||substr({h},21,12)"
 
 
-_KEYS = " UNION ALL ".join(f"SELECT '{label}' AS label, '{label}|{key}=' || {key} AS name, CAST({key} AS VARCHAR) AS k, to_json({{'name': {title}}})::VARCHAR AS properties FROM {name}" for label, (name, key, title) in NODES.items())
+_KEYS = " UNION ALL ".join(f"SELECT '{label}' AS label, '{label}|{key}=' || {key} AS name, CAST({key} AS VARCHAR) AS k, to_json({{'name': {title}}})::VARCHAR AS properties FROM {name}" for label, (
+    name, key, title,
+) in NODES.items())
 _PAIRS = " UNION ALL ".join(f"SELECT {'DISTINCT' if repeat else ''} '{label}' AS label, '{s}' AS ft, CAST({sk} AS VARCHAR) AS fk, '{t}' AS tt, CAST({tk} AS VARCHAR) AS tk FROM {name}" for label, name, s, sk, t, tk, repeat in EDGES)
 
 WITH_GRAPH = f"""

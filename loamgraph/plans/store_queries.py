@@ -38,7 +38,10 @@ def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return t.read()
 
 
-@query("upsert_null_keys", "SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey END AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey END, 'new' FROM orders")
+@query(
+    "upsert_null_keys",
+    "SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey END AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey END, 'new' FROM orders",
+)
 def upsert_null_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Null keys match nothing: old and new rows both stay."""
     o = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")).alias("k"), F.col("o_orderstatus").alias("v"))
@@ -75,7 +78,10 @@ def changes_since(spark: SparkSession, sf: str) -> DataFrame:
     return t.changes(-1).withColumn("_version", F.col("_version").cast("int"))
 
 
-@query("net_changes", "SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN 'update' ELSE 'insert' END AS _change FROM orders WHERE o_orderkey % 3 = 0 AND NOT (o_orderkey % 2 = 0 AND o_orderstatus = 'X')")
+@query(
+    "net_changes",
+    "SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 2 = 0 THEN 'update' ELSE 'insert' END AS _change FROM orders WHERE o_orderkey % 3 = 0 AND NOT (o_orderkey % 2 = 0 AND o_orderstatus = 'X')",
+)
 def net_changes(spark: SparkSession, sf: str) -> DataFrame:
     t = scratch(spark, "net", ["o_orderkey"])
     for rows in changed_orders(spark, sf):
@@ -112,7 +118,9 @@ def vector_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as issue documents; every tenth id comes twice."""
     v = table(spark, sf, "embeddings")
     one = v.select(
-        F.lit(None).cast("string").alias("id"), F.concat(F.lit("https://p/"), F.col("label").cast("string")).alias("project_url"), F.col("vec_id").alias("issue_number"), "embedding",
+        F.lit(None).cast("string").alias("id"), F.concat(
+            F.lit("https://p/"), F.col("label").cast("string"),
+        ).alias("project_url"), F.col("vec_id").alias("issue_number"), "embedding",
         F.concat(F.lit("doc://"), F.col("vec_id").cast("string")).alias("embedding_id"),
     )
     return one.unionByName(one.filter("issue_number % 10 = 0"))
@@ -141,7 +149,10 @@ def vector_rule_edges(spark: SparkSession, sf: str) -> DataFrame:
     return made["edge_containscontent"].unionByName(made["edge_documents"]).drop("created_at", "updated_at")
 
 
-@query("vector_source_edges", f"SELECT {uuid5_sql("'part|p_partkey=' || (vec_id + 1)")} AS from_node_id, {uuid5_sql("'vector|codechunk|c' || vec_id")} AS to_node_id, 'part' AS from_node_type FROM embeddings")
+@query(
+    "vector_source_edges",
+    f"SELECT {uuid5_sql("'part|p_partkey=' || (vec_id + 1)")} AS from_node_id, {uuid5_sql("'vector|codechunk|c' || vec_id")} AS to_node_id, 'part' AS from_node_type FROM embeddings",
+)
 def vector_source_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Rule edges whose source id is a column and whose type is a key's prefix."""
     spec = REGISTRY.entity("codechunk")
@@ -161,7 +172,10 @@ def edge_upsert(spark: SparkSession, sf: str) -> DataFrame:
     spec = EntitySpec("edge_x", Category.EDGE, "silver/edges/x", schema, keys)
     n = table(spark, sf, "nation")
     now = F.current_timestamp()
-    row = lambda source: [F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("id"), source.alias("from_node_id"), F.lit("t").alias("to_node_id"), F.lit("a").alias("from_node_type"), F.lit("b").alias("to_node_type"), now.alias("created_at"), now.alias("updated_at")]
+    row = lambda source: [
+        F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("id"), source.alias("from_node_id"), F.lit("t").alias("to_node_id"),
+        F.lit("a").alias("from_node_type"), F.lit("b").alias("to_node_type"), now.alias("created_at"), now.alias("updated_at"),
+    ]
     t = scratch(spark, "edges", list(spec.keys))
     t.write(n.select(*row(F.concat(F.lit("a"), F.col("n_regionkey").cast("string")))))
     t.write(n.filter("n_nationkey < 5").select(*row(F.lit("new"))))

@@ -38,7 +38,10 @@ comments AS (SELECT conv_id, conv_id * 100 + turn AS id, text AS body_text, CASE
 def comments(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     zero = F.lit(0)
-    reactions = F.struct(((F.col("conv_id") + F.col("turn")) % 7).alias("plus_one"), zero.alias("heart"), zero.alias("hooray"), zero.alias("eyes"), zero.alias("rocket"), (F.col("turn") % 3).alias("confused"))
+    reactions = F.struct(
+        ((F.col("conv_id") + F.col("turn")) % 7).alias("plus_one"), zero.alias("heart"), zero.alias("hooray"), zero.alias("eyes"), zero.alias("rocket"),
+        (F.col("turn") % 3).alias("confused"),
+    )
     association = F.when(F.col("role") == "assistant", "member").when(F.col("role") == "user", "CONTRIBUTOR").otherwise("NONE")
     return c.select(
         "conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("body_text"), association.alias("author_association"), F.col("turn").alias("created_at"), reactions.alias("reactions"),
@@ -91,7 +94,10 @@ DIGEST_STEP = """CASE WHEN strlen(done) >= 4000 THEN done WHEN strlen(x) > 4000
     ELSE done || CASE done WHEN '' THEN '' ELSE chr(10) || chr(10) END || x END"""
 
 
-@query("comment_digests", SCORED_SQL + SELECTED_SQL + f" SELECT conv_id, comment_ids, nullif(list_reduce(list_prepend('', texts), lambda done, x: {DIGEST_STEP}), '') AS digest FROM whole")
+@query(
+    "comment_digests",
+    SCORED_SQL + SELECTED_SQL + f" SELECT conv_id, comment_ids, nullif(list_reduce(list_prepend('', texts), lambda done, x: {DIGEST_STEP}), '') AS digest FROM whole",
+)
 def comment_digests(spark: SparkSession, sf: str) -> DataFrame:
     scored = text.score_comments(comments(spark, sf), ["conv_id"])
     return text.comment_digest(text.select_comments(scored, ["conv_id"]), ["conv_id"])
@@ -149,12 +155,20 @@ def link_strength_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return text.strongest_links(links(spark, sf), ["doc_id"], ["title", "body"]).select("doc_id", "position", "number", "link_type", "strength")
 
 
-@query("cross_repository_links", "SELECT doc_id, doc_id AS number, CASE doc_id % 3 WHEN 0 THEN 'other' ELSE 'own' END AS ref_owner, CASE doc_id % 3 WHEN 0 THEN 'tool' WHEN 1 THEN 'repo' ELSE 'lib.x' END AS ref_repo, doc_id % 3 <> 1 AS cross_repo FROM documents WHERE text IS NOT NULL")
+@query(
+    "cross_repository_links",
+    "SELECT doc_id, doc_id AS number, CASE doc_id % 3 WHEN 0 THEN 'other' ELSE 'own' END AS ref_owner, CASE doc_id % 3 WHEN 0 THEN 'tool' WHEN 1 THEN 'repo' ELSE 'lib.x' END AS ref_repo, doc_id % 3 <> 1 AS cross_repo FROM documents WHERE text IS NOT NULL",
+)
 def cross_repository_links(spark: SparkSession, sf: str) -> DataFrame:
     """``owner/repo#n``, a plain ``#n`` and the own owner's other repository."""
     k = F.col("doc_id") % 3
-    body = F.concat(F.lit("see ("), F.when(k == 0, "other/tool").when(k == 2, "own/lib.x").otherwise(""), F.lit("#"), F.col("doc_id").cast("string"), F.lit(") "), F.col("text"))
-    found = text.issue_links(table(spark, sf, "documents").select("doc_id", body.alias("body")), F.col("body"), F.lit("own"), F.lit("repo"), F.lit("body"), cross_repo=True)
+    body = F.concat(
+        F.lit("see ("), F.when(k == 0, "other/tool").when(k == 2, "own/lib.x").otherwise(""), F.lit("#"), F.col("doc_id").cast("string"), F.lit(") "),
+        F.col("text"),
+    )
+    found = text.issue_links(
+        table(spark, sf, "documents").select("doc_id", body.alias("body")), F.col("body"), F.lit("own"), F.lit("repo"), F.lit("body"), cross_repo=True,
+    )
     return found.filter("position < 20").select("doc_id", "number", "ref_owner", "ref_repo", "cross_repo")
 
 
@@ -171,7 +185,10 @@ DOC = """'Issue #' || doc_id || ' in own/repo' || chr(10) || chr(10) || 'State:
 @query("doc_text_compose", f"SELECT doc_id, {DOC} AS document FROM documents")
 def doc_text_compose(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    d = table(spark, sf, "documents").select("doc_id", F.col("doc_id").alias("number"), F.lit("open").alias("state"), F.col("source").alias("author_login"), none.alias("title"), F.col("text").alias("body"), none.alias("representative_digest_text"))
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.col("doc_id").alias("number"), F.lit("open").alias("state"), F.col("source").alias("author_login"), none.alias("title"),
+        F.col("text").alias("body"), none.alias("representative_digest_text"),
+    )
     return d.select("doc_id", text.issue_document(F.lit("own/repo")).alias("document"))
 
 
@@ -202,5 +219,8 @@ def readiness_ttl_anchor(spark: SparkSession, sf: str) -> DataFrame:
     readiness = by_user.select(uri.alias("entity_uri"), "last_synced_at", F.when(F.col("user_id") % 2 == 0, 86400).otherwise(3600).alias("ttl_seconds"))
     anchors = by_user.select(uri.alias("entity_uri"), fetcher.alias("fetcher"), F.col("anchor").cast("string").alias("anchor_value"))
     remote = F.when(kind == 2, F.when(F.col("anchor") % 2 == 0, F.col("anchor")).otherwise(F.col("anchor") + 1).cast("string"))
-    probes = by_user.select(uri.alias("entity_uri"), fetcher.alias("fetcher"), F.lit(True).alias("known"), (kind == 1).alias("failed"), F.when(kind == 3, F.col("user_id") % 3 != 0).alias("fresh"), remote.alias("remote_anchor"))
+    probes = by_user.select(
+        uri.alias("entity_uri"), fetcher.alias("fetcher"), F.lit(True).alias("known"), (kind == 1).alias("failed"),
+        F.when(kind == 3, F.col("user_id") % 3 != 0).alias("fresh"), remote.alias("remote_anchor"),
+    )
     return freshness(requests, readiness, anchors, probes, now)

@@ -106,7 +106,10 @@ class Engine:
 
     def status(self) -> dict:
         nodes, edges, vectors = self.views()
-        return {"db_stats": graph.graph_counts(nodes, edges, vectors).first().asDict(), "entity_count": len(self.sync.known_entities()), "registered_fetchers": self.sync.registered()}
+        return {
+            "db_stats": graph.graph_counts(nodes, edges, vectors).first().asDict(), "entity_count": len(self.sync.known_entities()),
+            "registered_fetchers": self.sync.registered(),
+        }
 
     def overview(self, limit: int = 30) -> tuple[DataFrame, DataFrame]:
         nodes, edges, _ = self.views()

@@ -55,7 +55,13 @@ class Catalog:
     # readiness, budget, anchors
 
     def set_readiness(self, uri: str, entity_type: str, ttl: int | None = 3600, coverage: dict | None = None, now: int | None = None) -> None:
-        self._put("entity_readiness", ["entity_uri"], {"entity_uri": uri, "entity_type": entity_type, "last_synced_at": int(time.time()) if now is None else now, "ttl_seconds": ttl, "coverage_metrics": json.dumps(coverage or {})})
+        self._put(
+            "entity_readiness", ["entity_uri"],
+            {
+                "entity_uri": uri, "entity_type": entity_type, "last_synced_at": int(time.time()) if now is None else now, "ttl_seconds": ttl,
+                "coverage_metrics": json.dumps(coverage or {}),
+            },
+        )
 
     def readiness(self, uri: str) -> dict | None:
         return self._get("entity_readiness", entity_uri=uri)
@@ -67,7 +73,10 @@ class Catalog:
         return self._get("api_budget", api_endpoint=endpoint)
 
     def set_anchor(self, uri: str, fetcher: str, key: str, value: str, now: int | None = None) -> None:
-        self._put("source_anchors", ["entity_uri", "fetcher", "anchor_key"], {"entity_uri": uri, "fetcher": fetcher, "anchor_key": key, "anchor_value": value, "updated_at": int(time.time()) if now is None else now})
+        self._put(
+            "source_anchors", ["entity_uri", "fetcher", "anchor_key"],
+            {"entity_uri": uri, "fetcher": fetcher, "anchor_key": key, "anchor_value": value, "updated_at": int(time.time()) if now is None else now},
+        )
 
     def anchor(self, uri: str, fetcher: str, key: str) -> str | None:
         row = self._get("source_anchors", entity_uri=uri, fetcher=fetcher, anchor_key=key)
@@ -77,7 +86,10 @@ class Catalog:
 
     def start_task(self, name: str, details: str = "") -> str:
         task = uuid.uuid4().hex
-        self._put("task_logs", ["task_id"], {"task_id": task, "task_name": name, "start_time": int(time.time()), "end_time": None, "status": "RUNNING", "details": details})
+        self._put(
+            "task_logs", ["task_id"],
+            {"task_id": task, "task_name": name, "start_time": int(time.time()), "end_time": None, "status": "RUNNING", "details": details},
+        )
         return task
 
     def end_task(self, task: str, status: str, details: str = "") -> None:

@@ -121,7 +121,10 @@ def issues_only(rows: Iterator[dict]) -> Iterator[dict]:
     return (r for r in rows if "pull_request" not in r)
 
 
-ENDPOINTS = {"issues": "repos/{repo}/issues", "pulls": "repos/{repo}/pulls", "comments": "repos/{repo}/issues/comments", "review_comments": "repos/{repo}/pulls/comments", "readme": "repos/{repo}/readme", "repository": "repos/{repo}"}
+ENDPOINTS = {
+    "issues": "repos/{repo}/issues", "pulls": "repos/{repo}/pulls", "comments": "repos/{repo}/issues/comments",
+    "review_comments": "repos/{repo}/pulls/comments", "readme": "repos/{repo}/readme", "repository": "repos/{repo}",
+}
 
 
 class RepositorySource(DataSource):
@@ -176,7 +179,9 @@ SEARCH_PANEL = "silver/panel/repository_search"
 def search_panel(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """The search panel's six columns, from JSON payloads."""
     r = F.from_json("payload", "full_name string, html_url string, description string, language string, stargazers_count bigint, updated_at timestamp")
-    out = rows.select(r.alias("r")).select("r.full_name", "r.html_url", "r.description", "r.language", F.coalesce("r.stargazers_count", F.lit(0)).alias("stargazers"), "r.updated_at").filter("full_name is not null and html_url is not null")
+    out = rows.select(r.alias("r")).select(
+        "r.full_name", "r.html_url", "r.description", "r.language", F.coalesce("r.stargazers_count", F.lit(0)).alias("stargazers"), "r.updated_at",
+    ).filter("full_name is not null and html_url is not null")
     return out if limit is None else out.limit(limit)
 
 
@@ -197,7 +202,10 @@ def unwrap(answer: object) -> object:
 
 COUNTRY = "id string, iso2Code string, name string, region struct<id:string,iso2code:string,value:string>, incomeLevel struct<id:string,iso2code:string,value:string>, lendingType struct<id:string,iso2code:string,value:string>, capitalCity string, longitude string, latitude string"
 INDICATOR = "id string, name string, source struct<id:string,value:string>, sourceNote string, sourceOrganization string, topics array<struct<id:string,value:string>>, unit string"
-LISTS = {"country": COUNTRY, "indicator": INDICATOR, "topic": "id string, value string, sourceNote string", "source": "id string, name string, description string", "region": "id string, code string, iso2code string, name string"}
+LISTS = {
+    "country": COUNTRY, "indicator": INDICATOR, "topic": "id string, value string, sourceNote string", "source": "id string, name string, description string",
+    "region": "id string, code string, iso2code string, name string",
+}
 
 
 def listed(spark: SparkSession, client, kind: str, one: str | None = None) -> DataFrame:
@@ -228,7 +236,9 @@ def search_indicators(indicators: DataFrame, pattern: str) -> DataFrame:
     return indicators.filter(contains_any(pattern, F.col("name"), F.col("id"), F.col("sourceNote")))
 
 
-def series_request(indicator: str, country: str = "all", date: str | None = None, mrv: int | None = None, gapfill: str | None = None, language: str = "en") -> tuple[str, dict]:
+def series_request(
+    indicator: str, country: str = "all", date: str | None = None, mrv: int | None = None, gapfill: str | None = None, language: str = "en",
+) -> tuple[str, dict]:
     """(path, parameters) of a data series."""
     path = f"country/{country}/indicator/{indicator}"
     params = {"format": "jsonstat", "date": date, "mrv": None if mrv is None else str(mrv), "gapfill": gapfill}

@@ -48,7 +48,9 @@ def windowed_counts(events: DataFrame, time_col: str, size: str, by: list[str],
 def session_counts(events: DataFrame, time_col: str, gap: str, by: list[str], late: str = "1 hour") -> DataFrame:
     source = instants(events, time_col)
     source = source.withWatermark(time_col, late) if events.isStreaming else source
-    return source.groupBy(F.session_window(time_col, gap).alias("s"), *by).agg(F.count(F.lit(1)).alias("n")).select(*by, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
+    return source.groupBy(F.session_window(time_col, gap).alias("s"), *by).agg(F.count(F.lit(1)).alias("n")).select(
+        *by, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n",
+    )
 
 
 def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:

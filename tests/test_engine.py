@@ -66,7 +66,9 @@ def test_node_index_and_edges_skip_bad_rows(spark):
     spec = REGISTRY.entity("file")
     rows = spark.createDataFrame([("s", "p", None), (None, "p", None), ("s", "q", "no uuid")], "version_sha string, path string, id string")
     assert [r["path"] for r in node_index(rows, spec).collect()] == ["p"]
-    e = spark.createDataFrame([(None, "no", node_id_of("a")), (None, node_id_of("a"), node_id_of("b"))], "id string, from_node_id string, to_node_id string").withColumns({c: F.lit("t") for c in ("from_node_type", "to_node_type")})
+    e = spark.createDataFrame(
+        [(None, "no", node_id_of("a")), (None, node_id_of("a"), node_id_of("b"))], "id string, from_node_id string, to_node_id string",
+    ).withColumns({c: F.lit("t") for c in ("from_node_type", "to_node_type")})
     assert [r["id"] for r in as_edges(e, REGISTRY.edge("calls")).collect()] == [edge_id_of("edge_calls", node_id_of("a"), node_id_of("b"))]
 
 
@@ -131,7 +133,10 @@ def test_freshness_rule(spark):
     requests = spark.createDataFrame([("a", "f"), ("b", "f"), ("c", None), ("d", "f")], "entity_uri string, fetcher string")
     ready = spark.createDataFrame([("a", 100, 50), ("b", 100, 50), ("c", 10, 50)], "entity_uri string, last_synced_at long, ttl_seconds long")
     anchors = spark.createDataFrame([("a", "f", "x")], "entity_uri string, fetcher string, anchor_value string")
-    probes = spark.createDataFrame([("a", "f", True, False, None, "x"), ("b", "f", True, False, None, "y")], "entity_uri string, fetcher string, known boolean, failed boolean, fresh boolean, remote_anchor string")
+    probes = spark.createDataFrame(
+        [("a", "f", True, False, None, "x"), ("b", "f", True, False, None, "y")],
+        "entity_uri string, fetcher string, known boolean, failed boolean, fresh boolean, remote_anchor string",
+    )
     got = {r["entity_uri"]: r["is_fresh"] for r in freshness(requests, ready, anchors, probes, 120).collect()}
     assert got == {"a": True, "b": False, "c": False, "d": False}
 
@@ -140,9 +145,18 @@ def test_freshness_rule(spark):
 
 
 def snapshot_frames(spark):
-    repos = spark.createDataFrame([(URL, "own/repo", "repo", None, "Rust", 3, 1, SHA, None, True, "msg", NOW)], "project_url string, full_name string, name string, description string, language string, stars long, forks long, sha string, tag string, is_head boolean, message string, authored_at timestamp")
+    repos = spark.createDataFrame(
+        [(URL, "own/repo", "repo", None, "Rust", 3, 1, SHA, None, True, "msg", NOW)],
+        "project_url string, full_name string, name string, description string, language string, stars long, forks long, sha string, tag string, is_head boolean, message string, authored_at timestamp",
+    )
     spec = REGISTRY.entity("developer")
-    people = records(spark, spec, [{"platform": "GitHub", "account_id": "1", "login": "Ann"}, {"platform": "github", "account_id": "1", "login": "ann"}, {"platform": " ", "account_id": "2", "login": "x"}])
+    people = records(
+        spark, spec,
+        [
+            {"platform": "GitHub", "account_id": "1", "login": "Ann"}, {"platform": "github", "account_id": "1", "login": "ann"},
+            {"platform": " ", "account_id": "2", "login": "x"},
+        ],
+    )
     extra = "label_list array<struct<name:string,color:string,description:string>>, links array<struct<owner:string,repo:string,number:long,link_type:string,strength:int,origin:string,cross_repo:boolean>>"
 
     def numbered(kind, rows):
@@ -151,8 +165,15 @@ def snapshot_frames(spark):
         schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in s.fields] + [extra])
         return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
 
-    issue = {"project_url": URL, "number": 1, "title": "Bug", "state": "open", "author_login": "ANN", "author_id": "9", "created_at": NOW, "label_list": [("Bug", None, None), ("docs", None, None)]}
-    pull = {"project_url": URL, "number": 42, "title": "Fix", "state": "closed", "draft": True, "author_login": "nobody", "created_at": NOW, "updated_at": NOW, "label_list": [("bug", None, None)], "links": [("own", "repo", 1, "closes", 3, "body", False), ("x", "y", 1, "closes", 3, "body", True), ("own", "repo", 99, "closes", 3, "body", False)]}
+    issue = {
+        "project_url": URL, "number": 1, "title": "Bug", "state": "open", "author_login": "ANN", "author_id": "9", "created_at": NOW,
+        "label_list": [("Bug", None, None), ("docs", None, None)],
+    }
+    pull = {
+        "project_url": URL, "number": 42, "title": "Fix", "state": "closed", "draft": True, "author_login": "nobody", "created_at": NOW, "updated_at": NOW,
+        "label_list": [("bug", None, None)],
+        "links": [("own", "repo", 1, "closes", 3, "body", False), ("x", "y", 1, "closes", 3, "body", True), ("own", "repo", 99, "closes", 3, "body", False)],
+    }
     readme = spark.createDataFrame([(URL, "# Title\ntext", "README.md")], "project_url string, text string, source_file string")
     return repos, people, numbered("issue", [issue]), numbered("pullrequest", [pull]), readme
 
@@ -178,7 +199,10 @@ def test_snapshot_graph_through_the_engine(engine, spark):
 
 def test_ast_graph(engine, spark):
     nodes = [("f", "File", "", "/r/a.py", "", 0, 9, {"language": "python"}), ("c", "Class", "C", "/r/a.py", "class C: pass", 1, 2, {}), ("g", "Function", "g", "/r/a.py", " def g() ", 3, 4, {"component": "Yes", "interface": "g()"}), ("d", "DataModel", "D", "/r/a.py", "", 5, 6, {"type": "struct"}), ("l", "Library", "os", "", "", 0, 0, {}), ("e", "Endpoint", "/x", "/r/a.py", "", 0, 0, {"http_method": "GET"}), ("t", "Test", "", "/r/a.py", "", 0, 0, {})]
-    edges = [("f", "c", "Contains"), ("f", "d", "Contains"), ("f", "l", "Contains"), ("g", "d", "Contains"), ("c", "g", "Operand"), ("e", "g", "Handler"), ("g", "g", "Calls"), ("g", "gone", "Calls")]
+    edges = [
+        ("f", "c", "Contains"), ("f", "d", "Contains"), ("f", "l", "Contains"), ("g", "d", "Contains"), ("c", "g", "Operand"), ("e", "g", "Handler"),
+        ("g", "g", "Calls"), ("g", "gone", "Calls"),
+    ]
     n = spark.createDataFrame(nodes, "key string, kind string, name string, file string, body string, start long, end long, meta map<string,string>")
     e = spark.createDataFrame(edges, "source string, target string, kind string")
     graph = snapshot.ast_graph(n, e, SHA, F.lit(NOW).cast("timestamp"), URL, "own/repo", "/r", snapshot.Options(embed=embedding.hashing_embedding(16)))
@@ -214,12 +238,21 @@ def test_stored_writes(engine):
 
 
 def test_bm25_and_vectors(spark):
-    docs = spark.createDataFrame([("1", "function", "fn search_engine()"), ("2", "function", "function::search"), ("3", "class", "hybrid search search"), ("4", "class", ""), ("5", "class", None)], "id string, label string, text string")
+    docs = spark.createDataFrame(
+        [
+            ("1", "function", "fn search_engine()"), ("2", "function", "function::search"), ("3", "class", "hybrid search search"), ("4", "class", ""),
+            ("5", "class", None),
+        ],
+        "id string, label string, text string",
+    )
     index = search.text_index(docs, label_col="label")
     assert index.documents == 5 and {r["id"] for r in search.bm25(index, "search engine", 10).collect()} == {"1", "2", "3"}
     assert search.bm25(index, "search", 1, "function", post_filter=True).count() == 0 and search.bm25(index, "search", 1, "function").count() == 1
     assert search.bm25(index, "  ", 5).count() == 0 and search.bm25(index, "search", 0).count() == 1
-    vecs = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "x", [0.0, 1.0]), ("c", "y", [0.0, 0.0]), ("d", "x", None), ("e", "x", [])], "id string, label string, embedding array<float>")
+    vecs = spark.createDataFrame(
+        [("a", "x", [1.0, 0.0]), ("b", "x", [0.0, 1.0]), ("c", "y", [0.0, 0.0]), ("d", "x", None), ("e", "x", [])],
+        "id string, label string, embedding array<float>",
+    )
     got = search.knn(vecs, [1.0, 0.0], 5).collect()
     assert [r["id"] for r in got][:1] in (["a"], ["c"]) and all(0 <= r["similarity"] <= 1 for r in got) and len(got) == 3
     assert search.knn(vecs, [], 5).count() == 0 and search.knn(vecs, [1.0, 0.0], 1, label="x").first()["id"] == "a"
@@ -231,7 +264,9 @@ def test_clusters_find_neighbours(spark, data):
     v = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     clustered, centres = search.cluster_vectors(v, 8)
     queries = [r["embedding"] for r in v.limit(10).collect()]
-    hit = sum(len({r["id"] for r in search.knn(v, q, 5).collect()} & {r["id"] for r in search.knn_in_cells(clustered, centres, q, 5, probes=5).collect()}) for q in queries)
+    hit = sum(len({r["id"] for r in search.knn(v, q, 5).collect()} & {r["id"] for r in search.knn_in_cells(
+        clustered, centres, q, 5, probes=5,
+    ).collect()}) for q in queries)
     assert hit >= 45 * 0.9
 
 
@@ -270,7 +305,9 @@ def test_repository_source(spark, tmp_path):
     assert [json.loads(r["payload"])["number"] for r in rows] == [1]
     client = rest.FolderClient(str(tmp_path))
     assert rest.resolve_revision(client, "o/r", "main", None) == {"sha": "b1", "reference": "main", "is_head": True}
-    assert rest.resolve_revision(client, "o/r", "main", "v1")["sha"] == "t1" and rest.resolve_revision(client, "o/r", "main", "abc") == {"sha": "abc", "reference": "abc", "is_head": False}
+    assert rest.resolve_revision(client, "o/r", "main", "v1")["sha"] == "t1" and rest.resolve_revision(client, "o/r", "main", "abc") == {
+        "sha": "abc", "reference": "abc", "is_head": False,
+    }
     assert rest.search_query("q", "rust", 5, 500) == {"q": "q language:rust stars:>=5", "per_page": 100}
     panel = rest.search_panel(spark.createDataFrame([('{"full_name":"a/b","html_url":"h","stargazers_count":3}',), ("{}",)], "payload string"))
     assert panel.count() == 1 and panel.first()["stargazers"] == 3

@@ -20,7 +20,10 @@ def small(spark):
     nodes = spark.createDataFrame([(ID[n], "function", f'{{"name":"function::{n}"}}') for n in NAMES], "id string, label string, properties string")
     rows = [(edge_id_of(f"edge_{k}", ID[a], ID[b]), f"edge_{k}", ID[a], ID[b]) for a, b, k in PAIRS]
     rows.append(("dangling", "edge_calls", ID["root"], GONE))
-    edges = spark.createDataFrame([(*r, "function", "function") for r in rows], "id string, label string, from_node_id string, to_node_id string, from_node_type string, to_node_type string")
+    edges = spark.createDataFrame(
+        [(*r, "function", "function") for r in rows],
+        "id string, label string, from_node_id string, to_node_id string, from_node_type string, to_node_type string",
+    )
     return nodes.cache(), edges.cache(), rows
 
 
@@ -42,7 +45,10 @@ def twin(rows, start, depth, types=None):
     return level, used
 
 
-@pytest.mark.parametrize(("start", "depth", "types"), [("root", 0, None), ("root", 1, None), ("root", 2, None), ("root", 5, None), ("root", 3, ["calls"]), ("loop", 2, None), ("lone", 2, None)])
+@pytest.mark.parametrize(
+    ("start", "depth", "types"),
+    [("root", 0, None), ("root", 1, None), ("root", 2, None), ("root", 5, None), ("root", 3, ["calls"]), ("loop", 2, None), ("lone", 2, None)],
+)
 def test_bfs(small, start, depth, types):
     nodes, edges, rows = small
     got = graph.subgraph_bfs(edges, nodes, ID[start], types, depth)

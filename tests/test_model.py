@@ -16,7 +16,9 @@ from loamgraph.sources.store import Conflict, Lake, VersionedTable, last_wins
 
 def test_uuid5_is_the_standard_one(spark):
     names = ["", "project|url=https://x/y", "é|k=ü", "a" * 300]
-    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", ids.uuid5(F.col("n")).alias("o"), ids.uuid5(F.col("n"), ids.NAMESPACE_URL).alias("u")).collect()
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(
+        "n", ids.uuid5(F.col("n")).alias("o"), ids.uuid5(F.col("n"), ids.NAMESPACE_URL).alias("u"),
+    ).collect()
     for r in got:
         assert r["o"] == str(uuid.uuid5(uuid.NAMESPACE_OID, r["n"]))
         assert r["u"] == str(uuid.uuid5(uuid.NAMESPACE_URL, r["n"]))
@@ -24,7 +26,9 @@ def test_uuid5_is_the_standard_one(spark):
 
 def test_ids_of_driver_and_columns_agree(spark):
     row = spark.range(1).select(
-        ids.node_id("issue", [("project_url", F.lit("u")), ("number", F.lit(7))]).alias("n"), ids.edge_id("edge_x", F.lit("a"), F.lit("b")).alias("e"), ids.node_id("issue", [("project_url", F.lit(None).cast("string"))]).alias("none")
+        ids.node_id(
+            "issue", [("project_url", F.lit("u")), ("number", F.lit(7))],
+        ).alias("n"), ids.edge_id("edge_x", F.lit("a"), F.lit("b")).alias("e"), ids.node_id("issue", [("project_url", F.lit(None).cast("string"))]).alias("none")
     ).first()
     assert row["n"] == ids.node_id_of("issue", project_url="u", number=7)
     assert row["e"] == ids.edge_id_of("edge_x", "a", "b")

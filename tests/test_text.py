@@ -51,7 +51,10 @@ def twin_scores(rows):
 
 
 def test_comment_scores(spark):
-    rows = [comment(1, "> quoted\nFixed in  MAIN", "owner", plus=20), comment(2, "x" * 1300, "weird", confused=9), comment(3, "fixed in main"), comment(4, bot=True), comment(0), comment(5, "  "), comment(6, "> only quotes"), comment(7, "é" * 50)]
+    rows = [
+        comment(1, "> quoted\nFixed in  MAIN", "owner", plus=20), comment(2, "x" * 1300, "weird", confused=9), comment(3, "fixed in main"),
+        comment(4, bot=True), comment(0), comment(5, "  "), comment(6, "> only quotes"), comment(7, "é" * 50),
+    ]
     got = text.score_comments(spark.createDataFrame(rows, COMMENT), ["g"]).collect()
     want = twin_scores(rows)
     assert {r["id"] for r in got} == set(want) == {1, 2, 7}
@@ -84,7 +87,9 @@ def test_digest(spark):
 
 
 LINKS = [
-    ("Fixes #12 and #3", [(12, "closes"), (3, "closes")]), ("see #7", [(7, "references")]), ("a#1 x/y#2 z-#3", []), ("(#1) duplicate", [(1, "duplicate")]), ("#12345678", []), ("ends with #", []), ("plain #5.", [(5, "mentions")]),
+    (
+        "Fixes #12 and #3", [(12, "closes"), (3, "closes")],
+    ), ("see #7", [(7, "references")]), ("a#1 x/y#2 z-#3", []), ("(#1) duplicate", [(1, "duplicate")]), ("#12345678", []), ("ends with #", []), ("plain #5.", [(5, "mentions")]),
     ("##4", [(4, "mentions")]), ("#1#2", [(1, "mentions")]), ("fixes" + " " * 60 + "#9", [(9, "mentions")]),
 ]
 
@@ -112,7 +117,10 @@ def test_strongest_link_stays(spark):
 
 
 def test_documents(spark):
-    row = spark.createDataFrame([(3, "open", None, " ", "text", None, True, 5, None, 2)], "number int, state string, author_login string, title string, body string, representative_digest_text string, draft boolean, additions int, deletions int, changed_files int")
+    row = spark.createDataFrame(
+        [(3, "open", None, " ", "text", None, True, 5, None, 2)],
+        "number int, state string, author_login string, title string, body string, representative_digest_text string, draft boolean, additions int, deletions int, changed_files int",
+    )
     assert row.select(text.pull_request_document(F.lit("a/b")).alias("d")).first()["d"] == "Pull Request #3 in a/b\n\nState: open (draft)\n\nBody:\ntext\n\nAdditions: 5\n\nChanged Files: 2"
     assert row.select(text.issue_document(F.lit("a/b")).alias("d")).first()["d"] == "Issue #3 in a/b\n\nState: open\n\nBody:\ntext"
 
