@@ -6,16 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """Each left row with the right row of its key that is latest at or before it: one union, one sort by key and time, no join."""
+def asof_join(
+    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], width: float | None = None,
+) -> DataFrame:
+    """Each left row with the right row of its key that is latest at or before it: one union, one sort by key and time, no join.
+
+    ``width``: keys are cut into slices of so many seconds (or units of a number), each sorted by a task of its own, so that a key with a third of all rows is
+    spread; a slice begins with the last right row before it, which comes from one row per key and slice.
+    """
     cols = [c for c in left.columns if c not in by]
     state = F.struct(F.col(right_time).alias("t"), *[F.col(v) for v in values])
-    a = left.select(
-        *by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*cols).alias("_left"),
-        F.lit(None).cast(right.select(state.alias("s")).schema["s"].dataType).alias("_state"),
-    )
-    b = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), state.alias("_state"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    kind = right.select(state.alias("s")).schema["s"].dataType
+    a = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*cols).alias("_left"), F.lit(None).cast(kind).alias("_state"))
+    none = F.lit(None).cast(a.schema["_left"].dataType)
+    b = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), none.alias("_left"), state.alias("_state"))
+    keys = list(by)
+    if width is not None:
+        keys.append("_slice")
+        number = F.unix_micros(F.col("_t").cast("timestamp")) / 1e6 if "timestamp" in dict(a.dtypes)["_t"] else F.col("_t")
+        a, b = (x.withColumn("_slice", F.floor(number / width)) for x in (a, b))
+        last = b.filter("_t is not null").groupBy(*keys).agg(F.max_by("_state", "_t").alias("_state"))
+        needed = a.select(*keys).distinct()
+        before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        both = needed.withColumn("_needed", F.lit(True)).join(last, keys, "full_outer")
+        carried = both.withColumn("_state", F.last("_state", ignorenulls=True).over(before)).filter("_needed and _state is not null")
+        b = b.unionByName(carried.select(*by, F.col("_state.t").alias("_t"), F.lit(-1).alias("_side"), none.alias("_left"), "_state", "_slice"))
+    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = a.unionByName(b).withColumn("_state", F.last("_state", ignorenulls=True).over(w)).filter("_side = 1")
     return out.select(*by, "_left.*", *[F.col(f"_state.{v}").alias(v) for v in values])
 

@@ -50,7 +50,7 @@ def join_asof(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     clicks = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
     bought = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_purchase"))
-    return joins.asof_join(clicks, bought, ["user_id"], "ts", "ts", ["last_purchase"]).select("event_id", "user_id", "last_purchase")
+    return joins.asof_join(clicks, bought, ["user_id"], "ts", "ts", ["last_purchase"], width=7 * 86400.0).select("event_id", "user_id", "last_purchase")
 
 
 @query(

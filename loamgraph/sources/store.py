@@ -249,7 +249,8 @@ class VersionedTable:
         version = self.version()
         files, schema = self.live(version)
         hit = {r[0] for r in self._read(files, schema).filter(condition).select(F.input_file_name().alias("f")).distinct().collect()}
-        names = [f for f in files if any(h.endswith(f) for h in hit)]
+        hit = {tail(h) for h in hit}
+        names = [f for f in files if tail(f) in hit]
         if not names:
             return version
         kept = self._read(names, schema).filter(~F.coalesce(condition, F.lit(False)))
@@ -262,8 +263,8 @@ class VersionedTable:
         named = values.select(F.col(values.columns[0]).alias("_value")).distinct()
         rows = self._read(files, schema)
         parts = [rows.select(F.input_file_name().alias("f"), F.col(c).alias("_value")).join(named, "_value", "left_semi").select("f") for c in columns]
-        hit = {r[0].rsplit("/", 1)[-1] for r in reduce(lambda a, b: a.unionByName(b), parts).distinct().collect()}
-        names = [f for f in files if f.rsplit("/", 1)[-1] in hit]
+        hit = {tail(r[0]) for r in reduce(lambda a, b: a.unionByName(b), parts).distinct().collect()}
+        names = [f for f in files if tail(f) in hit]
         if not names:
             return version
         kept = self._read(names, schema)
@@ -279,6 +280,11 @@ def bucket_of(file: str) -> int | None:
     return None
 
 
+def tail(path: str) -> str:
+    """What tells files of one table apart; buckets have files of the same name."""
+    return "/".join(path.rsplit("/", 3)[-3:])
+
+
 def split_mark(mark: str) -> tuple[str, int]:
     """A mark is ``stream#number``; one without a number is a stream of its own."""
     stream, _, number = mark.rpartition("#")
