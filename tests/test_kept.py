@@ -178,12 +178,8 @@ def test_byte_windows_and_many_references(spark):
     assert sorted((r["position"], r["number"]) for r in got if r["t"] == long) == [(long.index(f"#{k}"), k) if k == 1 else (long.index(f" #{k}") + 1, k) for k in range(1, 3001)]
 
 
-class Answer(io.BytesIO):
-    pass
-
-
 def test_url_client():
-    asked, answers = [], [urllib.error.HTTPError("u", 429, "slow", {"Retry-After": "0"}, io.BytesIO(b"")), urllib.error.URLError("gone"), Answer(b'{"a": 1}')]
+    asked, answers = [], [urllib.error.HTTPError("u", 429, "slow", {"Retry-After": "0"}, io.BytesIO(b"")), urllib.error.URLError("gone"), io.BytesIO(b'{"a": 1}')]
 
     def opener(request, timeout):
         asked.append((request.full_url, request.headers.get("Authorization")))
@@ -209,12 +205,14 @@ def test_series_of_three_dimensions(spark):
     assert [(r["c"], r["s"], r["y"], r["value"], r["status"]) for r in got] == [("A", "X", "1", 1.0, ""), ("A", "X", "2", None, "e"), ("B", "X", "1", 3.0, ""), ("B", "X", "2", 4.0, "")]
 
 
-def answer_lengths(request, timeout):
-    texts = json.loads(request.data)["input"]
-    return Answer(json.dumps({"data": [{"index": k, "embedding": [float(len(t))]} for k, t in reversed(list(enumerate(texts)))]}).encode())
-
-
 def test_remote_and_local_embeddings(spark):
+    def answer_lengths(request, timeout):
+        texts = json.loads(request.data)["input"]
+        data = [{"index": k, "embedding": [float(len(t))]} for k, t in reversed(list(enumerate(texts)))]
+        return io.BytesIO(json.dumps({"data": data}).encode())
+
     df = spark.createDataFrame([("a",), ("bbb",), (None,)], "t string")
-    for provider in (embedding.remote_embedding("m", "k", "https://host/v1", answer_lengths, batch=2), embedding.local_embedding("n", lambda _: lambda texts: [[float(len(t))] for t in texts])):
+    remote = embedding.remote_embedding("m", "k", "https://host/v1", answer_lengths, batch=2)
+    local = embedding.local_embedding("n", lambda _: lambda texts: [[float(len(t))] for t in texts])
+    for provider in (remote, local):
         assert [list(r[0]) for r in df.select(provider(F.col("t"))).collect()] == [[1.0], [3.0], [0.0]]
