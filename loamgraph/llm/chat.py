@@ -48,8 +48,25 @@ def unescape_role(role: str) -> str:
     return unescape(role.replace("%0A", "\n").replace("%25", "%"))
 
 
-def marked_turns(turns: list[Turn]) -> str:
-    return "".join(f"<|im_start|>{escape_role(role)}\n{escape(text)}<|im_end|>\n" for role, text in turns)
+class MarkedTurns:
+    """The default template. It keeps the rendered turns of the last conversation it saw, so a longer prefix of it renders only what is new."""
+
+    def __init__(self):
+        self.turns: list[Turn] = []
+        self.pieces: list[str] = []
+
+    def __call__(self, turns: list[Turn]) -> str:
+        same = 0
+        for old, new in zip(self.turns, turns, strict=False):
+            if old is not new:
+                break
+            same += 1
+        made = [f"<|im_start|>{escape_role(role)}\n{escape(text)}<|im_end|>\n" for role, text in turns[same:]]
+        self.turns, self.pieces = [*self.turns[:same], *turns[same:]], [*self.pieces[:same], *made]
+        return "".join(self.pieces)
+
+
+marked_turns = MarkedTurns()
 
 
 def shared_front(a: str, b: str) -> int:
@@ -71,7 +88,8 @@ def format_conversation(turns: list[Turn], template: Template = marked_turns) ->
         if not now.startswith(before):
             return template(turns), None, k
         one, two = template([*turns[:k], (role, "A")]), template([*turns[:k], (role, "B")])
-        front = shared_front(one, two)
+        kept = len(before) if one.startswith(before) and two.startswith(before) else 0
+        front = kept + shared_front(one[kept:], two[kept:])
         back = len(one) - front - 1
         spans.append({"turn": k, "role": role, "start": len(before), "end": len(now), "text_start": front, "text_end": len(now) - back})
         before = now
