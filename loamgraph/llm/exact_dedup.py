@@ -15,7 +15,6 @@ document and share its decision (``keep_first`` keeps one of them); an empty tab
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
@@ -23,7 +22,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.session import pin, shared_dir
+from loamgraph.session import pin, scratch
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 #: The directory never exceeds this many slots; beyond it buckets grow instead.
@@ -124,7 +123,7 @@ def postings(keyed: DataFrame, plan: Directory) -> DataFrame:
         few = F.broadcast(plan.hot)
         folded = keyed.join(few, "key", "left_semi").groupBy("key", "norm").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
         rows = rows.join(few, "key", "left_anti").unionByName(folded.select("key", "norm", "id", "copies", F.lit(True).alias("hot")))
-    path = f"{shared_dir(keyed.sparkSession)}/exact-index-{uuid.uuid4().hex}"
+    path = f"{scratch(keyed.sparkSession, 'exact-index')}/buckets"
     owned = own(plan.deal(rows))
     owned.select("bucket", "key", "chain_no", F.sha2("norm", 256).alias("sha"), "first", "hot", "id", "keep_id", "group_size").write.parquet(path)
     return keyed.sparkSession.read.parquet(path)
