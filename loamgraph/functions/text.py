@@ -160,47 +160,51 @@ def bytes_of(text: Column, start: Column, size: Column) -> Column:
 
 
 def references(text: Column, cross_repo: bool) -> Column:
-    """An array of what stands around every ``#`` followed by digits: position, digits, before and after (windows of bytes), prefix.
+    """An array of what stands around every ``#`` that counts: position, digits, before and after (windows of bytes), prefix.
 
-    Each text is split once. A window looks over as many pieces as it can have characters, so the work grows with the length, not its square; places are summed
-    in blocks of pieces.
+    Each text is split once. Windows are put together from the ends of as many pieces as they can have characters, so the work grows with the length, not its
+    square; places are summed in blocks of pieces.
     """
-    block = 256
+    block, reach = 256, REFERENCE_WINDOW + 1
 
     def total(sizes: Column, first: Column, n: Column) -> Column:
         return F.aggregate(F.slice(sizes, first, n), F.lit(0), lambda a, x: a + x)
 
-    def around(parts: Column, sizes: Column, sums: Column) -> Column:
-        def one(k: Column) -> Column:
-            near = F.least(k, F.lit(REFERENCE_WINDOW + 1))
-            head = F.array_join(F.slice(parts, k - near + 1, near), "#")
-            digits = F.regexp_extract(F.element_at(parts, k + 1), "^([0-9]+)", 1)
-            tail = F.array_join(F.slice(parts, k + 1, F.lit(REFERENCE_WINDOW + 1)), "#")
-            whole = F.floor(k / block).cast("int")
-            position = total(sums, F.lit(1), whole) + total(sizes, whole * block + 1, k - whole * block) - 1
-            lead = F.octet_length(head)
-            return F.struct(
-                position.alias("position"),
-                digits.alias("digits"),
-                F.element_at(parts, k).alias("last"),
-                F.lower(bytes_of(head, F.greatest(lead - REFERENCE_WINDOW + 1, F.lit(1)), F.lit(REFERENCE_WINDOW))).alias("before"),
-                F.lower(bytes_of(tail, F.length(digits) + 1, F.lit(REFERENCE_WINDOW))).alias("after"),
-                F.regexp_extract(head, r"([^\s(\[{:,]*)\z", 1).alias("prefix"),
-            )
-
-        return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), one)
+    def digits(parts: Column, k: Column) -> Column:
+        return F.regexp_extract(F.element_at(parts, k + 1), "^([0-9]+)", 1)
+
+    def counts(parts: Column, k: Column) -> Column:
+        last = F.element_at(parts, k)
+        free = ~F.right(last, F.lit(1)).rlike("[A-Za-z0-9/-]")
+        named = last.rlike(r"(^|[\s(\[{:,])[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+\z")
+        return F.length(digits(parts, k)).between(1, 7) & ((free | named) if cross_repo else free)
+
+    def one(parts: Column, ends: Column, begins: Column, sizes: Column, sums: Column, k: Column) -> Column:
+        near, whole, last = F.least(k, F.lit(reach)), F.floor(k / block).cast("int"), F.element_at(parts, k)
+        position = total(sums, F.lit(1), whole) + total(sizes, whole * block + 1, k - whole * block) - 1
+        before = let(
+            F.array_join(F.slice(ends, k - near + 1, near), "#"),
+            lambda head: bytes_of(head, F.greatest(F.octet_length(head) - REFERENCE_WINDOW + 1, F.lit(1)), F.lit(REFERENCE_WINDOW)),
+        )
+        after = bytes_of(F.array_join(F.slice(begins, k + 1, F.lit(reach)), "#"), F.length(digits(parts, k)) + 1, F.lit(REFERENCE_WINDOW))
+        run = r"([^\s(\[{:,]*)\z"
+        # a piece without any delimiter goes on into the one before
+        prefix = F.when(last.rlike(r"[\s(\[{:,]"), F.regexp_extract(last, run, 1)).otherwise(F.regexp_extract(F.array_join(F.slice(parts, k - near + 1, near), "#"), run, 1))
+        return F.struct(position.alias("position"), digits(parts, k).alias("digits"), F.lower(before).alias("before"), F.lower(after).alias("after"), prefix.alias("prefix"))
 
     def found(parts: Column) -> Column:
-        glued = lambda last: last.rlike(r"[A-Za-z0-9/-]\z")
-        named = lambda last: last.rlike(r"(^|[\s(\[{:,])[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+\z")
-        usable = lambda r: F.length(r["digits"]).between(1, 7) & ((~glued(r["last"]) | named(r["last"])) if cross_repo else ~glued(r["last"]))
+        kept = F.filter(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: counts(parts, k))
+        ends = F.transform(parts, lambda p: F.right(p, F.lit(reach)))
+        # up to seven digits come before the window
+        begins = F.transform(parts, lambda p: F.left(p, F.lit(reach + 7)))
+        sizes = F.transform(parts, lambda p: F.length(p) + 1)
 
         def placed(sizes: Column) -> Column:
             blocks = F.sequence(F.lit(0), F.floor(F.size(sizes) / block).cast("int"))
-            return let(F.transform(blocks, lambda b: total(sizes, b * block + 1, F.lit(block))), lambda sums: around(parts, sizes, sums))
+            sums = F.transform(blocks, lambda b: total(sizes, b * block + 1, F.lit(block)))
+            return let(sums, lambda sums: let(ends, lambda e: let(begins, lambda b: F.transform(kept, lambda k: one(parts, e, b, sizes, sums, k)))))
 
-        made = let(F.transform(parts, lambda p: F.length(p) + 1), placed)
-        return F.when(F.size(parts) > 1, F.filter(made, usable))
+        return F.when(F.size(parts) > 1, let(sizes, placed))
 
     return let(F.split(text, "#"), found)
 
