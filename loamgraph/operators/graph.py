@@ -328,9 +328,15 @@ def contract(pairs: DataFrame) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component), weakly connected; component is the smallest id."""
-    roots = contract(edges.select(F.col("from_node_id").alias("u"), F.col("to_node_id").alias("v"))).withColumnRenamed("node", "id")
-    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+    """(id, component), weakly connected; component is the smallest id. Ends are numbered first: the rounds move numbers instead of ids."""
+    ends = edges.select(F.explode(F.array("from_node_id", "to_node_id")).alias("id")).distinct()
+    numbered = pin(pin(ends).withColumn("n", F.monotonically_increasing_id()))
+    u, v = (numbered.select(F.col("id").alias(c), F.col("n").alias(k)) for c, k in (("from_node_id", "u"), ("to_node_id", "v")))
+    roots = contract(edges.select("from_node_id", "to_node_id").join(u, "from_node_id").join(v, "to_node_id").select("u", "v"))
+    placed = pin(numbered.join(roots.withColumnRenamed("node", "n"), "n", "left").select("id", F.coalesce("root", "n").alias("root")))
+    smallest = placed.groupBy("root").agg(F.min("id").alias("component"))  # partial sums first, so a component that has most nodes is no hot key
+    of = placed.join(small(smallest, smallest.count()), "root").select("id", "component")
+    return nodes.select("id").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:

@@ -346,7 +346,7 @@ def edge_statistics(spark: SparkSession, sf: str) -> DataFrame:
     WITH_GRAPH + "SELECT node_id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM (SELECT from_node_id AS node_id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT to_node_id, 0, 1 FROM edges) GROUP BY node_id",
 )
 def node_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.degrees(edges(spark, sf))
+    return graph.degrees(stored_frames(spark, sf)[1])
 
 
 @query(
@@ -354,7 +354,7 @@ def node_degrees(spark: SparkSession, sf: str) -> DataFrame:
     WITH_GRAPH + "SELECT degree, count(*) AS nodes FROM (SELECT n, count(*) AS degree FROM (SELECT from_node_id AS n FROM edges UNION ALL SELECT to_node_id FROM edges) GROUP BY n) GROUP BY degree",
 )
 def degree_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.degree_distribution(edges(spark, sf))
+    return graph.degree_distribution(stored_frames(spark, sf)[1])
 
 
 @query(
@@ -381,7 +381,7 @@ BOTH = ", both_ AS MATERIALIZED (SELECT from_node_id AS a, to_node_id AS b FROM
 
 @query("connected_components", WITH_GRAPH + BOTH + LOWEST + f" SELECT id, c AS component FROM s{DIAMETER}")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.connected_components(nodes(spark, sf), edges(spark, sf))
+    return graph.connected_components(*stored_frames(spark, sf))
 
 
 def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -417,7 +417,7 @@ RANKS = rounds(
 
 @query("page_rank", WITH_GRAPH + ", outs AS (SELECT from_node_id AS id, count(*) AS n FROM edges GROUP BY 1)" + RANKS + " SELECT id, round(rank, 12) AS rank FROM s5")
 def page_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.page_rank(nodes(spark, sf), edges(spark, sf), rounds=5).select("id", F.round("rank", 12).alias("rank"))
+    return graph.page_rank(*stored_frames(spark, sf), rounds=5).select("id", F.round("rank", 12).alias("rank"))
 
 
 VOTES = rounds(
@@ -429,4 +429,4 @@ VOTES = rounds(
 
 @query("label_propagation", WITH_GRAPH + BOTH + VOTES + " SELECT id, c AS community FROM s3")
 def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.label_propagation(nodes(spark, sf), edges(spark, sf), rounds=3)
+    return graph.label_propagation(*stored_frames(spark, sf), rounds=3)

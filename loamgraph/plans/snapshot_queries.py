@@ -11,7 +11,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgraph.functions import text
+from loamgraph import cli
+from loamgraph.functions import embedding, text
 from loamgraph.functions.ids import node_id_of, uuid5_sql
 from loamgraph.operators import lookup, snapshot
 from loamgraph.operators.ingest import GraphData, PanelData, records
@@ -515,6 +516,28 @@ def api_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).bm25("project", f"{name} 7", 1).select("id", "label")
 
 
+@query("cli_counts", SNAPSHOT + "SELECT 'silver/entities/' || kind AS name, count(*) AS rows FROM items GROUP BY kind")
+def cli_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The command line's answers."""
+    e, names = engine(spark, sf), ("silver/entities/issue", "silver/entities/pullrequest")
+    return spark.createDataFrame([(n, cli.run(cli.parser().parse_args(["root", "cold", "count", n]), e)[0]["rows"]) for n in names], "name string, rows long")
+
+
+@query("embedding_provider", "SELECT doc_id, [length(coalesce(text, '')), length(coalesce(text, '')) % 7]::DOUBLE[] AS embedding FROM documents")
+def embedding_provider(spark: SparkSession, sf: str) -> DataFrame:
+    """A local model, loaded once in each Python worker and called with batches; it knows a text's length only."""
+    provider = embedding.local_embedding("lengths", lambda _: lambda texts: [[float(len(t)), float(len(t) % 7)] for t in texts])
+    return table(spark, sf, "documents").select("doc_id", provider(F.col("text")).cast("array<double>").alias("embedding"))
+
+
+@query("fetcher_capability", "SELECT 'repositories' AS name, 'sha' AS anchor_key, 'sha-1' AS anchor, (SELECT count(*) FROM nation) AS rows")
+def fetcher_capability(spark: SparkSession, sf: str) -> DataFrame:
+    """What a fetcher says of itself, of its source, and what it brings."""
+    f = Repositories(sf)
+    seen, rows = f.probe("u"), f.fetch(spark, {}).batches[0][1].count()
+    return spark.createDataFrame([(f.capability()["name"], seen["anchor_key"], seen["anchor"], rows)], "name string, anchor_key string, anchor string, rows long")
+
+
 # -- parsers, panels, captures, recorded services
 
 
