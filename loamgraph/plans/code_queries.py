@@ -12,7 +12,7 @@ from loamgraph.functions.ids import node_id_of, uuid5_sql
 from loamgraph.operators import snapshot, stored
 from loamgraph.operators.ingest import GraphData
 from loamgraph.plans.registry import query
-from loamgraph.plans.snapshot_queries import NONE, STAMP, edge_sql, embed, listed_sql
+from loamgraph.plans.snapshot_queries import STAMP, edge_sql, embed, listed_sql, no_text
 from loamgraph.schema import Registry
 from loamgraph.service import Engine
 from loamgraph.session import scratch, table
@@ -28,7 +28,7 @@ def syntax(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     none = F.create_map().cast("map<string,string>")
     zero = F.lit(0).cast("long")
 
-    def node(rows: DataFrame, key, name: str, title, file, body=NONE, start=zero, end=zero, about=none) -> DataFrame:
+    def node(rows: DataFrame, key, name: str, title, file, body=no_text(), start=zero, end=zero, about=none) -> DataFrame:
         made = rows.select(
             key.alias("key"), F.lit(name).alias("kind"), title.alias("name"), file.alias("file"), body.alias("body"), start.alias("start"), end.alias("end"),
             about.alias("meta"),
@@ -44,7 +44,7 @@ def syntax(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     about = meta("component", F.when(F.col("p_partkey") % 2 == 0, "Yes").otherwise("no"), "interface", F.col("p_type"))
     size = F.col("p_size").cast("long")
     nodes = [
-        node(suppliers, F.concat(F.lit("s"), s), "FILE", NONE, at(F.col("s_suppkey")), about=meta("language", "python")),
+        node(suppliers, F.concat(F.lit("s"), s), "FILE", no_text(), at(F.col("s_suppkey")), about=meta("language", "python")),
         node(
             parts, F.concat(F.lit("p"), p), "Function", F.concat(F.lit("fn"), p), at(home),
             F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit("\n"))), size, size + 2, about,

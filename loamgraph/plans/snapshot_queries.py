@@ -24,7 +24,10 @@ from loamgraph.session import scratch, table
 from loamgraph.sources import rest
 
 STAMP = "2024-01-01 00:00:00"
-NONE = F.lit(None).cast("string")
+
+
+def no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def embed(t: Column) -> Column:
@@ -39,13 +42,13 @@ def frames(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     k, host = F.col("n_nationkey").cast("string"), F.lit("https://host/")
     at = F.lit(STAMP).cast("timestamp")
     repos = table(spark, sf, "nation").select(
-        F.concat(host, k).alias("project_url"), F.concat(F.lit("own/r"), k).alias("full_name"), F.col("n_name").alias("name"), NONE.alias("description"),
+        F.concat(host, k).alias("project_url"), F.concat(F.lit("own/r"), k).alias("full_name"), F.col("n_name").alias("name"), no_text().alias("description"),
         F.concat(
             F.lit("L"), F.col("n_regionkey").cast("string"),
         ).alias("language"), (F.col("n_nationkey") * 10).cast("long").alias("stars"), F.col("n_nationkey").cast("long").alias("forks"),
         F.concat(
             F.lit("sha"), k,
-        ).alias("sha"), NONE.alias("tag"), (F.col("n_nationkey") % 2 == 0).alias("is_head"), F.col("n_name").alias("message"), at.alias("authored_at"),
+        ).alias("sha"), no_text().alias("tag"), (F.col("n_nationkey") % 2 == 0).alias("is_head"), F.col("n_name").alias("message"), at.alias("authored_at"),
     )
     c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("c"), "c_custkey")
     person = lambda platform, login: c.select(F.lit(platform).alias("platform"), F.col("c").alias("account_id"), login.alias("login"))
@@ -53,7 +56,7 @@ def frames(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     people = person("GitHub", blank).unionByName(person("github", F.concat(F.lit("user"), F.col("c"))))
     o = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     n, login = F.col("o_orderkey"), F.concat(F.lit("USER"), F.col("o_custkey").cast("string"))
-    label = lambda name: F.struct(name.alias("name"), NONE.alias("color"), NONE.alias("description"))
+    label = lambda name: F.struct(name.alias("name"), no_text().alias("color"), no_text().alias("description"))
     link = lambda number, cross: F.struct(
         F.lit("own").alias("owner"), F.lit("r").alias("repo"), number.alias("number"), F.lit("closes").alias("link_type"), F.lit(3).alias("strength"),
         F.lit("body").alias("origin"), F.lit(cross).alias("cross_repo"),
@@ -70,7 +73,7 @@ def frames(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         ).alias("label_list"),
         F.array(
             link(n - 1, False), link(n + 1, True), link(n - 3, False),
-        ).alias("links"), NONE.alias("representative_digest_text"), (n % 3 == 1).alias("draft"), n.alias("additions"), F.lit(None).cast("long").alias("deletions"), F.lit(2).cast("long").alias("changed_files"),
+        ).alias("links"), no_text().alias("representative_digest_text"), (n % 3 == 1).alias("draft"), n.alias("additions"), F.lit(None).cast("long").alias("deletions"), F.lit(2).cast("long").alias("changed_files"),
     )
     d = table(spark, sf, "documents").filter("text is not null")
     readmes = d.select(
