@@ -185,7 +185,7 @@ def path_between(graph: Graph, source: str, target: str, label: str | None = Non
     sides = {}
     for side, node in (("out", source), ("in", target)):
         first = graph.spark.createDataFrame([(node, None, None)], "id string, edge string, prev string")
-        sides[side] = {"seen": first, "front": first, "rows": 1}
+        sides[side] = {"seen": first, "front": first, "rows": 1, "all": 1, "level": 0}
     while True:
         side = min(sides, key=lambda s: sides[s]["rows"])
         s, (own, other) = sides[side], ENDS[side]
@@ -196,15 +196,18 @@ def path_between(graph: Graph, source: str, target: str, label: str | None = Non
         s["front"], s["rows"] = settle(fresh.join(graph.known(fresh.select("id"), n).select("id").distinct(), "id"), n > SMALL)
         if not s["rows"]:
             return None
-        s["seen"] = s["seen"].unionByName(s["front"])
+        s["seen"], s["all"], s["level"] = s["seen"].unionByName(s["front"]), s["all"] + s["rows"], s["level"] + 1
+        if s["level"] % 8 == 0:  # a long way doesn't become a deep plan
+            s["seen"], _ = settle(s["seen"], s["all"] > SMALL)
         met = s["front"].join(sides["in" if side == "out" else "out"]["seen"].select("id"), "id", "left_semi").agg(F.min("id").alias("id")).first()["id"]
         if met is not None:
             break
     path, used = [met], []
     for side, add_node, add_edge in (("out", lambda x: path.insert(0, x), lambda e: used.insert(0, e)), ("in", path.append, used.append)):
-        node = met
+        node, seen = met, sides[side]["seen"]
+        held = {r["id"]: r for r in seen.collect()} if sides[side]["all"] <= SMALL else None
         while node != (source if side == "out" else target):
-            row = sides[side]["seen"].filter(F.col("id") == node).first()
+            row = held[node] if held is not None else seen.filter(F.col("id") == node).first()
             add_edge(row["edge"])
             add_node(node := row["prev"])
     return {"length": len(used), "nodes": path, "edges": used}
