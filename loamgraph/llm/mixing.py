@@ -95,7 +95,7 @@ def thresholds(rows: DataFrame, plan: DataFrame, n_rows: int) -> DataFrame:
     inside, state = rows, plan.filter("rest > 0").select("key", "rows", "rest", F.lit(0).cast("long").alias("before"))
     for part, bits in PARTS.items():
         for number in range(-(-bits // DIGIT)):
-            sums = inside.groupBy("key", digit(part, number).alias("digit")).agg(F.sum("size").alias("words")).join(state, "key")
+            sums = inside.groupBy("key", digit(part, number).alias("digit")).agg(F.sum("size").alias("words")).join(state.drop("digit"), "key")
             upto = F.col("before") + F.sum("words").over(Window.partitionBy("key").orderBy("digit"))  # 1,024 rows at most
             reached = sums.withColumn("upto", upto).filter("upto >= rest")
             first = F.min_by(F.struct("rows", "rest", (F.col("upto") - F.col("words")).alias("before"), "digit"), "digit")
