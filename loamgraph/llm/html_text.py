@@ -76,66 +76,81 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+#: Elements that a start tag closes, and those that keep it from doing so.
+P, LI, TR, TABLE, CAPTION, HEAD, BODY, OPTION, OPTGROUP, SELECT, NONE = (
+    frozenset(x.split()) for x in ("p", "li", "tr", "table", "caption", "head", "body", "option", "optgroup", "select", "")
+)
+TERMS, ROW_BARRIER = frozenset(("dt", "dd")), TR | TABLE
+TABLE_AND_CELLS = frozenset(CELLS) | TABLE
+P_BARRIER = TABLE_AND_CELLS | {"caption", "button", "template", "object"}
+LI_BARRIER = TABLE_AND_CELLS | set(LISTS)
+TERMS_BARRIER = TABLE_AND_CELLS | {"dl"}
+OPTION_BARRIER = SELECT | OPTGROUP | {"datalist"}
+TABLE_PARTS = frozenset(ROW_GROUPS) | {"caption", "colgroup"}
+
+
 class TreeBuilder:
     def __init__(self):
         self.root = Node("#root")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # of the open elements, by tag
         self.css: list[str] = []
 
-    def close_to(self, tags: frozenset | set, barrier: frozenset | set) -> None:
+    def last(self, tags: frozenset) -> int:
+        """Place of the nearest open element of ``tags``, 0 if none is open."""
+        return max((at[-1] for at in map(self.places.get, tags) if at), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, size: int) -> None:
+        """Close what is open beyond ``size`` elements."""
+        while len(self.open) > size:
+            self.places[self.open.pop().tag].pop()
+
+    def close_to(self, tags: frozenset, barrier: frozenset) -> None:
         """Close the nearest open element of ``tags`` unless one of ``barrier`` is nearer."""
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.open[k].tag
-            if tag in tags:
-                del self.open[k:]
-                return
-            if tag in barrier:
-                return
+        at = self.last(tags)
+        if at and at >= self.last(barrier):
+            self.cut(at)
 
     def start(self, tag: str, attrs: dict[str, str]) -> None:
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+        if tag in ("html", "body") and self.places.get(tag):
             return
         if tag in ENDS_P:
-            self.close_to({"p"}, CELLS | {"table", "caption", "button", "template", "li", "object"} - {"li"})
+            self.close_to(P, P_BARRIER)
         if tag == "li":
-            self.close_to({"li"}, LISTS | {"table"} | CELLS)
+            self.close_to(LI, LI_BARRIER)
         elif tag in ("dt", "dd"):
-            self.close_to({"dt", "dd"}, {"dl", "table"} | CELLS)
+            self.close_to(TERMS, TERMS_BARRIER)
         elif tag == "option":
-            self.close_to({"option"}, {"select", "datalist", "optgroup"})
+            self.close_to(OPTION, OPTION_BARRIER)
         elif tag == "optgroup":
-            self.close_to({"optgroup"}, {"select"})
+            self.close_to(OPTGROUP, SELECT)
         elif tag in CELLS:
-            self.close_to(CELLS, {"table", "tr"})
-            if self.nearest({"tr"}, {"table"}) is None and self.nearest({"table"}, set()) is not None:
+            self.close_to(CELLS, ROW_BARRIER)
+            if self.last(TABLE) > self.last(TR):
                 self.start("tr", {})
         elif tag == "tr":
-            self.close_to({"tr"}, {"table"})
-            self.close_to({"caption"}, {"table"})
+            self.close_to(TR, TABLE)
+            self.close_to(CAPTION, TABLE)
         elif tag in ROW_GROUPS or tag in ("caption", "colgroup"):
-            self.close_to(ROW_GROUPS | {"caption", "colgroup"}, {"table"})
+            self.close_to(TABLE_PARTS, TABLE)
         elif tag == "body" or (tag in BLOCK and tag != "html" and self.open[-1].tag == "head"):
-            self.close_to({"head"}, {"body"})
+            self.close_to(HEAD, BODY)
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
-
-    def nearest(self, tags: set, barrier: set) -> Node | None:
-        for node in reversed(self.open):
-            if node.tag in tags:
-                return node
-            if node.tag in barrier:
-                return None
-        return None
+            self.push(node)
 
     def end(self, tag: str) -> None:
-        if tag == "p" and self.nearest({"p"}, CELLS | {"table"}) is None:
+        if tag == "p" and self.last(P) <= self.last(TABLE_AND_CELLS):
             self.open[-1].children.append(Node("p"))
         elif tag == "br":
             self.open[-1].children.append(Node("br"))
         elif tag not in ("html", "body"):
-            self.close_to({tag}, (CELLS | {"table"}) if tag not in ("table", "tr") and tag not in CELLS and tag not in ROW_GROUPS else set())
+            self.close_to(frozenset((tag,)), TABLE_AND_CELLS if tag not in ("table", "tr") and tag not in CELLS and tag not in ROW_GROUPS else NONE)
 
     def feed(self, html: str) -> Node:
         at, size = 0, len(html)
@@ -160,7 +175,7 @@ class TreeBuilder:
                         self.open[-1].children.append(unescape(text.removeprefix("\n")))
                     elif tag in ("plaintext", "xmp"):
                         self.open[-1].children.append(text)
-                    self.open.pop()
+                    self.cut(len(self.open) - 1)
                     if stop:
                         close = html.find(">", to)
                         at = size if close < 0 else close + 1
