@@ -169,31 +169,59 @@ class Index:
         pick = np.repeat(lo, many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
         return starts, walk.anchors[pick]
 
+    def cells(self, walk: Walk, tokens: np.ndarray, n: int, offsets: np.ndarray) -> np.ndarray:
+        """Rows of (item, document, cell) to be checked. The places of one passage differ by its edits at most, so cells that wide, with a margin, do.
+
+        Windows of one signature in the same document that begin within the smallest cell of their anchors' items are taken together, so a text that repeats itself is
+        no more work for each repetition; pairs of them with anchors are formed ``PAIRS_AT_ONCE`` at a time.
+        """
+        at, sign, _ = walk.run(tokens, walk.bits(tokens), np.arange(max(0, len(tokens) - reach(walk.coords))), True)
+        at, sign = at[at < n], sign[at < n]
+        lo, hi = np.searchsorted(walk.keys, sign, "left"), np.searchsorted(walk.keys, sign, "right")
+        hit = lo < hi
+        at, lo, hi = at[hit], lo[hit], hi[hit]
+        if not len(at):
+            return np.zeros((0, 3), np.int64)
+        item = self.anchors[walk.anchors, 0]
+        width = np.maximum(np.array(self.edits), 1)[item]
+        step = self.steps(walk, width)[lo]
+        doc = np.searchsorted(offsets, at, "right") - 1
+        some = np.unique(np.stack([lo, hi, doc, at // step, step], axis=1), axis=0)
+        out, sizes = [], some[:, 1] - some[:, 0]
+        cuts = np.searchsorted(np.cumsum(sizes), np.arange(PAIRS_AT_ONCE, sizes.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "left")
+        first = 0
+        for last in np.unique(np.append(cuts + 1, len(some))):
+            part, many = some[first:last], sizes[first:last]
+            first = last
+            if not len(part):
+                continue
+            pick = np.repeat(part[:, 0] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            low = np.repeat(part[:, 3] * part[:, 4], many) - self.anchors[walk.anchors[pick], 1]
+            high = low + np.repeat(part[:, 4], many) - 1
+            for end in (low, high):
+                out.append(np.unique(np.stack([item[pick], np.repeat(part[:, 2], many), end // width[pick]], axis=1), axis=0))
+        return np.unique(np.concatenate(out), axis=0)
+
+    @staticmethod
+    def steps(walk: Walk, width: np.ndarray) -> np.ndarray:
+        """For each place in the keys, the smallest width among the anchors of its signature."""
+        firsts = np.flatnonzero(np.append(True, walk.keys[1:] != walk.keys[:-1]))
+        return np.repeat(np.minimum.reduceat(width, firsts), np.diff(np.append(firsts, len(width))))
+
     def search(self, tokens: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, first word, word after the last, edits), the best place of each item in each document."""
         if not self.walks or not len(tokens):
             return []
         longest = max(reach(w.coords) for w in self.walks)
         padded = np.concatenate([tokens, np.zeros(longest + 1, np.uint64)])
-        pairs = []
-        for walk in self.walks:
-            starts, anchors = self.candidates(walk, padded)
-            ok = starts < len(tokens)
-            starts, anchors = starts[ok], anchors[ok]
-            pairs.append(np.stack([self.anchors[anchors, 0], starts - self.anchors[anchors, 1], starts], axis=1))
-        got = np.concatenate(pairs)
-        if not len(got):
-            return []
-        doc = np.searchsorted(offsets, got[:, 2], "right") - 1
-        # one check for each item, document and place: the places of one passage differ by its edits at most, so coarse cells with a margin do
-        cell = np.array([max(1, e) for e in self.edits])[got[:, 0]]
-        rows = np.unique(np.stack([got[:, 0], doc, got[:, 1] // cell], axis=1), axis=0)
+        rows = np.unique(np.concatenate([self.cells(walk, padded, len(tokens), offsets) for walk in self.walks]), axis=0)
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
         for item in np.unique(rows[:, 0]):
             own = rows[rows[:, 0] == item]
             width = max(1, self.edits[item])
-            for at in range(0, len(own), 4096):
-                part = own[at : at + 4096]
+            at_once = max(1, CELLS_AT_ONCE // (width + len(self.items[item]) + 2 * self.edits[item]))
+            for at in range(0, len(own), at_once):
+                part = own[at : at + at_once]
                 first = part[:, 2] * width - self.edits[item]
                 ends, cost = self.verify(
                     int(item), tokens, first, first + width + len(self.items[item]) + 2 * self.edits[item], offsets[part[:, 1]], offsets[part[:, 1] + 1],
@@ -259,6 +287,9 @@ def indexes(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
         yield Index.build([r["item"] for r in rows], [r["text"] for r in rows], **options)
 
 
+#: Bounds of the arrays in a search, in numbers.
+PAIRS_AT_ONCE, CELLS_AT_ONCE = 1 << 20, 1 << 20
+
 DEFAULTS = {"similarity": 0.8, "target_recall": 0.98, "coords": 5, "span": 18, "stride": 2, "max_walks": 24}
 
 
