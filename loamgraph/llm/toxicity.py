@@ -298,17 +298,28 @@ def fit_and_score(
     lang_col: str = "lang",
     label_col: str = "toxic",
     max_rows: int = 5000,
+    max_bytes: int = 32 << 20,
 ) -> tuple[Filters | None, DataFrame]:
-    """(model, doc_id and score of every row of ``docs``). ``learn_from`` holds for both tables. Texts are read once to train and once to score."""
+    """(model, doc_id and score of every row of ``docs``). ``learn_from`` holds for both tables. Texts are read once to train and once to score.
+
+    The net learns from at most ``max_rows`` labelled rows of ``max_bytes`` of text together, on the driver; thresholds come from all labelled rows.
+    """
     known = labels.filter(learn_from & F.col(label_col).isin(0, 1))
     usable = pin(known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label")).filter("id is not null"))
     share = min(0.75, max_rows / max(1, usable.count()))
-    picked = F.broadcast(usable.filter(spread_of(F.col("id")) < share).limit(2 * max_rows))
+    picked = F.broadcast(usable.filter(spread_of(F.col("id")) < share).orderBy(spread_of(F.col("id")), "id").limit(2 * max_rows))
     named = docs.filter(learn_from).select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"),
     )
-    rows = named.join(picked, "id").withColumn("u", spread_of(F.col("id"))).limit(2 * max_rows).collect()
-    rows = sorted(rows, key=lambda r: (r["u"], r["text"] or ""))[:max_rows]
+    held = pin(named.join(picked, "id").withColumns({"u": spread_of(F.col("id")), "t": F.xxhash64("text"), "size": F.octet_length("text") + 1}))
+    sizes = held.select("u", "t", "lang", "size").orderBy("u", "t", "lang").limit(max_rows).collect()
+    left, chosen = max_bytes, []
+    for r in sizes:  # in the order of the hash; a text that is too large for what is left is passed over
+        if r["size"] <= left:
+            left -= r["size"]
+            chosen.append((r["u"], r["t"]))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(chosen)), "u double, t long"))
+    rows = held.join(wanted, ["u", "t"], "left_semi").orderBy("u", "t", "lang").limit(len(chosen)).collect() if chosen else []
     texts, y = [r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return None, score(docs, None, id_col, text_col)
