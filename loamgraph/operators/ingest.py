@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions.ids import edge_id, node_id, vector_uuid
 from loamgraph.operators.graph import InvalidArgument
+from loamgraph.operators.segments import SegmentedIndex
 from loamgraph.schema import REGISTRY, Category, EntitySpec, Registry, VectorRule
 from loamgraph.session import pin
 from loamgraph.sources.catalog import Catalog
@@ -182,7 +183,7 @@ class Synchronizer:
     def process(self, graph: GraphData) -> None:
         """Each batch in order: table, offset, index; vectors also rule edges."""
         for spec, rows in graph.batches:
-            rows = conform(rows, spec)
+            rows = pin(conform(rows, spec))  # a source is asked once
             if spec.category is Category.VECTOR:
                 self._vectors(spec, rows)
             else:
@@ -198,8 +199,6 @@ class Synchronizer:
             raise InvalidArgument(f"unknown vector type: {spec.entity_type}")
         index_table = self.lake.table(spec.index_table, ["embedding_id"], self.buckets)
         resolved, new = resolve_vectors(rows, spec, index_table.read() if index_table.exists() else None)
-        from loamgraph.session import pin
-
         resolved = pin(resolved)
         self.table(spec).write(resolved.select(*spec.schema.names))
         self.catalog.ensure_offset(spec.table, spec.entity_type, spec.category.value, ["id"])
@@ -247,17 +246,15 @@ class Synchronizer:
         return bool(seen.get("fresh", True))
 
     def replay(self, apply: Callable[[EntitySpec | None, str, int, DataFrame], None]) -> dict[str, int]:
-        """Hand every change since a table's offset to ``apply``, version by version, and move the offset after each. Net changes by key, so an
-        upsert that rewrites a table repeats no unchanged row."""
+        """Hand every change since a table's offset to ``apply``, version by version, and move the offset after each. Rows have ``_change``: insert, update or delete (the row as it
+        was); a commit that changed nothing hands over no rows."""
         out = {}
         for row in self.known_entities():
             table = self.lake.table(row["table_path"], self._keys(row))
             at = row["last_version"]
             latest = table.version()
             for version in range(at + 1, latest + 1):
-                past = Lake(self.spark, self.lake.root).table(row["table_path"], self._keys(row))
-                changed = past.read(version) if version == 0 else self._between(past, version)
-                apply(self.registry.specs.get(row["entity_type"]), row["table_path"], version, changed)
+                apply(self.registry.specs.get(row["entity_type"]), row["table_path"], version, table.row_changes(version))
                 self.catalog.set_offset(row["table_path"], version)
             out[row["table_path"]] = max(at, latest)
         return out
@@ -266,14 +263,6 @@ class Synchronizer:
     def _keys(row: dict) -> list[str]:
         return json.loads(row["primary_keys"])
 
-    @staticmethod
-    def _between(table, version: int) -> DataFrame:
-        """Rows that version ``version`` added or changed."""
-        entry = table.entry(version)
-        _, schema = table.live(version)
-        new, old = table._read(entry["add"], schema), table._read(entry["remove"], schema)
-        return new.exceptAll(old) if entry["remove"] else new
-
 
 def vector_rows(lake: Lake, rows: DataFrame, spec: EntitySpec) -> DataFrame:
     """Vectors under the ids they are known by: id, label, text, embedding, properties."""
@@ -342,3 +331,30 @@ def refresh_graph(sync: Synchronizer, root: str, buckets: int = 32) -> GraphStor
     store.upsert(merge(put_nodes), merge(put_edges))
     seen_table.replace(sync.spark.createDataFrame(list(now.items()), "name string, version long"))
     return store
+
+
+def refresh_text(sync: Synchronizer, root: str, with_vectors: bool = False, buckets: int = 32) -> SegmentedIndex:
+    """The text index below ``root`` over nodes' properties and labels (and vectors' texts), brought up to the tables' versions: only changed rows are cut into words."""
+    index, lake, registry = SegmentedIndex(sync.spark, root, "string", buckets), sync.lake, sync.registry
+    specs = [s for s in registry.entities() if s.category is Category.NODE or (with_vectors and s.category is Category.VECTOR)]
+    seen, now = index.facts.get("tables", {}), {s.table: sync.table(s).version() for s in specs}
+    if seen == now and index.exists():
+        return index
+    put, gone = [], []
+    for spec in specs:
+        before = seen.get(spec.table, -1)
+        if now[spec.table] <= before:
+            continue
+        table = sync.table(spec)
+        changed = table.net_changes(before) if before >= 0 else table.read().withColumn("_change", F.lit("insert"))
+        kept, dropped = (conform(changed.filter(c), spec) for c in ("_change <> 'delete'", "_change = 'delete'"))
+        if spec.category is Category.NODE:
+            text_of = lambda rows, spec=spec: as_nodes(rows, spec).select("id", "label", F.concat_ws(" ", "properties", "label").alias("text"))
+        else:
+            text_of = lambda rows, spec=spec: vector_rows(lake, rows, spec).select("id", "label", "text")
+        put.append(text_of(kept))
+        if before >= 0:
+            gone.append(text_of(dropped).select("id"))
+    merge = lambda parts: reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+    index.update(merge(put), merge(gone), label_col="label", facts={"tables": now})
+    return index

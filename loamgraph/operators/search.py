@@ -110,7 +110,9 @@ def bm25_scores(index: TextIndex | KeptIndex, query: str, k1: float = K1, b: flo
 
 
 def bm25(index: TextIndex | KeptIndex, query: str, limit: int, label: str | None = None, post_filter: bool = False) -> DataFrame:
-    """The best ``limit`` documents: id, label, score; ties by id. ``post_filter``: the label is looked at after the cut."""
+    """The best ``limit`` documents: id, label, score; ties by id. ``post_filter``: the label is looked at after the cut. A segmented index skips blocks."""
+    if hasattr(index, "search"):
+        return index.search(query, limit, label, post_filter)
     scores = bm25_scores(index, query)
     if not query_terms(query):
         return scores.limit(0)

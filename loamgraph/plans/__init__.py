@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS: tuple[str, ...] = ("graph_queries", "search_queries", "text_queries", "store_queries", "sql_queries", "snapshot_queries", "code_queries")
+GROUPS: tuple[str, ...] = ("graph_queries", "search_queries", "text_queries", "store_queries", "feed_queries", "sql_queries", "snapshot_queries", "code_queries")
 
 
 def load():

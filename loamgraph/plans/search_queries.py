@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.operators import search
+from loamgraph.operators.segments import SegmentedIndex
 from loamgraph.plans.registry import query
 from loamgraph.session import scratch, table
 
@@ -46,6 +47,38 @@ def kept_index(spark: SparkSession, sf: str, ids: str = "long") -> search.KeptIn
     return _INDEXES[key]
 
 
+def edited_index(spark: SparkSession, sf: str) -> SegmentedIndex:
+    """Built in three commits: other texts first, then the documents' own in parts, some deleted, some of those added again. Segments are merged on the way."""
+    index, docs = SegmentedIndex(spark, scratch(spark, "segments"), "long", buckets=4, fan=2), documents(spark, sf)
+    index.upsert(docs.filter("id % 4 <> 1").withColumn("text", F.concat(F.lit("the licensed draft "), F.coalesce("text", F.lit("")))), label_col="label")
+    index.update(docs.filter("id % 2 = 1 or id % 4 = 0"), docs.filter("id % 10 = 3").select("id"), label_col="label")
+    index.update(docs.filter("id % 4 = 2 or id % 20 = 3"), docs.filter("id % 10 in (3, 7)").select("id"), label_col="label")
+    return index
+
+
+LEFT = "id % 10 <> 7 AND (id % 10 <> 3 OR id % 20 = 3)"
+
+
+@query(
+    "segmented_postings",
+    POSTINGS + f" SELECT term, id, label, tf, dl::INT AS dl FROM post JOIN lens USING (id) WHERE {LEFT}",
+)
+def segmented_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The postings after upserts and deletes are those of an index built anew."""
+    return edited_index(spark, sf).postings.select("term", "id", "label", "tf", "dl")
+
+
+@query(
+    "blockmax_topk",
+    BM25.replace("FROM documents,", f"FROM (SELECT * FROM documents WHERE {LEFT.replace('id %', 'doc_id %')}) AS documents,")
+    .replace("(SELECT count(*) FROM documents)", f"(SELECT count(*) FROM documents WHERE {LEFT.replace('id %', 'doc_id %')})")
+    + " SELECT id, label, round(score, 6) AS score FROM scores ORDER BY scores.score DESC, id LIMIT 20",
+)
+def blockmax_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents of an edited index, without the blocks that can't hold any."""
+    return rounded(edited_index(spark, sf).search(TEXT_QUERY, 20), "score")
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), "embedding")
 

@@ -72,7 +72,7 @@ def append_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("changes_since", f"SELECT 0 AS _version, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, * FROM ({UPSERTED})")
 def changes_since(spark: SparkSession, sf: str) -> DataFrame:
-    t = scratch(spark, "changes", ["o_orderkey"], buckets=1)
+    t = VersionedTable(spark, session.scratch(spark, "changes"), ["o_orderkey"], merge=False)
     for rows in changed_orders(spark, sf):
         t.write(rows)
     return t.changes(-1).withColumn("_version", F.col("_version").cast("int"))

@@ -11,7 +11,8 @@ from loamgraph.functions.embedding import Provider, null_embedding
 from loamgraph.operators import graph, lookup, search
 from loamgraph.operators.graph import InvalidArgument
 from loamgraph.functions.ids import node_id_of
-from loamgraph.operators.ingest import Synchronizer, graph_views, refresh_graph
+from loamgraph.operators.ingest import Synchronizer, graph_views, refresh_graph, refresh_text
+from loamgraph.operators.segments import SegmentedIndex
 from loamgraph.operators.sqlapi import table_sql
 from loamgraph.schema import REGISTRY, Category, Registry, canonical_entity
 from loamgraph.sources.catalog import Catalog
@@ -51,18 +52,9 @@ class Engine:
         """Nodes (vectors too) and edges by either end, kept beside the tables and brought up to them."""
         return refresh_graph(self.sync, f"{self.root}/gold/graph", max(self.buckets, 4))
 
-    def text_index(self, with_vectors: bool = False) -> search.KeptIndex:
-        """BM25 over nodes' properties and labels, vector texts if asked for. Kept beside the tables and built anew when one of them has another version."""
-        stamp = json.dumps({s.table: self.sync.table(s).version() for s in self.registry.entities() if s.category is not Category.EDGE}, sort_keys=True)
-        root = f"{self.root}/gold/text{'_and_vectors' if with_vectors else ''}"
-        kept = search.open_index(self.spark, root, max(self.buckets, 4))
-        if kept is not None and kept.stamp == stamp:
-            return kept
-        nodes, _, vectors = self.views()
-        docs = nodes.select("id", "label", F.concat_ws(" ", "properties", "label").alias("text"))
-        if with_vectors:
-            docs = docs.unionByName(vectors.select("id", "label", "text"))
-        return search.keep_index(docs, root, label_col="label", buckets=max(self.buckets, 4), stamp=stamp)
+    def text_index(self, with_vectors: bool = False) -> SegmentedIndex:
+        """BM25 over nodes' properties and labels, vector texts if asked for. Kept beside the tables and brought up to them by their net changes."""
+        return refresh_text(self.sync, f"{self.root}/gold/text{'_and_vectors' if with_vectors else ''}", with_vectors, max(self.buckets, 4))
 
     def embed_query(self, text: str) -> list[float]:
         row = self.spark.createDataFrame([(text,)], "t string").select(self.embed(F.col("t")).alias("e")).first()

@@ -78,7 +78,7 @@ def test_store_life(spark, folder, buckets):
 
 
 def test_upsert_rewrites_only_its_buckets(spark, folder):
-    t = VersionedTable(spark, f"{folder}/t", ["id"], 8)
+    t = VersionedTable(spark, f"{folder}/t", ["id"], 8, merge=False)
     t.write(spark.range(200).select(F.col("id"), F.lit("a").alias("v")))
     t.write(spark.createDataFrame([(3, "b")], "id long, v string"))
     assert len(t.entry(1)["remove"]) == 1 and t.read().count() == 200
