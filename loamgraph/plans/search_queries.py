@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import search
 from loamgraph.operators.segments import SegmentedIndex
+from loamgraph.operators.vector_index import VectorIndex
 from loamgraph.plans.registry import query
 from loamgraph.session import scratch, table
 
@@ -179,3 +180,28 @@ def knn_clustered(spark: SparkSession, sf: str) -> DataFrame:
         hit += near.join(exact.select("id"), "id", "left_semi").count()
     found = search.knn_in_cells(clustered, centres, QUERY, 15, probes=12).count()
     return spark.createDataFrame([(hit >= 0.9 * 15 * len(asked), found)], "recall_reached boolean, hits long")
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector whose id is divisible by 100, as a batch of queries."""
+    return vectors(spark, sf).filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+@query("knn_quantised")
+def knn_quantised(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of each query by codes in a quarter of the cells, compared exactly at the end."""
+    index = VectorIndex.build(vectors(spark, sf), scratch(spark, "vector-index"))
+    return rounded(index.search(asked(spark, sf), 10), "distance")
+
+
+@query(
+    "knn_triangle",
+    """WITH d AS (SELECT q.vec_id AS qid, v.vec_id AS id, 1 - list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
+      / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))) AS distance
+      FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
+    SELECT qid, id, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d.distance, id) <= 10""",
+)
+def knn_triangle(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of each query, exactly, without the cells that are too far away to hold any."""
+    index = VectorIndex.build(vectors(spark, sf), scratch(spark, "vector-index"), copies=1)
+    return rounded(index.search_exact(asked(spark, sf), 10).drop("rank"), "distance")

@@ -87,6 +87,11 @@ class Files:
         finally:
             stream.close()
 
+    def put(self, p: str, text: str) -> None:
+        stream = self.fs.create(self.path(p), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
     def commit(self, p: str, text: str) -> None:
         """Write beside, then put in place: fails if ``p`` exists."""
         beside = f"{p}.{uuid.uuid4().hex}"
