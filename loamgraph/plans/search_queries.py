@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.operators import search
+from loamgraph.operators.ngrams import NgramIndex
 from loamgraph.operators.segments import SegmentedIndex
 from loamgraph.operators.vector_index import VectorIndex
 from loamgraph.plans.registry import query
@@ -205,3 +206,18 @@ def knn_triangle(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest of each query, exactly, without the cells that are too far away to hold any."""
     index = VectorIndex.build(vectors(spark, sf), scratch(spark, "vector-index"), copies=1)
     return rounded(index.search_exact(asked(spark, sf), 10).drop("rank"), "distance")
+
+
+PATTERNS = ("Copyright", "s w", "ü")
+
+
+@query(
+    "ngram_search",
+    " UNION ALL ".join(f"SELECT '{p}' AS pattern, doc_id::VARCHAR AS id FROM documents WHERE contains(lower(text), lower('{p}'))" for p in PATTERNS),
+)
+def ngram_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that contain a pattern, by their trigrams; the last pattern is too short to have any."""
+    index = NgramIndex(spark, scratch(spark, "ngrams"))
+    index.upsert(table(spark, sf, "documents"), id_col="doc_id")
+    parts = [index.contains(p).select(F.lit(p).alias("pattern"), "id") for p in PATTERNS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
