@@ -10,8 +10,11 @@ with depth. Caps need an order: level, place of the source node, label, edge id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -311,19 +314,62 @@ def with_lowest(pairs: DataFrame, rows: int) -> DataFrame:
     return pairs.join(few, "u").unionByName(pairs.join(few, "u", "left_anti").join(low.filter(~heavy).select("u", "m"), "u"))
 
 
+#: Pairs that are contracted in memory at a time.
+CHUNK = 1 << 20
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component among these pairs), but for the smallest ones."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(names))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            own = label != np.arange(len(names))
+            return names[own], names[label[own]]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def forest(pairs: DataFrame) -> DataFrame:
+    """Fewer pairs (u, v) with the same components: what a task holds is contracted in place, ``CHUNK`` pairs at a time, before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            u, v = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for b in batches:
+            held.append((b.column("u").to_numpy(), b.column("v").to_numpy()))
+            size += b.num_rows
+            if size >= CHUNK:
+                yield packed()
+                held, size = [], 0
+        if held:
+            yield packed()
+
+    return pairs.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def contract(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``pairs`` (u, v); root is the component's smallest node.
 
-    Large-star and small-star contraction in turn: each round links neighbours to the smallest neighbour. It ends when nothing changes: edges only ever move to
-    smaller nodes, and the rounds grow with the logarithm of the size.
+    Each task first contracts its own pairs. Then large-star and small-star contraction in turn: each round links neighbours to the smallest neighbour. It ends when nothing changes: edges only
+    ever move to smaller nodes, and the rounds grow with the logarithm of the size.
     """
-    now = pin(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    now = pin(forest(pairs.filter("u <> v")).distinct())
     before, n = None, now.count()
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_lowest(both, 2 * n).select(F.greatest("u", "v").alias("u"), "m").filter("u <> m").distinct().withColumnRenamed("m", "v")
         moved = with_lowest(large, 2 * n).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        now = pin(moved.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct())
+        now = pin(forest(moved.select("e.u", F.col("e.m").alias("v")).filter("u <> v")).distinct())
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -133,3 +133,25 @@ def test_filters_and_parsers(spark):
     for bad in ("=x", "x"):
         with pytest.raises(InvalidArgument):
             lookup.parse_key_value(bad)
+
+
+def test_pairs_contracted_in_place():
+    """Against a union-find, pair by pair."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        u, v = (rng.integers(0, 30, 40) for _ in range(2))
+        u, v = u[u != v], v[u != v]
+        parent = {int(x): int(x) for x in (*u, *v)}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        got = sorted(zip(*(x.tolist() for x in graph.stars(u, v)), strict=True))
+        assert got == sorted((x, root(x)) for x in parent if root(x) != x)
