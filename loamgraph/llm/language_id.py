@@ -1,16 +1,16 @@
 """Language identification by cross-parsing entropy.
 
 For every language a suffix automaton is built over a bounded sample of its labelled text. A text is parsed against each: from each
-place the longest match that occurs in the sample is one phrase, an unseen character is a phrase of its own. The language with
-the fewest phrases per character wins. All letters of all samples have codes. Transitions by the most frequent letters are in a dense table, those by the
-others in one sorted list that is searched, so many scripts, or one with thousands of letters, cost no wider table. All texts of a batch are parsed in step with
-one another.
+place the longest match that occurs in the sample is one phrase, an unseen character is a phrase of its own. A phrase costs the logarithm of
+the sample's length, which a place in it takes to name, so a language with little text is not at a disadvantage: the fewest bits per character win. All letters of all samples have codes. Transitions by
+the most frequent letters are in a dense table, those by the others in one sorted list that is searched, so many scripts, or one with thousands of letters, cost no wider
+table. All texts of a batch are parsed in step with one another.
 
 Text is lower-cased; whatever is not a letter becomes one space per run. Whole texts are parsed, in segments of ``SEGMENT`` characters (a
 phrase ends with its segment), so a very long text costs no more per character than a short one.
 
 The sample: ``docs_per_lang`` documents at most of each language, chosen by a hash of the id, ``chars_per_lang`` characters at most; both are
-parameters. Score: the winner's share when languages are weighted by phrases per character to the power -4.
+parameters. Score: the winner's share when languages are weighted by bits per character to the power -4.
 
 Defined results: text that is null or has no letters is ``und`` with score 0; ties go to the language first in order; null languages teach nothing; without any labelled
 text all is ``und``; an empty table gives an empty result; extra columns are ignored.
@@ -87,6 +87,7 @@ class Model:
     rare: np.ndarray  # sorted: a state's row offset, then a code of ``width`` or more
     rare_next: np.ndarray
     roots: np.ndarray
+    costs: np.ndarray  # bits that a phrase takes to name: the logarithm of the sample's length
 
     @staticmethod
     def fit(samples: dict[str, list[str]], chars_per_lang: int) -> Model:
@@ -105,10 +106,11 @@ class Model:
         for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))):
             codes[c] = 2 + k
         states: list[dict[int, int]] = []
-        roots = []
+        roots, costs = [], []
         for texts in kept.values():
             roots.append(len(states))
             parts = [np.append(squeeze(codes[t]), UNSEEN) for t in texts]  # texts are held apart by a letter that is never followed
+            costs.append(np.log2(max(2, sum(len(p) - 1 for p in parts))))
             own = suffix_automaton(np.concatenate(parts) if parts else np.zeros(0, np.int32))
             states += [{s: t + roots[-1] for s, t in m.items() if s != UNSEEN} for m in own]
         width = max(2, min(ALPHABET, TABLE_BYTES // (4 * max(1, len(states)))))
@@ -121,7 +123,7 @@ class Model:
         table[state[dense] * width + code[dense]] = to[dense]
         rare = (state[~dense] * width << CODE_BITS) + code[~dense]
         order = np.argsort(rare)
-        return Model(list(kept), codes, width, table, rare[order], to[~dense][order], np.array(roots, dtype=np.int64) * width)
+        return Model(list(kept), codes, width, table, rare[order], to[~dense][order], np.array(roots, dtype=np.int64) * width, np.array(costs))
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The next states, -1 where there is none; arrays of one shape."""
@@ -180,7 +182,7 @@ class Model:
         counts, sizes, lettered = self.phrases(texts)
         if not len(self.languages):
             return [UND] * len(texts), np.zeros(len(texts))
-        rate = np.maximum(counts, 1) / np.maximum(sizes, 1)[:, None]
+        rate = np.maximum(counts, 1) * self.costs / np.maximum(sizes, 1)[:, None]
         weight = (rate.min(axis=1, keepdims=True) / rate) ** 4
         best = rate.argmin(axis=1)
         score = np.where(lettered, 1 / weight.sum(axis=1), 0.0)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamgraph.llm import decontamination, html_text, toxicity
+from loamgraph.llm import decontamination, html_text, language_id, toxicity
 from loamgraph.llm.words import hash_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
@@ -71,3 +71,16 @@ def test_the_net_learns_from_bounded_texts(spark):
     assert 0 < seen[0] <= 10_000
     got = {r["doc_id"]: r["score"] for r in scored.collect()}
     assert len(got) == 201 and got[1000] > 0.3 and all((got[k] > 0.3) == bool(k % 2) for k in range(200))
+
+
+def test_languages_with_little_text_are_not_taken_for_one_with_much(spark):
+    """Sixty documents of English, 400 characters of each other language: of the other documents 99 in 100 of every language are told."""
+    held = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null and lang is not null").orderBy("doc_id").select("lang", "text").collect():
+        held.setdefault(r["lang"], []).append(r["text"])
+    sample = {k: v[:60] if k == "en" else ["".join(v[:60])[:400]] for k, v in held.items()}
+    model = language_id.Model.fit(sample, 24_000)
+    assert model.costs[model.languages.index("en")] > 1.5 * min(model.costs)
+    for lang, texts in held.items():
+        found, _ = model.predict(texts[60:])
+        assert found.count(lang) >= 0.99 * len(found)
