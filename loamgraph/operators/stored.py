@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions.ids import edge_id, node_id, node_id_of
 from loamgraph.operators import search
-from loamgraph.operators.graph import Traversal, with_labels
+from loamgraph.operators.graph import Graph, Traversal, canonical_labels, with_labels
 from loamgraph.operators.ingest import GraphData, Synchronizer, conform, records
 from loamgraph.operators.lookup import json_field
 from loamgraph.schema import EntitySpec, Registry
-from loamgraph.session import pin
+from loamgraph.session import SMALL, pin, settle
+from loamgraph.sources.graph_store import ENDS, Frames, GraphStore, small
 
 # -- writes -------------------------------------------------------------------------------------------
 
@@ -118,21 +119,30 @@ def find_function_details(nodes: DataFrame, edges: DataFrame, name: str, path: s
     return with_ancestors(named, edges, nodes, [("contains", field("path", path)), ("contains", field("sha", sha))])
 
 
-def hop_with_parent(nodes: DataFrame, edges: DataFrame, node: str, label: str, direction: str, parent_label: str = "contains") -> DataFrame:
-    """The nodes one edge away, with the parents of each: id, label, properties, parent_id, parent."""
-    own, other = ("from_node_id", "to_node_id") if direction == "out" else ("to_node_id", "from_node_id")
-    hop = with_labels(edges, [label]).filter(F.col(own) == node).select(F.col(other).alias("id")).distinct()
-    found = nodes.join(hop, "id", "left_semi").select("id", "label", "properties")
-    up = with_labels(edges, [parent_label]).select(F.col("to_node_id").alias("id"), F.col("from_node_id").alias("parent_id"))
-    return found.join(up, "id").join(nodes.select(F.col("id").alias("parent_id"), F.col("properties").alias("parent")), "parent_id")
+def whole(graph: Graph, ids: DataFrame, rows: int) -> DataFrame:
+    """The nodes in ``ids`` (column id): of a stored graph their buckets' files only, while they are few."""
+    if isinstance(graph, GraphStore) and rows <= SMALL:
+        return graph.nodes_of([r["id"] for r in ids.select("id").collect()])
+    return graph.nodes.join(small(ids.select("id"), rows), "id", "left_semi")
 
 
-def function_callees(nodes: DataFrame, edges: DataFrame, function: str) -> DataFrame:
-    return hop_with_parent(nodes, edges, function, "calls", "out").withColumn("path", json_field(F.col("parent"), "path"))
+def hop_with_parent(graph: Graph, node: str, label: str, direction: str, parent_label: str = "contains") -> DataFrame:
+    """The nodes one edge away, with the parents of each: id, label, properties, parent_id, parent. Over a stored graph nothing is read but the buckets of these nodes and edges."""
+    start = graph.spark.createDataFrame([(node,)], "id string")
+    ends, n = settle(graph.step(direction, start, 1, canonical_labels([label])).select(F.col(ENDS[direction][1]).alias("id")).distinct())
+    up = graph.step("in", ends, n, canonical_labels([parent_label])).select(F.col("to_node_id").alias("id"), F.col("from_node_id").alias("parent_id"))
+    above, m = settle(up)
+    found = whole(graph, ends, n).select("id", "label", "properties")
+    parents = whole(graph, above.select(F.col("parent_id").alias("id")).distinct(), m)
+    return found.join(small(above, m), "id").join(parents.select(F.col("id").alias("parent_id"), F.col("properties").alias("parent")), "parent_id")
 
 
-def function_callers(nodes: DataFrame, edges: DataFrame, function: str) -> DataFrame:
-    return hop_with_parent(nodes, edges, function, "calls", "in").withColumn("path", json_field(F.col("parent"), "path"))
+def function_callees(graph: Graph, function: str) -> DataFrame:
+    return hop_with_parent(graph, function, "calls", "out").withColumn("path", json_field(F.col("parent"), "path"))
+
+
+def function_callers(graph: Graph, function: str) -> DataFrame:
+    return hop_with_parent(graph, function, "calls", "in").withColumn("path", json_field(F.col("parent"), "path"))
 
 
 def tests_for_function(nodes: DataFrame, edges: DataFrame, function: str) -> DataFrame:
@@ -152,7 +162,7 @@ def files_in_version(nodes: DataFrame, edges: DataFrame, version: str) -> DataFr
 def similar_chunks(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, query: list[float], limit: int, kind: str = "function", metric: str = "cosine") -> DataFrame:
     """The functions (or classes) whose code chunks are nearest."""
     hits = search.knn(vectors, query, limit, "codechunk", metric)
-    up = with_labels(edges, ["embeds"]).join(F.broadcast(hits.select(F.col("id").alias("to_node_id"))), "to_node_id", "left_semi")
+    up = with_labels(edges, ["embeds"]).join(small(hits.select(F.col("id").alias("to_node_id")), limit), "to_node_id", "left_semi")
     return nodes.filter(F.col("label") == kind).join(up.select(F.col("from_node_id").alias("id")).distinct(), "id", "left_semi")
 
 
@@ -162,4 +172,4 @@ def relevant_docs(vectors: DataFrame, query: list[float], limit: int, kind: str
 
 def relevant_callees(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, function: str, query: list[float], limit: int) -> DataFrame:
     """Callees of a function that are among the functions with the nearest chunks."""
-    return function_callees(nodes, edges, function).join(similar_chunks(nodes, edges, vectors, query, limit).select("id"), "id", "left_semi")
+    return function_callees(Frames(nodes, edges), function).join(similar_chunks(nodes, edges, vectors, query, limit).select("id"), "id", "left_semi")

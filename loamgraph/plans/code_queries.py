@@ -16,6 +16,7 @@ from loamgraph.plans.snapshot_queries import STAMP, edge_sql, embed, listed_sql,
 from loamgraph.schema import Registry
 from loamgraph.service import Engine
 from loamgraph.session import scratch, table
+from loamgraph.sources.graph_store import Frames
 
 SHA, URL = "sha0", "https://host/code"
 REGISTRY = Registry.declared(extra_edges=True)
@@ -211,13 +212,13 @@ def function_details(spark: SparkSession, sf: str) -> DataFrame:
 @query("function_callees", CODE + "SELECT b.id, b.path FROM functions a JOIN functions b ON b.k = a.k + 1 WHERE a.fn = 'fn0'")
 def function_callees(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges, _ = graph(spark, sf)
-    return stored.function_callees(nodes, edges, function_id(0, 0)).select("id", "path")
+    return stored.function_callees(Frames(nodes, edges), function_id(0, 0)).select("id", "path")
 
 
 @query("function_callers", CODE + "SELECT a.id, a.path FROM functions a JOIN functions b ON b.k = a.k + 1 WHERE b.k = (SELECT m FROM m)")
 def function_callers(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges, _ = graph(spark, sf)
-    return stored.function_callers(nodes, edges, function_id(table(spark, sf, "supplier").count(), 0)).select("id", "path")
+    return stored.function_callers(Frames(nodes, edges), function_id(table(spark, sf, "supplier").count(), 0)).select("id", "path")
 
 
 @query("tests_for_function", f"SELECT {uuid5_sql(chr(39) + 'test|version_sha=sha0|file_path=f0.py|name=test0' + chr(39))} AS id, 'test' AS label")

@@ -297,7 +297,7 @@ def two_hop_exists(spark: SparkSession, sf: str) -> DataFrame:
 )
 def out_with_parent(spark: SparkSession, sf: str) -> DataFrame:
     """Targets of a node's edges, each with its parents by another edge."""
-    return stored.hop_with_parent(*stored_frames(spark, sf), star_id("orders", ORDER_KEY), "contains", "out", "supplies").select("id", "label", "parent_id")
+    return stored.hop_with_parent(stored_graph(spark, sf), star_id("orders", ORDER_KEY), "contains", "out", "supplies").select("id", "label", "parent_id")
 
 
 @query(
@@ -305,7 +305,7 @@ def out_with_parent(spark: SparkSession, sf: str) -> DataFrame:
     WITH_GRAPH + f"SELECT t.id, t.label, f.id AS parent_id FROM edges e JOIN nodes t ON t.id = e.from_node_id JOIN edges i ON i.to_node_id = t.id AND i.label = 'edge_placed' JOIN nodes f ON f.id = i.from_node_id WHERE e.label = 'edge_contains' AND e.to_node_id = '{PART}'",
 )
 def in_with_parent(spark: SparkSession, sf: str) -> DataFrame:
-    return stored.hop_with_parent(*stored_frames(spark, sf), PART, "contains", "in", "placed").select("id", "label", "parent_id")
+    return stored.hop_with_parent(stored_graph(spark, sf), PART, "contains", "in", "placed").select("id", "label", "parent_id")
 
 
 @query(

@@ -15,8 +15,9 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: in
     """A table's Parquet files as a stream; the schema is read from the files."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    # a table may be one file or a folder of files; a pattern covers both
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(f"{path}*")
+    # a table may be one file or a folder of files; a pattern that only its name matches covers both
+    only = f"{sf_dir.rstrip('/')}/[{name[0]}]{name[1:]}.parquet"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(only)
 
 
 def upsert_stream(stream: DataFrame, target: VersionedTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], mode: str = "append") -> None:

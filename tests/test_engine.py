@@ -15,6 +15,7 @@ from loamgraph.operators.ingest import GraphData, PanelData, as_edges, freshness
 from loamgraph.schema import REGISTRY
 from loamgraph.service import Engine, NotFound, status_of
 from loamgraph.sources import rest
+from loamgraph.sources.graph_store import Frames
 
 NOW = dt.datetime(2024, 5, 1, 12, tzinfo=dt.timezone.utc)
 URL, SHA = "https://host/own/repo", "f" * 40
@@ -225,8 +226,8 @@ def test_stored_writes(engine):
     f, g = (node_id_of("function", version_sha=SHA, file_path="a.py", name=n) for n in "fg")
     stored.create_edges(engine.sync, "CALLS", [(f, g)], "function", "function")
     nodes, edges, _ = engine.views()
-    assert [r["path"] for r in stored.function_callees(nodes, edges, f).collect()] == ["a.py"]
-    assert [r["id"] for r in stored.function_callers(nodes, edges, g).collect()] == [f]
+    assert [r["path"] for r in stored.function_callees(Frames(nodes, edges), f).collect()] == ["a.py"]
+    assert [r["id"] for r in stored.function_callers(Frames(nodes, edges), g).collect()] == [f]
     assert [r["id"] for r in stored.files_in_version(nodes, edges, version).collect()] == [file]
     assert [r["id"] for r in stored.find_function_details(nodes, edges, "g", "a.py", SHA).collect()] == [g]
     assert stored.find_project_by_url(nodes, URL).first()["id"] == node_id_of("project", url=URL)
