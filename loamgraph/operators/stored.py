@@ -101,15 +101,21 @@ def find_project_by_url(nodes: DataFrame, url: str) -> DataFrame:
 
 
 def with_ancestors(found: DataFrame, edges: DataFrame, nodes: DataFrame, steps: list[tuple[str, Column | None]]) -> DataFrame:
-    """Nodes with a chain of parents: each step is an edge type and a condition on the parent. Semi-joins only."""
+    return ancestors_in(Frames(nodes, edges), found, steps)
+
+
+def ancestors_in(graph: Graph, found: DataFrame, steps: list[tuple[str, Column | None]]) -> DataFrame:
+    """Nodes with a chain of parents: each step is an edge type and a condition on the parent. From the last parents down; few of them don't shuffle the graph."""
     reach: DataFrame | None = None
     for label, condition in reversed(steps):
-        parents = nodes if condition is None else nodes.filter(condition)
-        if reach is not None:
-            parents = parents.join(reach, "id", "left_semi")
-        hop = with_labels(edges, [label])
-        reach = hop.join(parents.select(F.col("id").alias("from_node_id")), "from_node_id", "left_semi").select(F.col("to_node_id").alias("id")).distinct()
-    return found.join(reach, "id", "left_semi")
+        if condition is None and reach is not None:
+            parents = graph.known(reach, n).select("id")
+        else:
+            parents = graph.nodes if condition is None else graph.nodes.filter(condition)
+            parents = (parents if reach is None else parents.join(small(reach, n), "id", "left_semi")).select("id")
+        parents, n = settle(parents.distinct())
+        reach, n = settle(graph.step("out", parents, n, canonical_labels([label])).select(F.col("to_node_id").alias("id")).distinct())
+    return found.join(small(reach, n), "id", "left_semi")
 
 
 def find_function_details(nodes: DataFrame, edges: DataFrame, name: str, path: str, sha: str) -> DataFrame:
