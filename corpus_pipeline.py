@@ -19,7 +19,7 @@ from loamgraph.session import discard, scratch, table
 #: A text that no learned language explains better than the others by any margin has a score of 1 / languages; letters of unknown scripts too.
 LEAST_LANGUAGE_SCORE = 0.3
 
-#: Near copies: Jaccard similarity of the texts' sets of five-word shingles.
+#: Near copies: SimHash fingerprints find them; a link needs this Jaccard similarity of the texts' sets of five-word shingles.
 NEAR, SHINGLE_WORDS = 0.8, 5
 
 

@@ -1,11 +1,12 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands find candidates, every link is verified exactly.
+"""Near copies by SimHash: blocks of fingerprints find candidates, every link is verified exactly by Jaccard similarity of word shingles.
 
-Words are as for SimHash: ASCII letters lower-cased, cut at ASCII white space. A text is the set of its shingles' 64-bit hashes; equal sets are one
-node. A node has ``bands`` keys, each of ``rows`` minimums under hash functions of their own; nodes that share a key are compared. At similarity s a
-pair shares none with probability (1 - s^rows)^bands, 0.00005 at 0.8 with the defaults, and pairs that have nothing in common hardly ever meet.
+Words are as in ``simhash.py``: ASCII letters lower-cased, cut at ASCII white space. A text is the set of its shingles' 64-bit hashes; equal sets are one
+node. A node has several fingerprints of 64 bits, each cut into four blocks. Nodes that agree on a block are compared over that fingerprint and the next, and those at few differing bits
+meet. At similarity s a bit differs with probability acos(2s / (1 + s)) / pi; the number of fingerprints follows from ``least``, so that a pair at that similarity agrees on none of the blocks
+with probability ``missed`` at most. No two texts meet by a block alone, so texts that have nothing in common hardly ever have their sets compared.
 
-Only nodes that share a key with another have their sets made again and shuffled: a bitmap of bounded size, built on the executors, says which
-texts. Keys with the same members are compared once. A key held by many nodes, or by nodes of long texts, is cut into tiles, and each pair of tiles is a task group of
+Only nodes that meet another have their sets made again and shuffled: a bitmap of bounded size, built on the executors, says which
+texts. Keys are what met together; those with the same members are compared once. A key held by many nodes, or by nodes of long texts, is cut into tiles, and each pair of tiles is a task group of
 its own. Within a group the intersections are counted exactly; a group emits a spanning forest of its links, never all pairs.
 
 Defined results: null text is empty text; texts without words are equal; fewer words than a shingle give one shingle; rows that repeat an id share
@@ -14,6 +15,7 @@ one component; a null id takes its component's smallest id; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.llm import simhash
 from loamgraph.llm.simhash import SEED, components
 from loamgraph.llm.words import mix
-from loamgraph.session import pin
+from loamgraph.operators.graph import stars
+from loamgraph.session import pin, settle
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the bitmap of wanted texts, as a power of two; with more texts than it can tell apart, more sets are made than needed, none is missed.
@@ -51,20 +55,27 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
-def multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Blocks of a fingerprint, their bits, and the bits that are compared where a block agrees: two fingerprints less that block.
+BLOCKS, BLOCK_BITS = 4, 16
+COMPARED = 128 - BLOCK_BITS
+#: Nodes of one block that are compared pair by pair; of more, each node reached is compared with those not yet reached.
+PAIRWISE = 256
 
 
-def band_keys(hashes: np.ndarray, by: np.ndarray, rows: int) -> np.ndarray:
-    """One key for every ``rows`` of the multipliers ``by``."""
-    low = np.full(len(by), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 512):
-        np.minimum(low, (hashes[at : at + 512, None] * by).min(axis=0), out=low)
-    low = low.reshape(-1, rows)
-    keys = np.arange(len(low), dtype=np.uint64)
-    for k in range(rows):
-        keys = mix(keys * GOLDEN ^ low[:, k])
-    return keys
+def plan(least: float, missed: float) -> tuple[int, int]:
+    """(fingerprints, differing bits of two fingerprints at most) for pairs at Jaccard ``least``; the bits leave room for five standard deviations."""
+    differs = math.acos(2 * least / (1 + least)) / math.pi
+    keys = 1 if differs == 0 else math.log(missed) / math.log1p(-((1 - differs) ** BLOCK_BITS))
+    return max(2, math.ceil(keys / BLOCKS)), math.ceil(COMPARED * differs + 5 * math.sqrt(COMPARED * differs * (1 - differs)))
+
+
+def fingerprints(hashes: np.ndarray, n: int) -> np.ndarray:
+    """``n`` SimHash fingerprints: a bit is 1 if set in over half the hashes. A shingle counts twice, by hashes of its own, so that few bits of short texts are ties."""
+    count, by = np.zeros(64 * n, dtype=np.int32), mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * GOLDEN)
+    for at in range(0, len(hashes), 127):
+        made = mix(hashes[at : at + 127, None] ^ by)
+        count += np.unpackbits(made.view(np.uint8).reshape(-1, 8 * n), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(count > len(hashes), bitorder="little").view(np.uint64)
 
 
 def alike(both, a, b, least: float):
@@ -101,21 +112,78 @@ def forest(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
     return src, dst
 
 
-def with_keys(texts: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``texts``: doc_id, text, text_key. doc_id, text_key, node, n (shingles), keys."""
-    by = multipliers(bands * rows)
+def with_fingerprints(texts: DataFrame, width: int, lanes: int) -> DataFrame:
+    """``texts``: doc_id, text, text_key. doc_id, text_key, node, n (shingles), prints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32), np.zeros((b.num_rows, bands), np.uint64)
+            nodes, sizes, prints = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32), np.zeros((b.num_rows, lanes), np.uint64)
             for i, t in enumerate(b.column(1)):
                 own = shingles(t.as_py(), width)
-                nodes[i], sizes[i], keys[i] = node_of(own), len(own), band_keys(own, by, rows)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                nodes[i], sizes[i], prints[i] = node_of(own), len(own), fingerprints(own, lanes)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * lanes, pa.int32()), pa.array(prints.view(np.int64).ravel()))
             made = [b.column(0), b.column(2), pa.array(nodes.view(np.int64)), pa.array(sizes), listed]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "text_key", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "text_key", "node", "n", "prints"])
+
+    return texts.mapInArrow(run, "doc_id long, text_key long, node long, n int, prints array<long>")
+
+
+def clusters(place: np.ndarray, node: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, node) of what meets, rows sorted by ``place``: a key is a place's nodes that are linked, also through others, at ``most`` differing bits."""
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    ends = np.append(starts[1:], len(place))
+    large, src, dst, d = ends - starts > PAIRWISE, [], [], 0
+    at = np.flatnonzero(~np.repeat(large, ends - starts))
+    end = np.repeat(ends, ends - starts)[at]
+    while len(at):
+        d += 1
+        inside = at + d < end
+        at, end = at[inside], end[inside]
+        near = np.bitwise_count(prints[at] ^ prints[at + d]).sum(axis=1) <= most
+        src.append(at[near])
+        dst.append(at[near] + d)
+    for a, b in zip(starts[large], ends[large], strict=True):
+        i, j = simhash.forest(prints[a:b], most)
+        src.append(i + a)
+        dst.append(j + a)
+    rows, first = stars(np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64),) * 2
+    heads = np.unique(first)
+    rows, first = np.append(rows, heads).astype(np.int64), np.append(first, heads).astype(np.int64)
+    return mix(place[first].view(np.uint64) * GOLDEN ^ node[first].view(np.uint64)).view(np.int64), node[rows]
+
+
+def meetings(nodes: DataFrame, lanes: int, most: int, tile: int) -> DataFrame:
+    """``nodes``: node, prints, each node once. (key, node): nodes that agree on a block and, directly or through others of that block, differ in ``most`` bits of two fingerprints at most."""
+    spark, lane = nodes.sparkSession, f"int(k / {BLOCKS})"
+    keyed = nodes.select("node", "prints", F.explode(F.sequence(F.lit(0), F.lit(lanes * BLOCKS - 1))).alias("k")).selectExpr(
+        "node", f"get(prints, {lane}) AS a", f"get(prints, ({lane} + 1) % {lanes}) AS b", "k",
+    ).selectExpr(f"k * {1 << BLOCK_BITS} + int(shiftrightunsigned(a, k % {BLOCKS} * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1}) AS at", "node", "a", "b")
+    hot, n = settle(keyed.groupBy("at").count().filter(F.col("count") > tile).select("at", F.ceil(F.col("count") / tile).alias("tiles")))
+    dealt = keyed.select((F.col("at").cast("long") * (1 << 32)).alias("place"), "node", "a", "b")
+    if n:  # fewer than all rows over ``tile``
+        own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("long")
+        tiled = keyed.join(F.broadcast(hot), "at").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        place = F.col("at").cast("long") * (1 << 32) + F.least("own", "other") * (1 << 16) + F.greatest("own", "other")
+        dealt = keyed.join(F.broadcast(hot), "at", "left_anti").select((F.col("at").cast("long") * (1 << 32)).alias("place"), "node", "a", "b")
+        dealt = dealt.unionByName(tiled.select(place.alias("place"), "node", "a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(cols: list[np.ndarray]) -> pa.RecordBatch:
+            made = clusters(cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64), most)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "node"])
+
+        rest = [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            rest = [np.append(x, c.to_numpy()) for x, c in zip(rest, b.columns, strict=True)]
+            whole = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last place may go on
+            if whole:
+                yield met([x[:whole] for x in rest])
+                rest = [x[whole:] for x in rest]
+        if len(rest[0]):
+            yield met(rest)
 
-    return texts.mapInArrow(run, "doc_id long, text_key long, node long, n int, keys array<long>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(run, "key long, node long")
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -195,16 +263,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def linked_rows(docs: DataFrame, id_col: str, text_col: str, least: float, width: int, bands: int, rows: int, tile: int) -> tuple[DataFrame, DataFrame]:
+def linked_rows(docs: DataFrame, id_col: str, text_col: str, least: float, width: int, missed: float, tile: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, node of every row; node, rows, low, root of every node). low is its first row by id, nulls last."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
-    made = pin(with_keys(texts, width, bands, rows))
-    keyed = made.select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    held = pin(keyed.join(shared, "key").select("key", "node", "n").distinct())
+    lanes, most = plan(least, missed)
+    made = pin(with_fingerprints(texts, width, lanes))
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    nodes = pin(made.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), low.alias("low")))
+    nodes = pin(made.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), low.alias("low"), F.min("n").alias("n"), F.first("prints").alias("prints")))
+    held = pin(meetings(nodes.select("node", "prints"), lanes, most, tile).join(nodes.select("node", "n"), "node").select("key", "node", "n"))
     wanted = pin(nodes.join(held.select("node").distinct(), "node", "left_semi").select("low.text_key"))
     roots = components(links(held, sets_of(texts, wanted, width), least, tile))
     of = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
@@ -212,23 +279,23 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, least: float, width
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, bands: int = 25, rows: int = 5, tile: int = 2048
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, missed: float = 0.00005, tile: int = 2048
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id (the smallest id that is linked, directly or through others, at Jaccard similarity ``least`` or more)."""
-    made, of = linked_rows(docs, id_col, text_col, least, width, bands, rows, tile)
+    made, of = linked_rows(docs, id_col, text_col, least, width, missed, tile)
     smallest = of.groupBy("root").agg(F.min("low").alias("first"))
     linked = pin(of.join(smallest, "root").select("node", F.col("first.doc_id").alias("component_id")))
     return made.select("doc_id", "node").join(linked, "node").select("doc_id", "component_id")
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, bands: int = 25, rows: int = 5, tile: int = 2048
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, missed: float = 0.00005, tile: int = 2048
 ) -> DataFrame:
     """One row of ``docs``, all columns, of each component: that with the smallest id (null ids last), of repeated rows one.
 
     The rows to drop, by id and text, are broadcast while there are at most ``BROADCAST_ROWS``; more of them are joined.
     """
-    made, of = linked_rows(docs, id_col, text_col, least, width, bands, rows, tile)
+    made, of = linked_rows(docs, id_col, text_col, least, width, missed, tile)
     crowds = of.groupBy("root").agg(F.min("low").alias("first"), F.sum("rows").alias("all")).filter("all > 1")
     crowded = made.join(of.join(crowds, "root").select("node", "first"), "node").groupBy("doc_id", "text_key").agg(
         F.min("first").alias("first"), F.count(F.lit(1)).alias("n"),

@@ -62,3 +62,42 @@ def test_forest_links_what_a_walk_reaches():
             return {frozenset(k for k in range(120) if root[k] == r) for r in root}
 
         assert parts(zip(src, dst, strict=True)) == parts(pairs) and len(src) == 120 - len(parts(pairs))
+
+
+def test_simhash_blocks_meet_at_the_least_similarity():
+    """A bit is the majority of the shingles' bits; of pairs at Jaccard 0.8, short and long, none misses all blocks and the limit of bits; unlike sets do not meet."""
+    lanes, most = near_copies.plan(0.8, 0.00005)
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+    assert (near_copies.fingerprints(np.repeat(one, 9), 4) == near_copies.fingerprints(one, 4)).all() and not near_copies.fingerprints(one[:0], 4).any()
+
+    def meets(a, b):
+        shares = (a[:, None] ^ b[:, None]) >> np.arange(0, 64, 16, dtype=np.uint64) & np.uint64(0xFFFF) == 0
+        bits = np.bitwise_count(a ^ b).astype(int)
+        return bool((shares.any(axis=1) & (bits + np.roll(bits, -1) <= most)).any())
+
+    missed = 0
+    for small, both, large in ((4, 4, 5), (9, 8, 9), (18, 16, 18), (40, 40, 50), (360, 320, 360)):
+        for _ in range(200):
+            made = rng.integers(0, 1 << 63, small + large - both, dtype=np.uint64)
+            a, b = (near_copies.fingerprints(x, lanes) for x in (made[:small], made[small - both :]))
+            missed += not meets(a, b)
+            c = near_copies.fingerprints(rng.integers(0, 1 << 63, 100, dtype=np.uint64), lanes)
+            assert not meets(a, c) or small < 9
+    assert missed <= 1
+
+
+@pytest.mark.parametrize("pairwise", [1, 256])
+def test_clusters_are_those_of_all_pairs_of_a_block(monkeypatch, pairwise):
+    monkeypatch.setattr(near_copies, "PAIRWISE", pairwise)
+    rng = np.random.default_rng(4)
+    place, base = np.sort(rng.integers(0, 6, 90)), rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64)
+    prints = base[rng.integers(0, 12, 90)] ^ (np.uint64(1) << rng.integers(0, 60, (90, 2)).astype(np.uint64))
+    key, node = near_copies.clusters(place, np.arange(90), prints, 4)
+    root = list(range(90))
+    for a in range(90):
+        for b in range(a):
+            if place[a] == place[b] and np.bitwise_count(prints[a] ^ prints[b]).sum() <= 4:
+                root = [root[a] if r == root[b] else r for r in root]
+    due = {frozenset(i for i in range(90) if root[i] == r) for r in set(root) if root.count(r) > 1}
+    assert len(due) > 5 and {frozenset(node[key == k].tolist()) for k in np.unique(key)} == due
