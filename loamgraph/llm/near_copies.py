@@ -3,7 +3,8 @@
 Words are as in ``simhash.py``: ASCII letters lower-cased, cut at ASCII white space. A text is the set of its shingles' 64-bit hashes; equal sets are one
 node. A node has several fingerprints of 64 bits, each cut into four blocks. Nodes that agree on a block are compared over that fingerprint and the next, and those at few differing bits
 meet. At similarity s a bit differs with probability acos(2s / (1 + s)) / pi; the number of fingerprints follows from ``least``, so that a pair at that similarity agrees on none of the blocks
-with probability ``missed`` at most. No two texts meet by a block alone, so texts that have nothing in common hardly ever have their sets compared.
+with probability ``missed`` at most. No two texts meet by a block alone, so texts that have nothing in common hardly ever have their sets compared. What has met is compared over all fingerprints, so
+that only texts near that similarity go on.
 
 Only nodes that meet another have their sets made again and shuffled: a bitmap of bounded size, built on the executors, says which
 texts. Keys are what met together; those with the same members are compared once. A key held by many nodes, or by nodes of long texts, is cut into tiles, and each pair of tiles is a task group of
@@ -62,11 +63,17 @@ COMPARED = 128 - BLOCK_BITS
 PAIRWISE = 256
 
 
+def most_bits(least: float, bits: int) -> int:
+    """Differing ones of ``bits`` bits at most for pairs at Jaccard ``least``, with room for five standard deviations."""
+    differs = math.acos(2 * least / (1 + least)) / math.pi
+    return math.ceil(bits * differs + 5 * math.sqrt(bits * differs * (1 - differs)))
+
+
 def plan(least: float, missed: float) -> tuple[int, int]:
-    """(fingerprints, differing bits of two fingerprints at most) for pairs at Jaccard ``least``; the bits leave room for five standard deviations."""
+    """(fingerprints, differing bits of two fingerprints at most) for pairs at Jaccard ``least``."""
     differs = math.acos(2 * least / (1 + least)) / math.pi
     keys = 1 if differs == 0 else math.log(missed) / math.log1p(-((1 - differs) ** BLOCK_BITS))
-    return max(2, math.ceil(keys / BLOCKS)), math.ceil(COMPARED * differs + 5 * math.sqrt(COMPARED * differs * (1 - differs)))
+    return max(2, math.ceil(keys / BLOCKS)), most_bits(least, COMPARED)
 
 
 def fingerprints(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -168,24 +175,44 @@ def meetings(nodes: DataFrame, lanes: int, most: int, tile: int) -> DataFrame:
         dealt = dealt.unionByName(tiled.select(place.alias("place"), "node", "a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def met(cols: list[np.ndarray]) -> pa.RecordBatch:
-            made = clusters(cols[0], cols[1], np.stack(cols[2:], axis=1).view(np.uint64), most)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "node"])
-
-        rest = [np.zeros(0, np.int64)] * 4
-        for b in batches:
-            rest = [np.append(x, c.to_numpy()) for x, c in zip(rest, b.columns, strict=True)]
-            whole = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last place may go on
-            if whole:
-                yield met([x[:whole] for x in rest])
-                rest = [x[whole:] for x in rest]
-        if len(rest[0]):
-            yield met(rest)
+        for place, node, a, b in whole_places([c.to_numpy() for c in b.columns] for b in batches):
+            made = clusters(place, node, np.stack([a, b], axis=1).view(np.uint64), most)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "node"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "place").sortWithinPartitions("place").mapInArrow(run, "key long, node long")
 
 
+def whole_places(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """The same rows, sorted by their first column, cut so that rows alike in it are together."""
+    rest: list[np.ndarray] | None = None
+    for cols in parts:
+        rest = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        whole = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last place may go on
+        if whole:
+            yield [x[:whole] for x in rest]
+            rest = [x[whole:] for x in rest]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def sharpened(held: DataFrame, lanes: int, most: int) -> DataFrame:
+    """``held``: key, node, n, prints. key, node, n of the nodes of a key that, directly or through others of it, differ in ``most`` bits of all fingerprints at most. What is linked stays
+    together; texts that have met by their two fingerprints only go before anything is made of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = ([*(c.to_numpy() for c in b.columns[:3]), b.column(3).flatten().to_numpy().reshape(-1, lanes)] for b in batches)
+        for place, node, n, prints in whole_places(cols):
+            key, left = clusters(place, node, prints.view(np.uint64), most)
+            names, first = np.unique(node, return_index=True)
+            made = [pa.array(key), pa.array(left), pa.array(n[first[np.searchsorted(names, left)]])]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "node", "n"])
+
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.select("key", "node", "n", "prints").repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key long, node long, n int")
+
+
 def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node and shingles (bytes) of the texts whose ``text_key`` is in ``wanted``, and of a few more."""
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * wanted.count()).bit_length()))
@@ -271,7 +298,8 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, least: float, width
     made = pin(with_fingerprints(texts, width, lanes))
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     nodes = pin(made.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), low.alias("low"), F.min("n").alias("n"), F.first("prints").alias("prints")))
-    held = pin(meetings(nodes.select("node", "prints"), lanes, most, tile).join(nodes.select("node", "n"), "node").select("key", "node", "n"))
+    met = meetings(nodes.select("node", "prints"), lanes, most, tile).join(nodes.select("node", "n", "prints"), "node")
+    held = pin(sharpened(met, lanes, most_bits(least, 64 * lanes)))
     wanted = pin(nodes.join(held.select("node").distinct(), "node", "left_semi").select("low.text_key"))
     roots = components(links(held, sets_of(texts, wanted, width), least, tile))
     of = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")

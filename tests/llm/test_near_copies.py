@@ -101,3 +101,21 @@ def test_clusters_are_those_of_all_pairs_of_a_block(monkeypatch, pairwise):
                 root = [root[a] if r == root[b] else r for r in root]
     due = {frozenset(i for i in range(90) if root[i] == r) for r in set(root) if root.count(r) > 1}
     assert len(due) > 5 and {frozenset(node[key == k].tolist()) for k in np.unique(key)} == due
+
+
+def test_texts_far_below_the_least_similarity_have_no_sets_made(spark, monkeypatch):
+    """A crowd of texts at Jaccard 0.5 to 0.6 meets in blocks; only the texts that are alike hold keys, and their links are those of all pairs."""
+    rng, held, join = np.random.default_rng(9), [], near_copies.links
+    base, texts = [f"w{x}" for x in range(300)], {}
+    for i in range(80):
+        own = list(base)
+        for at in rng.choice(300, 11, replace=False):
+            own[at] = f"x{i}_{at}"
+        texts[i] = " ".join(own)
+    texts |= {100: texts[7] + " more", 101: texts[9] + " words at the end"}
+    monkeypatch.setattr(near_copies, "links", lambda of, *rest: held.append({r["node"] for r in of.collect()}) or join(of, *rest))
+    got = near_copies.near_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string"))
+    root, alone = brute(texts, 0.8)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root
+    linked = len(texts) - len(alone)
+    assert linked == 4 and len(held[0]) <= 10
