@@ -7,8 +7,9 @@ with probability ``missed`` at most. No two texts meet by a block alone, so text
 that only texts near that similarity go on.
 
 Only nodes that meet another have their sets made again and shuffled: a bitmap of bounded size, built on the executors, says which
-texts. Keys are what met together; those with the same members are compared once. A key held by many nodes, or by nodes of long texts, is cut into tiles, and each pair of tiles is a task group of
-its own. Within a group the intersections are counted exactly; a group emits a spanning forest of its links, never all pairs.
+texts. Keys are what met together; those with the same members are compared once, and those that overlap are merged where that makes no more pairs. A key held by many nodes, or by nodes of long
+texts, is cut into tiles. Each meets the first one; what that leaves unconnected meets the rest of its key then, in groups of two tiles. Within a group the intersections are counted exactly; a group
+emits a spanning forest of its links, never all pairs.
 
 Defined results: null text is empty text; texts without words are equal; fewer words than a shingle give one shingle; rows that repeat an id share
 one component; a null id takes its component's smallest id; an empty table gives an empty result; extra columns are ignored.
@@ -22,20 +23,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.llm import simhash
 from loamgraph.llm.simhash import SEED, components
 from loamgraph.llm.words import mix
 from loamgraph.operators.graph import stars
-from loamgraph.session import pin, settle
+from loamgraph.session import SMALL, discard, keep, pin, settle
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the bitmap of wanted texts, as a power of two; with more texts than it can tell apart, more sets are made than needed, none is missed.
 LEAST_BITS, MOST_BITS = 15, 27
 #: Bytes of sets in a tile; nodes that need no second tile.
 TILE_BYTES, SPLIT = 16_000_000, 64
+#: Rounds in which keys are merged; rows beyond which a key's own row is broadcast.
+MERGES, CROWD = 2, 256
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -235,22 +238,80 @@ def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.select("text", "text_key").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
+def told(rows: DataFrame, of: DataFrame, by: str) -> DataFrame:
+    """``rows`` with the columns of ``of`` (one row per ``by``; ``rows``: how many of them it has) but that. What has more than ``CROWD`` rows is broadcast, so that no task reads all of one key's;
+    up to ``SMALL`` rows of ``of`` are all broadcast."""
+    if of.count() <= SMALL:
+        return rows.join(F.broadcast(of.drop("rows")), by)
+    hot = F.broadcast(of.filter(F.col("rows") > CROWD).drop("rows"))
+    rest = rows.join(hot.select(by), by, "left_anti").join(of.filter(F.col("rows") <= CROWD).drop("rows"), by)
+    return rows.join(hot, by).unionByName(rest)
+
+
+def merged(held: DataFrame) -> DataFrame:
+    """``held``: key, node, n, each key once for each of its nodes. The same columns in fewer rows: nodes that share a key share one still.
+
+    Texts that are alike meet in many keys with much the same members. A key goes to the smallest key that any of its nodes holds, and keys that go to the same one become one, if its nodes have
+    no more pairs than theirs had; others stay. Neither rows nor pairs ever become more.
+    """
+    members = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1))))
+    same = Window.partitionBy("key")  # a key's nodes were together in one task: two tiles at most
+    held = held.select(*(m.over(same).alias(c) for c, m in zip(("size", "a", "b"), members, strict=True)), "node", "n").filter("size > 1")
+    held = pin(held.select(F.xxhash64("size", "a", "b").alias("key"), "node", "n").distinct())  # of those with the same members, one
+    for k in range(MERGES):
+        low = held.withColumn("low", F.min("key").over(Window.partitionBy("node")))
+        if k == 0:
+            rows = pin(low.select("key", "node", "n", F.count(F.lit(1)).over(same).alias("size"), F.min("low").over(same).alias("to")))
+        else:  # merged keys have any number of nodes
+            keys = low.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("low").alias("to"))
+            rows = pin(told(held, pin(keys.withColumn("size", F.col("rows"))), "key"))
+        each = pin(rows.groupBy("to", "node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("keys"), F.sum("size").alias("pairs")))
+        sums = each.groupBy("to").agg(F.count(F.lit(1)).alias("size"), F.sum("keys").alias("keys"), F.sum("pairs").alias("pairs"))
+        sums = pin(sums.withColumn("fits", F.col("size") * F.col("size") <= F.col("pairs")))
+        one = told(each.select("to", "node", "n"), sums.filter("fits").select("to", F.col("size").alias("rows")), "to")
+        other = told(rows.select("to", "key", "node", "n"), sums.filter("not fits").select("to", F.col("keys").alias("rows")), "to")
+        # merged keys are the negative ones, so that the next round's keys go to them first
+        one = one.select(F.col("to").bitwiseOR(F.lit(-1 << 63)).alias("key"), "node", "n")
+        held = pin(one.unionByName(other.select(F.xxhash64("key").bitwiseAND(F.lit((1 << 63) - 1)).alias("key"), "node", "n")))
+    return held
+
+
+def tiles(size: str, total: str, most: int):
+    """Tiles of up to ``most`` nodes and ``TILE_BYTES`` of sets each."""
+    return F.greatest(F.ceil(F.col(size) / F.lit(most)), F.ceil(F.col(total) * 8 / F.lit(TILE_BYTES)), F.lit(1)).cast("int")
+
+
+def opposed(held: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
+    """``held``: key, node, n; ``roots``: node, root of nodes that are linked already. node, key, lo, hi: the task groups in which nodes of one key and different roots meet.
+
+    The root with most nodes of a key is not compared within itself: each of its tiles meets those of the other nodes only. A key with one root has no rows, one with few other nodes about
+    as many rows as nodes.
+    """
+    named = pin(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    each = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    first = F.max(F.struct("size", "root", "total"))
+    keys = each.groupBy("key").agg(first.alias("most"), F.sum("size").alias("rows"), F.sum("total").alias("total")).selectExpr(
+        "key", "rows", "most.root AS most", "most.size AS size_a", "most.total AS total_a", "rows - most.size AS size_b", "total - most.total AS total_b",
+    ).filter("size_b > 0")
+
+    def cut(of: str):
+        """Up to ``tile`` nodes each, and fewer where they are not so many: as many tiles as a tile has nodes over SPLIT."""
+        return F.greatest(tiles(f"size_{of}", f"total_{of}", tile), F.ceil(F.sqrt(F.col(f"size_{of}") / F.lit(float(SPLIT))))).cast("int")
+
+    keys = pin(keys.select("key", "rows", "most", cut("a").alias("a"), cut("b").alias("b")))
+    apart = F.col("root") != F.col("most")
+    own = F.when(apart, F.col("a") + F.pmod(F.xxhash64("node", F.lit(7)), F.col("b"))).otherwise(F.pmod(F.xxhash64("node", F.lit(7)), F.col("a"))).cast("int")
+    others = F.sequence(F.when(apart, F.lit(0)).otherwise(F.col("a")), F.col("a") + F.col("b") - 1)
+    met = told(named, keys, "key").select("node", "key", own.alias("own"), F.explode(others).alias("other"))
+    return met.select("node", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
 def links(held: DataFrame, sets: DataFrame, least: float, tile: int) -> DataFrame:
-    """``held``: key, node, n, each key once for each of its nodes. Links src, dst (nodes) that connect whatever links among nodes of one key connect."""
-    groups = held.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")
-    )
-    groups = groups.filter("size > 1").groupBy("size", "total", "a", "b").agg(F.min("key").alias("key"))
-    # up to ``tile`` nodes each, and fewer in groups that are not so large: their tiles are as many as a tile has nodes over SPLIT
-    even = F.ceil(F.sqrt(F.col("size") / F.lit(float(SPLIT))))
-    tiles = F.greatest(F.ceil(F.col("size") / F.lit(tile)), F.ceil(F.col("total") * 8 / F.lit(TILE_BYTES)), even).cast("int")
-    dealt = (
-        held.join(groups.select("key", tiles.alias("tiles")), "key")
-        .join(sets, "node")
-        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "shingles")
-    )
+    """``held``: key, node, n, each key once for each of its nodes. Links src, dst (nodes) that connect whatever links among nodes of one key connect.
+
+    First each node of a key is in one of its tiles, and each tile is compared with itself and the key's first tile: two rows a node, however large the key. That joins most of what is alike; of
+    keys with several tiles, only nodes that are not connected yet are compared then, see ``opposed``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
@@ -275,7 +336,26 @@ def links(held: DataFrame, sets: DataFrame, least: float, tile: int) -> DataFram
             yield emit()
 
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "src long, dst long").distinct()
+
+    def compared(groups: DataFrame) -> DataFrame:
+        dealt = groups.join(sets, "node").select("key", "lo", "hi", "node", "shingles").repartition(parts, "key", "lo", "hi")
+        return pin(dealt.sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "src long, dst long").distinct())
+
+    sized = held.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).filter("rows > 1")
+    whole = min(SPLIT, tile)  # nodes of a group
+    one = (F.col("rows") <= whole) & (F.col("total") * 8 <= TILE_BYTES)
+    sized = pin(sized.select("key", "rows", F.when(one, F.lit(1)).otherwise(tiles("rows", "total", max(1, whole // 2))).alias("tiles")))
+    several = sized.filter("tiles > 1").drop("tiles")
+    again = not several.isEmpty()
+    if again:
+        sets, path = keep(sets, "zstd")
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("tiles")).cast("int")
+    others = F.when(F.col("lo") == 0, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("lo"))
+    found = compared(told(held, sized, "key").withColumn("lo", own).select("node", "key", F.explode(others).alias("lo")).withColumn("hi", F.col("lo")))
+    if again:
+        found = found.unionByName(compared(opposed(told(held, several, "key"), components(found), tile)))
+        discard(held.sparkSession, path)
+    return found
 
 
 #: Rows to drop that are sent to every executor; beyond it the documents are shuffled.
@@ -299,7 +379,7 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, least: float, width
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     nodes = pin(made.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), low.alias("low"), F.min("n").alias("n"), F.first("prints").alias("prints")))
     met = meetings(nodes.select("node", "prints"), lanes, most, tile).join(nodes.select("node", "n", "prints"), "node")
-    held = pin(sharpened(met, lanes, most_bits(least, 64 * lanes)))
+    held = merged(pin(sharpened(met, lanes, most_bits(least, 64 * lanes))))
     wanted = pin(nodes.join(held.select("node").distinct(), "node", "left_semi").select("low.text_key"))
     roots = components(links(held, sets_of(texts, wanted, width), least, tile))
     of = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")

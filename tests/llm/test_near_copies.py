@@ -119,3 +119,76 @@ def test_texts_far_below_the_least_similarity_have_no_sets_made(spark, monkeypat
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == root
     linked = len(texts) - len(alone)
     assert linked == 4 and len(held[0]) <= 10
+
+
+def roots_of(nodes, pairs):
+    """The smallest node of each one's component."""
+    root = {i: i for i in nodes}
+    for a, b in pairs:
+        if root[a] != root[b]:
+            lo, hi = sorted((root[a], root[b]))
+            root = {i: lo if r == hi else r for i, r in root.items()}
+    return root
+
+
+def test_a_crowd_in_many_keys_is_dealt_about_once(spark, monkeypatch):
+    """400 sets alike and 12 less so, in 30 keys that hold most of them: what is shuffled grows with the nodes, not with keys or tiles, and the links connect what all pairs do."""
+    rng, seen = np.random.default_rng(11), []
+    base, sets = np.arange(1, 101, dtype=np.uint64), {}
+    for i in range(412):
+        swapped = rng.integers(1, 5) if i < 400 else 13
+        own = base.copy()
+        own[rng.choice(100, swapped, replace=False)] = rng.integers(1 << 20, 1 << 60, swapped, dtype=np.uint64)
+        sets[i] = np.unique(own)
+    held = [(k, int(i), 100) for k in range(30) for i in rng.choice(412, 330, replace=False)] + [(50, 3, 100), (50, 405, 100)]
+    frame = spark.createDataFrame(held, "key long, node long, n int")
+    made = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "node long, shingles binary")
+    kind = type(frame)
+    sort = kind.sortWithinPartitions
+    monkeypatch.setattr(kind, "sortWithinPartitions", lambda self, *by: ("lo" in by and seen.append(self.count())) or sort(self, *by))
+    got = near_copies.links(getattr(near_copies, "merged", lambda x: x)(frame), made, 0.8, 2048).collect()
+
+    def alike(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+
+    due = [(a, b) for a in sets for b in range(a) if alike(a, b)]
+    assert roots_of(sets, [(r["src"], r["dst"]) for r in got]) == roots_of(sets, due)
+    assert all(alike(r["src"], r["dst"]) for r in got) and sum(seen) < 5 * len(sets)
+
+
+def test_merged_keys_keep_every_meeting(spark):
+    """Overlapping keys, chains and stars: nodes that share a key share one still, in no more rows and pairs."""
+    rng = np.random.default_rng(12)
+    held = [(int(k), int(i)) for k in range(-20, 20) for i in rng.choice(80, rng.integers(2, 50), replace=False)]
+    held += [(1000 + i, 100 + i + j) for i in range(60) for j in (0, 1)] + [(2000 + i, j) for i in range(20) for j in (300, 301 + i)] + [(3000, 400)]
+    frame = spark.createDataFrame([(k, i, 7) for k, i in held], "key long, node long, n int")
+
+    def keys_of(rows):
+        keys = {}
+        for k, i in rows:
+            keys.setdefault(k, set()).add(i)
+        return list(keys.values())
+
+    got = [(r["key"], r["node"]) for r in near_copies.merged(frame).collect()]
+    before, after = keys_of(held), keys_of(got)
+    assert len(set(got)) == len(got) < len(held) / 2
+    assert all(any({a, b} <= k for k in after) for own in before for a in own for b in own if a < b)
+    assert sum(len(k) ** 2 for k in after) <= sum(len(k) ** 2 for k in before)
+
+
+def test_only_what_is_not_connected_meets_again(spark):
+    """Of a key, nodes of different roots meet in a group; its largest root is not dealt to more groups than the others need, and a key with one root has no rows."""
+    size, apart = 700, (3, 90)
+    for n in apart:
+        held = spark.createDataFrame([(1, i, 10) for i in range(size + n)] + [(2, i, 10) for i in range(9)], "key long, node long, n int")
+        roots = spark.createDataFrame([(i, 0) for i in range(size)] + [(size + 1, size)], "node long, root long")
+        root = {i: 0 if i < size else size if i == size + 1 else i for i in range(size + n)}
+        groups = {}
+        for r in near_copies.opposed(held, roots, 2048).collect():
+            assert r["key"] == 1
+            groups.setdefault((r["lo"], r["hi"]), set()).add(r["node"])
+        met = {(a, b) for own in groups.values() for a in own for b in own if a < b}
+        assert all((a, b) in met for b in range(size, size + n) for a in range(b) if root[a] != root[b])
+        rows = sum(map(len, groups.values()))
+        assert rows <= (size + 10 * n if n <= 64 else 2 * size + 10 * n)
